@@ -91,3 +91,77 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     pre = staged.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*group_cols).orderBy(*order)
     return pre.withColumn(rank_name, F.row_number().over(w2)).where(F.col(rank_name) <= k)
+
+
+def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    if group_cols:
+        return df, list(group_cols)
+    return df.withColumn("_g", F.lit(0)), ["_g"]
+
+
+def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / numpy default) per group.
+
+    Unlike ``percentile`` (whose buffer holds every distinct value of a group in
+    one task) the values are counted per ``(group, value)``, cumulated with
+    :func:`bucketed_running`, and the two order statistics around
+    ``h = (n-1) p`` are picked by a broadcast join against the tiny
+    ``groups x probs`` target table.  Output: ``(group..., p, q)``.
+    """
+    df, gcols = _with_group(long_df.where(F.col(value_col).isNotNull()), list(group_cols))
+    counts = df.groupBy(*gcols, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    run = bucketed_running(counts, gcols, value_col, ["_n"], buckets=buckets)
+    totals = counts.groupBy(*gcols).agg(F.sum("_n").alias("_total"))
+    targets = (totals.select(*gcols, "_total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+               .withColumn("_h", (F.col("_total") - 1) * F.col("p"))
+               .withColumn("_lo", F.floor("_h") + 1)
+               .withColumn("_hi", F.least(F.ceil("_h") + 1, F.col("_total")))
+               .withColumn("_frac", F.col("_h") - F.floor("_h")))
+    r = run.alias("r")
+    t = F.broadcast(targets).alias("t")
+    lo_hit = (F.col("r.cum__n") - F.col("r._n") < F.col("t._lo")) & (F.col("t._lo") <= F.col("r.cum__n"))
+    hi_hit = (F.col("r.cum__n") - F.col("r._n") < F.col("t._hi")) & (F.col("t._hi") <= F.col("r.cum__n"))
+    cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in gcols]
+    joined = r.join(t, _and_all(cond) & (lo_hit | hi_hit), "inner")
+    picked = joined.groupBy(*[F.col(f"t.{g}").alias(g) for g in gcols], F.col("t.p").alias("p")).agg(
+        F.max(F.when(lo_hit, F.col(f"r.{value_col}"))).alias("_vlo"),
+        F.max(F.when(hi_hit, F.col(f"r.{value_col}"))).alias("_vhi"),
+        F.first(F.col("t._frac")).alias("_frac"))
+    out = picked.select(*gcols, "p", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
+    return out.drop("_g") if not group_cols else out
+
+
+def _and_all(conds):
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+def quantile_columns(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
+                     exact: bool = True, accuracy: int = 100000) -> DataFrame:
+    """Quantiles as named columns per group: ``probs = {"q25": .25, ...}``.
+
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded memory, rank
+    error 1/accuracy) - the choice is the caller's, explicit.
+    """
+    names = list(probs)
+    if exact:
+        q = exact_quantiles(long_df, group_cols, value_col, [probs[n] for n in names])
+        gcols = list(group_cols)
+        pivot = q.groupBy(*gcols).agg(*[F.max(F.when(F.col("p") == F.lit(float(probs[n])), F.col("q"))).alias(n) for n in names]) \
+            if gcols else q.agg(*[F.max(F.when(F.col("p") == F.lit(float(probs[n])), F.col("q"))).alias(n) for n in names])
+        return pivot
+    agg = F.percentile_approx(F.col(value_col), [probs[n] for n in names], accuracy).alias("_qs")
+    base = long_df.groupBy(*group_cols).agg(agg) if group_cols else long_df.agg(agg)
+    return base.select(*group_cols, *[F.col("_qs")[i].cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row frame (an aggregate) to every row.
+
+    The one-row side is broadcast through an equi-join on a constant key, so the
+    big side is neither shuffled nor cross-joined.
+    """
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -33,5 +33,6 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module so that its ``@register`` calls run."""
     from fidelis.plans import (  # noqa: F401
+        q_profile,
         q_rules,
     )
