@@ -35,4 +35,5 @@ def load_all() -> None:
     from fidelis.plans import (  # noqa: F401
         q_profile,
         q_rules,
+        q_stats,
     )
