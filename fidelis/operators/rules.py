@@ -10,6 +10,7 @@ NULL counts as violated (``NOT coalesce(cond, false)``).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -90,6 +91,9 @@ def _resolve(df: DataFrame, rule: Rule) -> tuple[Column, Column, str]:
     A rule that does not resolve (missing column, bad SQL) fails every row as
     CRITICAL with ``Error: ...`` as the reported value; nothing is raised.
     """
+    missing = [c for c in re.findall(r"`([^`]+)`", rule.condition + " " + (rule.value or "")) if c not in df.columns]
+    if missing:
+        return F.lit(True), F.lit(f"Error: column {missing[0]!r} not found"), "critical"
     try:
         cond = F.expr(rule.condition)
         value = F.expr(rule.value) if rule.value else F.lit("N/A")

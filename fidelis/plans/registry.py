@@ -35,5 +35,6 @@ def load_all() -> None:
     from fidelis.plans import (  # noqa: F401
         q_profile,
         q_rules,
+        q_similarity,
         q_stats,
     )
