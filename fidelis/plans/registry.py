@@ -34,6 +34,7 @@ def load_all() -> None:
     """Import every query module so that its ``@register`` calls run."""
     from fidelis.plans import (  # noqa: F401
         q_profile,
+        q_review,
         q_rules,
         q_similarity,
         q_stats,
