@@ -38,4 +38,5 @@ def load_all() -> None:
         q_rules,
         q_similarity,
         q_stats,
+        q_synth,
     )
