@@ -41,6 +41,13 @@ class LayerSpec:
     review_sample: int = config.REVIEW_SAMPLE
 
 
+def require_columns(df: DataFrame, cols: list[str], layer: str) -> None:
+    """Fail at plan time, with a readable message, when a layer's input lacks columns."""
+    missing = [c for c in dict.fromkeys(cols) if c not in df.columns]
+    if missing:
+        raise ValueError(f"{layer} layer: missing column(s) {missing}")
+
+
 # ---- Q7: rule layer ------------------------------------------------------------------
 
 def rule_layer(candidate: DataFrame, spec: LayerSpec) -> dict[str, DataFrame]:
@@ -71,6 +78,8 @@ def statistics_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, wit
     """The ``test_results`` table: KS per feature, moments for key features, Frobenius
     norm and top pairs of the correlation matrices, z-score rates and (optionally) the
     isolation forest - unioned into one long table."""
+    for side in (real, candidate):
+        require_columns(side, spec.ks_features + spec.key_features + spec.corr_features + spec.z_features, "statistics")
     ks = D.ks_tests(D.ks_two_sample(real, candidate, spec.ks_features, details=False))
     mom = D.moment_comparison(real, candidate, spec.key_features)
     fro = C.corr_frobenius(real, candidate, spec.corr_features).select(*TEST_COLUMNS)

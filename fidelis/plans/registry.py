@@ -40,3 +40,4 @@ def load_all() -> None:
         q_stats,
         q_synth,
     )
+    from fidelis.plans import q_layers  # noqa: F401  (composes the oracles above)
