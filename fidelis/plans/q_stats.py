@@ -288,3 +288,11 @@ def q_feature_comparison(spark, sf):
     fc = D.feature_comparison(real, cand, KEY_FEATURES)
     return rounded(fc.select("feature", "real_mean", "candidate_mean", "real_std", "candidate_std", "real_median", "candidate_median",
                              "mean_diff_pct", "std_diff_pct", "median_diff_pct", "ks", "band"))
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf):
+    """O4 (no oracle: randomised trees; checked statistically in the tests)."""
+    from fidelis.operators.forest import isolation_forest_test
+    real, cand = _sides(spark, sf)
+    return isolation_forest_test(real, cand, CORR_FEATURES, id_col=R.id)
