@@ -233,3 +233,20 @@ def q_rule_custom_expr(spark, sf):
     resp = profile_rule_responses(real_side(spark, sf), TX_ROLES.features)
     rules = R.rules_from_table(R.parse_rule_responses(resp, "response", ["feature"]))
     return R.rule_failures(_cand(spark, sf), rules).select("row_id", "rule_name")
+
+
+@register("stream_rule_failures", f"""WITH {_EV_SQL}
+  SELECT row_id, 'time_non_negative' AS rule_name FROM ev WHERE NOT coalesce("Time" >= 0, false)
+  UNION ALL SELECT row_id, 'time_in_range' FROM ev WHERE NOT coalesce("Time" <= 172792, false)
+  UNION ALL SELECT row_id, 'amount_non_negative' FROM ev WHERE NOT coalesce(Amount >= 0, false)""")
+def q_stream_rule_failures(spark, sf):
+    """The event rules run on ``events`` read as a file stream (stateless, append mode)."""
+    from fidelis.streaming import rules_stream as RS
+    schema = table(spark, sf, "events").schema
+    stream = RS.parquet_stream(spark, sf, "events.parquet", schema)
+    tx = stream.select(F.col("event_id").alias("row_id"),
+                       F.expr(f"CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'{EVENTS_ORIGIN}', ts) AS DOUBLE)").alias("Time"),
+                       F.col("value").alias("Amount"))
+    rules = [r for r in R.default_rules(features=[]) if r.name in ("time_non_negative", "time_in_range", "amount_non_negative")]
+    out = RS.run_to_table(spark, RS.stream_failures(tx, rules, "row_id").select("row_id", "rule_name"))
+    return out
