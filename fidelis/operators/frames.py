@@ -33,7 +33,10 @@ def long_form(df: DataFrame, features: list[str], id_cols: list[str] | None = No
 
 def _splits(df: DataFrame, group_cols: list[str], order_col: str, buckets: int, accuracy: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
-    agg = F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits")
+    if not probs:  # one bucket: no split points
+        agg = F.filter(F.array(F.first(F.col(order_col))), lambda s: F.lit(False)).alias("_splits")
+    else:
+        agg = F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits")
     if group_cols:
         return df.groupBy(*group_cols).agg(agg)
     return df.agg(agg)
