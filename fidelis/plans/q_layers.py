@@ -188,12 +188,15 @@ def q_fallback_scores(spark, sf):
     for layer, build in (("rules", lambda: L.rule_layer(broken, TX_SPEC)["summary"].select((F.col("pass_rate") / 100).alias("s"))),
                          ("statistics", lambda: L.test_summary(L.statistics_layer(real, broken, TX_SPEC)).select((F.col("pass_rate") / 100).alias("s")))):
         try:
-            build().schema  # plan-time resolution only
-            rows.append((layer, None, None))
+            rows.append((layer, float(build().first()["s"]), None))
         except Exception as exc:  # noqa: BLE001 - the error is the result
             rows.append((layer, None, str(exc).splitlines()[0][:120]))
     df = spark.createDataFrame(rows, "layer string, score double, error string")
-    return df.withColumn("decision", F.when(F.col("error").isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK")))
+    fallback = F.create_map(*[x for k, v in config.FALLBACK_SCORES.items() for x in (F.lit(k), F.lit(float(v)))])
+    return df.select("layer", "score", "error",
+                     F.when(F.col("error").isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK")).alias("decision"),
+                     # fail-open value, applied only when the caller opts in
+                     F.when(F.col("error").isNotNull(), fallback[F.col("layer")]).alias("fail_open_score"))
 
 
 @register("quality_grade", f"""WITH r AS ({RULE_SUMMARY_SQL}), t AS ({TEST_SUMMARY_SQL})
@@ -289,3 +292,12 @@ def q_sink_pair(spark, sf):
 
 
 from fidelis.plans.registry import QUERIES as QUERIES_LOCAL  # noqa: E402
+
+
+@register("load_baseline", f"""WITH {TX_SQL} SELECT count(*) AS n_rows, round(avg(is_return), 6) AS positive_rate FROM real""")
+def q_load_baseline(spark, sf):
+    """A stored baseline profile is read back (multi-line JSON); a missing one gives None."""
+    path = _scratch(spark, "baseline")
+    io.sink_report(QUERIES_LOCAL["baseline_profile"](spark, sf).select("n_rows", "positive_rate"), path)
+    assert io.load_baseline(spark, path + "-missing") is None
+    return rounded(io.load_baseline(spark, path).select(F.col("n_rows").cast("long").alias("n_rows"), "positive_rate"))

@@ -250,3 +250,11 @@ def q_stream_rule_failures(spark, sf):
     rules = [r for r in R.default_rules(features=[]) if r.name in ("time_non_negative", "time_in_range", "amount_non_negative")]
     out = RS.run_to_table(spark, RS.stream_failures(tx, rules, "row_id").select("row_id", "rule_name"))
     return out
+
+
+@register("failure_samples", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
+  r AS (SELECT rule_name, row_id, row_number() OVER (PARTITION BY rule_name ORDER BY row_id) AS sample_rank FROM f)
+  SELECT rule_name, row_id, sample_rank FROM r WHERE sample_rank <= 5""")
+def q_failure_samples(spark, sf):
+    """W3 under its inventory name (same plan as ``rule_failure_samples``)."""
+    return R.rule_failure_samples(_cand(spark, sf), tx_rules(), k=5).select("rule_name", "row_id", "sample_rank")

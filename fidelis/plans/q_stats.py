@@ -296,3 +296,15 @@ def q_isolation_forest(spark, sf):
     from fidelis.operators.forest import isolation_forest_test
     real, cand = _sides(spark, sf)
     return isolation_forest_test(real, cand, CORR_FEATURES, id_col=R.id)
+
+
+@register("pair_compare", f"""WITH {TX_SQL}, {_KEY_U}
+  SELECT feature, round(rm, 6) AS real_mean, round(cm, 6) AS candidate_mean, round(rs, 6) AS real_std, round(cs, 6) AS candidate_std FROM s""")
+def q_pair_compare(spark, sf):
+    """Per-feature statistics of each side, computed separately and joined by feature."""
+    from fidelis.operators.frames import long_form
+    real, cand = _sides(spark, sf)
+    a = long_form(real, KEY_FEATURES).groupBy("feature").agg(F.avg("value").alias("real_mean"), F.stddev_samp("value").alias("real_std"))
+    b = long_form(cand, KEY_FEATURES).groupBy("feature").agg(F.avg("value").alias("candidate_mean"),
+                                                              F.stddev_samp("value").alias("candidate_std"))
+    return rounded(a.join(b, "feature").select("feature", "real_mean", "candidate_mean", "real_std", "candidate_std"))
