@@ -71,8 +71,9 @@ def corr_top_pairs(real: DataFrame, candidate: DataFrame, features: list[str], t
     """The ``top_n`` pairs by |r| in the real table (ties by rounded |r| then position),
     passed iff ||r_real| - |r_cand|| < threshold (the sign is ignored)."""
     d = corr_difference(real, candidate, features).where(F.col("real_corr").isNotNull())
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.abs("real_corr"), 12)), "i", "j")  # pairs table
-    top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    order = [F.desc(F.round(F.abs("real_corr"), 12)), F.asc("i"), F.asc("j")]
+    first = d.orderBy(*order).limit(top_n)  # a top-n heap, not a sort of every pair
+    top = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # <= top_n rows
     diff = F.abs(F.abs("real_corr") - F.abs("candidate_corr"))
     return top.select(F.lit("pairwise_correlation").alias("test_name"),
                       F.concat("feature_a", F.lit("_vs_"), "feature_b").alias("feature"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fidelis import config
 from fidelis.functions.columns import ks_p_value, quality_band
-from fidelis.operators.frames import DEFAULT_BUCKETS, bucketed_running, long_form, quantile_columns
+from fidelis.operators.frames import bucketed_running, long_form, quantile_columns
 
 TEST_COLUMNS = ["test_name", "feature", "passed", "statistic", "threshold", "p_value"]
 
@@ -38,7 +38,7 @@ def _ks_core(u: DataFrame, buckets: int) -> DataFrame:
 
 
 def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
-                  threshold: float = config.KS_THRESHOLD, buckets: int = DEFAULT_BUCKETS,
+                  threshold: float = config.KS_THRESHOLD, buckets: int | None = None,
                   details: bool = True) -> DataFrame:
     """T1 + T2 + T3: per feature KS statistic, passed iff ``statistic < threshold``,
     asymptotic p-value, and (``details``) mean / std (n-1) of both sides."""
@@ -58,7 +58,7 @@ def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
 
 
 def ks_by_class(df: DataFrame, label: str, features: list[str], notable: float = 0.3,
-                buckets: int = DEFAULT_BUCKETS, k: int | None = 10) -> DataFrame:
+                buckets: int | None = None, k: int | None = 10) -> DataFrame:
     """T4: KS of positives vs negatives per feature; ``notable`` if statistic > 0.3,
     ``***`` if p < 0.001; ranked by statistic (top ``k``)."""
     lf = long_form(df.withColumn("_lbl", F.col(f"`{label}`")), features, ["_lbl"])
@@ -183,5 +183,5 @@ def feature_comparison(real: DataFrame, candidate: DataFrame, features: list[str
     for m in ("mean", "std", "median"):
         wide = wide.withColumn(f"{m}_diff_pct", F.abs(F.col(f"candidate_{m}") - F.col(f"real_{m}"))
                                / (F.abs(F.col(f"real_{m}")) + F.lit(1e-10)) * 100)
-    ks = _ks_core(u.select("feature", "value", "_side"), DEFAULT_BUCKETS).select("feature", F.col("statistic").alias("ks"))
+    ks = _ks_core(u.select("feature", "value", "_side"), None).select("feature", F.col("statistic").alias("ks"))
     return wide.join(ks, "feature").withColumn("band", quality_band("ks"))

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from fidelis import config
 from fidelis.functions.columns import clean
-from fidelis.operators.frames import attach, exact_quantiles
+from fidelis.operators.frames import attach, exact_quantiles, spread
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, right_child int, "
                "size long, depth int, is_leaf boolean")
@@ -93,9 +93,13 @@ def _fit_fn(features: list[str], max_samples: int, seed: int):
 
 
 def training_sample(real: DataFrame, features: list[str], trees: int, max_samples: int, seed: int,
-                    id_col: str | None = None) -> DataFrame:
-    """``(tree, features...)``: at most ``max_samples`` rows per tree, drawn without replacement."""
-    n = real.count()
+                    id_col: str | None = None, n: int | None = None) -> DataFrame:
+    """``(tree, features...)``: at most ``max_samples`` rows per tree, drawn without replacement.
+
+    Large tables (``trees * p <= 1`` with ``p = 4 * max_samples / N``): ONE hashed uniform per
+    row, ``u < trees * p`` keeps it for tree ``floor(u / p)`` (disjoint tree samples).
+    Small tables: per-(row, tree) hashes, so samples may overlap as in the usual algorithm."""
+    n = real.count() if n is None else n
     p = min(1.0, 4.0 * max_samples / max(n, 1))
     key = F.col(f"`{id_col}`") if id_col else F.xxhash64(*[F.col(f"`{f}`") for f in features])
     base = real.select(key.alias("_k"), *[clean(F.col(f"`{f}`").cast("double")).alias(f) for f in features])
@@ -103,48 +107,70 @@ def training_sample(real: DataFrame, features: list[str], trees: int, max_sample
     def u(t):
         return F.xxhash64(F.col("_k"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
 
-    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))
-    cand = base.select("_k", *features, F.explode(hits).alias("tree"))
-    cand = cand.withColumn("_u", u(F.col("tree")))
+    if trees * p <= 1.0:
+        u0 = u(F.lit(-1))
+        cand = base.where(u0 < F.lit(trees * p)).select(
+            "_k", *features, F.floor(u0 / F.lit(p)).cast("int").alias("tree"), u0.alias("_u"))
+    else:
+        hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))
+        cand = base.select("_k", *features, F.explode(hits).alias("tree"))
+        cand = cand.withColumn("_u", u(F.col("tree")))
     w = Window.partitionBy("tree").orderBy("_u", "_k")  # ~4 * max_samples rows per tree
     return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).drop("_r", "_u", "_k")
 
 
 def fit_forest(real: DataFrame, features: list[str], trees: int = config.FOREST_TREES,
                max_samples: int = config.FOREST_SAMPLE, seed: int = config.FOREST_SEED,
-               id_col: str | None = None) -> tuple[DataFrame, int]:
+               id_col: str | None = None, n: int | None = None) -> tuple[DataFrame, int]:
     """Node table of the forest and the effective sample size per tree."""
-    n = real.count()
+    n = real.count() if n is None else n
     m = int(min(max_samples, n))
-    sample = training_sample(real, features, trees, m, seed, id_col)
+    sample = training_sample(real, features, trees, m, seed, id_col, n)
     nodes = sample.groupBy("tree").applyInPandas(_fit_fn(features, m, seed), NODE_SCHEMA)
     return nodes, m
 
 
 def score_column(nodes_pdf: pd.DataFrame, features: list[str], m: int):
-    """An Arrow-batched scorer over the (broadcast) node table."""
-    trees = []
-    for _, g in nodes_pdf.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left_child"].to_numpy(),
-                      g["right_child"].to_numpy(), g["size"].to_numpy(), g["depth"].to_numpy(), g["is_leaf"].to_numpy()))
+    """An Arrow-batched scorer over the (broadcast) node table.
+
+    All trees are walked at once: node ids are flattened to ``tree * width + node``, a
+    leaf points to itself, so one step per depth level is five ``take`` gathers."""
+    nodes_pdf = nodes_pdf.sort_values(["tree", "node"])
+    trees = sorted(nodes_pdf["tree"].unique())
+    n_t = max(len(trees), 1)
+    width = int(nodes_pdf["node"].max()) + 1 if len(nodes_pdf) else 1
+    pos = {t: i for i, t in enumerate(trees)}
+    ti = nodes_pdf["tree"].map(pos).to_numpy().astype(np.int64)
+    ni = nodes_pdf["node"].to_numpy().astype(np.int64)
+    flat = ti * width + ni
+    size = n_t * width
+    feat = np.zeros(size, dtype=np.int64)
+    thr = np.zeros(size)
+    left = np.arange(size, dtype=np.int64)   # unused slots and leaves loop on themselves
+    right = np.arange(size, dtype=np.int64)
+    path = np.zeros(size)
+    is_leaf = nodes_pdf["is_leaf"].to_numpy()
+    inner = ~is_leaf
+    feat[flat[inner]] = nodes_pdf["feature"].to_numpy()[inner]
+    thr[flat[inner]] = nodes_pdf["threshold"].to_numpy()[inner]
+    left[flat[inner]] = ti[inner] * width + nodes_pdf["left_child"].to_numpy()[inner]
+    right[flat[inner]] = ti[inner] * width + nodes_pdf["right_child"].to_numpy()[inner]
+    path[flat] = nodes_pdf["depth"].to_numpy() + average_path_length(nodes_pdf["size"].to_numpy())
+    levels = int(nodes_pdf["depth"].max()) if len(nodes_pdf) else 0
     denom = float(average_path_length([m])[0]) or 1.0
+    roots = (np.arange(n_t, dtype=np.int64) * width)[None, :]
+    d = len(features)
 
     @F.pandas_udf(T.DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
-        x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]))
-        total = np.zeros(x.shape[0])
-        rows = np.arange(x.shape[0])
-        for feat, thr, left, right, size, depth, leaf in trees:
-            node = np.zeros(x.shape[0], dtype=np.int64)
-            active = ~leaf[node]
-            while active.any():
-                a = rows[active]
-                nd = node[a]
-                go_left = x[a, feat[nd]] < thr[nd]
-                node[a] = np.where(go_left, left[nd], right[nd])
-                active = ~leaf[node]
-            total += depth[node] + average_path_length(size[node])
-        mean_h = total / max(len(trees), 1)
+        x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])).ravel()
+        n = len(cols[0])
+        rowbase = (np.arange(n, dtype=np.int64) * d)[:, None]
+        idx = np.broadcast_to(roots, (n, n_t)).copy()
+        for _ in range(levels):
+            go_left = x.take(rowbase + feat.take(idx)) < thr.take(idx)
+            idx = np.where(go_left, left.take(idx), right.take(idx))
+        mean_h = path.take(idx).mean(axis=1) if trees else np.zeros(n)
         return pd.Series(-np.power(2.0, -mean_h / denom))
 
     return score(*[clean(F.col(f"`{f}`").cast("double")) for f in features])
@@ -157,9 +183,9 @@ def isolation_forest_scores(real: DataFrame, candidate: DataFrame, features: lis
     """Candidate rows with ``score`` and ``is_outlier`` (score below the real-side cut-off)."""
     nodes, m = fit_forest(real, features, trees, max_samples, seed, id_col)
     nodes_pdf = nodes.toPandas()  # bounded: trees * (2 * max_samples - 1) rows
-    real_scores = real.select(score_column(nodes_pdf, features, m).alias("score"))
+    real_scores = spread(real).select(score_column(nodes_pdf, features, m).alias("score"))
     cut = exact_quantiles(real_scores, [], "score", [contamination]).select(F.col("q").alias("offset"))
-    cand = candidate.withColumn("score", score_column(nodes_pdf, features, m))
+    cand = spread(candidate).withColumn("score", score_column(nodes_pdf, features, m))
     return attach(cand, cut).withColumn("is_outlier", F.col("score") < F.col("offset"))
 
 

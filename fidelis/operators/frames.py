@@ -12,12 +12,50 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.columns import clean
 
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 100_000
+TARGET_BUCKET_BYTES = 32 * 1024 * 1024
+
+
+def auto_buckets(df: DataFrame, minimum: int = DEFAULT_BUCKETS, maximum: int = MAX_BUCKETS,
+                 target_bytes: int = TARGET_BUCKET_BYTES) -> int:
+    """Buckets per group from the size of the data the plan READS (sum of Catalyst's leaf
+    statistics, i.e. file sizes for scans; no job is run): about ``target_bytes`` of input
+    per bucket, clamped to [minimum, maximum].  The top-level estimate is not used because
+    estimates above joins and aggregates are unreliable."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = 0
+        it = leaves.iterator()
+        while it.hasNext():
+            size += int(it.next().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: use the minimum
+        return minimum
+    return int(min(maximum, max(minimum, size // max(target_bytes, 1))))
+
+
+def bucket_of(splits: Column, value: Column, n_splits: int) -> Column:
+    """Number of split points strictly below ``value`` by binary search over the sorted
+    ``splits`` array: O(log buckets) per row through ``aggregate`` over a fixed step count."""
+    steps = max(1, math.ceil(math.log2(n_splits + 1)))
+
+    def step(acc, _i):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi + 1) / 2).cast("int")
+        below = F.try_element_at(splits, mid) < value
+        active = lo < hi
+        return F.struct(F.when(active & below, mid).otherwise(lo).alias("lo"),
+                        F.when(active & ~below, mid - 1).otherwise(hi).alias("hi"))
+
+    init = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def long_form(df: DataFrame, features: list[str], id_cols: list[str] | None = None,
@@ -43,14 +81,18 @@ def _splits(df: DataFrame, group_cols: list[str], order_col: str, buckets: int,
 
 
 def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                     buckets: int = DEFAULT_BUCKETS, accuracy: int = 10000, prefix: str = "cum_") -> DataFrame:
+                     buckets: int | None = None, accuracy: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add inclusive running sums of ``sum_cols`` per ``group_cols`` ordered by ``order_col``.
 
     ``order_col`` must be unique within a group (aggregate duplicates first).
     ``group_cols`` must have few distinct values (features, classes): the split
-    and offset tables hold ``groups x buckets`` rows and are broadcast.
+    and offset tables hold ``groups x buckets`` rows and are broadcast.  ``buckets``
+    defaults to :func:`auto_buckets` (grows with the input, capped), so a bucket's
+    window stays near ``TARGET_BUCKET_BYTES`` at any scale.
     """
     group_cols = list(group_cols)
+    buckets = buckets or auto_buckets(df)
+    accuracy = accuracy or max(10000, 20 * buckets)
     splits = _splits(df, group_cols, order_col, buckets, accuracy)
     if group_cols:
         tagged = df.join(F.broadcast(splits), group_cols, "inner")
@@ -58,7 +100,11 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
         # one split row for the whole frame: equi-join on a constant key (broadcast, 1 row)
         tagged = df.withColumn("_one", F.lit(1)).join(
             F.broadcast(splits.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    tagged = tagged.withColumn("_bucket", F.size(F.filter(F.col("_splits"), lambda s: s < F.col(order_col)))).drop("_splits")
+    if buckets <= 128:  # a short linear count is cheaper than the interpreted binary search
+        bucket = F.size(F.filter(F.col("_splits"), lambda s: s < F.col(order_col)))
+    else:
+        bucket = bucket_of(F.col("_splits"), F.col(order_col), buckets - 1)
+    tagged = tagged.withColumn("_bucket", bucket).drop("_splits")
     keys = group_cols + ["_bucket"]
     w_local = Window.partitionBy(*keys).orderBy(F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = tagged.select("*", *[F.sum(F.col(c)).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
@@ -74,7 +120,7 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
 
 
 def dense_index(df: DataFrame, order_col: str, group_cols: list[str] | None = None, name: str = "idx",
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Number rows 0..N-1 within each group by ``order_col`` (unique per group)."""
     tmp = df.withColumn("_ones", F.lit(1).cast("long"))
     out = bucketed_running(tmp, list(group_cols or []), order_col, ["_ones"], buckets=buckets, prefix="_cum")
@@ -103,7 +149,7 @@ def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[s
 
 
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / numpy default) per group.
 
     Unlike ``percentile`` (whose buffer holds every distinct value of a group in
@@ -161,6 +207,14 @@ def quantile_columns(long_df: DataFrame, group_cols: list[str], value_col: str,
     return base.select(*group_cols, *[F.col("_qs")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the default parallelism when it has fewer partitions (a single
+    row group read as one task) before per-row Python work; a no-op on real-size inputs,
+    which already have at least that many partitions."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame (an aggregate) to every row.
 

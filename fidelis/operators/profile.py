@@ -49,17 +49,17 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """A3 + W2: count and share (%) per class; imbalance ratio = majority // minority."""
     counts = df.groupBy(F.col(_q(label)).alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy(F.lit(0))  # over the per-class table: a handful of rows
-    return counts.select(
-        "class", "count",
-        (F.col("count") * 100.0 / F.sum("count").over(w)).alias("percent"),
-        F.expr("max(count) OVER () div min(count) OVER ()").alias("imbalance_ratio"))
+    tot = counts.agg(F.sum("count").alias("_total"), F.max("count").alias("_max"), F.min("count").alias("_min"))
+    return attach(counts, tot).select(
+        "class", "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"),
+        F.expr("_max div _min").alias("imbalance_ratio"))
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
     """Share of each key value in all rows."""
     counts = df.groupBy(F.col(_q(key)).alias(key)).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(0))))
+    tot = counts.agg(F.sum("count").alias("_total"))  # one row, broadcast: no single-partition window
+    return attach(counts, tot).select(key, "count", (F.col("count") / F.col("_total")).alias("share"))
 
 
 def fraud_rate(df: DataFrame, label: str) -> DataFrame:

@@ -32,6 +32,15 @@ def _q(c: str) -> str:
     return f"`{c}`"
 
 
+def review_context(real: DataFrame, label: str, amount: str, key: str, exact: bool = True) -> DataFrame:
+    """One row ``(_med, _mean)``: median amount and mean key feature of the real positives.
+    The median is the distributed exact quantile (no single-task percentile buffer)."""
+    from fidelis.operators.frames import attach, long_form, quantile_columns
+    pos = real.where(F.col(_q(label)) == 1)
+    med = quantile_columns(long_form(pos, [amount]), [], "value", {"_med": 0.5}, exact=exact)
+    return attach(med, pos.agg(F.avg(F.col(_q(key)).cast("double")).alias("_mean")))
+
+
 def review_candidates(df: DataFrame, id_col: str, flagged: DataFrame | None = None, n: int = config.REVIEW_SAMPLE,
                       seed: int = config.REVIEW_SEED) -> DataFrame:
     """V1: the rows to review - the first ``n`` flagged ids (by id) when any are given,

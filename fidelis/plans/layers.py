@@ -142,9 +142,7 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
 def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, flagged: DataFrame | None) -> dict[str, DataFrame]:
     r = spec.roles
     reviewed = V.review_candidates(candidate, r.id, flagged, spec.review_sample)
-    ctx = real.agg(F.median(F.when(F.col(r.label) == 1, F.col(r.amount))).alias("_med"),
-                   F.avg(F.when(F.col(r.label) == 1, F.col(spec.review_key))).alias("_mean"))
-    rv = attach(reviewed, ctx)
+    rv = attach(reviewed, V.review_context(real, r.label, r.amount, spec.review_key))
     anomalies = V.plausibility(rv, r.id, r.label, r.amount, spec.review_key, spec.review_amount_limit,
                                spec.review_key_high, spec.review_key_low, F.col("_med"), F.col("_mean"))
     result = V.review_result(reviewed, anomalies)

@@ -35,8 +35,7 @@ TX_SPEC = LayerSpec(roles=R, rules=tx_rules(), ks_features=KS_FEATURES, key_feat
 
 
 def _context(real):
-    return real.agg(F.median(F.when(F.col(R.label) == 1, F.col(R.amount))).alias("_med"),
-                    F.avg(F.when(F.col(R.label) == 1, F.col(REVIEW_KEY))).alias("_mean"))
+    return V.review_context(real, R.label, R.amount, REVIEW_KEY)
 
 
 def plausibility_frame(spark, sf):
