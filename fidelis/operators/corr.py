@@ -27,16 +27,31 @@ def _pair_corr(a, b):
     return F.try_divide(F.covar_samp(a, b), sa * sb)
 
 
+def pair_aggs(features: list[str], tag: str = "") -> list:
+    """Aggregate expressions ``{tag}p{i}_{j}`` for every pair (to share a scan with others)."""
+    cols = [clean(F.col(f"`{f}`").cast("double")) for f in features]
+    return [_pair_corr(cols[i], cols[j]).alias(f"{tag}p{i}_{j}") for i, j in _pairs(features)]
+
+
+def pairs_long(wide: DataFrame, features: list[str], tag: str = "", name: str = "corr") -> DataFrame:
+    """One-row frame of pair aggregates -> ``(feature_a, feature_b, i, j, <name>)``."""
+    entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
+                        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{tag}p{i}_{j}").alias(name))
+               for i, j in _pairs(features)]
+    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def corr_long(df: DataFrame, features: list[str], chunk: int = 100) -> DataFrame:
     """Pearson correlation of every pair ``i < j`` (feature order), pairwise complete."""
-    clean_df = df.select(*[clean(F.col(f"`{f}`").cast("double")).alias(f"c{i}") for i, f in enumerate(features)])
     pairs = _pairs(features)
     parts = []
     for start in range(0, len(pairs), chunk):
-        block = pairs[start:start + chunk]
-        wide = clean_df.agg(*[_pair_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in block])
+        block = set(pairs[start:start + chunk])
+        aggs = [a for a, ij in zip(pair_aggs(features), pairs) if ij in block]
+        wide = df.agg(*aggs)
         entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
-                            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("corr")) for i, j in block]
+                            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("corr"))
+                   for i, j in pairs[start:start + chunk]]
         parts.append(wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
     out = parts[0]
     for p in parts[1:]:
@@ -44,19 +59,24 @@ def corr_long(df: DataFrame, features: list[str], chunk: int = 100) -> DataFrame
     return out
 
 
+def diff_from_wide(both: DataFrame, features: list[str], real_tag: str = "r_", cand_tag: str = "c_") -> DataFrame:
+    """C6 from one row holding both sides' pair aggregates (no join)."""
+    entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
+                        F.lit(i).alias("i"), F.lit(j).alias("j"),
+                        F.col(f"{real_tag}p{i}_{j}").alias("real_corr"), F.col(f"{cand_tag}p{i}_{j}").alias("candidate_corr"))
+               for i, j in _pairs(features)]
+    d = both.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return d.withColumn("diff", F.col("real_corr") - F.col("candidate_corr"))
+
+
 def corr_difference(real: DataFrame, candidate: DataFrame, features: list[str]) -> DataFrame:
-    """``R_real - R_candidate`` per pair (a join of two long tables, pairs-sized)."""
-    a = corr_long(real, features).withColumnRenamed("corr", "real_corr")
-    b = corr_long(candidate, features).select("i", "j", F.col("corr").alias("candidate_corr"))
-    return a.join(b, ["i", "j"]).withColumn("diff", F.col("real_corr") - F.col("candidate_corr"))
+    """``R_real - R_candidate`` per pair: one aggregate per side, one row each, attached."""
+    from fidelis.operators.frames import attach
+    both = attach(real.agg(*pair_aggs(features, "r_")), candidate.agg(*pair_aggs(features, "c_")))
+    return diff_from_wide(both, features)
 
 
-def corr_frobenius(real: DataFrame, candidate: DataFrame, features: list[str],
-                   threshold: float = config.CORR_THRESHOLD) -> DataFrame:
-    """||R_real - R_cand||_F / sqrt(k) over the full symmetric matrix; any undefined
-    correlation makes the statistic NaN and the test fail."""
-    d = corr_difference(real, candidate, features)
-    k = len(features)
+def frobenius_from_diff(d: DataFrame, k: int, threshold: float = config.CORR_THRESHOLD) -> DataFrame:
     agg = d.agg(F.sum(F.pow("diff", 2)).alias("ss"), F.count_if(F.col("diff").isNull()).alias("n_undefined"))
     raw = F.when(F.col("n_undefined") > 0, F.lit(float("nan"))).otherwise(F.sqrt(F.lit(2.0) * F.coalesce(F.col("ss"), F.lit(0.0))))
     stat = raw / F.lit(math.sqrt(k))
@@ -66,11 +86,15 @@ def corr_frobenius(real: DataFrame, candidate: DataFrame, features: list[str],
                       raw.alias("raw_frobenius"), F.lit(k).alias("n_features"))
 
 
-def corr_top_pairs(real: DataFrame, candidate: DataFrame, features: list[str], top_n: int = config.CORR_TOP_N,
+def corr_frobenius(real: DataFrame, candidate: DataFrame, features: list[str],
                    threshold: float = config.CORR_THRESHOLD) -> DataFrame:
-    """The ``top_n`` pairs by |r| in the real table (ties by rounded |r| then position),
-    passed iff ||r_real| - |r_cand|| < threshold (the sign is ignored)."""
-    d = corr_difference(real, candidate, features).where(F.col("real_corr").isNotNull())
+    """||R_real - R_cand||_F / sqrt(k) over the full symmetric matrix; any undefined
+    correlation makes the statistic NaN and the test fail."""
+    return frobenius_from_diff(corr_difference(real, candidate, features), len(features), threshold)
+
+
+def top_pairs_from_diff(d: DataFrame, top_n: int = config.CORR_TOP_N, threshold: float = config.CORR_THRESHOLD) -> DataFrame:
+    d = d.where(F.col("real_corr").isNotNull())
     order = [F.desc(F.round(F.abs("real_corr"), 12)), F.asc("i"), F.asc("j")]
     first = d.orderBy(*order).limit(top_n)  # a top-n heap, not a sort of every pair
     top = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # <= top_n rows
@@ -83,6 +107,13 @@ def corr_top_pairs(real: DataFrame, candidate: DataFrame, features: list[str], t
                       "rank")
 
 
+def corr_top_pairs(real: DataFrame, candidate: DataFrame, features: list[str], top_n: int = config.CORR_TOP_N,
+                   threshold: float = config.CORR_THRESHOLD) -> DataFrame:
+    """The ``top_n`` pairs by |r| in the real table (ties by rounded |r| then position),
+    passed iff ||r_real| - |r_cand|| < threshold (the sign is ignored)."""
+    return top_pairs_from_diff(corr_difference(real, candidate, features), top_n, threshold)
+
+
 def corr_with_class(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """C4: correlation of each feature with the label, ranked ascending (``rank_asc``)."""
     cols = [f for f in features if f != label]

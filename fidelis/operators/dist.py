@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis import config
-from fidelis.functions.columns import ks_p_value, quality_band
+from fidelis.functions.columns import clean, ks_p_value, quality_band
 from fidelis.operators.frames import bucketed_running, long_form, quantile_columns
 
 TEST_COLUMNS = ["test_name", "feature", "passed", "statistic", "threshold", "p_value"]
@@ -101,25 +101,36 @@ def js_distance(real: DataFrame, candidate: DataFrame, features: list[str], bins
                      "statistic", F.lit(float(threshold)).alias("threshold"), F.lit(None).cast("double").alias("p_value"))
 
 
+def moment_aggs(features: list[str], tag: str) -> list:
+    """``{tag}m{i}`` mean and ``{tag}s{i}`` std (n-1) per feature, to share a scan."""
+    cols = [clean(F.col(f"`{f}`").cast("double")) for f in features]
+    return [F.avg(c).alias(f"{tag}m{i}") for i, c in enumerate(cols)] + \
+           [F.stddev_samp(c).alias(f"{tag}s{i}") for i, c in enumerate(cols)]
+
+
+def moment_tests_from_wide(both: DataFrame, features: list[str], threshold: float = config.MOMENT_THRESHOLD,
+                           real_tag: str = "r_", cand_tag: str = "c_") -> DataFrame:
+    entries = []
+    for i, f in enumerate(features):
+        rm, cm = F.col(f"{real_tag}m{i}"), F.col(f"{cand_tag}m{i}")
+        rs, cs = F.col(f"{real_tag}s{i}"), F.col(f"{cand_tag}s{i}")
+        entries.append(F.struct(F.lit("mean_comparison").alias("test_name"), F.lit(f).alias("feature"),
+                                (F.abs(rm - cm) / (F.abs(rm) + F.lit(1e-10))).alias("statistic")))
+        entries.append(F.struct(F.lit("std_comparison").alias("test_name"), F.lit(f).alias("feature"),
+                                (F.abs(rs - cs) / (rs + F.lit(1e-10))).alias("statistic")))
+    out = both.select(F.explode(F.array(*entries)).alias("t")).select("t.*")
+    return out.select("test_name", "feature", F.coalesce(F.col("statistic") < threshold, F.lit(False)).alias("passed"),
+                      "statistic", F.lit(float(threshold)).alias("threshold"), F.lit(None).cast("double").alias("p_value"))
+
+
 def moment_comparison(real: DataFrame, candidate: DataFrame, features: list[str],
                       threshold: float = config.MOMENT_THRESHOLD) -> DataFrame:
     """T6 + T7: relative mean difference |dm| / (|m_real| + 1e-10) and relative std difference
-    |ds| / (s_real + 1e-10) (std with n-1), passed iff strictly below ``threshold``."""
-    u = _sides_long(real, candidate, features)
-    s = u.groupBy("feature").agg(
-        F.avg(F.when(F.col("_side") == 0, F.col("value"))).alias("real_mean"),
-        F.avg(F.when(F.col("_side") == 1, F.col("value"))).alias("candidate_mean"),
-        F.stddev_samp(F.when(F.col("_side") == 0, F.col("value"))).alias("real_std"),
-        F.stddev_samp(F.when(F.col("_side") == 1, F.col("value"))).alias("candidate_std"))
-    md = F.abs(F.col("real_mean") - F.col("candidate_mean")) / (F.abs(F.col("real_mean")) + F.lit(1e-10))
-    sd = F.abs(F.col("real_std") - F.col("candidate_std")) / (F.col("real_std") + F.lit(1e-10))
-    rows = F.array(
-        F.struct(F.lit("mean_comparison").alias("test_name"), md.alias("statistic")),
-        F.struct(F.lit("std_comparison").alias("test_name"), sd.alias("statistic")))
-    out = s.select("feature", F.explode(rows).alias("t")).select(
-        "t.test_name", "feature", "t.statistic")
-    return out.select("test_name", "feature", F.coalesce(F.col("statistic") < threshold, F.lit(False)).alias("passed"),
-                      "statistic", F.lit(float(threshold)).alias("threshold"), F.lit(None).cast("double").alias("p_value"))
+    |ds| / (s_real + 1e-10) (std with n-1), passed iff strictly below ``threshold``.
+    One aggregate per side, one row each."""
+    from fidelis.operators.frames import attach
+    both = attach(real.agg(*moment_aggs(features, "r_")), candidate.agg(*moment_aggs(features, "c_")))
+    return moment_tests_from_wide(both, features, threshold)
 
 
 def ks_tests(ks: DataFrame) -> DataFrame:

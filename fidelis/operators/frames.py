@@ -22,6 +22,7 @@ from fidelis.functions.columns import clean
 DEFAULT_BUCKETS = 64
 MAX_BUCKETS = 100_000
 TARGET_BUCKET_BYTES = 32 * 1024 * 1024
+SINGLE_TASK_BYTES = 64 * 1024 * 1024   # inputs this small are cumulated by one plain window
 
 
 def auto_buckets(df: DataFrame, minimum: int = DEFAULT_BUCKETS, maximum: int = MAX_BUCKETS,
@@ -38,6 +39,8 @@ def auto_buckets(df: DataFrame, minimum: int = DEFAULT_BUCKETS, maximum: int = M
             size += int(it.next().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001 - no estimate: use the minimum
         return minimum
+    if size <= SINGLE_TASK_BYTES:
+        return 1
     return int(min(maximum, max(minimum, size // max(target_bytes, 1))))
 
 
@@ -92,6 +95,12 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
     """
     group_cols = list(group_cols)
     buckets = buckets or auto_buckets(df)
+    if buckets == 1:
+        # small input (checked size): one window per group, no split / offset stages
+        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy(
+            F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[F.col(f"`{c}`") for c in df.columns],
+                         *[F.sum(F.col(c)).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     accuracy = accuracy or max(10000, 20 * buckets)
     splits = _splits(df, group_cols, order_col, buckets, accuracy)
     if group_cols:

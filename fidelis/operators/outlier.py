@@ -10,21 +10,23 @@ from fidelis.functions.columns import clean
 from fidelis.operators.frames import attach, long_form, quantile_columns
 
 
-def zscore_outlier_rate(df: DataFrame, features: list[str], limit: float = config.ZSCORE_LIMIT,
-                        threshold: float = config.ZSCORE_RATE_THRESHOLD) -> DataFrame:
-    """O1: share of rows with |z| > ``limit`` (population std), passed iff strictly below
-    ``threshold``.  Like a NaN-propagating z-score, one missing value in a column makes
-    every z undefined, so its rate is 0.  Two passes: one aggregate, one counting scan."""
-    cols = {f: clean(F.col(f"`{f}`").cast("double")) for f in features}
-    stats = df.agg(F.count(F.lit(1)).alias("_n"),
-                   *[F.count(c).alias(f"_k{i}") for i, c in enumerate(cols.values())],
-                   *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols.values())],
-                   *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(cols.values())])
-    j = attach(df.select(*[c.alias(f"_v{i}") for i, c in enumerate(cols.values())]), stats)
-    cnt = j.agg(F.first("_n").alias("total_records"),
-                *[F.count_if((F.col(f"_k{i}") == F.col("_n"))
+def zscore_stat_aggs(features: list[str], tag: str = "") -> list:
+    """Row count and per feature ``count``, mean and POPULATION std (to share a scan)."""
+    cols = [clean(F.col(f"`{f}`").cast("double")) for f in features]
+    return [F.count(F.lit(1)).alias(f"{tag}_n")] + [F.count(c).alias(f"{tag}_k{i}") for i, c in enumerate(cols)] + \
+        [F.avg(c).alias(f"{tag}_m{i}") for i, c in enumerate(cols)] + [F.stddev_pop(c).alias(f"{tag}_s{i}") for i, c in enumerate(cols)]
+
+
+def zscore_from_stats(df: DataFrame, stats: DataFrame, features: list[str], tag: str = "",
+                      limit: float = config.ZSCORE_LIMIT, threshold: float = config.ZSCORE_RATE_THRESHOLD) -> DataFrame:
+    cols = [clean(F.col(f"`{f}`").cast("double")) for f in features]
+    st = stats.select(*[F.col(f"{tag}_n").alias("_n")] + [F.col(f"{tag}_{k}{i}").alias(f"_{k}{i}")
+                                                        for k in "kms" for i in range(len(features))])
+    j = attach(df.select(*[c.alias(f"_v{i}") for i, c in enumerate(cols)]), st)
+    cnt = j.agg(*[F.count_if((F.col(f"_k{i}") == F.col("_n"))
                              & (F.abs(F.try_divide(F.col(f"_v{i}") - F.col(f"_m{i}"), F.col(f"_s{i}"))) > limit)).alias(f"o{i}")
                   for i in range(len(features))])
+    cnt = attach(cnt, st.select(F.col("_n").alias("total_records")))
     entries = [F.struct(F.lit(f).alias("feature"), F.col(f"o{i}").alias("outlier_count")) for i, f in enumerate(features)]
     out = cnt.select("total_records", F.explode(F.array(*entries)).alias("e")).select("e.feature", "e.outlier_count", "total_records")
     rate = F.when(F.col("total_records") > 0, F.col("outlier_count") / F.col("total_records")).otherwise(F.lit(0.0))
@@ -33,6 +35,14 @@ def zscore_outlier_rate(df: DataFrame, features: list[str], limit: float = confi
                       F.lit(None).cast("double").alias("p_value"), "outlier_count", "total_records")
 
 
+def zscore_outlier_rate(df: DataFrame, features: list[str], limit: float = config.ZSCORE_LIMIT,
+                        threshold: float = config.ZSCORE_RATE_THRESHOLD) -> DataFrame:
+    """O1: share of rows with |z| > ``limit`` (population std), passed iff strictly below
+    ``threshold``.  Like a NaN-propagating z-score, one missing value in a column makes
+    every z undefined, so its rate is 0.  Two passes: one aggregate, one counting scan."""
+    return zscore_from_stats(df, df.agg(*zscore_stat_aggs(features)), features, "", limit, threshold)
+
+
 def zscore_extreme_counts(df: DataFrame, features: list[str], limit: float = config.ZSCORE_EXTREME,
                           k: int | None = 10) -> DataFrame:
     """O2: per feature number of |z| > ``limit`` with missing values omitted; top ``k``."""

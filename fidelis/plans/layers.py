@@ -81,10 +81,16 @@ def statistics_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, wit
     for side in (real, candidate):
         require_columns(side, spec.ks_features + spec.key_features + spec.corr_features + spec.z_features, "statistics")
     ks = D.ks_tests(D.ks_two_sample(real, candidate, spec.ks_features, details=False))
-    mom = D.moment_comparison(real, candidate, spec.key_features)
-    fro = C.corr_frobenius(real, candidate, spec.corr_features).select(*TEST_COLUMNS)
-    pairs = C.corr_top_pairs(real, candidate, spec.corr_features).select(*TEST_COLUMNS)
-    z = O.zscore_outlier_rate(candidate, spec.z_features).select(*TEST_COLUMNS)
+    # ONE aggregate pass per side feeds the moments, both correlation tests and the z-scores
+    rs = real.agg(*D.moment_aggs(spec.key_features, "r_"), *C.pair_aggs(spec.corr_features, "r_"))
+    cs = candidate.agg(*D.moment_aggs(spec.key_features, "c_"), *C.pair_aggs(spec.corr_features, "c_"),
+                       *O.zscore_stat_aggs(spec.z_features, "c_"))
+    both = attach(rs, cs)
+    mom = D.moment_tests_from_wide(both, spec.key_features)
+    diff = C.diff_from_wide(both, spec.corr_features)
+    fro = C.frobenius_from_diff(diff, len(spec.corr_features)).select(*TEST_COLUMNS)
+    pairs = C.top_pairs_from_diff(diff).select(*TEST_COLUMNS)
+    z = O.zscore_from_stats(candidate, cs, spec.z_features, "c_").select(*TEST_COLUMNS)
     parts = [ks, mom.select(*TEST_COLUMNS), fro, pairs, z]
     if with_forest and spec.forest_features:
         from fidelis.operators.forest import isolation_forest_test
