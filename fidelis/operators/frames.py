@@ -36,7 +36,8 @@ def auto_buckets(df: DataFrame, minimum: int = DEFAULT_BUCKETS, maximum: int = M
         size = 0
         it = leaves.iterator()
         while it.hasNext():
-            size += int(it.next().stats().sizeInBytes().toString())
+            v = it.next().stats().sizeInBytes()
+            size += int(v) if isinstance(v, int) else int(v.toString())
     except Exception:  # noqa: BLE001 - no estimate: use the minimum
         return minimum
     if size <= SINGLE_TASK_BYTES:
