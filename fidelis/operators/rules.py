@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,33 +84,67 @@ def default_rules(amount: str = "Amount", time: str = "Time", label: str = "Clas
     return rules
 
 
-def _resolve(df: DataFrame, rule: Rule) -> tuple[Column, Column, str]:
-    """Compile one rule against the schema at plan time.
+def _probe(df: DataFrame) -> DataFrame:
+    """An empty frame with ``df``'s schema: analysing rules against it costs no more than
+    the rule itself, whatever plan produced ``df``."""
+    return df.sparkSession.createDataFrame([], df.schema)
 
-    A rule that does not resolve (missing column, bad SQL) fails every row as
-    CRITICAL with ``Error: ...`` as the reported value; nothing is raised.
+
+def _compile(rule: Rule) -> tuple[Column, Column]:
+    cond = F.expr(rule.condition)
+    value = F.expr(rule.value) if rule.value else F.lit("N/A")
+    return ~F.coalesce(cond.cast("boolean"), F.lit(False)), value.cast("string")
+
+
+def _resolve_all(df: DataFrame, rules: list[Rule]) -> list[tuple[Rule, Column, Column, str]]:
+    """Compile the enabled rules against the schema at plan time.
+
+    All rules are analysed together in one pass; only when that fails is each rule
+    analysed alone.  A rule that does not resolve (missing column, bad SQL) fails every
+    row as CRITICAL with ``Error: ...`` as the reported value; nothing is raised.
     """
-    missing = [c for c in re.findall(r"`([^`]+)`", rule.condition + " " + (rule.value or "")) if c not in df.columns]
-    if missing:
-        return F.lit(True), F.lit(f"Error: column {missing[0]!r} not found"), "critical"
-    try:
-        cond = F.expr(rule.condition)
-        value = F.expr(rule.value) if rule.value else F.lit("N/A")
-        df.limit(0).select(cond.alias("c"), value.cast("string").alias("v")).schema  # analysis only
-        violated = ~F.coalesce(cond.cast("boolean"), F.lit(False))
-        return violated, value.cast("string"), rule.severity
-    except (AnalysisException, Exception) as exc:  # noqa: BLE001 - any unresolvable rule
-        msg = str(exc).strip().splitlines()[0][:200] if str(exc).strip() else type(exc).__name__
-        return F.lit(True), F.lit(f"Error: {msg}"), "critical"
+    enabled = [r for r in rules if r.enabled]
+    probe = _probe(df)
+    out: list = [None] * len(enabled)
+    pending = []
+    for i, r in enumerate(enabled):
+        missing = [c for c in re.findall(r"`([^`]+)`", r.condition + " " + (r.value or "")) if c not in df.columns]
+        if missing:
+            out[i] = (r, F.lit(True), F.lit(f"Error: column {missing[0]!r} not found"), "critical")
+        else:
+            pending.append(i)
+
+    def analyse(idx: list[int]) -> bool:
+        try:
+            cols = []
+            for i in idx:
+                v, val = _compile(enabled[i])
+                cols += [v.alias(f"v{i}"), val.alias(f"s{i}")]
+            probe.select(*cols).schema  # analysis only, on an empty local relation
+            return True
+        except Exception:  # noqa: BLE001
+            return False
+
+    if pending and analyse(pending):
+        for i in pending:
+            v, val = _compile(enabled[i])
+            out[i] = (enabled[i], v, val, enabled[i].severity)
+    else:
+        for i in pending:
+            try:
+                v, val = _compile(enabled[i])
+                probe.select(v.alias("v"), val.alias("s")).schema
+                out[i] = (enabled[i], v, val, enabled[i].severity)
+            except Exception as exc:  # noqa: BLE001 - any unresolvable rule
+                msg = str(exc).strip().splitlines()[0][:200] if str(exc).strip() else type(exc).__name__
+                out[i] = (enabled[i], F.lit(True), F.lit(f"Error: {msg}"), "critical")
+    return out
 
 
 def violations_column(df: DataFrame, rules: list[Rule]) -> Column:
     """``array<struct<rule_name, description, severity, actual_value>>`` of the rules a row breaks."""
     entries = []
-    for r in rules:
-        if not r.enabled:
-            continue
-        violated, value, severity = _resolve(df, r)
+    for r, violated, value, severity in _resolve_all(df, rules):
         entries.append(F.when(violated, F.struct(
             F.lit(r.name).alias("rule_name"), F.lit(r.description).alias("description"),
             F.lit(severity).alias("severity"), value.alias("actual_value"))))
@@ -140,10 +173,7 @@ def rule_failure_counts(df: DataFrame, rules: list[Rule], id_col: str = "row_id"
     with map-side partial counts (no explode, no per-row shuffle)."""
     clean = clean_frame(df)
     aggs, names = [], []
-    for i, r in enumerate(rules):
-        if not r.enabled:
-            continue
-        violated, _, severity = _resolve(clean, r)
+    for i, (r, violated, _, severity) in enumerate(_resolve_all(clean, rules)):
         aggs.append(F.count_if(violated).alias(f"c{i}"))
         names.append((i, r, severity))
     if not aggs:

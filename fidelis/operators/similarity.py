@@ -80,6 +80,15 @@ def _block_fn(k: int):
     return fn
 
 
+def _row_bound(df: DataFrame) -> int:
+    """Rows of ``df``: the plan's own bound when it has one (a limit, a local frame),
+    otherwise a count (one cheap pass; it only sizes the blocks)."""
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined():
+        return int(bound.get())
+    return df.count()
+
+
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
               k: int = 1, block_rows: int = 4096) -> DataFrame:
     """The ``k`` most cosine-similar reference rows of every candidate row.
@@ -88,8 +97,8 @@ def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id:
     (empty reference) gets one row with similarity 0.0 and a NULL reference id.
     Two cheap count actions size the blocks.
     """
-    n_ref = reference.count()
-    n_cand = candidate.count()
+    n_ref = _row_bound(reference)
+    n_cand = _row_bound(candidate)
     n_rb = max(1, math.ceil(n_ref / block_rows))
     n_cb = max(1, math.ceil(n_cand / block_rows))
     c = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))

@@ -48,6 +48,13 @@ def require_columns(df: DataFrame, cols: list[str], layer: str) -> None:
         raise ValueError(f"{layer} layer: missing column(s) {missing}")
 
 
+def _bounded(df: DataFrame, bound: int) -> DataFrame:
+    """Materialise a result that is at most ``bound`` rows by construction (a sample, a
+    top-n) as a small local frame, so later branches do not re-run the plan behind it."""
+    rows = df.limit(bound).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def _one_row(df: DataFrame) -> DataFrame:
     """Run a one-row aggregate once and return it as a small local frame (bounded size)."""
     row = df.first()
@@ -145,7 +152,10 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
                      threshold: float = config.SIMILARITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     idc = spec.roles.id
     feats = spec.sim_features
-    sampled = S.sample_rows(candidate, idc, spec.similarity_sample, seed) if spec.similarity_sample else candidate
+    if spec.similarity_sample:
+        sampled = _bounded(S.sample_rows(candidate, idc, spec.similarity_sample, seed), spec.similarity_sample)
+    else:
+        sampled = candidate
     ref_v = S.vectorize(S.standard_scale(real, real, feats), idc, feats)
     cand_v = S.vectorize(S.standard_scale(real, sampled, feats), idc, feats)
     flags = S.flag_rows(S.nn_cosine(cand_v, ref_v, idc, idc, "vec"), threshold)
@@ -156,7 +166,7 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
 
 def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, flagged: DataFrame | None) -> dict[str, DataFrame]:
     r = spec.roles
-    reviewed = V.review_candidates(candidate, r.id, flagged, spec.review_sample)
+    reviewed = _bounded(V.review_candidates(candidate, r.id, flagged, spec.review_sample), spec.review_sample)
     rv = attach(reviewed, V.review_context(real, r.label, r.amount, spec.review_key))
     anomalies = V.plausibility(rv, r.id, r.label, r.amount, spec.review_key, spec.review_amount_limit,
                                spec.review_key_high, spec.review_key_low, F.col("_med"), F.col("_mean"))

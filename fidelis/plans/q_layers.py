@@ -76,7 +76,7 @@ def _parts(spark, sf):
 
 _W = config.LAYER_WEIGHTS
 _VALID_SQL = "[" + ", ".join(f"'{c}'" for c in dict.fromkeys(config.CARD_COLUMNS + [
-    "row_id", "ship_seconds", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return"])) + "]"
+    "row_id", "ship_seconds", "ship_hours", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return"])) + "]"
 
 
 def _layer_scores_sql() -> str:
@@ -174,7 +174,8 @@ def q_retry_until_pass(spark, sf):
     def score_fn(c):
         return O.run_once(real, c, TX_SPEC, weights, valid_columns(spark, sf))["final"].first()["final_score"]
 
-    res = O.run_with_retries(score_fn, cand, gen)
+    from fidelis.session import cut_lineage
+    res = O.run_with_retries(score_fn, cand, gen, materialize=cut_lineage)
     return O.attempts_frame(spark, res)
 
 

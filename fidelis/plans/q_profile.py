@@ -9,17 +9,17 @@ from fidelis.operators import profile as P
 from fidelis.operators import schema as S
 from fidelis.plans.registry import register, rounded
 from fidelis.sources import io
-from fidelis.sources.tables import TX_ROLES, TX_SQL, candidate_side, real_side, table, transactions
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, candidate_side, real_side, table, transactions
 
 R = TX_ROLES
-STAT_FEATURES = [R.time, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
+STAT_FEATURES = [STAT_TIME, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
 
 # real side with every statistics column as DOUBLE, unpivoted (DuckDB drops NULLs in UNPIVOT)
-REAL_LONG = """real_d AS (SELECT row_id, is_return, CAST(ship_seconds AS DOUBLE) AS ship_seconds, l_quantity, l_extendedprice,
+REAL_LONG = """real_d AS (SELECT row_id, is_return, CAST(ship_hours AS DOUBLE) AS ship_hours, l_quantity, l_extendedprice,
       l_discount, l_tax, CAST(is_return AS DOUBLE) AS is_return_d FROM real),
-  real_long AS (UNPIVOT (SELECT row_id, is_return, ship_seconds, l_quantity, l_extendedprice, l_discount, l_tax,
+  real_long AS (UNPIVOT (SELECT row_id, is_return, ship_hours, l_quantity, l_extendedprice, l_discount, l_tax,
       is_return_d AS "is_return#" FROM real_d)
-    ON ship_seconds, l_quantity, l_extendedprice, l_discount, l_tax, "is_return#" INTO NAME feature VALUE value),
+    ON ship_hours, l_quantity, l_extendedprice, l_discount, l_tax, "is_return#" INTO NAME feature VALUE value),
   real_l AS (SELECT row_id, is_return, replace(feature, '#', '') AS feature, value FROM real_long)"""
 
 
@@ -30,7 +30,7 @@ def q_scan_table(spark, sf):
 
 
 @register("schema_match", """SELECT * FROM (VALUES
-  ('row_id', true, true, true), ('ship_seconds', true, true, true), ('l_quantity', true, true, true),
+  ('row_id', true, true, true), ('ship_seconds', true, true, true), ('ship_hours', true, true, true), ('l_quantity', true, true, true),
   ('l_extendedprice', true, true, true), ('l_discount', true, true, true), ('l_tax', true, true, true),
   ('is_return', true, true, true)) t("column", in_real, in_candidate, position_equal)""")
 def q_schema_match(spark, sf):
@@ -189,9 +189,9 @@ def q_class_median(spark, sf):
         ON l_quantity, l_extendedprice, l_discount, l_tax, log1p_amount INTO NAME feature VALUE value)
   SELECT is_return AS class, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(max(value), 6) AS max
   FROM l GROUP BY 1, 2
-  UNION ALL SELECT NULL, 'ship_seconds', round(avg(ship_seconds), 6), round(stddev_samp(ship_seconds), 6), round(max(ship_seconds), 6) FROM real""")
+  UNION ALL SELECT NULL, 'ship_hours', round(avg(ship_hours), 6), round(stddev_samp(ship_hours), 6), round(max(ship_hours), 6) FROM real""")
 def q_class_moments(spark, sf):
-    return rounded(P.class_moments(real_side(spark, sf), R.label, R.features, R.amount, R.time))
+    return rounded(P.class_moments(real_side(spark, sf), R.label, R.features, R.amount, STAT_TIME))
 
 
 @register("real_data_summary", f"""WITH {TX_SQL},

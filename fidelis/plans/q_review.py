@@ -192,7 +192,7 @@ def audited(spark, sf):
 
 
 _VALID_SQL = "[" + ", ".join(f"'{c}'" for c in dict.fromkeys(config.CARD_COLUMNS + [
-    "row_id", "ship_seconds", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return"])) + "]"
+    "row_id", "ship_seconds", "ship_hours", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return"])) + "]"
 _HEDGE_SQL = A.hedge_pattern().replace("'", "''")
 
 AUDIT_SQL = f"""WITH {TX_SQL}, {PLAUS_SQL}, {PARSED_SQL}, {AUDIT_CASES_SQL},
@@ -254,7 +254,7 @@ def q_audit_adjust(spark, sf):
 
 @register("unknown_columns", f"""WITH {TX_SQL}, {PLAUS_SQL}, {PARSED_SQL},
   m AS (SELECT DISTINCT a.feature AS "column" FROM (SELECT unnest(anomalies) AS a FROM parsed))
-  SELECT "column" FROM m WHERE "column" NOT IN ('row_id', 'ship_seconds', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'is_return')""")
+  SELECT "column" FROM m WHERE "column" NOT IN ('row_id', 'ship_seconds', 'ship_hours', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'is_return')""")
 def q_unknown_columns(spark, sf):
     p = V.parse_responses(responses_frame(spark, sf), "response_id")
     mentions = p.select(F.explode("anomalies").alias("a")).select(F.col("a.feature").alias("column")).distinct()

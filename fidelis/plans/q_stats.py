@@ -8,11 +8,11 @@ from fidelis.operators import corr as C
 from fidelis.operators import dist as D
 from fidelis.operators import outlier as O
 from fidelis.plans.registry import register, rounded
-from fidelis.sources.tables import TX_ROLES, TX_SQL, candidate_side, real_side
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, candidate_side, real_side
 
 R = TX_ROLES
-KS_FEATURES = [R.time, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
-KEY_FEATURES = [R.time, R.amount, "l_quantity"]
+KS_FEATURES = [STAT_TIME, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
+KEY_FEATURES = [STAT_TIME, R.amount, "l_quantity"]
 CORR_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 Z_FEATURES = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
@@ -178,7 +178,7 @@ def q_corr_top_pairs(spark, sf):
     return rounded(C.corr_top_pairs(real, cand, CORR_FEATURES).drop("real_correlation", "candidate_correlation"))
 
 
-_CWC = [R.time, "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_CWC = [STAT_TIME, "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @register("corr_with_class", f"""WITH {TX_SQL}, c AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, corr({f}, is_return) AS corr FROM real" for f in _CWC)})
