@@ -41,13 +41,23 @@ def review_context(real: DataFrame, label: str, amount: str, key: str, exact: bo
     return attach(med, pos.agg(F.avg(F.col(_q(key)).cast("double")).alias("_mean")))
 
 
-def review_candidates(df: DataFrame, id_col: str, flagged: DataFrame | None = None, n: int = config.REVIEW_SAMPLE,
-                      seed: int = config.REVIEW_SEED) -> DataFrame:
+def review_candidates(df: DataFrame, id_col: str, flagged: DataFrame | list[DataFrame] | None = None,
+                      n: int = config.REVIEW_SAMPLE, seed: int = config.REVIEW_SEED) -> DataFrame:
     """V1: the rows to review - the first ``n`` flagged ids (by id) when any are given,
-    otherwise ``n`` rows by the seeded hash order.  Flagged ids are joined back (semi)."""
+    otherwise ``n`` rows by the seeded hash order.  Flagged ids are joined back (semi).
+
+    ``flagged`` may be several id sources (e.g. rule failures and similarity flags): the
+    ``n`` smallest ids of each are taken first (a top-n heap per task, no shuffle of every
+    flagged id), then the union is deduplicated - exact, since the ``n`` smallest distinct
+    ids of a union are among the ``n`` smallest of its parts."""
     if flagged is None:
         return sample_rows(df, id_col, n, seed)
-    first = flagged.select(F.col(_q(id_col))).distinct().orderBy(_q(id_col)).limit(n)
+    sources = flagged if isinstance(flagged, list) else [flagged]
+    tops = [f.select(F.col(_q(id_col))).orderBy(_q(id_col)).limit(n) for f in sources]
+    first = tops[0]
+    for t in tops[1:]:
+        first = first.unionByName(t)
+    first = first.distinct().orderBy(_q(id_col)).limit(n)
     return df.join(F.broadcast(first), id_col, "left_semi")  # at most n ids
 
 

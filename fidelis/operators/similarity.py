@@ -90,15 +90,15 @@ def _row_bound(df: DataFrame) -> int:
 
 
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
-              k: int = 1, block_rows: int = 4096) -> DataFrame:
+              k: int = 1, block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
     """The ``k`` most cosine-similar reference rows of every candidate row.
 
     Output ``(<cand_id>, rank, ref_id, similarity)``; a candidate with no reference row
     (empty reference) gets one row with similarity 0.0 and a NULL reference id.
     Two cheap count actions size the blocks.
     """
-    n_ref = _row_bound(reference)
-    n_cand = _row_bound(candidate)
+    n_ref = _row_bound(reference) if n_ref is None else n_ref
+    n_cand = _row_bound(candidate) if n_cand is None else n_cand
     n_rb = max(1, math.ceil(n_ref / block_rows))
     n_cb = max(1, math.ceil(n_cand / block_rows))
     c = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
@@ -116,9 +116,9 @@ def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id:
 
 
 def nn_cosine(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
-              block_rows: int = 4096) -> DataFrame:
+              block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
     """Best cosine similarity of every candidate row to any reference row."""
-    out = nn_search(candidate, reference, cand_id, ref_id, vec_col, 1, block_rows)
+    out = nn_search(candidate, reference, cand_id, ref_id, vec_col, 1, block_rows, n_ref, n_cand)
     return out.drop("rank").withColumnRenamed("similarity", "max_similarity")
 
 

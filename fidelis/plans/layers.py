@@ -158,13 +158,15 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
         sampled = candidate
     ref_v = S.vectorize(S.standard_scale(real, real, feats), idc, feats)
     cand_v = S.vectorize(S.standard_scale(real, sampled, feats), idc, feats)
-    flags = S.flag_rows(S.nn_cosine(cand_v, ref_v, idc, idc, "vec"), threshold)
+    # the scaled reference has as many rows as the real side: count that (a plain scan)
+    flags = S.flag_rows(S.nn_cosine(cand_v, ref_v, idc, idc, "vec", n_ref=real.count()), threshold)
     return flags, S.anomaly_rate(flags)
 
 
 # ---- Q9: review layer ----------------------------------------------------------------
 
-def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, flagged: DataFrame | None) -> dict[str, DataFrame]:
+def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec,
+                 flagged: DataFrame | list[DataFrame] | None) -> dict[str, DataFrame]:
     r = spec.roles
     reviewed = _bounded(V.review_candidates(candidate, r.id, flagged, spec.review_sample), spec.review_sample)
     rv = attach(reviewed, V.review_context(real, r.label, r.amount, spec.review_key))
