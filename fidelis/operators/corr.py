@@ -97,7 +97,7 @@ def top_pairs_from_diff(d: DataFrame, top_n: int = config.CORR_TOP_N, threshold:
     d = d.where(F.col("real_corr").isNotNull())
     order = [F.desc(F.round(F.abs("real_corr"), 12)), F.asc("i"), F.asc("j")]
     first = d.orderBy(*order).limit(top_n)  # a top-n heap, not a sort of every pair
-    top = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # <= top_n rows
+    top = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))  # <= top_n rows
     diff = F.abs(F.abs("real_corr") - F.abs("candidate_corr"))
     return top.select(F.lit("pairwise_correlation").alias("test_name"),
                       F.concat("feature_a", F.lit("_vs_"), "feature_b").alias("feature"),
@@ -123,7 +123,7 @@ def corr_with_class(df: DataFrame, label: str, features: list[str]) -> DataFrame
     entries = [F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("corr")) for i, f in enumerate(cols)]
     out = agg.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     w = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("corr"), "feature")  # one row per feature
-    return out.withColumn("rank_asc", F.row_number().over(w))
+    return out.withColumn("rank_asc", F.row_number().over(w).cast("long"))
 
 
 def corr_pairs_baseline(df: DataFrame, features: list[str], places: int = 6) -> DataFrame:

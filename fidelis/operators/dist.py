@@ -69,7 +69,7 @@ def ks_by_class(df: DataFrame, label: str, features: list[str], notable: float =
                     F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*"))
                     .otherwise(F.lit("")).alias("significance"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("statistic"), "feature")  # one row per feature
-    out = out.withColumn("rank", F.row_number().over(w))
+    out = out.withColumn("rank", F.row_number().over(w).cast("long"))
     return out.where(F.col("rank") <= k) if k else out
 
 
@@ -160,7 +160,7 @@ def ks_extremes(ks: DataFrame, k: int = 5, stat: str = "statistic") -> DataFrame
     """K2: the ``k`` smallest (best) and ``k`` largest (worst) KS statistics."""
     w_best = Window.partitionBy(F.lit(0)).orderBy(F.asc(stat), "feature")   # per-feature table
     w_worst = Window.partitionBy(F.lit(0)).orderBy(F.desc(stat), "feature")
-    r = ks.select("feature", stat, F.row_number().over(w_best).alias("_b"), F.row_number().over(w_worst).alias("_w"))
+    r = ks.select("feature", stat, F.row_number().over(w_best).cast("long").alias("_b"), F.row_number().over(w_worst).cast("long").alias("_w"))
     best = r.where(F.col("_b") <= k).select(F.lit("best").alias("kind"), F.col("_b").alias("rank"), "feature", stat)
     worst = r.where(F.col("_w") <= k).select(F.lit("worst").alias("kind"), F.col("_w").alias("rank"), "feature", stat)
     return best.unionByName(worst)

@@ -152,7 +152,7 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
     pre = staged.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
     w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return pre.withColumn(rank_name, F.row_number().over(w2)).where(F.col(rank_name) <= k)
+    return pre.withColumn(rank_name, F.row_number().over(w2).cast("long")).where(F.col(rank_name) <= k)
 
 
 def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[str]]:

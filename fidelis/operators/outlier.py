@@ -51,7 +51,7 @@ def zscore_extreme_counts(df: DataFrame, features: list[str], limit: float = con
     j = lf.join(F.broadcast(st), "feature")  # one row per feature
     out = j.groupBy("feature").agg(F.count_if(F.abs(F.try_divide(F.col("value") - F.col("m"), F.col("s"))) > limit).alias("n_extreme"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n_extreme"), "feature")  # one row per feature
-    out = out.withColumn("rank", F.row_number().over(w))
+    out = out.withColumn("rank", F.row_number().over(w).cast("long"))
     return out.where(F.col("rank") <= k) if k else out
 
 

@@ -123,7 +123,7 @@ def class_mean_diff(df: DataFrame, label: str, features: list[str], k: int | Non
         F.avg(F.when(F.col(_q(label)) == 0, F.col("value"))).alias("mean_negative"))
     g = g.withColumn("abs_diff", F.abs(F.col("mean_positive") - F.col("mean_negative")))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("abs_diff"), "feature")  # one row per feature
-    g = g.withColumn("rank", F.row_number().over(w))
+    g = g.withColumn("rank", F.row_number().over(w).cast("long"))
     return g.where(F.col("rank") <= k) if k else g
 
 

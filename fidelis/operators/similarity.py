@@ -107,10 +107,10 @@ def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id:
     r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
     best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
     w = Window.partitionBy("cid").orderBy(F.desc("similarity"), "rid")  # <= k * n_rb rows per candidate
-    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     ids = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"))
     out = ids.join(top, "cid", "left").select(
-        F.col("cid").alias(cand_id), F.coalesce("rank", F.lit(1)).alias("rank"), F.col("rid").alias("ref_id"),
+        F.col("cid").alias(cand_id), F.coalesce("rank", F.lit(1).cast("long")).alias("rank"), F.col("rid").alias("ref_id"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     return out
 

@@ -243,7 +243,7 @@ def q_boxplot_stats(spark, sf):
 
 
 @register("ecdf", f"""WITH {TX_SQL}, c AS (SELECT l_quantity AS value, count(*) AS n_at FROM cand GROUP BY 1)
-  SELECT value, n_at, sum(n_at) OVER (ORDER BY value) AS cum_count,
+  SELECT value, n_at, CAST(sum(n_at) OVER (ORDER BY value) AS BIGINT) AS cum_count,
     round(sum(n_at) OVER (ORDER BY value) / sum(n_at) OVER (), 6) AS ecdf FROM c""")
 def q_ecdf(spark, sf):
     return rounded(P.ecdf(candidate_side(spark, sf), "l_quantity"))

@@ -52,7 +52,7 @@ def q_ks_two_sample(spark, sf):
 
 
 @register("ks_p_value", KS_SQL + """
-  SELECT feature, n_a AS n_real, n_b AS n_candidate, round(p_value, 6) AS p_value FROM ks JOIN pv USING (feature)""")
+  SELECT feature, CAST(n_a AS BIGINT) AS n_real, CAST(n_b AS BIGINT) AS n_candidate, round(p_value, 6) AS p_value FROM ks JOIN pv USING (feature)""")
 def q_ks_p_value(spark, sf):
     real, cand = _sides(spark, sf)
     return rounded(D.ks_two_sample(real, cand, KS_FEATURES, details=False).select("feature", "n_real", "n_candidate", "p_value"))
