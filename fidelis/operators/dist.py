@@ -30,9 +30,8 @@ def _ks_core(u: DataFrame, buckets: int) -> DataFrame:
     """``u``: (feature, value, _side in {0,1}) -> (feature, statistic, n_a, n_b)."""
     counts = u.groupBy("feature", "value").agg(F.count_if(F.col("_side") == 0).alias("na"),
                                                F.count_if(F.col("_side") == 1).alias("nb"))
-    run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], buckets=buckets)
-    totals = counts.groupBy("feature").agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"))
-    j = run.join(F.broadcast(totals), "feature")  # one row per feature
+    run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], buckets=buckets, totals=True)
+    j = run.withColumnRenamed("total_na", "n_a").withColumnRenamed("total_nb", "n_b")
     d = F.abs(F.col("cum_na") / F.col("n_a") - F.col("cum_nb") / F.col("n_b"))
     return j.groupBy("feature", "n_a", "n_b").agg(F.max(d).alias("statistic"))
 

@@ -88,14 +88,16 @@ def _splits(df: DataFrame, group_cols: list[str], order_col: str, buckets: int,
 
 
 def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                     buckets: int | None = None, accuracy: int | None = None, prefix: str = "cum_") -> DataFrame:
+                     buckets: int | None = None, accuracy: int | None = None, prefix: str = "cum_",
+                     totals: bool = False) -> DataFrame:
     """Add inclusive running sums of ``sum_cols`` per ``group_cols`` ordered by ``order_col``.
 
     ``order_col`` must be unique within a group (aggregate duplicates first).
     ``group_cols`` must have few distinct values (features, classes): the split
     and offset tables hold ``groups x buckets`` rows and are broadcast.  ``buckets``
     defaults to :func:`auto_buckets` (grows with the input, capped), so a bucket's
-    window stays near ``TARGET_BUCKET_BYTES`` at any scale.
+    window stays near ``TARGET_BUCKET_BYTES`` at any scale.  ``totals`` also adds the group
+    totals ``total_<col>`` (from the same small tables, no second pass over ``df``).
     """
     group_cols = list(group_cols)
     buckets = buckets or auto_buckets(df)
@@ -103,8 +105,10 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
         # small input (checked size): one window per group, no split / offset stages
         w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy(
             F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w_all = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
+        extra = [F.sum(F.col(c)).over(w_all).alias(f"total_{c}") for c in sum_cols] if totals else []
         return df.select(*[F.col(f"`{c}`") for c in df.columns],
-                         *[F.sum(F.col(c)).over(w).alias(f"{prefix}{c}") for c in sum_cols])
+                         *[F.sum(F.col(c)).over(w).alias(f"{prefix}{c}") for c in sum_cols], *extra)
     accuracy = accuracy or max(10000, 4 * buckets)  # splits only balance the work: +-25% per bucket is fine
     splits = _splits(df, group_cols, order_col, buckets, accuracy)
     if group_cols:
@@ -121,14 +125,18 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
     keys = group_cols + ["_bucket"]
     w_local = Window.partitionBy(*keys).orderBy(F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = tagged.select("*", *[F.sum(F.col(c)).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
-    totals = tagged.groupBy(*keys).agg(*[F.sum(F.col(c)).alias(f"_tot_{c}") for c in sum_cols])
+    bucket_totals = tagged.groupBy(*keys).agg(*[F.sum(F.col(c)).alias(f"_tot_{c}") for c in sum_cols])
     w_prefix = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_tot_{c}").over(w_prefix), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
+    w_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    offsets = bucket_totals.select(
+        *keys, *[F.coalesce(F.sum(f"_tot_{c}").over(w_prefix), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        *[F.sum(f"_tot_{c}").over(w_group).alias(f"total_{c}") for c in sum_cols])  # groups x buckets rows
     out = local.join(F.broadcast(offsets), keys, "inner")
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
+        *([F.col(f"total_{c}") for c in sum_cols] if totals else []),
     )
 
 

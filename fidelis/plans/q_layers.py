@@ -302,3 +302,11 @@ def q_load_baseline(spark, sf):
     io.sink_report(QUERIES_LOCAL["baseline_profile"](spark, sf).select("n_rows", "positive_rate"), path)
     assert io.load_baseline(spark, path + "-missing") is None
     return rounded(io.load_baseline(spark, path).select(F.col("n_rows").cast("long").alias("n_rows"), "positive_rate"))
+
+
+@register("validate_statistics_with_forest")
+def q_validate_statistics_with_forest(spark, sf):
+    """Q8 with the isolation-forest test appended, as in the original layer (no oracle: the
+    forest is randomised; the other tests are checked by ``validate_statistics``)."""
+    real, cand = _sides(spark, sf)
+    return rounded(L.statistics_layer(real, cand, TX_SPEC, with_forest=True))

@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-NO_ORACLE = {"isolation_forest", "retry_until_pass", "fallback_scores", "layer1_report", "layer2_report",
+NO_ORACLE = {"isolation_forest", "validate_statistics_with_forest", "retry_until_pass", "fallback_scores", "layer1_report", "layer2_report",
              "quality_report", "baseline_profile"}
 
 
