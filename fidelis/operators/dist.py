@@ -32,7 +32,8 @@ def _ks_core(u: DataFrame, buckets: int) -> DataFrame:
                                                F.count_if(F.col("_side") == 1).alias("nb"))
     run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], buckets=buckets, totals=True)
     j = run.withColumnRenamed("total_na", "n_a").withColumnRenamed("total_nb", "n_b")
-    d = F.abs(F.col("cum_na") / F.col("n_a") - F.col("cum_nb") / F.col("n_b"))
+    # an empty side has no distribution: the statistic is NULL, not an ANSI division error
+    d = F.abs(F.try_divide(F.col("cum_na"), F.col("n_a")) - F.try_divide(F.col("cum_nb"), F.col("n_b")))
     return j.groupBy("feature", "n_a", "n_b").agg(F.max(d).alias("statistic"))
 
 
@@ -89,8 +90,8 @@ def js_distance(real: DataFrame, candidate: DataFrame, features: list[str], bins
     grid = rng.select("feature", "w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     g = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["ca", "cb"])
     wf = Window.partitionBy("feature")  # bins per feature: bounded by ``bins``
-    da = F.col("ca") / (F.sum("ca").over(wf) * F.col("w")) + eps
-    db = F.col("cb") / (F.sum("cb").over(wf) * F.col("w")) + eps
+    da = F.coalesce(F.try_divide(F.col("ca"), F.sum("ca").over(wf) * F.col("w")), F.lit(0.0)) + eps
+    db = F.coalesce(F.try_divide(F.col("cb"), F.sum("cb").over(wf) * F.col("w")), F.lit(0.0)) + eps
     g = g.select("feature", "bin", da.alias("da"), db.alias("db"))
     g = g.select("feature", (F.col("da") / F.sum("da").over(wf)).alias("p"), (F.col("db") / F.sum("db").over(wf)).alias("q"))
     m = (F.col("p") + F.col("q")) / 2
