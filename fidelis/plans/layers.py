@@ -166,11 +166,17 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
 # ---- Q9: review layer ----------------------------------------------------------------
 
 def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec,
-                 flagged: DataFrame | list[DataFrame] | None) -> dict[str, DataFrame]:
+                 flagged: DataFrame | list[DataFrame] | None, context: str | None = None) -> dict[str, DataFrame]:
+    """Q9: review the first flagged rows (or a seeded sample); ``context`` (the similarity
+    escalation text) is appended to the review batch text, which the original stored and
+    never sent."""
     r = spec.roles
     reviewed = _bounded(V.review_candidates(candidate, r.id, flagged, spec.review_sample), spec.review_sample)
     rv = attach(reviewed, V.review_context(real, r.label, r.amount, spec.review_key))
     anomalies = V.plausibility(rv, r.id, r.label, r.amount, spec.review_key, spec.review_amount_limit,
                                spec.review_key_high, spec.review_key_low, F.col("_med"), F.col("_mean"))
     result = V.review_result(reviewed, anomalies)
-    return {"reviewed": reviewed, "anomalies": anomalies, "result": result}
+    feats = spec.review_features or [spec.review_key]
+    text = V.batch_text(V.record_text(reviewed, r.id, r.label, r.amount, feats), r.id,
+                        F.lit(context) if context else None)
+    return {"reviewed": reviewed, "anomalies": anomalies, "result": result, "batch_text": text}

@@ -259,3 +259,17 @@ def q_unknown_columns(spark, sf):
     p = V.parse_responses(responses_frame(spark, sf), "response_id")
     mentions = p.select(F.explode("anomalies").alias("a")).select(F.col("a.feature").alias("column")).distinct()
     return G.unknown_columns(mentions, candidate_side(spark, sf).columns)
+
+
+@register("review_batch_text", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
+  ids AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM f) ORDER BY row_id LIMIT 10),
+  lines AS (SELECT c.row_id, printf('Row %d: Class=%d, Amount=%.2f, l_quantity=%.3f, l_discount=%.3f, l_tax=%.3f',
+    c.row_id, is_return, l_extendedprice, coalesce(l_quantity, 0.0), coalesce(l_discount, 0.0), coalesce(l_tax, 0.0)) AS line
+    FROM cand c JOIN ids USING (row_id))
+  SELECT string_agg(line, chr(10) ORDER BY row_id) AS text FROM lines""")
+def q_review_batch_text(spark, sf):
+    """V3: the text of the review batch (the first 10 flagged rows, id order)."""
+    from fidelis.operators import rules as RL
+    real, cand = real_side(spark, sf), candidate_side(spark, sf)
+    flagged = RL.evaluate_rules(cand, tx_rules()).where(~F.col("is_valid")).select("row_id")
+    return review_layer(real, cand, TX_SPEC, flagged)["batch_text"]
