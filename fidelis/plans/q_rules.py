@@ -258,3 +258,22 @@ def q_stream_rule_failures(spark, sf):
 def q_failure_samples(spark, sf):
     """W3 under its inventory name (same plan as ``rule_failure_samples``)."""
     return R.rule_failure_samples(_cand(spark, sf), tx_rules(), k=5).select("rule_name", "row_id", "sample_rank")
+
+
+@register("stream_windowed_failures", f"""WITH {_EV_SQL}, evts AS (SELECT e.event_id AS row_id, e.ts, ev."Time", ev.Amount FROM events e JOIN ev ON e.event_id = ev.row_id),
+  f AS (SELECT ts, 'time_non_negative' AS rule_name FROM evts WHERE NOT coalesce("Time" >= 0, false)
+        UNION ALL SELECT ts, 'time_in_range' FROM evts WHERE NOT coalesce("Time" <= 172792, false))
+  SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, rule_name, count(*) AS failures FROM f GROUP BY 1, 2""")
+def q_stream_windowed_failures(spark, sf):
+    """Failures per rule per event-time day on the ``events`` file stream: watermarked
+    windowed aggregation (complete output at the end of the finite stream)."""
+    from fidelis.streaming import rules_stream as RS
+    schema = table(spark, sf, "events").schema
+    stream = RS.parquet_stream(spark, sf, "events.parquet", schema)
+    tx = stream.select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"),
+                       F.expr(f"CAST(timestampdiff(SECOND, TIMESTAMP_NTZ'{EVENTS_ORIGIN}', ts) AS DOUBLE)").alias("Time"),
+                       F.col("value").alias("Amount"))
+    rules = [r for r in R.default_rules(features=[]) if r.name in ("time_non_negative", "time_in_range")]
+    counts = RS.windowed_failure_counts(tx, rules, "row_id", "ts", window="1 day", watermark="1 hour")
+    out = RS.run_to_table(spark, counts, mode="complete")
+    return out.select(F.unix_timestamp(F.col("window.start")).alias("window_start"), "rule_name", "failures")
