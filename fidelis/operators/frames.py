@@ -174,31 +174,29 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     """Exact linear-interpolation quantiles (pandas / numpy default) per group.
 
     Unlike ``percentile`` (whose buffer holds every distinct value of a group in
-    one task) the values are counted per ``(group, value)``, cumulated with
-    :func:`bucketed_running`, and the two order statistics around
-    ``h = (n-1) p`` are picked by a broadcast join against the tiny
-    ``groups x probs`` target table.  Output: ``(group..., p, q)``.
+    one task) the values are counted per ``(group, value)`` and cumulated with
+    :func:`bucketed_running`, which also carries the group total ``n``.  Each running
+    row then knows whether it holds the order statistics around ``h = (n-1) p``
+    (ranks ``floor(h)+1`` and ``ceil(h)+1``), so one grouped aggregate of conditional
+    maxima picks them - no second pass, no join.  Output: ``(group..., p, q)``.
     """
     df, gcols = _with_group(long_df.where(F.col(value_col).isNotNull()), list(group_cols))
     counts = df.groupBy(*gcols, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    run = bucketed_running(counts, gcols, value_col, ["_n"], buckets=buckets)
-    totals = counts.groupBy(*gcols).agg(F.sum("_n").alias("_total"))
-    targets = (totals.select(*gcols, "_total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .withColumn("_h", (F.col("_total") - 1) * F.col("p"))
-               .withColumn("_lo", F.floor("_h") + 1)
-               .withColumn("_hi", F.least(F.ceil("_h") + 1, F.col("_total")))
-               .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    r = run.alias("r")
-    t = F.broadcast(targets).alias("t")
-    lo_hit = (F.col("r.cum__n") - F.col("r._n") < F.col("t._lo")) & (F.col("t._lo") <= F.col("r.cum__n"))
-    hi_hit = (F.col("r.cum__n") - F.col("r._n") < F.col("t._hi")) & (F.col("t._hi") <= F.col("r.cum__n"))
-    cond = [F.col(f"r.{g}") == F.col(f"t.{g}") for g in gcols]
-    joined = r.join(t, _and_all(cond) & (lo_hit | hi_hit), "inner")
-    picked = joined.groupBy(*[F.col(f"t.{g}").alias(g) for g in gcols], F.col("t.p").alias("p")).agg(
-        F.max(F.when(lo_hit, F.col(f"r.{value_col}"))).alias("_vlo"),
-        F.max(F.when(hi_hit, F.col(f"r.{value_col}"))).alias("_vhi"),
-        F.first(F.col("t._frac")).alias("_frac"))
-    out = picked.select(*gcols, "p", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
+    run = bucketed_running(counts, gcols, value_col, ["_n"], buckets=buckets, totals=True)
+    first = F.col("cum__n") - F.col("_n")  # ranks (first, cum] live in this row
+    aggs = []
+    for k, p in enumerate(probs):
+        h = (F.col("total__n") - 1) * F.lit(float(p))
+        lo = F.floor(h) + 1
+        hi = F.least(F.ceil(h) + 1, F.col("total__n"))
+        aggs += [F.max(F.when((first < lo) & (lo <= F.col("cum__n")), F.col(value_col))).alias(f"_lo{k}"),
+                 F.max(F.when((first < hi) & (hi <= F.col("cum__n")), F.col(value_col))).alias(f"_hi{k}"),
+                 F.max(h - F.floor(h)).alias(f"_fr{k}")]
+    picked = run.groupBy(*gcols).agg(*aggs)
+    rows = [F.struct(F.lit(float(p)).alias("p"),
+                     (F.col(f"_lo{k}") + F.col(f"_fr{k}") * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))).alias("q"))
+            for k, p in enumerate(probs)]
+    out = picked.select(*gcols, F.explode(F.array(*rows)).alias("_r")).select(*gcols, "_r.p", "_r.q")
     return out.drop("_g") if not group_cols else out
 
 
