@@ -89,24 +89,72 @@ def _row_bound(df: DataFrame) -> int:
     return df.count()
 
 
+def _normalise(m: np.ndarray) -> np.ndarray:
+    m = np.nan_to_num(m)
+    n = np.linalg.norm(m, axis=1)
+    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
+
+
+def _probe_fn(cids: np.ndarray, cmat: np.ndarray, k: int):
+    """Scan one reference partition against the (small, broadcast) candidate matrix and
+    keep the best ``k`` reference rows per candidate seen in this partition."""
+    def fn(batches):
+        best_sim = np.full((len(cids), 0), -np.inf)
+        best_rid = np.zeros((len(cids), 0), dtype=np.int64)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            r = _normalise(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]))
+            sims = cmat @ r.T
+            rid = np.broadcast_to(pdf["rid"].to_numpy(), sims.shape)
+            allsim = np.concatenate([best_sim, sims], axis=1)
+            allrid = np.concatenate([best_rid, rid], axis=1)
+            order = np.lexsort((allrid, -allsim), axis=1)[:, :k]
+            best_sim = np.take_along_axis(allsim, order, axis=1)
+            best_rid = np.take_along_axis(allrid, order, axis=1)
+        kk = best_sim.shape[1]
+        if kk == 0:
+            return
+        yield pd.DataFrame({"cid": np.repeat(cids, kk), "rid": best_rid.reshape(-1), "similarity": best_sim.reshape(-1)})
+    return fn
+
+
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
               k: int = 1, block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
     """The ``k`` most cosine-similar reference rows of every candidate row.
 
     Output ``(<cand_id>, rank, ref_id, similarity)``; a candidate with no reference row
     (empty reference) gets one row with similarity 0.0 and a NULL reference id.
-    Two cheap count actions size the blocks.
+
+    * candidate of at most ``block_rows`` rows (the layer's sample): its vectors (a checked,
+      bounded matrix) are shipped to every reference partition; the reference is scanned
+      once, never shuffled, and each partition returns ``k`` rows per candidate;
+    * otherwise the blocked equi-cogroup: every candidate block meets every reference block.
+      This is exact all-pairs work, quadratic by nature; sample the candidate side (as the
+      layer does) when both sides are large.
     """
-    n_ref = _row_bound(reference) if n_ref is None else n_ref
     n_cand = _row_bound(candidate) if n_cand is None else n_cand
-    n_rb = max(1, math.ceil(n_ref / block_rows))
-    n_cb = max(1, math.ceil(n_cand / block_rows))
     c = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     r = reference.select(F.col(f"`{ref_id}`").cast("long").alias("rid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
-    c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_cb))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rb - 1).cast("long"))))
-    r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
-    best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
-    w = Window.partitionBy("cid").orderBy(F.desc("similarity"), "rid")  # <= k * n_rb rows per candidate
+    if n_cand <= block_rows:
+        rows = c.limit(block_rows).collect()  # bounded by block_rows vectors (checked above)
+        cids = np.array([row["cid"] for row in rows], dtype=np.int64)
+        cmat = _normalise(np.vstack([np.asarray(row["v"], dtype=np.float64) for row in rows])) if rows else np.zeros((0, 0))
+        if len(rows):
+            best = r.mapInPandas(_probe_fn(cids, cmat, k), NN_SCHEMA)
+        else:
+            best = r.sparkSession.createDataFrame([], NN_SCHEMA)
+    else:
+        n_ref = _row_bound(reference) if n_ref is None else n_ref
+        n_rb = max(1, math.ceil(n_ref / block_rows))
+        n_cb = max(1, math.ceil(n_cand / block_rows))
+        c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_cb))).withColumn(
+            "rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rb - 1).cast("long"))))
+        r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn(
+            "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
+        best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
+    # <= k rows per candidate and per reference partition (or block)
+    w = Window.partitionBy("cid").orderBy(F.desc("similarity"), "rid")
     top = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     ids = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"))
     out = ids.join(top, "cid", "left").select(
