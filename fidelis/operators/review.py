@@ -53,12 +53,18 @@ def review_candidates(df: DataFrame, id_col: str, flagged: DataFrame | list[Data
     if flagged is None:
         return sample_rows(df, id_col, n, seed)
     sources = flagged if isinstance(flagged, list) else [flagged]
-    tops = [f.select(F.col(_q(id_col))).orderBy(_q(id_col)).limit(n) for f in sources]
+    cols = [F.col(_q(c)) for c in df.columns]
+    tops = []
+    for f in sources:
+        if set(df.columns) <= set(f.columns):  # already candidate rows: no join back needed
+            tops.append(f.select(*cols).orderBy(_q(id_col)).limit(n))
+        else:
+            ids = f.select(F.col(_q(id_col))).orderBy(_q(id_col)).limit(n)
+            tops.append(df.join(F.broadcast(ids), id_col, "left_semi").select(*cols))  # at most n ids
     first = tops[0]
     for t in tops[1:]:
         first = first.unionByName(t)
-    first = first.distinct().orderBy(_q(id_col)).limit(n)
-    return df.join(F.broadcast(first), id_col, "left_semi")  # at most n ids
+    return first.dropDuplicates([id_col]).orderBy(_q(id_col)).limit(n)
 
 
 def plausibility(df: DataFrame, id_col: str, label: str, amount: str, key: str,
@@ -72,7 +78,8 @@ def plausibility(df: DataFrame, id_col: str, label: str, amount: str, key: str,
     The quoted real statistics may be columns (e.g. attached real-side aggregates).
     """
     pos = F.col(_q(label)).cast("int") == 1
-    a, k = F.col(_q(amount)), F.coalesce(F.col(_q(key)), F.lit(0.0))
+    from fidelis.functions.columns import clean
+    a, k = clean(F.col(_q(amount))), F.coalesce(clean(F.col(_q(key))), F.lit(0.0))  # NaN compares like a missing value
     med = positive_amount_median if isinstance(positive_amount_median, Column) else F.lit(float(positive_amount_median))
     mean = positive_key_mean if isinstance(positive_key_mean, Column) else F.lit(float(positive_key_mean))
     anomaly = (

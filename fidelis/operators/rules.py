@@ -161,6 +161,21 @@ def evaluate_rules(df: DataFrame, rules: list[Rule], id_col: str = "row_id") ->
         "is_valid", F.size("violations") == 0)
 
 
+def any_violation(df: DataFrame, rules: list[Rule]) -> Column:
+    """TRUE when a row breaks at least one rule: a short-circuit OR of the compiled
+    conditions, cheaper than building the violation array when only validity is needed."""
+    out = None
+    for _, violated, _, _ in _resolve_all(df, rules):
+        out = violated if out is None else (out | violated)
+    return out if out is not None else F.lit(False)
+
+
+def invalid_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows (all columns, NaN cleaned) that break at least one rule."""
+    clean = clean_frame(df)
+    return clean.where(any_violation(clean, rules))
+
+
 def rule_failures(df: DataFrame, rules: list[Rule], id_col: str = "row_id") -> DataFrame:
     """Long failure table: one row per (row, broken rule)."""
     ev = evaluate_rules(df, rules, id_col)

@@ -64,15 +64,17 @@ def _one_row(df: DataFrame) -> DataFrame:
 # ---- Q7: rule layer ------------------------------------------------------------------
 
 def rule_layer(candidate: DataFrame, spec: LayerSpec) -> dict[str, DataFrame]:
-    ev = R.evaluate_rules(candidate, spec.rules, spec.roles.id)
-    summary = ev.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_valid").alias("valid")).select(
+    clean = R.clean_frame(candidate)
+    bad = R.any_violation(clean, spec.rules)
+    summary = clean.agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("valid")).select(
         "valid", (F.col("total") - F.col("valid")).alias("invalid"), "total",
         F.when(F.col("total") > 0, F.col("valid") * 100.0 / F.col("total")).otherwise(F.lit(0.0)).alias("pass_rate"),
         ((F.col("total") - F.col("valid")) == 0).alias("passed"))
     return {
         "summary": summary,
         "counts": R.rule_failure_counts(candidate, spec.rules, spec.roles.id),
-        "invalid_ids": ev.where(~F.col("is_valid")).select(spec.roles.id),
+        "invalid_ids": clean.where(bad).select(spec.roles.id),
+        "invalid_rows": R.invalid_rows(candidate, spec.rules),
     }
 
 
