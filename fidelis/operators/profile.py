@@ -38,12 +38,25 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """A2: rows minus distinct rows (over ``cols`` or all columns); map-side partial counts."""
+    """A2: rows minus distinct rows (over ``cols`` or all columns).
+
+    Rows are first grouped by a 256-bit digest of their values, so only digests are
+    shuffled; the full values are shuffled and compared only for rows whose digest occurs
+    more than once.  The count stays exact (digest collisions are re-checked on values),
+    and long text columns are not moved unless they may be duplicates."""
     cols = cols or df.columns
-    g = df.groupBy(*[F.col(_q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"),
-                 F.count(F.lit(1)).alias("distinct_rows"),
-                 F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"))
+    vals = df.select(*[F.col(_q(c)) for c in cols])
+    digest = F.sha2(F.to_json(F.struct(*[F.col(_q(c)) for c in cols])), 256)
+    tagged = vals.withColumn("_d", digest)
+    per_digest = tagged.groupBy("_d").agg(F.count(F.lit(1)).alias("_n"))
+    single = per_digest.where(F.col("_n") == 1).agg(F.count(F.lit(1)).alias("_single"))
+    repeated = tagged.join(per_digest.where(F.col("_n") > 1).select("_d"), "_d", "left_semi")
+    exact = repeated.groupBy(*[F.col(_q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("_m")).agg(
+        F.coalesce(F.sum(F.col("_m") - 1), F.lit(0)).cast("long").alias("duplicates"),
+        F.count(F.lit(1)).alias("_groups"), F.coalesce(F.sum("_m"), F.lit(0)).cast("long").alias("_rows"))
+    total = vals.agg(F.count(F.lit(1)).alias("total_rows"))
+    out = attach(attach(exact, single), total)
+    return out.select("duplicates", (F.col("_groups") + F.col("_single")).alias("distinct_rows"), "total_rows")
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:

@@ -89,3 +89,9 @@ def test_exact_quantiles_property(spark, values, buckets):
     got = {r.p: r.q for r in exact_quantiles(df, [], "value", probs, buckets=buckets).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.percentile(np.array(values, dtype=float), p * 100), abs=1e-9)
+
+
+def test_duplicate_rows_exact_with_nulls(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "b"), (None, None)], "x int, t string")
+    assert tuple(P.duplicate_rows(df).collect()[0]) == (2, 4, 6)
+    assert tuple(P.duplicate_rows(df, ["t"]).collect()[0]) == (3, 3, 6)
