@@ -26,12 +26,18 @@ from fidelis.operators.frames import attach
 NN_SCHEMA = "cid long, rid long, similarity double"
 
 
-def standard_scale(reference: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:
+def scale_stats(reference: DataFrame, features: list[str]) -> DataFrame:
+    """One row: mean ``_m{i}`` and population std ``_s{i}`` per feature, and the row count ``_rows``."""
+    return reference.agg(*[F.avg(clean(F.col(f"`{f}`"))).alias(f"_m{i}") for i, f in enumerate(features)],
+                         *[F.stddev_pop(clean(F.col(f"`{f}`"))).alias(f"_s{i}") for i, f in enumerate(features)],
+                         F.count(F.lit(1)).alias("_rows"))
+
+
+def standard_scale(reference: DataFrame, df: DataFrame, features: list[str], stats: DataFrame | None = None) -> DataFrame:
     """(x - mean_ref) / std_ref with the POPULATION std of the reference; a zero std
-    divides by 1.  The one-row statistics are attached by broadcast."""
-    stats = reference.agg(*[F.avg(clean(F.col(f"`{f}`"))).alias(f"_m{i}") for i, f in enumerate(features)],
-                          *[F.stddev_pop(clean(F.col(f"`{f}`"))).alias(f"_s{i}") for i, f in enumerate(features)])
-    j = attach(df, stats)
+    divides by 1.  The one-row statistics (``scale_stats``, reusable) are attached by broadcast."""
+    stats = stats if stats is not None else scale_stats(reference, features)
+    j = attach(df, stats.drop("_rows"))
     scaled = []
     for i, f in enumerate(features):
         s = F.col(f"_s{i}")

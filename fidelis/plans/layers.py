@@ -158,10 +158,10 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
         sampled = _bounded(S.sample_rows(candidate, idc, spec.similarity_sample, seed), spec.similarity_sample)
     else:
         sampled = candidate
-    ref_v = S.vectorize(S.standard_scale(real, real, feats), idc, feats)
-    cand_v = S.vectorize(S.standard_scale(real, sampled, feats), idc, feats)
-    # the scaled reference has as many rows as the real side: count that (a plain scan)
-    flags = S.flag_rows(S.nn_cosine(cand_v, ref_v, idc, idc, "vec", n_ref=real.count()), threshold)
+    stats = _one_row(S.scale_stats(real, feats))  # one pass: means, stds and the row count
+    ref_v = S.vectorize(S.standard_scale(real, real, feats, stats), idc, feats)
+    cand_v = S.vectorize(S.standard_scale(real, sampled, feats, stats), idc, feats)
+    flags = S.flag_rows(S.nn_cosine(cand_v, ref_v, idc, idc, "vec", n_ref=int(stats.first()["_rows"])), threshold)
     return flags, S.anomaly_rate(flags)
 
 
