@@ -110,3 +110,29 @@ def test_moment_comparison(spark, samples):
     out = {r.test_name: r.statistic for r in D.moment_comparison(ra, rb, ["x"]).collect()}
     assert out["mean_comparison"] == pytest.approx(abs(a.mean() - b.mean()) / (abs(a.mean()) + 1e-10))
     assert out["std_comparison"] == pytest.approx(abs(a.std(ddof=1) - b.std(ddof=1)) / (a.std(ddof=1) + 1e-10))
+
+
+def test_binary_search_bucket_path_is_exact(spark, samples):
+    """More than 128 buckets switches the bucket lookup to the binary search used at scale."""
+    a, b, ra, rb = samples
+    got = D.ks_two_sample(ra, rb, ["x"], buckets=300).collect()[0]
+    assert got.statistic == pytest.approx(ks_np(a, b), abs=1e-12)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=2000), 3)
+    df = spark.createDataFrame([(float(x),) for x in v], "value double")
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got_q = {r.p: r.q for r in exact_quantiles(df, [], "value", probs, buckets=257).collect()}
+    for p in probs:
+        assert got_q[p] == pytest.approx(np.percentile(v, p * 100), abs=1e-9)
+    idx = sorted(r.idx for r in dense_index(spark.range(3000), "id", [], buckets=200).collect())
+    assert idx == list(range(3000))
+
+
+def test_bucket_of_matches_linear_count(spark):
+    from fidelis.operators.frames import bucket_of
+    splits = [float(x) for x in sorted(np.random.default_rng(2).normal(size=150))]
+    vals = [float(x) for x in np.random.default_rng(3).normal(size=300)] + splits[:5]
+    df = spark.createDataFrame([(splits, v) for v in vals], "s array<double>, v double")
+    got = [r.b for r in df.select(bucket_of(F.col("s"), F.col("v"), len(splits)).alias("b")).collect()]
+    want = [sum(1 for s in splits if s < v) for v in vals]
+    assert got == want
