@@ -85,23 +85,20 @@ def plausibility(df: DataFrame, id_col: str, label: str, amount: str, key: str,
     anomaly = (
         F.when(pos & (a > amount_limit), F.struct(
             F.col(_q(id_col)).cast("long").alias("row_index"), F.lit(amount).alias("feature"),
-            F.format_string(f"Fraud transaction with {amount}=$%.2f is unusually high; real fraud median is $%.2f. "
-                            "Possible generator artefact.", a, med).alias("observation")))
+            F.format_string(config.REVIEW_MSG_AMOUNT.format(amount=amount), a, med).alias("observation")))
         .when(pos & (k > key_high), F.struct(
             F.col(_q(id_col)).cast("long").alias("row_index"), F.lit(key).alias("feature"),
-            F.format_string(f"Fraud row has {key}=%.3f (positive), but real fraud {key} mean is %.2f. "
-                            "Distribution mismatch.", k, mean).alias("observation")))
+            F.format_string(config.REVIEW_MSG_KEY_POSITIVE.format(key=key), k, mean).alias("observation")))
         .when(~pos & (k < key_low), F.struct(
             F.col(_q(id_col)).cast("long").alias("row_index"), F.lit(key).alias("feature"),
-            F.format_string(f"Legitimate row has {key}=%.3f which falls in the extreme fraud range. "
-                            "Likely mis-labelled synthetic record.", k).alias("observation")))
+            F.format_string(config.REVIEW_MSG_KEY_NEGATIVE.format(key=key), k).alias("observation")))
     )
     return df.select(anomaly.alias("a")).where(F.col("a").isNotNull()).select("a.*")
 
 
 def record_text(df: DataFrame, id_col: str, label: str, amount: str, features: list[str]) -> DataFrame:
     """V3: one text line per row, ``Row i: Class=c, Amount=%.2f, f=%.3f ...`` (missing -> 0)."""
-    fmt = "Row %d: Class=%d, Amount=%.2f" + "".join(f", {f}=%.3f" for f in features)
+    fmt = config.REVIEW_RECORD_LINE + "".join(f", {f}=%.3f" for f in features)
     args = [F.col(_q(id_col)), F.col(_q(label)).cast("int"), F.col(_q(amount)).cast("double")] + \
            [F.coalesce(F.col(_q(f)).cast("double"), F.lit(0.0)) for f in features]
     return df.select(F.col(_q(id_col)), F.format_string(fmt, *args).alias("line"))
@@ -131,7 +128,7 @@ def parse_responses(responses: DataFrame, id_col: str, text_col: str = "response
     is_list = parsed.isNotNull() & F.upper(F.schema_of_variant(parsed)).startswith("ARRAY")
     items = F.from_json(body, RESPONSE_ITEM_TYPE)
     err = F.array(F.struct(F.lit(-1).cast("long").alias("row_index"), F.lit(config.PARSE_ERROR_FEATURE).alias("feature"),
-                           F.concat(F.lit("Could not parse response: "), F.substring(raw, 1, 200)).alias("observation")))
+                           F.concat(F.lit(config.PARSE_ERROR_PREFIX), F.substring(raw, 1, config.PARSE_ERROR_CHARS)).alias("observation")))
     good = F.transform(F.filter(items, lambda x: F.coalesce(x["is_anomalous"], F.lit(True))),
                        lambda x: F.struct(F.coalesce(x["row_index"], F.lit(-1).cast("long")).alias("row_index"),
                                           F.coalesce(x["feature"], F.lit("unknown")).alias("feature"),
