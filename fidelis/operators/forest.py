@@ -79,7 +79,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple
 def _fit_fn(features: list[str], max_samples: int, seed: int):
     max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         x = pdf[features].to_numpy(dtype=np.float64)
         x = np.nan_to_num(x)
