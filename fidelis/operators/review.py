@@ -93,7 +93,9 @@ def plausibility(df: DataFrame, id_col: str, label: str, amount: str, key: str,
             F.col(_q(id_col)).cast("long").alias("row_index"), F.lit(key).alias("feature"),
             F.format_string(config.REVIEW_MSG_KEY_NEGATIVE.format(key=key), k).alias("observation")))
     )
-    return df.select(anomaly.alias("a")).where(F.col("a").isNotNull()).select("a.*")
+    matched = (pos & (a > amount_limit)) | (pos & (k > key_high)) | (~pos & (k < key_low))
+    # filter first (pushed below the projections that derive the row id), then build the finding
+    return df.where(matched).select(anomaly.alias("a")).select("a.*")
 
 
 def record_text(df: DataFrame, id_col: str, label: str, amount: str, features: list[str]) -> DataFrame:
