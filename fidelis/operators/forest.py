@@ -173,7 +173,9 @@ def score_column(nodes_pdf: pd.DataFrame, features: list[str], m: int):
         mean_h = path.take(idx).mean(axis=1) if trees else np.zeros(n)
         return pd.Series(-np.power(2.0, -mean_h / denom))
 
-    return score(*[clean(F.col(f"`{f}`").cast("double")) for f in features])
+    # marked non-deterministic only so that the optimizer never copies the call into a pushed
+    # filter (which would score every row twice); the scores themselves are deterministic
+    return score.asNondeterministic()(*[clean(F.col(f"`{f}`").cast("double")) for f in features])
 
 
 def isolation_forest_scores(real: DataFrame, candidate: DataFrame, features: list[str],
