@@ -35,14 +35,32 @@ def windowed_failure_counts(stream: DataFrame, rules: list[R.Rule], id_col: str,
 
 
 def run_to_table(spark: SparkSession, stream_out: DataFrame, mode: str = "append") -> DataFrame:
-    """Drive a finite stream to completion (``availableNow``) into a memory table and return it
-    as a batch DataFrame.  The stream checkpoint lives in the shared checkpoint folder."""
+    """Drive a finite stream to completion (``availableNow``) into a parquet table in the shared
+    checkpoint folder and return that table as a batch DataFrame.
+
+    Each micro-batch is written by ``foreachBatch`` (one folder per epoch, or the whole result
+    rewritten in ``complete`` mode), so results never pass through the driver and a replayed
+    batch overwrites its own output; the stream's checkpoint sits next to the table."""
     name = f"fidelis_stream_{uuid.uuid4().hex[:12]}"
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    q = (stream_out.writeStream.format("memory").queryName(name).outputMode(mode)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    table_path, ckpt = f"{base}/table", f"{base}/checkpoint"
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        # idempotent under batch replays: each epoch owns its folder (append mode), or the
+        # whole result is rewritten (complete / update mode)
+        if mode == "append":
+            batch.write.mode("overwrite").parquet(f"{table_path}/batch={epoch}")
+        else:
+            batch.write.mode("overwrite").parquet(table_path)
+
+    q = (stream_out.writeStream.outputMode(mode).foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    try:
+        out = spark.read.parquet(table_path)
+        return out.drop("batch") if "batch" in out.columns else out
+    except Exception:  # noqa: BLE001 - the stream produced no batch with rows
+        return spark.createDataFrame([], stream_out.schema)
 
 
 def parquet_stream(spark: SparkSession, directory: str, file_name: str, schema: T.StructType,
