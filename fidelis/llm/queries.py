@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import fingerprints, quality, repetition, toxicity
+from fidelis.llm import fingerprints, line_chunks, mixing, packing, quality, repetition, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@query("op1_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, unhex(sha1(html))::BIT::VARCHAR AS b, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+    16 * (substr(b, (5*i+1)::INT, 1) = '1')::INT + 8 * (substr(b, (5*i+2)::INT, 1) = '1')::INT + 4 * (substr(b, (5*i+3)::INT, 1) = '1')::INT
+    + 2 * (substr(b, (5*i+4)::INT, 1) = '1')::INT + (substr(b, (5*i+5)::INT, 1) = '1')::INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_mixing", mixing.ORACLE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query("op3_fingerprints")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
@@ -50,6 +70,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).withColumn("held_out", held_out())
 
 
+@query("op6_line_chunks", line_chunks.ORACLE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
