@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import fingerprints, line_chunks, mixing, near_dedup, packing, quality, repetition, toxicity, warc
+from fidelis.llm import fingerprints, line_chunks, mixing, near_dedup, packing, quality, repetition, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~held_out()).select("doc_id", "quality"))
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op10_substrings", substrings.ORACLE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
