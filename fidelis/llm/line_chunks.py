@@ -53,27 +53,40 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     return g.where("n > 1 AND low = high").select(F.col("digest").alias("__digest"), "first")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``text`` without repeated chunks, ``n_lines``, ``n_removed``.
-
-    The occurrence with the smallest (id, line) stays.  A null text counts as empty (one empty
-    line); a null id sorts first and its rows keep their text; rows that repeat an id and text
-    are the same occurrence and keep the same lines; an empty table gives no rows; other
-    columns are not read.
-    """
+def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__gid, __gone): the line ranges that each document loses, in order."""
     chunks = chunked(docs, id_col=id_col, text_col=text_col)
     again = repeated_chunks(chunks)
     gone = (chunks.select("__id", "start", "stop", "digest").join(again, F.col("digest") == F.col("__digest"))
-            .where((F.col("__id") != F.col("first.__id")) | (F.col("start") != F.col("first.start")))
-            .groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__gone")))  # at most the chunks of one document
-    d = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(gone, "__id", "left")
-    d = d.select("__id", F.split("__text", "\n").alias("lines"), F.coalesce("__gone", F.expr("cast(array() AS array<struct<start:int,stop:int>>)")).alias("gone"))
-    begins = F.concat(F.array(F.lit(0)), F.col("gone.stop"))
-    ends = F.concat(F.col("gone.start"), F.array(F.size("lines")))
-    kept = d.select("__id", "lines", "gone", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))).alias("parts"))
-    parts = F.flatten(F.transform("parts", lambda p: F.slice(F.col("lines"), p.a + 1, p.n)))
-    removed = F.aggregate("gone", F.lit(0).cast("bigint"), lambda acc, g: acc + g.stop - g.start)
-    return kept.select(F.col("__id").alias(id_col), F.array_join(parts, "\n").alias("text"), F.size("lines").cast("bigint").alias("n_lines"), removed.alias("n_removed"))
+            .where((F.col("__id") != F.col("first.__id")) | (F.col("start") != F.col("first.start"))))
+    return gone.groupBy(F.col("__id").alias("__gid")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__gone"))  # at most the chunks of one document
+
+
+def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, the text without repeated chunks, and ``__n_lines``, ``__n_removed``.
+
+    The occurrence with the smallest (id, line) stays.  A null text counts as empty (one empty
+    line) and becomes empty; the rows of a null id keep their text, and a chunk that such a row
+    holds is its first occurrence; rows that repeat an id and text
+    are the same occurrence and keep the same lines; an empty table gives no rows.
+    """
+    gone = removals(docs, id_col=id_col, text_col=text_col)
+    d = docs.join(gone, F.col(id_col) == F.col("__gid"), "left")
+    none = F.expr("cast(array() AS array<struct<start:int,stop:int>>)")
+    d = d.select(*docs.columns, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("__lines"), F.coalesce("__gone", none).alias("__gone"))
+    begins = F.concat(F.array(F.lit(0)), F.col("__gone.stop"))
+    ends = F.concat(F.col("__gone.start"), F.array(F.size("__lines")))
+    d = d.select(*docs.columns, "__lines", "__gone", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))).alias("__parts"))
+    parts = F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__lines"), p.a + 1, p.n)))
+    removed = F.aggregate("__gone", F.lit(0).cast("bigint"), lambda acc, g: acc + g.stop - g.start)
+    text = F.array_join(parts, "\n")
+    return d.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.size("__lines").cast("bigint").alias("__n_lines"), removed.alias("__n_removed"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``text`` (see ``clean_documents``), ``n_lines``, ``n_removed``."""
+    clean = clean_documents(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
+    return clean.select(id_col, F.col(text_col).alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 ORACLE_SQL = f"""

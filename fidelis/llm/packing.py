@@ -209,21 +209,31 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, in_order: bool = False, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and their place in it (gapless from 0).
 
     Every piece is packed; pieces of exactly ``capacity`` tokens fill a sequence alone.  The
     pieces are checkpointed, so tokenising happens once; groups hold about ``GROUP`` pieces at
-    any table size.  Repeated rows are packed each; an empty table gives no rows.
+    any table size.  With ``in_order`` a group holds pieces that follow each other in the
+    reading order of a partition (a mixed order then holds to within a group), else pieces
+    dealt by a hash.  Repeated rows are packed each; an empty table gives no rows.
     """
-    pieces = cut_lineage(tokenised_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col))
-    groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP))
+    pieces = tokenised_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col)
+    if in_order:
+        pieces = pieces.withColumn("__at", F.monotonically_increasing_id())
+    pieces = cut_lineage(pieces)
+    if in_order:  # the low 33 bits count within a partition
+        group = F.expr(f"shiftleft(shiftright(__at, 33), 20) + (__at & 8589934591) div {GROUP}")
+    else:
+        groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP))
+        group = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups))
+    dealt = pieces.withColumn("__group", group).drop("__at")
     kind = dict(pieces.dtypes)[id_col]
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
         place = pack(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 32) + place[0], offset=place[1]).drop(columns="__group")
+        return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 20) + place[0], offset=place[1]).drop(columns="__group")
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(packed, f"`{id_col}` {kind}, {PIECES}, sequence_id bigint, `offset` bigint")

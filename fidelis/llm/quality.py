@@ -137,3 +137,19 @@ def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", t
 
     d = docs.select(id_col, text_col)
     return d.mapInArrow(batches, f"`{id_col}` {dict(d.dtypes)[id_col]}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: CompressionModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns.
+
+    One pass without a shuffle; a null text is scored as the empty one and stays null.
+    """
+    at = docs.columns.index(text_col)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = model.scorer()
+        for b in it:
+            s = run([(t or "").encode() for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(batches, docs.schema)
