@@ -73,10 +73,11 @@ def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = removals(docs, id_col=id_col, text_col=text_col)
     d = docs.join(gone, F.col(id_col) == F.col("__gid"), "left")
     none = F.expr("cast(array() AS array<struct<start:int,stop:int>>)")
-    d = d.select(*docs.columns, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("__lines"), F.coalesce("__gone", none).alias("__gone"))
+    own = [f"`{c}`" for c in docs.columns]
+    d = d.select(*own, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("__lines"), F.coalesce("__gone", none).alias("__gone"))
     begins = F.concat(F.array(F.lit(0)), F.col("__gone.stop"))
     ends = F.concat(F.col("__gone.start"), F.array(F.size("__lines")))
-    d = d.select(*docs.columns, "__lines", "__gone", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))).alias("__parts"))
+    d = d.select(*own, "__lines", "__gone", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n"))).alias("__parts"))
     parts = F.flatten(F.transform("__parts", lambda p: F.slice(F.col("__lines"), p.a + 1, p.n)))
     removed = F.aggregate("__gone", F.lit(0).cast("bigint"), lambda acc, g: acc + g.stop - g.start)
     text = F.array_join(parts, "\n")
