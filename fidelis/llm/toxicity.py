@@ -108,7 +108,7 @@ def _margin(doc, slot, n_docs, model, extra):
     return np.clip(np.bincount(doc, beta[slot], minlength=n_docs) + extra @ more + bias, -20, 20)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, per_class: int = 3000, folds: int = 3) -> list[Link]:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, per_class: int = 2000, folds: int = 3) -> list[Link]:
     """Fit the chain on at most ``per_class`` labelled documents of each category and of none.
 
     ``categories`` maps each name, in chain order, to a condition over ``labels``.  Rows are
@@ -123,7 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, pe
     share = class_sizes(labels.withColumn("__all", F.lit(1)), {**classes, "(all)": F.col("__all") == 1})
     rows = labelled_sample(docs, labels, classes, per_class)
     n = len(rows)
-    doc, slot = word_sets(*K.utf8(pa.array([t for _, t, _ in rows], pa.large_string())))
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, _, buf, off in K.slices(pa.array([t for _, t, _ in rows], pa.large_string())):
+        doc, slot = word_sets(buf, off)
+        parts.append((doc + i, slot))
+    doc, slot = (np.concatenate(c) for c in zip(*parts))
     keep = np.bincount(slot, minlength=1 << BITS)[slot] >= 3
     doc, slot = doc[keep], slot[keep]
     fold = np.arange(n) % folds  # rows come in order of a hash-independent id; copies may fall in different folds
