@@ -49,21 +49,23 @@ UNSAFE_CONDITION_PATTERN = r"import|exec|eval|__"
 PARSE_ERROR_FEATURE = "parse_error"
 KS_BANDS = [(0.05, "Excellent"), (0.10, "Good"), (0.20, "Fair")]   # else Poor
 RATE_MATCH_TOLERANCE = 0.0001
-# message formats (printf style; {amount} / {key} are column names filled in at plan time)
-REVIEW_MSG_AMOUNT = "Fraud transaction with {amount}=$%.2f is unusually high; real fraud median is $%.2f. Possible generator artefact."
-REVIEW_MSG_KEY_POSITIVE = "Fraud row has {key}=%.3f (positive), but real fraud {key} mean is %.2f. Distribution mismatch."
-REVIEW_MSG_KEY_NEGATIVE = "Legitimate row has {key}=%.3f which falls in the extreme fraud range. Likely mis-labelled synthetic record."
+RULE_NAME_PREFIX = "gemini_"
 REVIEW_RECORD_LINE = "Row %d: Class=%d, Amount=%.2f"
 PARSE_ERROR_PREFIX = "Could not parse response: "
 PARSE_ERROR_CHARS = 200
-AUDIT_MSG_HIGH = "Score is %.2f (high) but %d anomalies were reported: these are inconsistent."
-AUDIT_MSG_LOW = "Score is %.2f (low) but zero anomalies were listed: the reviewer failed to justify its rating."
-AUDIT_MSG_HEDGE = "Raw response contains hedging language ('might', 'possibly', etc.) yet the score exceeds 0.9: overconfidence detected."
-AUDIT_MSG_FEATURE = "Anomaly at row %s references column '%s' which does not exist in the schema."
-AUDIT_MSG_TOKEN = "Observation mentions non-existent column '%s'."
 GRADE_RULES = {"excellent": (90.0, 26), "good": (85.0, 23), "moderate": (80.0, 0)}
 # ----------------------------------------------------------------------------------------
 
+# messages of this library (printf style; {amount} / {key} are column names filled in at plan time)
+REVIEW_MSG_AMOUNT = "positive row: {amount} of %.2f is above the limit (median of real positives: %.2f)"
+REVIEW_MSG_KEY_POSITIVE = "positive row: {key} of %.3f is above the limit (mean of real positives: %.2f)"
+REVIEW_MSG_KEY_NEGATIVE = "negative row: {key} of %.3f is below the limit"
+AUDIT_MSG_HIGH = "contradiction: score %.2f with %d anomalies"
+AUDIT_MSG_LOW = "contradiction: score %.2f with zero anomalies"
+AUDIT_MSG_HEDGE = "contradiction: hedging words, score above the limit"
+AUDIT_MSG_FEATURE = "unknown feature in row %s: %s"
+AUDIT_MSG_TOKEN = "unknown column in an observation: %s"
+
 
 def weights_sum() -> float:
     return float(sum(LAYER_WEIGHTS.values()))

@@ -20,12 +20,6 @@ ANOMALY_TYPE = T.StructType([
     T.StructField("feature", T.StringType()),
     T.StructField("observation", T.StringType()),
 ])
-RESPONSE_ITEM_TYPE = T.ArrayType(T.StructType([
-    T.StructField("row_index", T.LongType()),
-    T.StructField("is_anomalous", T.BooleanType()),
-    T.StructField("feature", T.StringType()),
-    T.StructField("observation", T.StringType()),
-]))
 
 
 def _q(c: str) -> str:
@@ -117,27 +111,34 @@ def batch_text(lines: DataFrame, id_col: str, context: Column | None = None) ->
 
 
 def parse_responses(responses: DataFrame, id_col: str, text_col: str = "response") -> DataFrame:
-    """V4: raw review text -> one row per reported anomaly.
+    """V4: raw review text -> one row per response with its reported anomalies.
 
-    The fenced JSON body (```json or ```) is parsed; a JSON list yields its items with
-    ``is_anomalous`` (default true), ``row_index`` default -1, ``feature`` default
-    'unknown'; any other JSON value yields nothing; text that is not JSON yields one
-    ``parse_error`` anomaly quoting the first 200 characters.
+    The fenced body is parsed once.  Of a JSON list the items stay whose ``is_anomalous`` is
+    missing or true in the sense of a truth value (0, "", null and empty lists are false);
+    ``row_index`` is read as a whole number also from a string (default -1), ``feature`` and
+    ``observation`` as text (defaults 'unknown' and '').  Any other JSON value yields nothing;
+    text that is not JSON yields one ``parse_error`` anomaly quoting its start.
     """
     raw = F.col(_q(text_col))
-    body = extract_fenced(raw)
-    parsed = F.try_parse_json(body)
-    is_list = parsed.isNotNull() & F.upper(F.schema_of_variant(parsed)).startswith("ARRAY")
-    items = F.from_json(body, RESPONSE_ITEM_TYPE)
+    d = responses.select(F.col(_q(id_col)), raw.alias("raw_response"), F.try_parse_json(extract_fenced(raw)).alias("_json"))
+    d = d.withColumn("_items", F.expr("try_variant_get(_json, '$', 'array<variant>')")).withColumn("_ok", F.col("_json").isNotNull())
+    d = d.select(_q(id_col), "raw_response", "_ok", F.expr("""
+        transform(_items, x -> named_struct(
+            'flag', try_variant_get(x, '$.is_anomalous', 'variant'), 'flag_text', try_variant_get(x, '$.is_anomalous', 'string'),
+            'row', coalesce(try_variant_get(x, '$.row_index', 'bigint'), try_cast(try_variant_get(x, '$.row_index', 'double') AS bigint)),
+            'feature', try_variant_get(x, '$.feature', 'variant'), 'feature_text', try_variant_get(x, '$.feature', 'string'),
+            'observation', try_variant_get(x, '$.observation', 'variant'), 'observation_text', try_variant_get(x, '$.observation', 'string')))""").alias("_items"))
+    none = F.array().cast(T.ArrayType(ANOMALY_TYPE))
     err = F.array(F.struct(F.lit(-1).cast("long").alias("row_index"), F.lit(config.PARSE_ERROR_FEATURE).alias("feature"),
-                           F.concat(F.lit(config.PARSE_ERROR_PREFIX), F.substring(raw, 1, config.PARSE_ERROR_CHARS)).alias("observation")))
-    good = F.transform(F.filter(items, lambda x: F.coalesce(x["is_anomalous"], F.lit(True))),
-                       lambda x: F.struct(F.coalesce(x["row_index"], F.lit(-1).cast("long")).alias("row_index"),
-                                          F.coalesce(x["feature"], F.lit("unknown")).alias("feature"),
-                                          F.coalesce(x["observation"], F.lit("")).alias("observation")))
-    anomalies = F.when(parsed.isNull(), err).when(is_list, F.coalesce(good, F.array().cast(T.ArrayType(ANOMALY_TYPE)))) \
-        .otherwise(F.array().cast(T.ArrayType(ANOMALY_TYPE)))
-    return responses.select(F.col(_q(id_col)), raw.alias("raw_response"), anomalies.alias("anomalies"))
+                           F.concat(F.lit(config.PARSE_ERROR_PREFIX), F.substring("raw_response", 1, config.PARSE_ERROR_CHARS)).alias("observation")))
+    said = F.expr("""
+        transform(
+          filter(_items, x -> x.flag IS NULL OR (NOT is_variant_null(x.flag) AND coalesce(x.flag_text NOT IN ('false', '0', '0.0', '', '[]', '{}'), false))),
+          x -> named_struct('row_index', coalesce(x.row, -1L),
+                            'feature', CASE WHEN x.feature IS NULL THEN 'unknown' ELSE coalesce(x.feature_text, 'None') END,
+                            'observation', CASE WHEN x.observation IS NULL THEN '' ELSE coalesce(x.observation_text, 'None') END))""")
+    anomalies = F.when(~F.col("_ok"), err).otherwise(F.coalesce(said.cast(T.ArrayType(ANOMALY_TYPE)), none))
+    return d.select(_q(id_col), "raw_response", anomalies.alias("anomalies"))
 
 
 def review_score(anomalies: DataFrame, reviewed: DataFrame, pass_score: float = config.REVIEW_PASS) -> DataFrame:

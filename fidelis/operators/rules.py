@@ -66,19 +66,19 @@ def default_rules(amount: str = "Amount", time: str = "Time", label: str = "Clas
         features = [f"V{i}" for i in range(1, 29)]
     a, t, c = _q(amount), _q(time), _q(label)
     rules = [
-        Rule("amount_non_negative", "Transaction amount must be >= 0", f"{a} >= 0", "critical", f"string({a})"),
-        Rule("amount_reasonable", f"Transaction amount must be <= {amount_max:g}", f"{a} <= {amount_max!r}", "warning", f"string({a})"),
-        Rule("time_non_negative", "Time must be >= 0", f"{t} >= 0", "critical", f"string({t})"),
-        Rule("time_in_range", f"Time must be <= {time_max:g} seconds", f"{t} <= {time_max!r}", "critical", f"string({t})"),
-        Rule("class_binary", "Class must be 0 or 1", f"{c} IN (0, 1)", "critical", f"string({c})"),
+        Rule("amount_non_negative", f"{amount} is not negative", f"{a} >= 0", "critical", f"string({a})"),
+        Rule("amount_reasonable", f"{amount} is {amount_max:g} at most", f"{a} <= {amount_max!r}", "warning", f"string({a})"),
+        Rule("time_non_negative", f"{time} is not negative", f"{t} >= 0", "critical", f"string({t})"),
+        Rule("time_in_range", f"{time} is {time_max:g} at most", f"{t} <= {time_max!r}", "critical", f"string({t})"),
+        Rule("class_binary", f"{label} is 0 or 1", f"{c} IN (0, 1)", "critical", f"string({c})"),
     ]
     for name, col in (("time", time), ("amount", amount), ("class", label)):
-        rules.append(Rule(f"no_null_{name}", f"{col} must not be null", f"{_q(col)} IS NOT NULL", "critical",
+        rules.append(Rule(f"no_null_{name}", f"{col} is present", f"{_q(col)} IS NOT NULL", "critical",
                           f"'{col} is null'"))
     for f in features:
-        rules.append(Rule(f"{f.lower()}_zscore", f"{f} should have |value| <= {feature_abs_max:g}",
+        rules.append(Rule(f"{f.lower()}_zscore", f"{f} lies within {feature_abs_max:g} of zero",
                           f"abs({_q(f)}) <= {feature_abs_max!r}", "warning", f"string({_q(f)})"))
-    rules.append(Rule("fraud_amount_pattern", f"High amounts (>{pattern_amount:g}) should rarely be fraud",
+    rules.append(Rule("fraud_amount_pattern", f"no positive row has {amount} above {pattern_amount:g}",
                       f"NOT coalesce({a} > {pattern_amount!r} AND {c} = 1, false)", "info",
                       f"concat('Amount=', string({a}), ', Class=', string({c}))"))
     return rules
@@ -90,9 +90,48 @@ def _probe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
+_OPERAND = r"(?:`[^`]+`|[\w.]+)"
+_TRY_FORMS = {"cast": "try_cast", "element_at": "try_element_at", "to_timestamp": "try_to_timestamp", "to_number": "try_to_number", "parse_json": "try_parse_json"}
+
+
+def null_on_error(condition: str) -> str:
+    """The condition with its raising forms replaced by ones that give NULL (a violation).
+
+    Divisors become ``nullif(divisor, 0)``; functions with a ``try_`` form take it.  Quoted
+    strings are left alone.
+    """
+    out, i = "", 0
+    while i < len(condition):
+        if condition[i] in "'\"":  # a quoted string
+            end = condition.find(condition[i], i + 1)
+            end = len(condition) if end < 0 else end + 1
+            out, i = out + condition[i:end], end
+        elif condition[i] in "/%":
+            start = i + 1 + len(condition[i + 1:]) - len(condition[i + 1:].lstrip())
+            m = re.compile(_OPERAND).match(condition, start)
+            end = m.end() if m else start
+            if end < len(condition) and condition[end] == "(":  # a parenthesised or called divisor
+                depth = 0
+                while end < len(condition):
+                    depth += {"(": 1, ")": -1}.get(condition[end], 0)
+                    end += 1
+                    if not depth:
+                        break
+            if end == start:
+                return condition
+            out, i = out + f"{condition[i]} nullif({null_on_error(condition[start:end])}, 0)", end
+        else:
+            m = re.compile(r"\b\w+(?=\()").match(condition, i)
+            if m and (i == 0 or not condition[i - 1].isalnum()):
+                out, i = out + _TRY_FORMS.get(m[0].lower(), m[0]), m.end()
+            else:
+                out, i = out + condition[i], i + 1
+    return out
+
+
 def _compile(rule: Rule) -> tuple[Column, Column]:
-    cond = F.expr(rule.condition)
-    value = F.expr(rule.value) if rule.value else F.lit("N/A")
+    cond = F.expr(null_on_error(rule.condition))
+    value = F.expr(null_on_error(rule.value)) if rule.value else F.lit("N/A")
     return ~F.coalesce(cond.cast("boolean"), F.lit(False)), value.cast("string")
 
 
@@ -136,7 +175,7 @@ def _resolve_all(df: DataFrame, rules: list[Rule]) -> list[tuple[Rule, Column, C
                 probe.select(v.alias("v"), val.alias("s")).schema
                 out[i] = (enabled[i], v, val, enabled[i].severity)
             except Exception as exc:  # noqa: BLE001 - any unresolvable rule
-                msg = str(exc).strip().splitlines()[0][:200] if str(exc).strip() else type(exc).__name__
+                msg = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
                 out[i] = (enabled[i], F.lit(True), F.lit(f"Error: {msg}"), "critical")
     return out
 
@@ -184,18 +223,19 @@ def rule_failures(df: DataFrame, rules: list[Rule], id_col: str = "row_id") -> D
 
 
 def rule_failure_counts(df: DataFrame, rules: list[Rule], id_col: str = "row_id") -> DataFrame:
-    """Failures per rule (M3), only rules that failed at least once, from one aggregate
-    with map-side partial counts (no explode, no per-row shuffle)."""
+    """Failures per rule (M3), only rules that failed at least once, with the smallest failing
+    row id and the rule's place in the list, from one aggregate with map-side partial counts
+    (no explode, no per-row shuffle)."""
     clean = clean_frame(df)
     aggs, names = [], []
     for i, (r, violated, _, severity) in enumerate(_resolve_all(clean, rules)):
-        aggs.append(F.count_if(violated).alias(f"c{i}"))
+        aggs += [F.count_if(violated).alias(f"c{i}"), F.min(F.when(violated, F.col(_q(id_col)))).alias(f"f{i}")]
         names.append((i, r, severity))
     if not aggs:
-        return clean.sparkSession.createDataFrame([], "rule_name string, severity string, failures long")
+        return clean.sparkSession.createDataFrame([], "rule_name string, severity string, failures long, first_row long, rule_order int")
     wide = clean.agg(*aggs)
-    stack = ", ".join(f"'{r.name}', '{sev}', c{i}" for i, r, sev in names)
-    long = wide.selectExpr(f"stack({len(names)}, {stack}) as (rule_name, severity, failures)")
+    stack = ", ".join(f"'{r.name}', '{sev}', c{i}, f{i}, {i}" for i, r, sev in names)
+    long = wide.selectExpr(f"stack({len(names)}, {stack}) as (rule_name, severity, failures, first_row, rule_order)")
     return long.where(F.col("failures") > 0)
 
 
@@ -211,8 +251,10 @@ def rule_summary(df: DataFrame, rules: list[Rule], id_col: str = "row_id") -> Da
 
 
 def top_failed_rules(counts: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` rules with most failures (K1); ties by rule order then name."""
-    return counts.orderBy(F.desc("failures"), F.asc("rule_name")).limit(k)
+    """The ``k`` rules with most failures (K1); equal counts by the first failing row, then by
+    the order of the rules on that row (``first_row`` and ``rule_order`` of ``rule_failure_counts``)."""
+    order = [F.desc("failures"), *[F.asc(c) for c in ("first_row", "rule_order") if c in counts.columns], F.asc("rule_name")]
+    return counts.orderBy(*order).limit(k).select("rule_name", "severity", "failures")
 
 
 def rule_failure_samples(df: DataFrame, rules: list[Rule], id_col: str = "row_id", k: int = 5) -> DataFrame:
@@ -228,26 +270,32 @@ def rule_failure_samples(df: DataFrame, rules: list[Rule], id_col: str = "row_id
 # --------------------------------------------------------------------------------------
 
 def extract_fenced(text: Column) -> Column:
-    """Body of a Markdown code fence (```json ... ``` or ``` ... ```) or the text itself."""
-    body = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.trim(F.when(body != "", body).otherwise(text))
+    """Body of the first ```json fence, else of the first ``` fence, else the text itself.
+
+    A fence that is never closed (a reply that was cut off) runs to the end of the text.
+    """
+    body = F.regexp_extract(text, r"(?s)```json(.*?)(?:```|\z)", 1)
+    plain = F.regexp_extract(text, r"(?s)```(.*?)(?:```|\z)", 1)
+    return F.btrim(F.when(text.contains("```json"), body).when(text.contains("```"), plain).otherwise(text), F.lit(" \t\r\n"))
 
 
 def parse_rule_responses(responses: DataFrame, text_col: str = "response", key_cols: list[str] | None = None) -> DataFrame:
     """Responses -> one row per proposed rule.
 
-    A response that is not a JSON list, has an entry with a missing key or an
-    unknown severity contributes no rule at all (the whole list is void).
+    Rules with an unsafe condition (R13) are dropped before the rest is looked at.  A response that is not
+    a JSON list, has an entry without name or condition, or a safe entry without description
+    or with an unknown severity, contributes no rule at all.
     """
     key_cols = list(key_cols or [])
     parsed = responses.select(*[F.col(_q(c)) for c in key_cols],
-                              F.from_json(extract_fenced(F.col(_q(text_col))), RULE_TABLE_TYPE).alias("rules"))
-    ok = F.forall(F.col("rules"), lambda r: r["name"].isNotNull() & r["description"].isNotNull()
-                  & r["condition"].isNotNull() & F.lower(r["severity"]).isin(*SEVERITIES))
-    valid = parsed.where(F.col("rules").isNotNull() & ok)
-    return valid.select(*[F.col(_q(c)) for c in key_cols], F.posexplode("rules").alias("pos", "r")).select(
+                              F.from_json(extract_fenced(F.col(_q(text_col))), RULE_TABLE_TYPE).alias("all_rules"))
+    named = F.forall("all_rules", lambda r: r["name"].isNotNull() & r["condition"].isNotNull())
+    parsed = parsed.where(F.col("all_rules").isNotNull() & named)
+    parsed = parsed.withColumn("rules", F.filter("all_rules", lambda r: ~r["condition"].rlike(config.UNSAFE_CONDITION_PATTERN)))
+    ok = F.forall("rules", lambda r: r["description"].isNotNull() & F.coalesce(F.lower(r["severity"]).isin(*SEVERITIES), F.lit(False)))
+    return parsed.where(ok).select(*[F.col(_q(c)) for c in key_cols], F.posexplode("rules").alias("pos", "r")).select(
         *[F.col(_q(c)) for c in key_cols], "pos",
-        F.concat(F.lit("gemini_"), F.col("r.name")).alias("name"), F.col("r.description").alias("description"),
+        F.concat(F.lit(config.RULE_NAME_PREFIX), F.col("r.name")).alias("name"), F.col("r.description").alias("description"),
         F.col("r.condition").alias("condition"), F.lower(F.col("r.severity")).alias("severity"))
 
 
@@ -256,12 +304,13 @@ def safe_rules(rules: DataFrame, condition_col: str = "condition") -> DataFrame:
     return rules.where(~F.col(condition_col).rlike(config.UNSAFE_CONDITION_PATTERN))
 
 
-def rules_from_table(rules: DataFrame) -> list[Rule]:
-    """Collect a (small) rule-definition table into compiled rules.
+def rules_from_table(rules: DataFrame, most: int = 10_000) -> list[Rule]:
+    """Collect a rule-definition table into rules (R12); more than ``most`` rules raise.
 
-    Rule definitions are configuration, not data: the table is bounded by the
-    number of rules, and compiling them is a plan-time step.
+    Rule definitions are configuration that is compiled into the plan, not data.
     """
-    rows = safe_rules(rules).select("name", "description", "condition", "severity").collect()
+    rows = safe_rules(rules).select("name", "description", "condition", "severity").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
     return [Rule(r["name"], r["description"] or "", r["condition"], r["severity"] or "warning",
                  value="'condition failed'") for r in rows]

@@ -3,8 +3,8 @@
 Review responses are derived from the tables: every assistant turn of
 ``conversations`` is a (non-JSON) review text, every plausibility finding on the
 candidate side is a one-item JSON list, and every ``events.props`` value is a JSON
-object (not a list).  The audit input is that parsed table plus the audit cases
-of the original test-suite.
+object (not a list).  The audit input is that parsed table plus reviews derived from
+``documents`` on which every check fires.
 """
 
 from __future__ import annotations
@@ -50,12 +50,9 @@ PLAUS_SQL = f"""ctx AS (SELECT median(l_extendedprice) FILTER (WHERE is_return =
       CASE WHEN is_return = 1 AND l_extendedprice > {AMOUNT_LIMIT} THEN 'l_extendedprice'
            WHEN is_return = 1 AND coalesce(l_discount, 0) > {KEY_HIGH} THEN 'l_discount'
            WHEN is_return <> 1 AND coalesce(l_discount, 0) < {KEY_LOW} THEN 'l_discount' END AS feature,
-      CASE WHEN is_return = 1 AND l_extendedprice > {AMOUNT_LIMIT}
-             THEN printf('Fraud transaction with l_extendedprice=$%.2f is unusually high; real fraud median is $%.2f. Possible generator artefact.', l_extendedprice, med)
-           WHEN is_return = 1 AND coalesce(l_discount, 0) > {KEY_HIGH}
-             THEN printf('Fraud row has l_discount=%.3f (positive), but real fraud l_discount mean is %.2f. Distribution mismatch.', coalesce(l_discount, 0), mn)
-           WHEN is_return <> 1 AND coalesce(l_discount, 0) < {KEY_LOW}
-             THEN printf('Legitimate row has l_discount=%.3f which falls in the extreme fraud range. Likely mis-labelled synthetic record.', coalesce(l_discount, 0)) END AS observation
+      CASE WHEN is_return = 1 AND l_extendedprice > {AMOUNT_LIMIT} THEN printf('{config.REVIEW_MSG_AMOUNT.format(amount=R.amount)}', l_extendedprice, med)
+           WHEN is_return = 1 AND coalesce(l_discount, 0) > {KEY_HIGH} THEN printf('{config.REVIEW_MSG_KEY_POSITIVE.format(key=REVIEW_KEY)}', coalesce(l_discount, 0), mn)
+           WHEN is_return <> 1 AND coalesce(l_discount, 0) < {KEY_LOW} THEN printf('{config.REVIEW_MSG_KEY_NEGATIVE.format(key=REVIEW_KEY)}', coalesce(l_discount, 0)) END AS observation
     FROM cand, ctx),
   plaus AS (SELECT * FROM pl WHERE feature IS NOT NULL)"""
 
@@ -139,40 +136,24 @@ def q_validate_semantic(spark, sf):
 
 # ---- audit ---------------------------------------------------------------------------
 
-AUDIT_CASE_TYPE = "id string, score double, anomalies array<struct<row_index:bigint,feature:string,observation:string>>, raw_response string"
-
-
-def audit_cases(spark):
-    """The audit cases of the original unit tests."""
-    def an(*items):
-        return [{"row_index": r, "feature": f, "observation": o} for r, f, o in items]
-    rows = [
-        ("case:clean", 0.7, an((3, "V14", "V14 is unusually low")), ""),
-        ("case:high_many", 0.9, an(*[(i, "Amount", "") for i in range(6)]), ""),
-        ("case:low_none", 0.2, [], ""),
-        ("case:hedging", 0.95, [], "This might be fraud, but I am not sure."),
-        ("case:unknown_column", 0.6, an((5, "TransactionRisk", "TransactionRisk looks off")), ""),
-        ("case:known_columns", 0.6, an((1, "V14", "V14 and Amount both look unusual")), ""),
-        ("case:parse_error", 0.5, an((0, "parse_error", "")), ""),
-        ("case:three_issues", 0.92, an((0, "Bogus1", ""), (1, "Bogus2", "")), "might be fraud"),
-        ("case:clamp", 0.05, an((0, "Ghost", ""), (1, "Ghost2", "")), ""),
-    ]
-    return spark.createDataFrame(rows, AUDIT_CASE_TYPE)
-
-
-AUDIT_CASES_SQL = """cases AS (SELECT * FROM (VALUES
-    ('case:clean', 0.7, [{'row_index': 3, 'feature': 'V14', 'observation': 'V14 is unusually low'}], ''),
-    ('case:high_many', 0.9, [{'row_index': 0, 'feature': 'Amount', 'observation': ''}, {'row_index': 1, 'feature': 'Amount', 'observation': ''},
-       {'row_index': 2, 'feature': 'Amount', 'observation': ''}, {'row_index': 3, 'feature': 'Amount', 'observation': ''},
-       {'row_index': 4, 'feature': 'Amount', 'observation': ''}, {'row_index': 5, 'feature': 'Amount', 'observation': ''}], ''),
-    ('case:low_none', 0.2, [], ''),
-    ('case:hedging', 0.95, [], 'This might be fraud, but I am not sure.'),
-    ('case:unknown_column', 0.6, [{'row_index': 5, 'feature': 'TransactionRisk', 'observation': 'TransactionRisk looks off'}], ''),
-    ('case:known_columns', 0.6, [{'row_index': 1, 'feature': 'V14', 'observation': 'V14 and Amount both look unusual'}], ''),
-    ('case:parse_error', 0.5, [{'row_index': 0, 'feature': 'parse_error', 'observation': ''}], ''),
-    ('case:three_issues', 0.92, [{'row_index': 0, 'feature': 'Bogus1', 'observation': ''}, {'row_index': 1, 'feature': 'Bogus2', 'observation': ''}], 'might be fraud'),
-    ('case:clamp', 0.05, [{'row_index': 0, 'feature': 'Ghost', 'observation': ''}, {'row_index': 1, 'feature': 'Ghost2', 'observation': ''}], '')
-  ) t(id, score, anomalies, raw_response))"""
+def document_reviews(spark, sf):
+    """Reviews derived from ``documents``: scores, numbers of anomalies, their features and observations and the
+    raw text follow from a document's id and source, so that every check fires on some rows."""
+    i = F.col("doc_id")
+    items = F.expr("""transform(sequence(0L, 8L), k -> named_struct('row_index', doc_id + k,
+        'feature', CASE (doc_id + k) % 5 WHEN 0 THEN 'Amount' WHEN 1 THEN 'V14' WHEN 2 THEN source WHEN 3 THEN 'parse_error' ELSE '' END,
+        'observation', concat('V', cast((doc_id + 7 * k) % 34 AS string), ' next to V3 in ', lang)))""")
+    raw = F.when(i % 6 == 0, F.concat(F.lit("The rows in "), "source", F.lit(" might be noise"))).when(i % 6 == 1, F.concat("lang", F.lit(": UNCLEAR"))).otherwise(F.col("source"))
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("doc:"), i.cast("string")).alias("id"), ((i * 37 % 101) / 100).alias("score"),
+        F.slice(items, F.lit(1), (i % 9).cast("int")).cast(T.ArrayType(V.ANOMALY_TYPE)).alias("anomalies"), raw.alias("raw_response"))
+
+
+DOCUMENT_REVIEWS_SQL = """doc_reviews AS (SELECT 'doc:' || doc_id AS id, (doc_id * 37 % 101) / 100 AS score,
+    list_transform(range(0, doc_id % 9), lambda k: {'row_index': doc_id + k,
+      'feature': CASE (doc_id + k) % 5 WHEN 0 THEN 'Amount' WHEN 1 THEN 'V14' WHEN 2 THEN source WHEN 3 THEN 'parse_error' ELSE '' END,
+      'observation': 'V' || ((doc_id + 7 * k) % 34) || ' next to V3 in ' || lang}) AS anomalies,
+    CASE doc_id % 6 WHEN 0 THEN 'The rows in ' || source || ' might be noise' WHEN 1 THEN lang || ': UNCLEAR' ELSE source END AS raw_response FROM documents)"""
 
 
 def valid_columns(spark, sf):
@@ -184,7 +165,7 @@ def audit_input(spark, sf):
     derived = p.select(F.col("response_id").alias("id"),
                        F.greatest(F.lit(0.0), 1 - F.size("anomalies") / F.lit(float(config.REVIEW_SAMPLE))).alias("score"),
                        F.col("anomalies").cast(T.ArrayType(V.ANOMALY_TYPE)), "raw_response")
-    return derived.unionByName(audit_cases(spark))
+    return derived.unionByName(document_reviews(spark, sf))
 
 
 def audited(spark, sf):
@@ -195,9 +176,9 @@ _VALID_SQL = "[" + ", ".join(f"'{c}'" for c in dict.fromkeys(config.CARD_COLUMNS
     "row_id", "ship_seconds", "ship_hours", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return"])) + "]"
 _HEDGE_SQL = A.hedge_pattern().replace("'", "''")
 
-AUDIT_SQL = f"""WITH {TX_SQL}, {PLAUS_SQL}, {PARSED_SQL}, {AUDIT_CASES_SQL},
+AUDIT_SQL = f"""WITH {TX_SQL}, {PLAUS_SQL}, {PARSED_SQL}, {DOCUMENT_REVIEWS_SQL},
   inp AS (SELECT response_id AS id, greatest(0.0, 1 - len(anomalies) / 10.0) AS score, anomalies, raw_response FROM parsed
-          UNION ALL SELECT id, CAST(score AS DOUBLE), anomalies, raw_response FROM cases),
+          UNION ALL SELECT id, score, anomalies, raw_response FROM doc_reviews),
   chk AS (SELECT id, score,
       score > 0.85 AND len(anomalies) > 5 AS high_many,
       score < 0.4 AND len(anomalies) = 0 AS low_none,
@@ -213,11 +194,11 @@ AUDIT_SQL = f"""WITH {TX_SQL}, {PLAUS_SQL}, {PARSED_SQL}, {AUDIT_CASES_SQL},
 def _audit_flags(df):
     return df.select(
         "id",
-        F.exists("contradictions", lambda c: c.contains("(high)")).alias("high_many"),
+        F.exists("contradictions", lambda c: c.contains(" anomalies") & ~c.contains("zero anomalies")).alias("high_many"),
         F.exists("contradictions", lambda c: c.contains("zero anomalies")).alias("low_none"),
         F.exists("contradictions", lambda c: c.contains("hedging")).alias("hedging"),
-        F.size(F.filter("hallucinations", lambda h: h.startswith("Anomaly at row"))).cast("long").alias("n_unknown_feature"),
-        F.size(F.filter("hallucinations", lambda h: h.startswith("Observation mentions"))).cast("long").alias("n_unknown_token"),
+        F.size(F.filter("hallucinations", lambda h: h.startswith("unknown feature"))).cast("long").alias("n_unknown_feature"),
+        F.size(F.filter("hallucinations", lambda h: h.startswith("unknown column"))).cast("long").alias("n_unknown_token"),
         F.col("n_issues").cast("long").alias("n_issues"), "adjustment", "adjusted_score", "passed")
 
 

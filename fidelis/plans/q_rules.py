@@ -46,7 +46,7 @@ def q_rule_failures(spark: SparkSession, sf: str) -> DataFrame:
 @register("rule_failure_counts",
           f"WITH {TX_SQL}, f AS ({_FAIL_SQL}) SELECT rule_name, severity, count(*) AS failures FROM f GROUP BY 1, 2")
 def q_rule_failure_counts(spark, sf):
-    return R.rule_failure_counts(_cand(spark, sf), tx_rules())
+    return R.rule_failure_counts(_cand(spark, sf), tx_rules()).select("rule_name", "severity", "failures")
 
 
 @register("rule_row_validity", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL})
@@ -65,7 +65,8 @@ def q_rule_summary(spark, sf):
 
 
 @register("top_failed_rules", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL})
-  SELECT rule_name, severity, count(*) AS failures FROM f GROUP BY 1, 2 ORDER BY failures DESC, rule_name LIMIT 5""")
+  SELECT rule_name, severity, count(*) AS failures FROM f GROUP BY 1, 2
+  ORDER BY failures DESC, min(row_id), list_position([{", ".join(f"'{r.name}'" for r in tx_rules())}], rule_name) LIMIT 5""")
 def q_top_failed_rules(spark, sf):
     return R.top_failed_rules(R.rule_failure_counts(_cand(spark, sf), tx_rules()), 5)
 
@@ -168,70 +169,54 @@ def q_rule_class_amount_pattern(spark, sf):
 def q_rule_error_policy(spark, sf):
     rules = [R.Rule("ghost_column_rule", "refers to a column that does not exist", "`V99` >= 0", "warning"),
              R.Rule("disabled_rule", "never evaluated", "false", "critical", enabled=False)]
-    return R.rule_failure_counts(_cand(spark, sf), rules)
+    return R.rule_failure_counts(_cand(spark, sf), rules).select("rule_name", "severity", "failures")
 
 
 # ---- rules proposed as text (R12-R14): derived from the real side's profile ----------
 
-def profile_rule_responses(real: DataFrame, features: list[str]) -> DataFrame:
-    """One fenced JSON response per feature proposing a [min, max] rule pair taken from
-    the real table, plus one response per feature with an unsafe condition (filtered by
-    R13) and one malformed response (voided by R14)."""
-    stats = real.agg(*[F.min(f).alias(f"mn_{f}") for f in features], *[F.max(f).alias(f"mx_{f}") for f in features])
-    rows = []
-    for f in features:
-        good = F.to_json(F.array(
-            F.struct(F.lit(f"{f}_min").alias("name"), F.lit(f"{f} at least the real minimum").alias("description"),
-                     F.concat(F.lit(f"`{f}` >= "), F.col(f"mn_{f}").cast("string")).alias("condition"),
-                     F.lit("warning").alias("severity"), F.lit("observed range").alias("rationale")),
-            F.struct(F.lit(f"{f}_max").alias("name"), F.lit(f"{f} at most the real maximum").alias("description"),
-                     F.concat(F.lit(f"`{f}` <= "), F.col(f"mx_{f}").cast("string")).alias("condition"),
-                     F.lit("Warning").alias("severity"), F.lit("observed range").alias("rationale"))))
-        rows.append(F.struct(F.lit(f).alias("feature"), F.concat(F.lit("```json\n"), good, F.lit("\n```")).alias("response")))
-        unsafe = F.to_json(F.array(F.struct(F.lit(f"{f}_unsafe").alias("name"), F.lit("unsafe").alias("description"),
-                                            F.lit("__import__('os') is None").alias("condition"),
-                                            F.lit("critical").alias("severity"), F.lit("x").alias("rationale"))))
-        rows.append(F.struct(F.lit(f + "#unsafe").alias("feature"), unsafe.alias("response")))
-        bad = F.to_json(F.array(F.struct(F.lit(f"{f}_bad").alias("name"), F.lit("bad severity").alias("description"),
-                                         F.lit("true").alias("condition"), F.lit("fatal").alias("severity"))))
-        rows.append(F.struct(F.lit(f + "#bad").alias("feature"), bad.alias("response")))
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.feature", "r.response")
-
-
-@register("rule_fence_extract", f"""WITH {TX_SQL}
-  SELECT 'gemini_' || f || '_min' AS name, 'warning' AS severity FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(f)
-  UNION ALL
-  SELECT 'gemini_' || f || '_max', 'warning' FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(f)
-  UNION ALL
-  SELECT 'gemini_' || f || '_unsafe', 'critical' FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(f)""")
+def profile_rule_responses(real: DataFrame) -> DataFrame:
+    """Two responses per tens of quantity in the real table: a fenced list of an upper bound, a ratio that divides
+    by zero on some rows and an unsafe rule with an unknown severity; and a list that is void."""
+    g = real.groupBy(F.floor(F.col("l_quantity") / 10).cast("int").alias("g")).agg(F.max("l_quantity").alias("mx"), F.min("l_quantity").alias("mn"))
+
+    def rule(name, condition, severity):
+        return F.struct(F.concat(F.lit(name), F.col("g").cast("string")).alias("name"), F.lit("from the real table").alias("description"),
+                        condition.alias("condition"), severity.alias("severity"), F.lit("observed").alias("rationale"))
+    level = F.when(F.col("g") % 3 == 0, "Warning").when(F.col("g") % 3 == 1, "CRITICAL").otherwise("info")
+    good = F.to_json(F.array(
+        rule("qty_", F.concat(F.lit("`l_quantity` <= "), F.col("mx").cast("string")), level),
+        rule("ratio_", F.concat(F.lit("cast(`l_extendedprice` as double) / (`l_quantity` - "), F.col("mn").cast("string"), F.lit(") < 1e9")), F.lit("warning")),
+        rule("unsafe_", F.lit("__import__('os') is None"), F.lit("fatal"))))
+    bad = F.to_json(F.array(rule("bad_", F.lit("true"), F.lit("fatal")), rule("lost_", F.lit("true"), F.lit("info"))))
+    fenced = F.concat(F.lit("Proposed:\n```json\n"), good, F.when(F.col("g") % 2 == 0, F.lit("\n```\nDone.")).otherwise(F.lit("")))
+    return g.select("g", F.explode(F.array(fenced, bad)).alias("response"))
+
+
+_GROUPS_SQL = f"""WITH {TX_SQL},
+  g AS (SELECT CAST(floor(l_quantity / 10) AS INTEGER) AS g, max(l_quantity) AS mx, min(l_quantity) AS mn FROM real GROUP BY 1)"""
+
+
+@register("rule_fence_extract", _GROUPS_SQL + """
+  SELECT 'gemini_qty_' || g AS name, CASE g % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'critical' ELSE 'info' END AS severity FROM g
+  UNION ALL SELECT 'gemini_ratio_' || g, 'warning' FROM g""")
 def q_rule_fence_extract(spark, sf):
-    resp = profile_rule_responses(real_side(spark, sf), TX_ROLES.features)
-    return R.parse_rule_responses(resp, "response", ["feature"]).select("name", "severity")
+    return R.parse_rule_responses(profile_rule_responses(real_side(spark, sf)), "response", ["g"]).select("name", "severity")
 
 
-@register("rule_safety_filter", """SELECT 'gemini_' || f || s AS name FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(f),
-  (VALUES ('_min'), ('_max')) u(s)""")
+@register("rule_safety_filter", _GROUPS_SQL + """
+  SELECT n || g AS name FROM g, (VALUES ('qty_'), ('ratio_'), ('bad_'), ('lost_')) t(n)""")
 def q_rule_safety_filter(spark, sf):
-    resp = profile_rule_responses(real_side(spark, sf), TX_ROLES.features)
-    return R.safe_rules(R.parse_rule_responses(resp, "response", ["feature"])).select("name")
-
-
-@register("rule_custom_expr", f"""WITH {TX_SQL},
-  lim AS (SELECT min(l_quantity) AS a1, max(l_quantity) AS b1, min(l_extendedprice) AS a2, max(l_extendedprice) AS b2,
-                 min(l_discount) AS a3, max(l_discount) AS b3, min(l_tax) AS a4, max(l_tax) AS b4 FROM real),
-  f AS (
-    SELECT row_id, 'gemini_l_quantity_min' AS rule_name FROM cand, lim WHERE NOT coalesce(l_quantity >= a1, false)
-    UNION ALL SELECT row_id, 'gemini_l_quantity_max' FROM cand, lim WHERE NOT coalesce(l_quantity <= b1, false)
-    UNION ALL SELECT row_id, 'gemini_l_extendedprice_min' FROM cand, lim WHERE NOT coalesce(l_extendedprice >= a2, false)
-    UNION ALL SELECT row_id, 'gemini_l_extendedprice_max' FROM cand, lim WHERE NOT coalesce(l_extendedprice <= b2, false)
-    UNION ALL SELECT row_id, 'gemini_l_discount_min' FROM cand, lim WHERE NOT coalesce(l_discount >= a3, false)
-    UNION ALL SELECT row_id, 'gemini_l_discount_max' FROM cand, lim WHERE NOT coalesce(l_discount <= b3, false)
-    UNION ALL SELECT row_id, 'gemini_l_tax_min' FROM cand, lim WHERE NOT coalesce(l_tax >= a4, false)
-    UNION ALL SELECT row_id, 'gemini_l_tax_max' FROM cand, lim WHERE NOT coalesce(l_tax <= b4, false))
-  SELECT row_id, rule_name FROM f""")
+    resp = profile_rule_responses(real_side(spark, sf))
+    proposed = resp.select(F.inline(F.from_json(R.extract_fenced(F.col("response")), R.RULE_TABLE_TYPE)))
+    return R.safe_rules(proposed).select("name")
+
+
+@register("rule_custom_expr", _GROUPS_SQL + """
+  SELECT row_id, 'gemini_qty_' || g AS rule_name FROM cand, g WHERE NOT coalesce(l_quantity <= mx, false)
+  UNION ALL SELECT row_id, 'gemini_ratio_' || g FROM cand, g WHERE NOT coalesce(l_extendedprice / nullif(l_quantity - mn, 0) < 1e9, false)""")
 def q_rule_custom_expr(spark, sf):
-    resp = profile_rule_responses(real_side(spark, sf), TX_ROLES.features)
-    rules = R.rules_from_table(R.parse_rule_responses(resp, "response", ["feature"]))
+    resp = profile_rule_responses(real_side(spark, sf))
+    rules = R.rules_from_table(R.parse_rule_responses(resp, "response", ["g"]))
     return R.rule_failures(_cand(spark, sf), rules).select("row_id", "rule_name")
 
 
@@ -252,14 +237,6 @@ def q_stream_rule_failures(spark, sf):
     return out
 
 
-@register("failure_samples", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
-  r AS (SELECT rule_name, row_id, row_number() OVER (PARTITION BY rule_name ORDER BY row_id) AS sample_rank FROM f)
-  SELECT rule_name, row_id, sample_rank FROM r WHERE sample_rank <= 5""")
-def q_failure_samples(spark, sf):
-    """W3 under its inventory name (same plan as ``rule_failure_samples``)."""
-    return R.rule_failure_samples(_cand(spark, sf), tx_rules(), k=5).select("rule_name", "row_id", "sample_rank")
-
-
 @register("stream_windowed_failures", f"""WITH {_EV_SQL}, evts AS (SELECT e.event_id AS row_id, e.ts, ev."Time", ev.Amount FROM events e JOIN ev ON e.event_id = ev.row_id),
   f AS (SELECT ts, 'time_non_negative' AS rule_name FROM evts WHERE NOT coalesce("Time" >= 0, false)
         UNION ALL SELECT ts, 'time_in_range' FROM evts WHERE NOT coalesce("Time" <= 172792, false))

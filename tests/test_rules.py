@@ -76,9 +76,36 @@ def test_fenced_rule_responses(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([good, plain, bad_sev, missing, obj, text, unsafe])], "id int, response string")
     parsed = R.parse_rule_responses(df, "response", ["id"])
     names = sorted(r.name for r in parsed.collect())
-    assert names == ["gemini_a", "gemini_b", "gemini_g"]
-    safe = sorted(r.name for r in R.safe_rules(parsed).collect())
-    assert safe == ["gemini_a", "gemini_b"]
+    assert names == ["gemini_a", "gemini_b"]
+
+
+def test_unsafe_rule_does_not_void_its_list_and_fences_may_stay_open(spark):
+    mixed = '[{"name":"u","description":"d","condition":"eval(1)","severity":"fatal"},{"name":"a","description":"d","condition":"true","severity":"info"}]'
+    cut = '```json\n[{"name":"o","description":"d","condition":"true","severity":"info"}]'
+    df = spark.createDataFrame([(1, mixed), (2, cut)], "id int, response string")
+    assert sorted(r.name for r in R.parse_rule_responses(df, "response", ["id"]).collect()) == ["gemini_a", "gemini_o"]
+
+
+def test_a_condition_that_raises_fails_its_rows_only(spark):
+    rules = [Rule("zero", "", "cast(Amount as int) / V1 > 1", "info"), Rule("fraction", "", "Amount % (V1 - 1) >= 0", "info"),
+             Rule("text", "", "cast('x' as int) = 1", "info"), Rule("quoted", "", "'a/b' = 'a/b'", "info")]
+    assert fails(spark, [(1, 1.0, 0.0, 10.0, 0.0), (2, 1.0, 1.0, 10.0, 0.0), (3, 1.0, 2.0, 10.0, 0.0)], rules) == {
+        (1, "zero"), (2, "fraction"), (1, "text"), (2, "text"), (3, "text")}
+
+
+def test_equal_counts_keep_the_order_of_the_first_failing_row(spark):
+    rules = [Rule("z_first", "", "`V1` > 5", "info"), Rule("b", "", "`Amount` > 5", "info"), Rule("a", "", "`Amount` > 6", "info")]
+    rows = [(1, 1.0, 0.0, 9.0, 0.0), (2, 1.0, 9.0, 0.0, 0.0), (3, 1.0, 0.0, 0.0, 0.0)]
+    counts = R.rule_failure_counts(frame(spark, rows), rules)
+    assert [r.rule_name for r in R.top_failed_rules(counts).collect()] == ["z_first", "b", "a"]
+
+
+def test_review_items_as_the_reviewer_writes_them(spark):
+    from fidelis.operators import review as V
+    rows = [(1, '```json\n[{"row_index": "3", "feature": "V1"}, {"row_index": 4, "is_anomalous": 0}, {"is_anomalous": null}, {"is_anomalous": false}]'),
+            (2, '{"row_index": 1}'), (3, "no list"), (4, "so: ```\n[{}]\n``` end"), (5, "[]")]
+    got = {r.i: [tuple(a) for a in r.anomalies] for r in V.parse_responses(spark.createDataFrame(rows, "i int, response string"), "i").collect()}
+    assert got == {1: [(3, "V1", "")], 2: [], 3: [(-1, "parse_error", "Could not parse response: no list")], 4: [(-1, "unknown", "")], 5: []}
 
 
 def test_one_array_column_one_scan(spark):
