@@ -3,9 +3,8 @@
 KS plan (exact, scale-safe): both sides are unpivoted once into
 ``(feature, value, side)``, counted per ``(feature, value)`` with map-side partial
 aggregation (a value that holds a third of all rows becomes ONE row), then
-cumulated with :func:`bucketed_running` - range buckets from
-``percentile_approx`` spread every feature over many tasks, a tiny prefix table
-of bucket totals makes the running counts global - and ``D = max |F_r - F_c|``.
+cumulated with :func:`bucketed_running` (ranges of (feature, value) spread every feature
+over many tasks, the totals of earlier ranges make the counts global), and ``D = max |F_r - F_c|``.
 """
 
 from __future__ import annotations
@@ -26,11 +25,11 @@ def _sides_long(real: DataFrame, candidate: DataFrame, features: list[str]) -> D
     return a.unionByName(b)
 
 
-def _ks_core(u: DataFrame, buckets: int) -> DataFrame:
+def _ks_core(u: DataFrame) -> DataFrame:
     """``u``: (feature, value, _side in {0,1}) -> (feature, statistic, n_a, n_b)."""
     counts = u.groupBy("feature", "value").agg(F.count_if(F.col("_side") == 0).alias("na"),
                                                F.count_if(F.col("_side") == 1).alias("nb"))
-    run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], buckets=buckets, totals=True)
+    run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], totals=True)
     j = run.withColumnRenamed("total_na", "n_a").withColumnRenamed("total_nb", "n_b")
     # an empty side has no distribution: the statistic is NULL, not an ANSI division error
     d = F.abs(F.try_divide(F.col("cum_na"), F.col("n_a")) - F.try_divide(F.col("cum_nb"), F.col("n_b")))
@@ -38,12 +37,11 @@ def _ks_core(u: DataFrame, buckets: int) -> DataFrame:
 
 
 def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
-                  threshold: float = config.KS_THRESHOLD, buckets: int | None = None,
-                  details: bool = True) -> DataFrame:
+                  threshold: float = config.KS_THRESHOLD, details: bool = True) -> DataFrame:
     """T1 + T2 + T3: per feature KS statistic, passed iff ``statistic < threshold``,
     asymptotic p-value, and (``details``) mean / std (n-1) of both sides."""
     u = _sides_long(real, candidate, features)
-    ks = _ks_core(u, buckets)
+    ks = _ks_core(u)
     out = ks.select("feature", F.col("statistic"), (F.col("statistic") < F.lit(threshold)).alias("passed"),
                     F.lit(float(threshold)).alias("threshold"), ks_p_value("statistic", "n_a", "n_b").alias("p_value"),
                     F.col("n_a").alias("n_real"), F.col("n_b").alias("n_candidate"))
@@ -57,13 +55,12 @@ def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
     return out
 
 
-def ks_by_class(df: DataFrame, label: str, features: list[str], notable: float = 0.3,
-                buckets: int | None = None, k: int | None = 10) -> DataFrame:
+def ks_by_class(df: DataFrame, label: str, features: list[str], notable: float = 0.3, k: int | None = 10) -> DataFrame:
     """T4: KS of positives vs negatives per feature; ``notable`` if statistic > 0.3,
     ``***`` if p < 0.001; ranked by statistic (top ``k``)."""
     lf = long_form(df.withColumn("_lbl", F.col(f"`{label}`")), features, ["_lbl"])
     u = lf.where(F.col("_lbl").isin(0, 1)).select("feature", "value", F.when(F.col("_lbl") == 1, 0).otherwise(1).alias("_side"))
-    ks = _ks_core(u, buckets)
+    ks = _ks_core(u)
     p = ks_p_value("statistic", "n_a", "n_b")
     out = ks.select("feature", "statistic", p.alias("p_value"), (F.col("statistic") > notable).alias("notable"),
                     F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*"))
@@ -194,5 +191,5 @@ def feature_comparison(real: DataFrame, candidate: DataFrame, features: list[str
     for m in ("mean", "std", "median"):
         wide = wide.withColumn(f"{m}_diff_pct", F.abs(F.col(f"candidate_{m}") - F.col(f"real_{m}"))
                                / (F.abs(F.col(f"real_{m}")) + F.lit(1e-10)) * 100)
-    ks = _ks_core(u.select("feature", "value", "_side"), None).select("feature", F.col("statistic").alias("ks"))
+    ks = _ks_core(u.select("feature", "value", "_side")).select("feature", F.col("statistic").alias("ks"))
     return wide.join(ks, "feature").withColumn("band", quality_band("ks"))

@@ -96,9 +96,8 @@ def training_sample(real: DataFrame, features: list[str], trees: int, max_sample
                     id_col: str | None = None, n: int | None = None) -> DataFrame:
     """``(tree, features...)``: at most ``max_samples`` rows per tree, drawn without replacement.
 
-    Large tables (``trees * p <= 1`` with ``p = 4 * max_samples / N``): ONE hashed uniform per
-    row, ``u < trees * p`` keeps it for tree ``floor(u / p)`` (disjoint tree samples).
-    Small tables: per-(row, tree) hashes, so samples may overlap as in the usual algorithm."""
+    A hash of (row, tree) decides about each row and tree by itself, so samples may overlap as in
+    the usual algorithm; about four times ``max_samples`` rows a tree reach the final draw."""
     n = real.count() if n is None else n
     p = min(1.0, 4.0 * max_samples / max(n, 1))
     key = F.col(f"`{id_col}`") if id_col else F.xxhash64(*[F.col(f"`{f}`") for f in features])
@@ -107,14 +106,9 @@ def training_sample(real: DataFrame, features: list[str], trees: int, max_sample
     def u(t):
         return F.xxhash64(F.col("_k"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
 
-    if trees * p <= 1.0:
-        u0 = u(F.lit(-1))
-        cand = base.where(u0 < F.lit(trees * p)).select(
-            "_k", *features, F.floor(u0 / F.lit(p)).cast("int").alias("tree"), u0.alias("_u"))
-    else:
-        hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))
-        cand = base.select("_k", *features, F.explode(hits).alias("tree"))
-        cand = cand.withColumn("_u", u(F.col("tree")))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))
+    cand = base.select("_k", *features, F.explode(hits).alias("tree"))
+    cand = cand.withColumn("_u", u(F.col("tree")))
     w = Window.partitionBy("tree").orderBy("_u", "_k")  # ~4 * max_samples rows per tree
     return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).drop("_r", "_u", "_k")
 

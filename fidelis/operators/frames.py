@@ -2,9 +2,9 @@
 
 * :func:`long_form`      - unpivot a feature list to ``(feature, value)`` once.
 * :func:`bucketed_running` - exact running sums per group without putting a whole
-  group into one task: range buckets from ``percentile_approx`` decide *where*
-  the work runs, per-bucket windows compute local sums and a tiny prefix table
-  of bucket totals makes them global.  The result is exact whatever the splits.
+  group into one task: rows are range-partitioned once by (group, order) and kept in the
+  shared folder, each range cumulates locally and the totals of the ranges before it make
+  the sums global.  One plan at every size.
 * :func:`dense_index`    - 0..N-1 numbering per group (same plan, counting ones).
 * :func:`top_k_per_group` - first ``k`` rows per group by an order, two-level
   (salted) so a hot group is ranked by many tasks.
@@ -12,57 +12,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.columns import clean
-
-DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 20_000
-TARGET_BUCKET_BYTES = 32 * 1024 * 1024
-SINGLE_TASK_BYTES = 64 * 1024 * 1024   # inputs this small are cumulated by one plain window
-
-
-def auto_buckets(df: DataFrame, minimum: int = DEFAULT_BUCKETS, maximum: int = MAX_BUCKETS,
-                 target_bytes: int = TARGET_BUCKET_BYTES) -> int:
-    """Buckets per group from the size of the data the plan READS (sum of Catalyst's leaf
-    statistics, i.e. file sizes for scans; no job is run): about ``target_bytes`` of input
-    per bucket, clamped to [minimum, maximum].  The top-level estimate is not used because
-    estimates above joins and aggregates are unreliable."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        size = 0
-        it = leaves.iterator()
-        while it.hasNext():
-            v = it.next().stats().sizeInBytes()
-            v = int(v) if isinstance(v, int) else int(v.toString())
-            if v >= 1 << 62:  # unknown size (an RDD-backed frame): the fixed default
-                return minimum
-            size += v
-    except Exception:  # noqa: BLE001 - no estimate: use the fixed default
-        return minimum
-    if size <= SINGLE_TASK_BYTES:
-        return 1
-    return int(min(maximum, max(minimum, size // max(target_bytes, 1))))
-
-
-def bucket_of(splits: Column, value: Column, n_splits: int) -> Column:
-    """Number of split points strictly below ``value`` by binary search over the sorted
-    ``splits`` array: O(log buckets) per row through ``aggregate`` over a fixed step count."""
-    steps = max(1, math.ceil(math.log2(n_splits + 1)))
-
-    def step(acc, _i):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi + 1) / 2).cast("int")
-        below = F.try_element_at(splits, mid) < value
-        active = lo < hi
-        return F.struct(F.when(active & below, mid).otherwise(lo).alias("lo"),
-                        F.when(active & ~below, mid - 1).otherwise(hi).alias("hi"))
-
-    init = F.struct(F.lit(0).alias("lo"), F.size(splits).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+from fidelis.session import cut_lineage
 
 
 def long_form(df: DataFrame, features: list[str], id_cols: list[str] | None = None,
@@ -76,63 +30,34 @@ def long_form(df: DataFrame, features: list[str], id_cols: list[str] | None = No
     return out
 
 
-def _splits(df: DataFrame, group_cols: list[str], order_col: str, buckets: int, accuracy: int) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:  # one bucket: no split points
-        agg = F.filter(F.array(F.first(F.col(order_col))), lambda s: F.lit(False)).alias("_splits")
-    else:
-        agg = F.percentile_approx(F.col(order_col), probs, accuracy).alias("_splits")
-    if group_cols:
-        return df.groupBy(*group_cols).agg(agg)
-    return df.agg(agg)
-
-
 def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                     buckets: int | None = None, accuracy: int | None = None, prefix: str = "cum_",
-                     totals: bool = False) -> DataFrame:
+                     prefix: str = "cum_", totals: bool = False) -> DataFrame:
     """Add inclusive running sums of ``sum_cols`` per ``group_cols`` ordered by ``order_col``.
 
-    ``order_col`` must be unique within a group (aggregate duplicates first).
-    ``group_cols`` must have few distinct values (features, classes): the split
-    and offset tables hold ``groups x buckets`` rows and are broadcast.  ``buckets``
-    defaults to :func:`auto_buckets` (grows with the input, capped), so a bucket's
-    window stays near ``TARGET_BUCKET_BYTES`` at any scale.  ``totals`` also adds the group
-    totals ``total_<col>`` (from the same small tables, no second pass over ``df``).
+    ``order_col`` must be unique within a group (aggregate duplicates first).  Rows go to
+    ``spark.sql.shuffle.partitions`` ranges of (group, order), so a range shrinks with that
+    setting whatever the size of a group; the ranges are checkpointed, so ``df`` runs once and
+    every later step sees the same ranges.  The offsets table has a row per range and group
+    in it (ranges + groups at most).  ``totals`` also adds the group totals ``total_<col>``.
     """
     group_cols = list(group_cols)
-    buckets = buckets or auto_buckets(df)
-    if buckets == 1:
-        # small input (checked size): one window per group, no split / offset stages
-        w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy(
-            F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        w_all = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
-        extra = [F.sum(F.col(c)).over(w_all).alias(f"total_{c}") for c in sum_cols] if totals else []
-        return df.select(*[F.col(f"`{c}`") for c in df.columns],
-                         *[F.sum(F.col(c)).over(w).alias(f"{prefix}{c}") for c in sum_cols], *extra)
-    accuracy = accuracy or max(10000, 4 * buckets)  # splits only balance the work: +-25% per bucket is fine
-    splits = _splits(df, group_cols, order_col, buckets, accuracy)
-    if group_cols:
-        tagged = df.join(F.broadcast(splits), group_cols, "inner")
-    else:
-        # one split row for the whole frame: equi-join on a constant key (broadcast, 1 row)
-        tagged = df.withColumn("_one", F.lit(1)).join(
-            F.broadcast(splits.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    if buckets <= 128:  # a short linear count is cheaper than the interpreted binary search
-        bucket = F.size(F.filter(F.col("_splits"), lambda s: s < F.col(order_col)))
-    else:
-        bucket = bucket_of(F.col("_splits"), F.col(order_col), buckets - 1)
-    tagged = tagged.withColumn("_bucket", bucket).drop("_splits")
-    keys = group_cols + ["_bucket"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *[F.col(f"`{c}`") for c in [*group_cols, order_col]]).withColumn("_range", F.spark_partition_id()))
+    keys = [*group_cols, "_range"]
     w_local = Window.partitionBy(*keys).orderBy(F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.select("*", *[F.sum(F.col(c)).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
-    bucket_totals = tagged.groupBy(*keys).agg(*[F.sum(F.col(c)).alias(f"_tot_{c}") for c in sum_cols])
-    w_prefix = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    w_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    offsets = bucket_totals.select(
-        *keys, *[F.coalesce(F.sum(f"_tot_{c}").over(w_prefix), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
-        *[F.sum(f"_tot_{c}").over(w_group).alias(f"total_{c}") for c in sum_cols])  # groups x buckets rows
-    out = local.join(F.broadcast(offsets), keys, "inner")
+    local = ranged.select("*", *[F.sum(F.col(c)).over(w_local).alias(f"_loc_{c}") for c in sum_cols])
+    range_totals = ranged.groupBy(*keys).agg(*[F.sum(F.col(c)).alias(f"_tot_{c}") for c in sum_cols])
+    w_group = Window.partitionBy(*(group_cols or [F.lit(0)]))  # over the ranges of a group, not its rows
+    w_before = w_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = range_totals.select(
+        *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keys)],
+        *[F.coalesce(F.sum(f"_tot_{c}").over(w_before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        *[F.sum(f"_tot_{c}").over(w_group).alias(f"total_{c}") for c in sum_cols])
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    out = local.join(offsets, on)
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
@@ -140,11 +65,10 @@ def bucketed_running(df: DataFrame, group_cols: list[str], order_col: str, sum_c
     )
 
 
-def dense_index(df: DataFrame, order_col: str, group_cols: list[str] | None = None, name: str = "idx",
-                buckets: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_col: str, group_cols: list[str] | None = None, name: str = "idx") -> DataFrame:
     """Number rows 0..N-1 within each group by ``order_col`` (unique per group)."""
     tmp = df.withColumn("_ones", F.lit(1).cast("long"))
-    out = bucketed_running(tmp, list(group_cols or []), order_col, ["_ones"], buckets=buckets, prefix="_cum")
+    out = bucketed_running(tmp, list(group_cols or []), order_col, ["_ones"], prefix="_cum")
     return out.withColumn(name, F.col("_cum_ones") - 1).drop("_ones", "_cum_ones")
 
 
@@ -169,8 +93,7 @@ def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[s
     return df.withColumn("_g", F.lit(0)), ["_g"]
 
 
-def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    buckets: int | None = None) -> DataFrame:
+def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / numpy default) per group.
 
     Unlike ``percentile`` (whose buffer holds every distinct value of a group in
@@ -182,7 +105,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     """
     df, gcols = _with_group(long_df.where(F.col(value_col).isNotNull()), list(group_cols))
     counts = df.groupBy(*gcols, value_col).agg(F.count(F.lit(1)).alias("_n"))
-    run = bucketed_running(counts, gcols, value_col, ["_n"], buckets=buckets, totals=True)
+    run = bucketed_running(counts, gcols, value_col, ["_n"], totals=True)
     first = F.col("cum__n") - F.col("_n")  # ranks (first, cum] live in this row
     aggs = []
     for k, p in enumerate(probs):
@@ -200,13 +123,6 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     return out.drop("_g") if not group_cols else out
 
 
-def _and_all(conds):
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 def quantile_columns(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
                      exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """Quantiles as named columns per group: ``probs = {"q25": .25, ...}``.

@@ -195,15 +195,19 @@ def real_data_summary(df: DataFrame, label: str, amount: str, time: str, feature
     return head.unionByName(nfeat).unionByName(med).unionByName(cmed).unionByName(topf)
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50, lo: float | None = None, hi: float | None = None) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 50, lo: float | None = None, hi: float | None = None, log: bool = False) -> DataFrame:
     """H1: equal-width bins over [min, max] (or a given range), last bin closed like numpy;
     values outside a given range are dropped.  Every bin is listed (zero counts too).
+    A constant column is binned over [x - 0.5, x + 0.5].  ``log`` bins the base-10 logarithm of the positive values.
     ``density = count / (n_in_range * width)``."""
     v = clean(F.col(_q(col)))
+    if log:
+        v = F.when(v > 0, F.log10(v))
     base = df.select(v.alias("v")).where(F.col("v").isNotNull())
     rng = base.agg(F.min("v").alias("lo"), F.max("v").alias("hi")) if lo is None or hi is None else \
         base.limit(0).agg(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
-    rng = rng.select(F.col("lo"), F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1).alias("hi"))
+    flat = F.col("hi") <= F.col("lo")
+    rng = rng.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     rng = rng.withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     tagged = attach(base, rng)
     tagged = tagged.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))

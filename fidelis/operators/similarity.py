@@ -61,28 +61,34 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(key, F.col(f"`{id_col}`")).limit(n)
 
 
+def _normalise(vectors: pd.Series) -> np.ndarray:
+    m = np.nan_to_num(np.vstack([np.asarray(v, dtype=np.float64) for v in vectors]))
+    n = np.linalg.norm(m, axis=1)
+    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
+
+
 def _block_fn(k: int):
+    """The ``k`` best reference rows of a block for each candidate row of a block, equal ones by id."""
     def fn(_key, pc: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
         if pc.empty or pr.empty:
-            return pd.DataFrame({"cid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "similarity": pd.Series([], dtype="float64")})
-        c = np.vstack([np.asarray(v, dtype=np.float64) for v in pc["v"]])
-        r = np.vstack([np.asarray(v, dtype=np.float64) for v in pr["v"]])
-        c = np.nan_to_num(c)
-        r = np.nan_to_num(r)
-        cn = np.linalg.norm(c, axis=1)
-        rn = np.linalg.norm(r, axis=1)
-        c = np.divide(c, cn[:, None], out=np.zeros_like(c), where=cn[:, None] > 0)
-        r = np.divide(r, rn[:, None], out=np.zeros_like(r), where=rn[:, None] > 0)
-        sims = c @ r.T
-        rid = pr["rid"].to_numpy()
-        kk = min(k, sims.shape[1])
-        # order by similarity desc, then reference id asc (deterministic ties)
-        order = np.lexsort((np.broadcast_to(rid, sims.shape), -sims), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(sims.shape[0]), kk)
-        cols = order.reshape(-1)
-        return pd.DataFrame({"cid": pc["cid"].to_numpy()[rows], "rid": rid[cols],
-                             "similarity": sims[rows, cols]})
+            return pd.DataFrame({"cid": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        pr = pr.sort_values("rid")
+        rid, ref = pr["rid"].to_numpy(), _normalise(pr["v"]).T
+        kk = min(k, len(rid))
+        cids, rids, best = [], [], []
+        for at in range(0, len(pc), 512):  # a strip of the block product at a time
+            part = pc.iloc[at: at + 512]
+            sims = _normalise(part["v"]) @ ref
+            edge = np.partition(sims, len(rid) - kk, axis=1)[:, len(rid) - kk]  # the k-th best value
+            row, col = np.nonzero(sims >= edge[:, None])
+            order = np.lexsort((rid[col], -sims[row, col], row))
+            row, col = row[order], col[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
+            row, col = row[keep], col[keep]
+            cids.append(part["cid"].to_numpy()[row])
+            rids.append(rid[col])
+            best.append(sims[row, col])
+        return pd.DataFrame({"cid": np.concatenate(cids), "rid": np.concatenate(rids), "similarity": np.concatenate(best)})
     return fn
 
 
@@ -95,36 +101,6 @@ def _row_bound(df: DataFrame) -> int:
     return df.count()
 
 
-def _normalise(m: np.ndarray) -> np.ndarray:
-    m = np.nan_to_num(m)
-    n = np.linalg.norm(m, axis=1)
-    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
-
-
-def _probe_fn(cids: np.ndarray, cmat: np.ndarray, k: int):
-    """Scan one reference partition against the (small, broadcast) candidate matrix and
-    keep the best ``k`` reference rows per candidate seen in this partition."""
-    def fn(batches):
-        best_sim = np.full((len(cids), 0), -np.inf)
-        best_rid = np.zeros((len(cids), 0), dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            r = _normalise(np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"]]))
-            sims = cmat @ r.T
-            rid = np.broadcast_to(pdf["rid"].to_numpy(), sims.shape)
-            allsim = np.concatenate([best_sim, sims], axis=1)
-            allrid = np.concatenate([best_rid, rid], axis=1)
-            order = np.lexsort((allrid, -allsim), axis=1)[:, :k]
-            best_sim = np.take_along_axis(allsim, order, axis=1)
-            best_rid = np.take_along_axis(allrid, order, axis=1)
-        kk = best_sim.shape[1]
-        if kk == 0:
-            return
-        yield pd.DataFrame({"cid": np.repeat(cids, kk), "rid": best_rid.reshape(-1), "similarity": best_sim.reshape(-1)})
-    return fn
-
-
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
               k: int = 1, block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
     """The ``k`` most cosine-similar reference rows of every candidate row.
@@ -132,34 +108,21 @@ def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id:
     Output ``(<cand_id>, rank, ref_id, similarity)``; a candidate with no reference row
     (empty reference) gets one row with similarity 0.0 and a NULL reference id.
 
-    * candidate of at most ``block_rows`` rows (the layer's sample): its vectors (a checked,
-      bounded matrix) are shipped to every reference partition; the reference is scanned
-      once, never shuffled, and each partition returns ``k`` rows per candidate;
-    * otherwise the blocked equi-cogroup: every candidate block meets every reference block.
-      This is exact all-pairs work, quadratic by nature; sample the candidate side (as the
-      layer does) when both sides are large.
+    Every candidate block meets every reference block in an equi-cogroup; ``n_ref`` and
+    ``n_cand`` (counted when not given) only set the number of blocks.  The work is that of an
+    exact comparison of all pairs, spread evenly; only ``k`` rows a candidate leave a block.
     """
     n_cand = _row_bound(candidate) if n_cand is None else n_cand
+    n_ref = _row_bound(reference) if n_ref is None else n_ref
+    n_rb, n_cb = max(1, math.ceil(n_ref / block_rows)), max(1, math.ceil(n_cand / block_rows))
     c = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     r = reference.select(F.col(f"`{ref_id}`").cast("long").alias("rid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
-    if n_cand <= block_rows:
-        rows = c.limit(block_rows).collect()  # bounded by block_rows vectors (checked above)
-        cids = np.array([row["cid"] for row in rows], dtype=np.int64)
-        cmat = _normalise(np.vstack([np.asarray(row["v"], dtype=np.float64) for row in rows])) if rows else np.zeros((0, 0))
-        if len(rows):
-            best = r.mapInPandas(_probe_fn(cids, cmat, k), NN_SCHEMA)
-        else:
-            best = r.sparkSession.createDataFrame([], NN_SCHEMA)
-    else:
-        n_ref = _row_bound(reference) if n_ref is None else n_ref
-        n_rb = max(1, math.ceil(n_ref / block_rows))
-        n_cb = max(1, math.ceil(n_cand / block_rows))
-        c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_cb))).withColumn(
-            "rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rb - 1).cast("long"))))
-        r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
-        best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
-    # <= k rows per candidate and per reference partition (or block)
+    c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_cb))).withColumn(
+        "rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rb - 1).cast("long"))))
+    r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
+    best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
+    # <= k rows per candidate and reference block
     w = Window.partitionBy("cid").orderBy(F.desc("similarity"), "rid")
     top = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     ids = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"))
@@ -196,11 +159,13 @@ def anomaly_rate(flags: DataFrame, escalate: float = config.SIMILARITY_ESCALATE_
                     (rate <= escalate).alias("passed"), F.lit("exact_blocked").alias("backend"))
 
 
-def escalation_context(summary: DataFrame, flags: DataFrame, id_col: str, preview: int = 10) -> DataFrame:
-    """The escalation text (count, rate %, first ``preview`` flagged ids by id order)."""
-    first_ids = flags.where("flagged").select(id_col).orderBy(id_col).limit(preview)
-    ids_txt = first_ids.agg(F.array_join(F.sort_array(F.collect_list(F.col(id_col).cast("string"))), ", ").alias("ids"))
-    j = attach(summary, ids_txt)
-    txt = F.format_string("Similarity layer flagged %d of %d rows (%.1f%%) as dissimilar to real data. Flagged ids: %s",
-                          F.col("anomalies"), F.col("sampled"), F.col("anomaly_rate") * 100, F.coalesce(F.col("ids"), F.lit("")))
-    return j.select("escalated", F.when(F.col("escalated"), txt).alias("context"))
+def escalation_context(summary: DataFrame) -> DataFrame:
+    """The escalation text (count and rate), NULL unless escalated; ``flagged_ids`` has the ids."""
+    txt = F.format_string("similarity check: %d of %d rows flagged (%.1f%%)",
+                          F.col("anomalies"), F.col("sampled"), F.col("anomaly_rate") * 100)
+    return summary.select("escalated", F.when(F.col("escalated"), txt).alias("context"))
+
+
+def flagged_ids(summary: DataFrame, flags: DataFrame, id_col: str) -> DataFrame:
+    """Every flagged id, one row each, with the context text (a long table at any count)."""
+    return attach(flags.where("flagged").select(F.col(f"`{id_col}`")), escalation_context(summary))

@@ -51,7 +51,9 @@ def require_columns(df: DataFrame, cols: list[str], layer: str) -> None:
 def _bounded(df: DataFrame, bound: int) -> DataFrame:
     """Materialise a result that is at most ``bound`` rows by construction (a sample, a
     top-n) as a small local frame, so later branches do not re-run the plan behind it."""
-    rows = df.limit(bound).collect()
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} rows where {bound} at most are possible")
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 

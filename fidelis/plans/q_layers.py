@@ -144,9 +144,9 @@ def q_report_summary(spark, sf):
     return rounded(rep.select("final_score", "decision", "rules_score", "statistics_score", "review_score", "similarity_score"))
 
 
-@register("validate_end_to_end", f"""SELECT CASE WHEN final_score >= {config.PASS_THRESHOLD} THEN 'PASS' ELSE 'FAIL_UNRECOVERABLE' END AS decision,
+@register("validate_pipeline", f"""SELECT CASE WHEN final_score >= {config.PASS_THRESHOLD} THEN 'PASS' ELSE 'FAIL_UNRECOVERABLE' END AS decision,
   final_score, 1 AS attempt, 0 AS retry_count FROM ({FINAL_SQL})""")
-def q_validate_end_to_end(spark, sf):
+def q_validate_pipeline(spark, sf):
     real, cand = _sides(spark, sf)
     weights = O.weights_frame(spark)
 
@@ -191,7 +191,7 @@ def q_fallback_scores(spark, sf):
         try:
             rows.append((layer, float(build().first()["s"]), None))
         except Exception as exc:  # noqa: BLE001 - the error is the result
-            rows.append((layer, None, str(exc).splitlines()[0][:120]))
+            rows.append((layer, None, str(exc).splitlines()[0]))
     df = spark.createDataFrame(rows, "layer string, score double, error string")
     fallback = F.create_map(*[x for k, v in config.FALLBACK_SCORES.items() for x in (F.lit(k), F.lit(float(v)))])
     return df.select("layer", "score", "error",
@@ -267,7 +267,7 @@ def q_sink_table(spark, sf):
     from fidelis.operators import rules as RL
     from fidelis.plans.q_rules import tx_rules
     path = _scratch(spark, "sink")
-    io.sink_table(RL.rule_failure_counts(candidate_side(spark, sf), tx_rules()), path)
+    io.sink_table(RL.rule_failure_counts(candidate_side(spark, sf), tx_rules()).select("rule_name", "severity", "failures"), path)
     return io.scan_table(spark, path)
 
 

@@ -62,16 +62,15 @@ def q_sim_anomaly_rate(spark, sf):
 
 
 @register("escalation_context", f"""WITH {EMB_SQL}, f AS (SELECT cid, sim < 0.4 AS flagged FROM b WHERE rn = 1),
-  a AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE flagged) AS anomalies FROM f),
-  ids AS (SELECT string_agg(CAST(cid AS VARCHAR), ', ' ORDER BY CAST(cid AS VARCHAR)) AS ids FROM (SELECT cid FROM f WHERE flagged ORDER BY cid LIMIT 10))
-  SELECT anomalies / greatest(sampled, 1) > 0.15 AS escalated,
+  a AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE flagged) AS anomalies FROM f)
+  SELECT cid AS vec_id, anomalies / greatest(sampled, 1) > 0.15 AS escalated,
     CASE WHEN anomalies / greatest(sampled, 1) > 0.15 THEN
-      'Similarity layer flagged ' || anomalies || ' of ' || sampled || ' rows (' || printf('%.1f', round(anomalies / greatest(sampled, 1), 4) * 100)
-      || '%) as dissimilar to real data. Flagged ids: ' || coalesce(ids, '') END AS context FROM a, ids""")
+      'similarity check: ' || anomalies || ' of ' || sampled || ' rows flagged (' || printf('%.1f', round(anomalies / greatest(sampled, 1), 4) * 100) || '%)' END AS context
+  FROM f, a WHERE flagged""")
 def q_escalation_context(spark, sf):
     cand, ref = _emb(spark, sf)
     flags = S.flag_rows(S.nn_cosine(cand, ref, "vec_id", "vec_id", "embedding"))
-    return S.escalation_context(S.anomaly_rate(flags), flags, "vec_id")
+    return S.flagged_ids(S.anomaly_rate(flags), flags, "vec_id")
 
 
 @register("standard_scale", f"""WITH {TX_SQL},

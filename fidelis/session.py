@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present.  Only when it is unset
-    (local tests) is a fresh scratch folder created and registered.
+    The cluster's setting is always used.  Where it is unset, a local session (one machine,
+    as in tests) gets a scratch folder of its own; any other session raises, because
+    executors could not read each other's files.
     """
     conf = spark.sparkContext.getConf()
     current = spark.sparkContext.getCheckpointDir()
@@ -42,11 +44,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="fidelis-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="fidelis-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context.
+
+    Workers on other machines, or started in another folder, need not have it installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_fidelis_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="fidelis-pkg-"), "fidelis_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    context.addPyFile(path)
+    context._fidelis_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +54,10 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
     """Read a stored baseline profile (JSON); ``None`` when absent so callers go on without it."""
     try:
         return spark.read.option("multiLine", True).json(path)
-    except Exception:  # noqa: BLE001 - a missing baseline is allowed
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # a missing baseline is allowed, a damaged one is not
+            return None
+        raise
 
 
 def baseline_section_sizes(baseline: DataFrame) -> DataFrame:

@@ -81,12 +81,11 @@ def test_generator_float_label_thresholds(spark):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=200),
-       st.sampled_from([1, 2, 5, 17]))
-def test_exact_quantiles_property(spark, values, buckets):
+@given(st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=200))
+def test_exact_quantiles_property(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "value double")
     probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
-    got = {r.p: r.q for r in exact_quantiles(df, [], "value", probs, buckets=buckets).collect()}
+    got = {r.p: r.q for r in exact_quantiles(df, [], "value", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.percentile(np.array(values, dtype=float), p * 100), abs=1e-9)
 

@@ -30,7 +30,7 @@ def samples(spark):
 
 def test_ks_matches_numpy_with_ties(spark, samples):
     a, b, ra, rb = samples
-    got = D.ks_two_sample(ra, rb, ["x"], buckets=7).collect()[0]
+    got = D.ks_two_sample(ra, rb, ["x"]).collect()[0]
     assert got.statistic == pytest.approx(ks_np(a, b), abs=1e-12)
     assert got.n_real == 700 and got.n_candidate == 500
     assert 0.0 <= got.p_value <= 1.0
@@ -44,10 +44,20 @@ def test_ks_identity_and_symmetry(spark, samples):
     assert s1 == pytest.approx(s2)
 
 
-def test_ks_independent_of_buckets_and_partitions(spark, samples):
-    _, _, ra, rb = samples
-    s = {D.ks_two_sample(ra.repartition(p), rb, ["x"], buckets=k).collect()[0].statistic for p in (1, 5) for k in (1, 3, 64)}
-    assert len(s) == 1
+def test_running_sums_do_not_depend_on_the_partitions(spark, samples):
+    a, b, ra, rb = samples
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    v = spark.createDataFrame([(float(x),) for x in b], "value double")
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    try:
+        for parts in ("3", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert D.ks_two_sample(ra.repartition(5), rb, ["x"]).collect()[0].statistic == pytest.approx(ks_np(a, b), abs=1e-12)
+            got = {r.p: r.q for r in exact_quantiles(v, [], "value", probs).collect()}
+            assert all(got[p] == pytest.approx(np.percentile(b, p * 100), abs=1e-9) for p in probs)
+            assert sorted(r.idx for r in dense_index(spark.range(3000), "id", []).collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_exact_quantiles_match_numpy_linear(spark):
@@ -55,14 +65,14 @@ def test_exact_quantiles_match_numpy_linear(spark):
     v = np.round(rng.exponential(3, 999), 1)  # many duplicates
     df = spark.createDataFrame([(float(x),) for x in v], "value double")
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r.p: r.q for r in exact_quantiles(df, [], "value", probs, buckets=5).collect()}
+    got = {r.p: r.q for r in exact_quantiles(df, [], "value", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(np.percentile(v, p * 100), abs=1e-9)
 
 
 def test_dense_index_is_a_permutation(spark):
     df = spark.range(0, 1000, 3).withColumn("g", F.col("id") % 2)
-    out = dense_index(df, "id", ["g"], buckets=4).collect()
+    out = dense_index(df, "id", ["g"]).collect()
     for g in (0, 1):
         idx = sorted(r.idx for r in out if r.g == g)
         assert idx == list(range(len(idx)))
@@ -110,29 +120,3 @@ def test_moment_comparison(spark, samples):
     out = {r.test_name: r.statistic for r in D.moment_comparison(ra, rb, ["x"]).collect()}
     assert out["mean_comparison"] == pytest.approx(abs(a.mean() - b.mean()) / (abs(a.mean()) + 1e-10))
     assert out["std_comparison"] == pytest.approx(abs(a.std(ddof=1) - b.std(ddof=1)) / (a.std(ddof=1) + 1e-10))
-
-
-def test_binary_search_bucket_path_is_exact(spark, samples):
-    """More than 128 buckets switches the bucket lookup to the binary search used at scale."""
-    a, b, ra, rb = samples
-    got = D.ks_two_sample(ra, rb, ["x"], buckets=300).collect()[0]
-    assert got.statistic == pytest.approx(ks_np(a, b), abs=1e-12)
-    rng = np.random.default_rng(4)
-    v = np.round(rng.normal(size=2000), 3)
-    df = spark.createDataFrame([(float(x),) for x in v], "value double")
-    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
-    got_q = {r.p: r.q for r in exact_quantiles(df, [], "value", probs, buckets=257).collect()}
-    for p in probs:
-        assert got_q[p] == pytest.approx(np.percentile(v, p * 100), abs=1e-9)
-    idx = sorted(r.idx for r in dense_index(spark.range(3000), "id", [], buckets=200).collect())
-    assert idx == list(range(3000))
-
-
-def test_bucket_of_matches_linear_count(spark):
-    from fidelis.operators.frames import bucket_of
-    splits = [float(x) for x in sorted(np.random.default_rng(2).normal(size=150))]
-    vals = [float(x) for x in np.random.default_rng(3).normal(size=300)] + splits[:5]
-    df = spark.createDataFrame([(splits, v) for v in vals], "s array<double>, v double")
-    got = [r.b for r in df.select(bucket_of(F.col("s"), F.col("v"), len(splits)).alias("b")).collect()]
-    want = [sum(1 for s in splits if s < v) for v in vals]
-    assert got == want
