@@ -56,7 +56,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
-@query("op4_repetition")
+@query("op4_repetition", repetition.ORACLE_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 

@@ -117,3 +117,30 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = ", ".join([f"`{id_col}` {dict(d.dtypes)[id_col]}", *[f"{c} bigint" for c in longs], *[f"{c} double" for c in shares],
                         "base_failed boolean", "kept boolean"])
     return d.mapInArrow(batches, schema)
+
+
+def _oracle() -> str:
+    grams = "".join(f"""
+g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+  SELECT doc_id, i, w[i:i + {n - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n}))),
+c{n} AS (SELECT doc_id, count(*) AS words, sum(length(word)) AS chars FROM word JOIN (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE c > 1) USING (doc_id, i) GROUP BY doc_id),""" for n in (3, *COVERAGE))
+    joins = " ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in (3, *COVERAGE))
+    shares = ", ".join(f"coalesce(c{n}.chars, 0) / greatest(word_chars, 1) AS dup_{n}gram_share" for n in COVERAGE)
+    limits = " AND ".join(f"dup_{n}gram_share <= {most}" for n, most in COVERAGE.items())
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),{grams}
+n AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM w),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM w),
+d AS (SELECT doc_id, count(*)::BIGINT AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE k > 1 GROUP BY doc_id),
+a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c3.words, 0)::BIGINT AS n_repeat_words,
+  coalesce(d.chars, 0) / greatest(word_chars, 1) AS dup_line_share, {shares} FROM n LEFT JOIN d USING (doc_id) {joins}),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND dup_line_share <= {LINE_SHARE} AND n_symbols <= {SYMBOL_RATE} * n_words AND {limits} AS kept FROM f
+"""
+
+
+ORACLE_SQL = _oracle()
