@@ -1,24 +1,25 @@
 """Correlation structure (C1-C6) as a long ``(feature_a, feature_b, corr)`` table.
 
-All pairs of a feature list are computed in ONE scan (chunked to at most
-``chunk`` aggregates per pass for very wide lists), pairwise-complete like
-pandas, with ``try_divide`` so a constant column yields NULL instead of an ANSI
-error; pairs are never unpivoted into rows before aggregation.
+All pairs of a feature list come from one pass of cross products: each task adds up, for
+every pair, the number of rows that have both values and their sums, squares and products
+(numpy matrix products over Arrow batches), and one small grouped sum joins the tasks.  The
+result is pairwise complete like pandas; a constant column gives NULL.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis import config
 from fidelis.functions.columns import clean
 
-
-def _pairs(features: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+_SUMS = ["n", "si", "sj", "qi", "qj", "g"]
 
 
 def _pair_corr(a, b):
@@ -27,53 +28,45 @@ def _pair_corr(a, b):
     return F.try_divide(F.covar_samp(a, b), sa * sb)
 
 
-def pair_aggs(features: list[str], tag: str = "") -> list:
-    """Aggregate expressions ``{tag}p{i}_{j}`` for every pair (to share a scan with others)."""
-    cols = [clean(F.col(f"`{f}`").cast("double")) for f in features]
-    return [_pair_corr(cols[i], cols[j]).alias(f"{tag}p{i}_{j}") for i, j in _pairs(features)]
-
-
-def pairs_long(wide: DataFrame, features: list[str], tag: str = "", name: str = "corr") -> DataFrame:
-    """One-row frame of pair aggregates -> ``(feature_a, feature_b, i, j, <name>)``."""
-    entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
-                        F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"{tag}p{i}_{j}").alias(name))
-               for i, j in _pairs(features)]
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
-def corr_long(df: DataFrame, features: list[str], chunk: int = 100) -> DataFrame:
+def pair_sums(df: DataFrame, features: list[str]) -> DataFrame:
+    """``(i, j, n, si, sj, qi, qj, g)`` for every pair i < j of ``features``: rows with both values, sums,
+    sums of squares and of products, of the values less the smallest one of their column."""
+    cols = [clean(F.col(f"`{f}`").cast("double")).alias(f"c{k}") for k, f in enumerate(features)]
+    base = df.select(*cols)
+    low = base.agg(*[F.min(f"c{k}") for k in range(len(features))]).first()
+    shift = np.array([x or 0.0 for x in low])
+    upper = np.triu_indices(len(features), 1)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(upper[0])))
+        for b in it:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) - shift
+            has = ~np.isnan(x)
+            x = np.where(has, x, 0.0)
+            has = has.astype(float)
+            s, q = x.T @ has, (x * x).T @ has
+            total += np.stack([m[upper] for m in (has.T @ has, s, s.T, q, q.T, x.T @ x)])
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *[pa.array(t) for t in total]],
+                                         names=["i", "j", *_SUMS])
+
+    sums = base.mapInArrow(batches, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every pair ``i < j`` (feature order), pairwise complete."""
-    pairs = _pairs(features)
-    parts = []
-    for start in range(0, len(pairs), chunk):
-        block = set(pairs[start:start + chunk])
-        aggs = [a for a, ij in zip(pair_aggs(features), pairs) if ij in block]
-        wide = df.agg(*aggs)
-        entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
-                            F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("corr"))
-                   for i, j in pairs[start:start + chunk]]
-        parts.append(wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def diff_from_wide(both: DataFrame, features: list[str], real_tag: str = "r_", cand_tag: str = "c_") -> DataFrame:
-    """C6 from one row holding both sides' pair aggregates (no join)."""
-    entries = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"),
-                        F.lit(i).alias("i"), F.lit(j).alias("j"),
-                        F.col(f"{real_tag}p{i}_{j}").alias("real_corr"), F.col(f"{cand_tag}p{i}_{j}").alias("candidate_corr"))
-               for i, j in _pairs(features)]
-    d = both.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return d.withColumn("diff", F.col("real_corr") - F.col("candidate_corr"))
+    names = F.array(*[F.lit(f) for f in features])
+    vi, vj = (F.col("n") * F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}") for k in "ij")
+    corr = F.when((vi > 0) & (vj > 0), (F.col("n") * F.col("g") - F.col("si") * F.col("sj")) / (F.sqrt(vi) * F.sqrt(vj)))
+    return pair_sums(df, features).select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), "i", "j", corr.alias("corr"))
 
 
 def corr_difference(real: DataFrame, candidate: DataFrame, features: list[str]) -> DataFrame:
-    """``R_real - R_candidate`` per pair: one aggregate per side, one row each, attached."""
-    from fidelis.operators.frames import attach
-    both = attach(real.agg(*pair_aggs(features, "r_")), candidate.agg(*pair_aggs(features, "c_")))
-    return diff_from_wide(both, features)
+    """``R_real - R_candidate`` per pair (one pass a side, one row a pair)."""
+    a = corr_long(real, features).withColumnRenamed("corr", "real_corr")
+    b = corr_long(candidate, features).select("i", "j", F.col("corr").alias("candidate_corr"))
+    return a.join(b, ["i", "j"]).select("feature_a", "feature_b", "i", "j", "real_corr", "candidate_corr",
+                                        (F.col("real_corr") - F.col("candidate_corr")).alias("diff"))
 
 
 def frobenius_from_diff(d: DataFrame, k: int, threshold: float = config.CORR_THRESHOLD) -> DataFrame:

@@ -25,8 +25,15 @@ def common_columns(a: DataFrame, b: DataFrame, features: list[str] | None = None
 
 
 def common_columns_frame(a: DataFrame, b: DataFrame) -> DataFrame:
-    """P3 as a DataFrame ``(column)``."""
-    return a.sparkSession.createDataFrame([(c,) for c in common_columns(a, b)], "column string")
+    """P3 as a DataFrame: each common column and how many values either table has in it."""
+    names = common_columns(a, b)
+
+    def counted(df, value):
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)])
+        return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias(value)) for i, c in enumerate(names)])).alias("e")).select("e.*")
+    if not names:
+        return a.sparkSession.createDataFrame([], "column string, values_a bigint, values_b bigint")
+    return counted(a, "values_a").join(counted(b, "values_b"), "column")  # one row a column
 
 
 def filter_class(df: DataFrame, label: str, value) -> DataFrame:

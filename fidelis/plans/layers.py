@@ -98,16 +98,15 @@ def statistics_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, wit
     for side in (real, candidate):
         require_columns(side, spec.ks_features + spec.key_features + spec.corr_features + spec.z_features, "statistics")
     ks = D.ks_tests(D.ks_two_sample(real, candidate, spec.ks_features, details=False))
-    # ONE aggregate pass per side feeds the moments, both correlation tests and the z-scores
-    rs = real.agg(*D.moment_aggs(spec.key_features, "r_"), *C.pair_aggs(spec.corr_features, "r_"))
-    cs = candidate.agg(*D.moment_aggs(spec.key_features, "c_"), *C.pair_aggs(spec.corr_features, "c_"),
-                       *O.zscore_stat_aggs(spec.z_features, "c_"))
-    # the aggregates are a bounded row (2 numbers per key feature, 1 per pair, 4 per z feature);
-    # materialising it once keeps the three test families from re-running the scans
+    # one aggregate a side feeds the moments and the z-scores; the rows are bounded (2 numbers
+    # per key feature, 4 per z feature, 1 row per pair) and run once
+    rs = real.agg(*D.moment_aggs(spec.key_features, "r_"))
+    cs = candidate.agg(*D.moment_aggs(spec.key_features, "c_"), *O.zscore_stat_aggs(spec.z_features, "c_"))
     both = _one_row(attach(rs, cs))
     cs = both.select(*[c for c in both.columns if c.startswith("c__")])
     mom = D.moment_tests_from_wide(both, spec.key_features)
-    diff = C.diff_from_wide(both, spec.corr_features)
+    k = len(spec.corr_features)
+    diff = _bounded(C.corr_difference(real, candidate, spec.corr_features), k * (k - 1) // 2)
     fro = C.frobenius_from_diff(diff, len(spec.corr_features)).select(*TEST_COLUMNS)
     pairs = C.top_pairs_from_diff(diff).select(*TEST_COLUMNS)
     z = O.zscore_from_stats(candidate, cs, spec.z_features, "c_").select(*TEST_COLUMNS)

@@ -271,8 +271,8 @@ def q_sink_table(spark, sf):
     return io.scan_table(spark, path)
 
 
-@register("sink_report", """SELECT * FROM (VALUES ('n_rows', CAST(1 AS BIGINT)), ('positive_rate', 1), ('column_stats', 6),
-  ('class_correlations', 5), ('feature_pairs', 6), ('ks_by_class', 5), ('amount_log_fit', 2)) t(section, entries)""")
+@register("sink_report", """SELECT * FROM (VALUES ('n_rows', CAST(1 AS BIGINT)), ('positive_rate', 1), ('column_stats', 31),
+  ('class_correlations', 30), ('feature_pairs', 378), ('ks_by_class', 30), ('amount_log_fit', 2)) t(section, entries)""")
 def q_sink_report(spark, sf):
     """S3 + S4: write the baseline profile as JSON, load it back and count entries per section."""
     path = _scratch(spark, "report")

@@ -9,7 +9,7 @@ from fidelis.operators import profile as P
 from fidelis.operators import schema as S
 from fidelis.plans.registry import register, rounded
 from fidelis.sources import io
-from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, candidate_side, real_side, table, transactions
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, WIDE, candidate_side, real_side, table, transactions
 
 R = TX_ROLES
 STAT_FEATURES = [STAT_TIME, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
@@ -29,10 +29,12 @@ def q_scan_table(spark, sf):
     return rounded(df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_quantity")))
 
 
-@register("schema_match", """SELECT * FROM (VALUES
-  ('row_id', true, true, true), ('ship_seconds', true, true, true), ('ship_hours', true, true, true), ('l_quantity', true, true, true),
-  ('l_extendedprice', true, true, true), ('l_discount', true, true, true), ('l_tax', true, true, true),
-  ('is_return', true, true, true)) t("column", in_real, in_candidate, position_equal)""")
+_SIDE_COLUMNS = ["row_id", "ship_seconds", "ship_hours", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "is_return", *WIDE]
+
+
+@register("schema_match", f"WITH {TX_SQL} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", true AS in_real, true AS in_candidate, true AS position_equal,
+    (SELECT count({c}) FROM real) AS real_values, (SELECT count({c}) FROM cand) AS candidate_values""" for c in _SIDE_COLUMNS))
 def q_schema_match(spark, sf):
     return io.schema_match(real_side(spark, sf), candidate_side(spark, sf))
 
@@ -54,7 +56,8 @@ def q_numeric_columns(spark, sf):
     return S.numeric_columns(table(spark, sf, "customer"))
 
 
-@register("common_columns", """SELECT * FROM (VALUES ('o_orderkey'), ('o_custkey')) t("column")""")
+@register("common_columns", """SELECT 'o_orderkey' AS "column", (SELECT count(o_orderkey) FROM orders) AS values_a, (SELECT count(l_orderkey) FROM lineitem) AS values_b
+  UNION ALL SELECT 'o_custkey', (SELECT count(o_custkey) FROM orders), (SELECT count(l_partkey) FROM lineitem)""")
 def q_common_columns(spark, sf):
     orders = table(spark, sf, "orders")
     other = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("o_custkey"),
@@ -230,16 +233,16 @@ def q_histogram(spark, sf):
 
 
 @register("boxplot_stats", f"""WITH {TX_SQL},
-  q AS (SELECT is_return, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median,
-        quantile_cont(l_extendedprice, 0.75) AS q3 FROM real GROUP BY 1)
+  q AS (SELECT is_return, quantile_cont(V14, 0.25) AS q1, quantile_cont(V14, 0.5) AS median,
+        quantile_cont(V14, 0.75) AS q3 FROM real GROUP BY 1)
   SELECT r.is_return, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-    round(min(l_extendedprice) FILTER (WHERE l_extendedprice >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
-    round(max(l_extendedprice) FILTER (WHERE l_extendedprice <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
-    count(*) FILTER (WHERE l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+    round(min(V14) FILTER (WHERE V14 >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
+    round(max(V14) FILTER (WHERE V14 <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
+    count(*) FILTER (WHERE V14 < q1 - 1.5 * (q3 - q1) OR V14 > q3 + 1.5 * (q3 - q1)) AS n_outliers,
     count(*) AS n
   FROM real r JOIN q ON r.is_return = q.is_return GROUP BY r.is_return, q1, median, q3""")
 def q_boxplot_stats(spark, sf):
-    return rounded(P.boxplot_stats(real_side(spark, sf), R.amount, by=R.label))
+    return rounded(P.boxplot_stats(real_side(spark, sf), "V14", by=R.label))
 
 
 @register("ecdf", f"""WITH {TX_SQL}, c AS (SELECT l_quantity AS value, count(*) AS n_at FROM cand GROUP BY 1)

@@ -8,13 +8,14 @@ from fidelis.operators import corr as C
 from fidelis.operators import dist as D
 from fidelis.operators import outlier as O
 from fidelis.plans.registry import register, rounded
-from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, candidate_side, real_side
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, WIDE, candidate_side, real_side
 
 R = TX_ROLES
-KS_FEATURES = [STAT_TIME, "l_quantity", "l_extendedprice", "l_discount", "l_tax", R.label]
-KEY_FEATURES = [STAT_TIME, R.amount, "l_quantity"]
-CORR_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-Z_FEATURES = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+# the shape of the original test layer: 31 + 2 x 7 + 1 + 10 + 4 tests and the forest
+KS_FEATURES = [STAT_TIME, R.amount, *WIDE, R.label]
+KEY_FEATURES = [STAT_TIME, R.amount, "V3", "V14", "V17", "V12", "V10"]
+CORR_FEATURES = WIDE
+Z_FEATURES = [R.amount, "V14", "V10", "V3"]
 
 
 def _sides(spark, sf):
@@ -78,7 +79,7 @@ _BC_FEATURES = [f for f in KS_FEATURES if f != R.label]
         sum(na) OVER (PARTITION BY feature) AS ta, sum(nb) OVER (PARTITION BY feature) AS tb FROM c),
   ks AS (SELECT feature, max(abs(cna / ta - cnb / tb)) AS statistic FROM r GROUP BY feature)
   SELECT feature, round(statistic, 6) AS statistic, statistic > 0.3 AS notable,
-    row_number() OVER (ORDER BY statistic DESC, feature) AS rank FROM ks""")
+    row_number() OVER (ORDER BY statistic DESC, feature) AS rank FROM ks QUALIFY rank <= 10""")
 def q_ks_by_class(spark, sf):
     return rounded(D.ks_by_class(real_side(spark, sf), R.label, _BC_FEATURES).select("feature", "statistic", "notable", "rank"))
 
@@ -205,15 +206,15 @@ def q_zscore_extreme_counts(spark, sf):
 
 
 @register("iqr_outliers", f"""WITH {TX_SQL},
-  q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM real),
+  q AS (SELECT quantile_cont(V14, 0.25) AS q1, quantile_cont(V14, 0.75) AS q3 FROM real),
   b AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)
   SELECT round(q1, 6) AS q1, round(q3, 6) AS q3, round(lower, 6) AS lower, round(upper, 6) AS upper,
-    count(*) FILTER (WHERE l_extendedprice < lower OR l_extendedprice > upper) AS n_outliers, count(*) AS n,
-    count(*) FILTER (WHERE (l_extendedprice < lower OR l_extendedprice > upper) AND is_return = 1) AS n_outliers_positive,
-    round(count(*) FILTER (WHERE l_extendedprice < lower OR l_extendedprice > upper) * 100.0 / count(*), 6) AS pct_outliers
+    count(*) FILTER (WHERE V14 < lower OR V14 > upper) AS n_outliers, count(*) AS n,
+    count(*) FILTER (WHERE (V14 < lower OR V14 > upper) AND is_return = 1) AS n_outliers_positive,
+    round(count(*) FILTER (WHERE V14 < lower OR V14 > upper) * 100.0 / count(*), 6) AS pct_outliers
   FROM real, b GROUP BY q1, q3, lower, upper""")
 def q_iqr_outliers(spark, sf):
-    return rounded(O.iqr_outliers(real_side(spark, sf), R.amount, R.label))
+    return rounded(O.iqr_outliers(real_side(spark, sf), "V14", R.label))
 
 
 BAND_SQL = """CASE WHEN statistic < 0.05 THEN 'Excellent' WHEN statistic < 0.10 THEN 'Good' WHEN statistic < 0.20 THEN 'Fair' ELSE 'Poor' END"""

@@ -73,13 +73,22 @@ def baseline_section_sizes(baseline: DataFrame) -> DataFrame:
     return baseline.select(F.explode(F.array(*exprs)).alias("s")).select("s.section", "s.entries")
 
 
+def _values(df: DataFrame, names: list[str], value: str) -> DataFrame:
+    """(column, <value>): how many rows have a value in each column (one aggregate)."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias(value)) for i, c in enumerate(names)])).alias("e")).select("e.*")
+
+
 def schema_match(real: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Per column name: present in real / candidate, same position in both."""
-    spark = real.sparkSession
+    """Per column name: present in real / candidate, same position in both, and how many
+    values either side has there (0 where the column is missing)."""
     r, c = real.columns, candidate.columns
     names = list(dict.fromkeys(r + c))
     rows = [(n, n in r, n in c, (n in r and n in c and r.index(n) == c.index(n))) for n in names]
-    return spark.createDataFrame(rows, "column string, in_real boolean, in_candidate boolean, position_equal boolean")
+    out = real.sparkSession.createDataFrame(rows, "column string, in_real boolean, in_candidate boolean, position_equal boolean")
+    for df, value in ((real, "real_values"), (candidate, "candidate_values")):
+        out = out.join(_values(df, df.columns, value), "column", "left").fillna(0, [value])  # one row a column
+    return out
 
 
 def infer_types(df: DataFrame, max_categorical: int = 10) -> DataFrame:
