@@ -108,6 +108,12 @@ def test_cached_encoder_equals_the_tokenizer():
     texts = ["a  b", " x", "x ", "a \nb", "foo\n bar", "foo\n\n bar", "  x y z", "don't 's we'll", "<|endoftext|> a", "", "\t a\t b", "a \n b", "é ü x ß\x1f y",
              "12 34a 5² ½ x", "日本 語 。a", "a b   c", "x" * 3000 + " y"] + [" ".join(f"w{i * k}" for i in range(50)) for k in range(20)]
     got = B.CachedEncoder(path).encode(texts)
+    encoder = B.CachedEncoder(path)
+    assert encoder.mark is not None
+    assert encoder.encode(texts[::-1])[::-1] == got and encoder.encode(texts) == got
+    encoder.mark = None
+    encoder.known = {}
+    assert encoder.encode(texts) == got
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
