@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidelis.operators.frames import attach
+
 #: Slots of one period before shares are rounded (weights are met to about one in this).
 PERIOD = 1000
 BLOCK_CHARS = 64 << 10
@@ -23,8 +25,8 @@ def square_root_shares(docs: DataFrame, *, source_col: str = "source", text_col:
     """Shares in proportion to the square root of a source's characters, one at least."""
     size = (docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"))
             .agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("__size")))
-    total = size.agg(F.sum(F.sqrt("__size")).alias("__total"))
-    return size.join(F.broadcast(total), F.lit(True)).select(
+    total = size.agg(F.sum(F.sqrt("__size")).alias("__total"))  # one row
+    return attach(size, total).select(
         "__source", F.greatest(F.lit(1), F.coalesce(F.round(F.try_divide(F.sqrt("__size") * period, F.col("__total"))), F.lit(0))).cast("bigint").alias("__share"))
 
 
@@ -60,7 +62,7 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, *, block_chars
 
     Reading by (slot, chars_before) gives the mix.  ``shares`` has (``__source``, ``__share``);
     sources without a row there get share 1; None means ``square_root_shares``.  Running sums
-    are taken within 65,536 hash ranges of a source and then over the ranges, so a source that
+    are taken within 4,096 hash ranges of a source and then over the ranges, so a source that
     holds most rows is spread over all tasks; only ids, sources and lengths are shuffled.  A
     null source counts as the empty name, a null text as no characters; rows that repeat an id
     follow each other; an empty table gives no rows.
@@ -72,7 +74,7 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, *, block_chars
     else:
         missing = d.select("__source").distinct().join(shares, "__source", "left_anti").withColumn("__share", F.lit(1).cast("bigint"))
         shares = shares.select("__source", F.col("__share").cast("bigint")).unionByName(missing)
-    d = d.withColumn("__key", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary"))).withColumn("__range", F.substring("__key", 1, 4))
+    d = d.withColumn("__key", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary"))).withColumn("__range", F.substring("__key", 1, 3))
     inside = Window.partitionBy("__source", "__range").orderBy("__key", "__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = d.groupBy("__source", "__range").agg(F.sum("__n").alias("__sum"))
     over = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
