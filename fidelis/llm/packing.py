@@ -48,6 +48,7 @@ class CachedEncoder:
 
     MOST = 1_000_000
     MARK = "\x01"
+    MARKS = ".,;:!?%&*$#|"
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
@@ -79,6 +80,24 @@ class CachedEncoder:
                 out[k] = ids[i:j]
         return out
 
+    def _learn(self, units: set[str]) -> None:
+        """Add units to the cache; letters followed by marks are a word and its marks, each encoded once."""
+        marked, new = [], set()
+        for u in units:
+            word = u.rstrip(self.MARKS)
+            if len(word) < len(u) and word.isalpha():
+                marked.append((u, word, u[len(word):]))
+                new.add(word)
+            else:
+                new.add(u)
+        new = list(new.difference(self.known))
+        for lo in range(0, len(new), 50_000):
+            part = new[lo: lo + 50_000]
+            self.known.update(zip(part, self._unit_ids([" " + u for u in part])))
+        ends = list({m for _, _, m in marked})
+        end_ids = dict(zip(ends, self._ids(ends)))
+        self.known.update((u, self.known[word] + end_ids[m]) for u, word, m in marked)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The little-endian 32-bit ids of each text."""
         whole = [k for k, t in enumerate(texts) if not t or t[0] == " " or t[-1] == " " or "  " in t]
@@ -88,10 +107,7 @@ class CachedEncoder:
         heads = [u.pop(0) if u else "" for u in split]
         if len(self.known) > self.MOST:
             self.known = {}
-        missing = list(set().union(*split).difference(self.known))
-        for lo in range(0, len(missing), 50_000):
-            part = missing[lo: lo + 50_000]
-            self.known.update(zip(part, self._unit_ids([" " + u for u in part])))
+        self._learn(set().union(*split).difference(self.known))
         out = [head + b"".join(map(self.known.__getitem__, u)) for head, u in zip(self._unit_ids(heads), split)]
         for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
             out[k] = ids
