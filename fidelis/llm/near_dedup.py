@@ -33,7 +33,7 @@ COORDS = 64
 MISS = 1e-6
 SHINGLE = 5
 #: Expected shingles in a block of a neighbourhood (8 bytes each in a task).
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 _SALT = K.mix(np.arange(1, COORDS + 1, dtype=K.U64) * K.U64(0xD1342543DE82EF95))
 _FACTOR = K.mix(_SALT) | K.U64(1)
 
