@@ -26,6 +26,8 @@ WINDOW = 50
 GRAM = 10
 #: Stretches in one in-memory group (a few hundred bytes each).
 GROUP = 20_000
+#: Stretches of small groups that are worked on at once.
+TOGETHER = 4_000
 #: Suffixes that one stretch may hold at most (more begin a new stretch).
 STRETCH = 64
 
@@ -118,10 +120,13 @@ def deep_nodes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 def _group_repeats(ids: np.ndarray, start: np.ndarray, n: np.ndarray, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, suffix start) of suffixes whose node holds a smaller document."""
-    col = pa.array(texts, pa.large_binary())
-    buf = np.frombuffer(col.buffers()[2], np.uint8)
-    off = np.frombuffer(col.buffers()[1], np.int64)[: len(texts) + 1]
-    words, _, _, first = _words(buf, off)
+    parts, begins, total = [], [], 0
+    for _, _, buf, off in K.slices(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
+        words, _, _, first = _words(buf, off)
+        parts.append(words)
+        begins.append(first[:-1] + total)
+        total += len(words)
+    words, first = np.concatenate(parts), np.concatenate(begins)
     row = np.repeat(np.arange(len(n)), n)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     node = deep_nodes(words, first[row] + shift, window)
@@ -142,7 +147,7 @@ def _merged(ids: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch | No
     return pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(at[new]), pa.array(at[last] + window)], names=["__id", "start", "stop"])
 
 
-def _group_stream(window: int, most: int):
+def _group_stream(window: int):
     """mapInArrow over stretches sorted by key: several whole groups are worked on at once."""
     def flush(rows):
         key, ids, start, n, texts = (list(c) for c in zip(*rows))
@@ -158,7 +163,7 @@ def _group_stream(window: int, most: int):
                     if len(group) > 1:  # a lone stretch repeats nothing of another document
                         rows += group
                     group = []
-                    if len(rows) >= most:
+                    if len(rows) >= TOGETHER:
                         if (x := flush(rows)) is not None:
                             yield x
                         rows = []
@@ -187,7 +192,7 @@ def repeated_ranges(docs: DataFrame, *, window: int = WINDOW, group_suffixes: in
              .mapInArrow(_stretches(window), "key bigint, __id bigint, start bigint, n int, node bigint, words binary"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = (taken.where("node is null").select("key", "__id", "start", "n", "words").repartition(parts, "key").sortWithinPartitions("key", "__id", "start")
-             .mapInArrow(_group_stream(window, group_suffixes), "__id bigint, start bigint, stop bigint"))
+             .mapInArrow(_group_stream(window), "__id bigint, start bigint, stop bigint"))
     if held.where("large").isEmpty():
         return small
     single = taken.where("node is not null").select("key", "node", "__id", "start")
