@@ -48,8 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed among neighbours of the mixed order into sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), in_order=True)
+    """Pieces of all documents, packed among neighbours of the mixed order (as the files hold it) into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path(), order=packing.file_order())
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_dedup", near_duplicates), ("mixing", mix), ("packing", pack)]

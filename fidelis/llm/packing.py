@@ -17,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.operators.frames import dense_index
 from fidelis.session import cut_lineage
 
 #: Expected pieces in a group (packing quality no longer rises beyond a few thousand).
@@ -117,14 +118,28 @@ class CachedEncoder:
 _encoders: dict[str, CachedEncoder] = {}  # kept from task to task in a worker
 
 
+def file_order() -> Column:
+    """Where a row stands in a table of Parquet files: part number, file of that part, row of the file.
+
+    Spark deals files to partitions by size, so the order of partitions is not that of the
+    files.  Names without a part number come first, by name.
+    """
+    name = F.col("_metadata.file_name")
+    number = [F.coalesce(F.regexp_extract(name, p, 1).try_cast("bigint"), F.lit(-1).cast("bigint")) for p in (r"^part-(\d+)", r"[-.]c(\d+)\.")]
+    return F.struct(number[0].alias("part"), number[1].alias("file"), name.alias("name"), F.col("_metadata.row_index").alias("row"))
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", order: Column | None = None) -> DataFrame:
     """One row per piece of each document: start, length and the CRC-32 of its ids.
 
     Ids come from the tokenizer file without special tokens, then ``end_id``; a null text is
-    empty (one piece with the end id).  Whole texts are tokenised.
+    empty (one piece with the end id).  Whole texts are tokenised.  With ``order`` each piece
+    carries its document's value of it, as ``__at``.
     """
     kind = dict(docs.dtypes)[id_col]
+    read = docs.select(id_col, text_col, *([] if order is None else [order.alias("__at")]))
+    more = "".join(f", `{c}` {t}" for c, t in read.dtypes[2:])
     end = np.array([end_id], "<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +155,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 20
                     ids += end
                     rows += [(k, j, s, n, zlib.crc32(ids[4 * s: 4 * (s + n)])) for j, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
                 at, piece, start, length, crc = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                                                  pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *[c.take(at) for c in part.columns[2:]]],
+                                                 names=[id_col, "piece", "start", "length", "ids_crc32", *part.schema.names[2:]])
 
-    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind}, {PIECES}")
+    return read.mapInArrow(batches, f"`{id_col}` {kind}, {PIECES}{more}")
 
 
 # ------------------------------------------------------------------ bins
@@ -245,31 +262,38 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, in_order: bool = False, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, in_order: bool = False, order: Column | None = None,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their sequence and their place in it (gapless from 0).
 
     Every piece is packed; pieces of exactly ``capacity`` tokens fill a sequence alone.  The
     pieces are checkpointed, so tokenising happens once; groups hold about ``GROUP`` pieces at
-    any table size.  With ``in_order`` a group holds pieces that follow each other in the
-    reading order of a partition (a mixed order then holds to within a group), else pieces
-    dealt by a hash.  Repeated rows are packed each; an empty table gives no rows.
+    any table size.  With ``order`` (one value a row, see ``file_order``) pieces are numbered by
+    it over the whole table, a group holds ``GROUP`` that follow each other, and sequences are
+    numbered by their first piece, so a mixed order holds to within a group.  ``in_order``
+    takes the order of the partitions and of the rows in them, for frames that are not read
+    from several files.  Else pieces are dealt by a hash.  Repeated rows are packed each; an
+    empty table gives no rows.
     """
-    pieces = tokenised_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col)
-    if in_order:
-        pieces = pieces.withColumn("__at", F.monotonically_increasing_id())
-    pieces = cut_lineage(pieces)
-    if in_order:  # the low 33 bits count within a partition
-        group = F.expr(f"shiftleft(shiftright(__at, 33), 20) + (__at & 8589934591) div {GROUP}")
+    if in_order and order is None:
+        order = F.monotonically_increasing_id()
+    pieces = cut_lineage(tokenised_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col, order=order))
+    if order is not None:
+        numbered = dense_index(pieces.withColumn("__at", F.struct("__at", "piece")), "__at", name="__n").drop("__at")
+        dealt = numbered.withColumn("__group", F.expr(f"__n div {GROUP}"))
     else:
         groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP))
-        group = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups))
-    dealt = pieces.withColumn("__group", group).drop("__at")
+        dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
     kind = dict(pieces.dtypes)[id_col]
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        by_order = "__n" in pdf
+        pdf = pdf.sort_values("__n") if by_order else pdf
         pdf = pdf.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
         place = pack(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 20) + place[0], offset=place[1]).drop(columns="__group")
+        if by_order:
+            first = pdf["__n"].groupby(place[0]).min()
+            place[0] = first.rank().astype(np.int64).sub(1)[place[0]].to_numpy()
+        return pdf.assign(sequence_id=(pdf["__group"].to_numpy(np.int64) << 20) + place[0], offset=place[1]).drop(columns=["__group", "__n"], errors="ignore")
 
     return dealt.groupBy("__group").applyInPandas(packed, f"`{id_col}` {kind}, {PIECES}, sequence_id bigint, `offset` bigint")

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fidelis.llm import mixing as M
@@ -160,5 +162,24 @@ def test_pieces_and_places(docs, rows, in_order):
     assert in_order or len(seq) <= total / 2048 * 1.05 + 1
 
 
+def test_sequences_follow_the_files(spark, tmp_path, monkeypatch):
+    """Files of unequal size, whose partitions Spark orders by size: groups and sequences keep the order of the files."""
+    rng, sizes, at = np.random.default_rng(4), [3, 400, 1, 90, 700, 20], 0
+    order = [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (100_000, 0)]
+    for (part, file), n in zip(order, sizes):
+        texts = [" ".join(["word"] * int(k)) for k in rng.integers(1, 900, n)]
+        table = pa.table({"doc_id": pa.array(range(at, at + n), pa.int64()), "text": texts})
+        pq.write_table(table, tmp_path / f"part-{part:05d}-x-c{file:03d}.parquet")
+        at += n
+    monkeypatch.setattr(B, "GROUP", 64)
+    got = B.pack_documents(spark.read.parquet(str(tmp_path)), tokenizer_path(), order=B.file_order()).collect()
+    assert sorted(r.doc_id for r in got) == list(range(at))  # one piece each
+    assert all(r.sequence_id >> 20 == r.doc_id // 64 for r in got)
+    first = {}
+    for r in got:
+        first[r.sequence_id] = min(r.doc_id, first.get(r.sequence_id, at))
+    assert [first[s] for s in sorted(first)] == sorted(first.values())
+
+
 def test_empty_table(empty):
     assert B.pack_documents(empty, tokenizer_path()).count() == 0
