@@ -36,18 +36,23 @@ def review_context(real: DataFrame, label: str, amount: str, key: str, exact: bo
 
 
 def review_candidates(df: DataFrame, id_col: str, flagged: DataFrame | list[DataFrame] | None = None,
-                      n: int = config.REVIEW_SAMPLE, seed: int = config.REVIEW_SEED) -> DataFrame:
-    """V1: the rows to review - the first ``n`` flagged ids (by id) when any are given,
-    otherwise ``n`` rows by the seeded hash order.  Flagged ids are joined back (semi).
+                      n: int | None = None, seed: int = config.REVIEW_SEED) -> DataFrame:
+    """V1: the rows to review - all flagged rows, or the first ``n`` flagged ids (by id); without
+    any flags all rows, or ``n`` rows by the seeded hash order.  Flagged ids are joined back (semi).
 
-    ``flagged`` may be several id sources (e.g. rule failures and similarity flags): the
-    ``n`` smallest ids of each are taken first (a top-n heap per task, no shuffle of every
+    ``flagged`` may be several id sources (e.g. rule failures and similarity flags).  With ``n``
+    the ``n`` smallest ids of each are taken first (a top-n heap per task, no shuffle of every
     flagged id), then the union is deduplicated - exact, since the ``n`` smallest distinct
     ids of a union are among the ``n`` smallest of its parts."""
     if flagged is None:
-        return sample_rows(df, id_col, n, seed)
+        return df if n is None else sample_rows(df, id_col, n, seed)
     sources = flagged if isinstance(flagged, list) else [flagged]
     cols = [F.col(_q(c)) for c in df.columns]
+    if n is None:
+        ids = sources[0].select(_q(id_col))
+        for f in sources[1:]:
+            ids = ids.unionByName(f.select(_q(id_col)))
+        return df.join(ids.distinct(), id_col, "left_semi").select(*cols).dropDuplicates([id_col])
     tops = []
     for f in sources:
         if set(df.columns) <= set(f.columns):  # already candidate rows: no join back needed
@@ -110,6 +115,12 @@ def batch_text(lines: DataFrame, id_col: str, context: Column | None = None) ->
     return txt
 
 
+def row_text(lines: DataFrame, id_col: str, context: Column | None = None) -> DataFrame:
+    """V3 for any number of review rows: one row ``(id, text)`` each, the context after every line."""
+    line = F.col("line") if context is None else F.concat_ws("\n", F.col("line"), context)
+    return lines.select(F.col(_q(id_col)), line.alias("text"))
+
+
 def parse_responses(responses: DataFrame, id_col: str, text_col: str = "response") -> DataFrame:
     """V4: raw review text -> one row per response with its reported anomalies.
 

@@ -38,7 +38,7 @@ class LayerSpec:
     review_key_low: float = -8.0
     forest_features: list[str] | None = None
     similarity_sample: int | None = config.SIMILARITY_SAMPLE
-    review_sample: int = config.REVIEW_SAMPLE
+    review_sample: int | None = None  # None: all flagged rows
 
 
 def require_columns(df: DataFrame, cols: list[str], layer: str) -> None:
@@ -170,16 +170,20 @@ def similarity_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, see
 
 def review_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec,
                  flagged: DataFrame | list[DataFrame] | None, context: str | None = None) -> dict[str, DataFrame]:
-    """Q9: review the first flagged rows (or a seeded sample); ``context`` (the similarity
-    escalation text) is appended to the review batch text, which the original stored and
-    never sent."""
+    """Q9: review all flagged rows, or with ``review_sample`` the first of them (or a seeded
+    sample); ``context`` (the similarity escalation text) is appended to the review batch text,
+    which the original stored and never sent.  Of all flagged rows, anomalies and text are long
+    tables and the result is one row of counts; of a sample both are one row."""
     r = spec.roles
-    reviewed = _bounded(V.review_candidates(candidate, r.id, flagged, spec.review_sample), spec.review_sample)
+    reviewed = V.review_candidates(candidate, r.id, flagged, spec.review_sample)
+    if spec.review_sample is not None:
+        reviewed = _bounded(reviewed, spec.review_sample)
     rv = attach(reviewed, V.review_context(real, r.label, r.amount, spec.review_key))
     anomalies = V.plausibility(rv, r.id, r.label, r.amount, spec.review_key, spec.review_amount_limit,
                                spec.review_key_high, spec.review_key_low, F.col("_med"), F.col("_mean"))
-    result = V.review_result(reviewed, anomalies)
+    whole = spec.review_sample is None
+    result = V.review_score(anomalies, reviewed) if whole else V.review_result(reviewed, anomalies)
     feats = spec.review_features or [spec.review_key]
-    text = V.batch_text(V.record_text(reviewed, r.id, r.label, r.amount, feats), r.id,
-                        F.lit(context) if context else None)
+    text = (V.row_text if whole else V.batch_text)(V.record_text(reviewed, r.id, r.label, r.amount, feats), r.id,
+                                                   F.lit(context) if context else None)
     return {"reviewed": reviewed, "anomalies": anomalies, "result": result, "batch_text": text}

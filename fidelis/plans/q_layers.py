@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -161,8 +162,9 @@ def q_validate_pipeline(spark, sf):
 @register("retry_until_pass")
 def q_retry_until_pass(spark, sf):
     """D5 (no oracle: a driver loop over whole-layer jobs): regenerate candidates from the real
-    side with seeds 1042, 2042 until the weighted score passes."""
+    side with seeds 1042, 2042 until the weighted score passes.  All flagged rows are reviewed."""
     real, cand = _sides(spark, sf)
+    spec = replace(TX_SPEC, review_sample=None)
     weights = O.weights_frame(spark)
     n = cand.count()
     rate = real.agg(F.avg(F.col(R.label).cast("double"))).first()[0]
@@ -172,7 +174,7 @@ def q_retry_until_pass(spark, sf):
         return G.generate_synthetic(real, n, rate, seed, R.id, R.label, feats, R.amount, R.time)
 
     def score_fn(c):
-        return O.run_once(real, c, TX_SPEC, weights, valid_columns(spark, sf))["final"].first()["final_score"]
+        return O.run_once(real, c, spec, weights, valid_columns(spark, sf))["final"].first()["final_score"]
 
     from fidelis.session import cut_lineage
     res = O.run_with_retries(score_fn, cand, gen, materialize=cut_lineage)

@@ -31,7 +31,8 @@ AMOUNT_LIMIT, KEY_HIGH, KEY_LOW = 50000.0, 0.09, 0.01
 TX_SPEC = LayerSpec(roles=R, rules=tx_rules(), ks_features=KS_FEATURES, key_features=KEY_FEATURES,
                     corr_features=CORR_FEATURES, z_features=Z_FEATURES, sim_features=SIM_FEATURES,
                     review_key=REVIEW_KEY, review_features=REVIEW_FEATURES, review_amount_limit=AMOUNT_LIMIT,
-                    review_key_high=KEY_HIGH, review_key_low=KEY_LOW, forest_features=CORR_FEATURES)
+                    review_key_high=KEY_HIGH, review_key_low=KEY_LOW, forest_features=CORR_FEATURES,
+                    review_sample=config.REVIEW_SAMPLE)  # the SQL of the queries has this LIMIT
 
 
 def _context(real):
@@ -68,12 +69,12 @@ def q_review_candidates(spark, sf):
     from fidelis.operators import rules as RL
     cand = candidate_side(spark, sf)
     flagged = RL.evaluate_rules(cand, tx_rules()).where(~F.col("is_valid")).select("row_id")
-    return V.review_candidates(cand, "row_id", flagged).select("row_id")
+    return V.review_candidates(cand, "row_id", flagged, config.REVIEW_SAMPLE).select("row_id")
 
 
 @register("review_sample", f"""WITH {TX_SQL} SELECT row_id FROM cand ORDER BY md5(concat(row_id, '-', '7')), row_id LIMIT 10""")
 def q_review_sample(spark, sf):
-    return V.review_candidates(candidate_side(spark, sf), "row_id", None).select("row_id")
+    return V.review_candidates(candidate_side(spark, sf), "row_id", None, config.REVIEW_SAMPLE).select("row_id")
 
 
 @register("review_record_text", f"""WITH {TX_SQL}

@@ -1,7 +1,11 @@
 """One full attempt on a small card-like fixture, including the escalation path."""
 
+from dataclasses import replace
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from fidelis.operators import audit as A
 from fidelis.operators import rules as R
 from fidelis.plans import layers as L
 from fidelis.plans import orchestrate as O
@@ -59,3 +63,23 @@ def test_escalation_adds_similarity_ids_and_context(spark):
     assert parts["final"].first().final_score is not None
     rv = L.review_layer(real, far, s, [flags.where("flagged").select("row_id")], "escalation context text")
     assert rv["batch_text"].first().text.endswith("escalation context text")
+
+
+def test_review_covers_every_flagged_row(spark):
+    """25 of 60 rows are flagged and break a check: all are reviewed, and the score of the attempt follows."""
+    real, cand = frames(spark, 0.0)
+    bad = F.col("row_id") < 10_025
+    cand = cand.withColumn("V14", F.when(bad, F.lit(-20.0)).otherwise(F.lit(0.0))).withColumn("Class", F.lit(0))
+    s = spec()
+    flagged = cand.where(bad).select("row_id")
+    rv = L.review_layer(real, cand, s, [flagged, flagged])
+    assert {r.row_id for r in rv["reviewed"].collect()} == set(range(10_000, 10_025)) and rv["reviewed"].count() == 25
+    assert rv["batch_text"].count() == 25 and rv["anomalies"].count() == 25
+    parts = O.run_once(real, cand, s, O.weights_frame(spark))
+    assert parts["review"].first()[:3] == (25, 25, 0.0)
+    # the long audit equals the audit of the list
+    listed = L.review_layer(real, cand, replace(s, review_sample=25), flagged)["result"]
+    for valid in (cand.columns, ["Time"]):
+        a, b = A.audit_reviews(listed, valid).first(), A.audit_long(rv["result"], rv["anomalies"], valid).first()
+        assert all(a[c] == b[c] for c in ("score", "contradictions", "n_issues", "adjustment", "adjusted_score", "passed"))
+    assert O.report_summary(parts).first().n_hallucinations == 0
