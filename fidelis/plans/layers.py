@@ -37,7 +37,7 @@ class LayerSpec:
     review_key_high: float = 0.0
     review_key_low: float = -8.0
     forest_features: list[str] | None = None
-    similarity_sample: int | None = config.SIMILARITY_SAMPLE
+    similarity_sample: int | None = None  # None: all candidate rows
     review_sample: int | None = None  # None: all flagged rows
 
 

@@ -32,7 +32,7 @@ TX_SPEC = LayerSpec(roles=R, rules=tx_rules(), ks_features=KS_FEATURES, key_feat
                     corr_features=CORR_FEATURES, z_features=Z_FEATURES, sim_features=SIM_FEATURES,
                     review_key=REVIEW_KEY, review_features=REVIEW_FEATURES, review_amount_limit=AMOUNT_LIMIT,
                     review_key_high=KEY_HIGH, review_key_low=KEY_LOW, forest_features=CORR_FEATURES,
-                    review_sample=config.REVIEW_SAMPLE)  # the SQL of the queries has this LIMIT
+                    similarity_sample=config.SIMILARITY_SAMPLE, review_sample=config.REVIEW_SAMPLE)  # the LIMITs of the queries' SQL
 
 
 def _context(real):

@@ -2,8 +2,8 @@
 
 Vectors: ``embeddings`` - reference = labels 0-4, candidate = labels 5-9 (the whole
 table, every candidate against every reference vector).  The tabular similarity
-layer (Q10) uses ``lineitem``: the candidate side is sampled (the layer's own
-sampling step, 20 rows by default) and compared with the WHOLE real side.
+layer (Q10) uses ``lineitem``: the candidate side, of which these queries take 20 rows as
+their SQL does, is compared with the WHOLE real side.
 """
 
 from __future__ import annotations
@@ -94,9 +94,9 @@ def q_semi_by_id(spark, sf):
     return S.semi_by_id(cand, ids, "row_id").select("row_id", "l_extendedprice")
 
 
-def similarity_layer(real, cand, features, sample_size=config.SIMILARITY_SAMPLE, seed=42,
+def similarity_layer(real, cand, features, sample_size=None, seed=42,
                      threshold=config.SIMILARITY_THRESHOLD):
-    """Q10: sample -> scale by the reference -> exact best cosine -> flags -> summary."""
+    """Q10: all candidate rows, or a sample of them -> scale by the reference -> exact best cosine -> flags -> summary."""
     sampled = S.sample_rows(cand, "row_id", sample_size, seed) if sample_size is not None else cand
     ref_s = S.vectorize(S.standard_scale(real, real, features), "row_id", features)
     cand_s = S.vectorize(S.standard_scale(real, sampled, features), "row_id", features)
@@ -118,12 +118,12 @@ _Q10_SQL = f"""WITH {TX_SQL},
     anomalies / greatest(sampled, 1) > 0.15 AS escalated, round(greatest(0.0, 1 - anomalies / greatest(sampled, 1)), 4) AS score,
     anomalies / greatest(sampled, 1) <= 0.15 AS passed, 'exact_blocked' AS backend FROM a""")
 def q_validate_similarity(spark, sf):
-    _, summary = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES)
+    _, summary = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES, config.SIMILARITY_SAMPLE)
     return summary
 
 
 @register("sim_summary_dict", _Q10_SQL + """
   SELECT row_id, round(sim, 4) AS max_similarity, sim < 0.4 AS flagged FROM best""")
 def q_sim_summary_dict(spark, sf):
-    flags, _ = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES)
+    flags, _ = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES, config.SIMILARITY_SAMPLE)
     return flags.select("row_id", "max_similarity", "flagged")

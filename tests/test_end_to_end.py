@@ -83,3 +83,14 @@ def test_review_covers_every_flagged_row(spark):
         a, b = A.audit_reviews(listed, valid).first(), A.audit_long(rv["result"], rv["anomalies"], valid).first()
         assert all(a[c] == b[c] for c in ("score", "contradictions", "n_issues", "adjustment", "adjusted_score", "passed"))
     assert O.report_summary(parts).first().n_hallucinations == 0
+
+
+def test_similarity_covers_every_candidate_row(spark):
+    """One anomalous row of 60, which 20 sampled rows may miss, is flagged by the layer's default."""
+    rng = np.random.default_rng(3)
+    real = spark.createDataFrame([(i, 10.0, float(t), float(t), float(t), 100.0, 0) for i, t in enumerate(rng.normal(size=300))], SCHEMA)
+    cand = spark.createDataFrame([(10_000 + i, 10.0, 1.0, 1.0 if i != 33 else -1.0, 1.0 if i != 33 else 0.0, 100.0, 0) for i in range(60)], SCHEMA)
+    whole = L.LayerSpec(**{k: v for k, v in vars(spec()).items() if k not in ("similarity_sample", "review_sample")})
+    flags, summary = L.similarity_layer(real, cand, whole)
+    assert summary.first()[:2] == (60, 1)
+    assert [r.row_id for r in flags.where("flagged").collect()] == [10_033]
