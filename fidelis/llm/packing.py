@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm.units import ByteUnits, UnitPool, text_batches
 from fidelis.operators.frames import dense_index
 from fidelis.session import cut_lineage
 
@@ -30,92 +30,17 @@ PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 # ------------------------------------------------------------------ pieces
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` tokens: full ones after a possibly shorter first."""
-    first = n % capacity or capacity
-    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
+def pieces_of(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, piece, start, length) of the pieces of texts of so many tokens: full ones after a possibly shorter first."""
+    count = -(-tokens // capacity)
+    row = np.repeat(np.arange(len(tokens)), count)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    first = tokens - (count - 1) * capacity
+    start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+    return row, piece, start, np.where(piece == 0, first[row], capacity)
 
 
-class CachedEncoder:
-    """Token ids of whole texts, from ids of space-separated units kept in a bounded cache.
-
-    A byte-level BPE file whose splitting pattern takes one space with the word after it never
-    joins text across a single space, so the ids of a text are those of its units one after
-    another (a unit keeps its leading space).  Texts with empty units (spaces that follow each
-    other, or stand first or last) are encoded whole.  New units are encoded many at a time,
-    with a control character between them whose token no merge contains; units that end in
-    white space or hold that character are encoded singly.  A test compares all of these ways.
-    """
-
-    MOST = 1_000_000
-    MARK = "\x01"
-    MARKS = ".,;:!?%&*$#|"
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}  # of a unit that follows a space, without that space
-        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
-        sign = self.tok.id_to_token(mark[0])
-        alone = len(mark) == 1 and not any(sign in t for t in self.tok.get_vocab() if t != sign)
-        self.mark = mark[0] if alone else None
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        if self.mark is None:
-            return self._ids(units)
-        single = [k for k, u in enumerate(units) if u[-1:].isspace() or self.MARK in u]
-        odd = set(single)
-        plain = [k for k in range(len(units)) if k not in odd] if odd else range(len(units))
-        out: list[bytes] = [b""] * len(units)
-        for k, ids in zip(single, self._ids([units[k] for k in single])):
-            out[k] = ids
-        groups = [plain[i: i + 500] for i in range(0, len(plain), 500)]
-        joined = [self.MARK.join([units[k] for k in g]) for g in groups]
-        for g, ids in zip(groups, self._ids(joined)):
-            cuts = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark)).tolist()
-            for k, i, j in zip(g, [0, *[c + 4 for c in cuts]], [*cuts, len(ids)]):
-                out[k] = ids[i:j]
-        return out
-
-    def _learn(self, units: set[str]) -> None:
-        """Add units to the cache; letters followed by marks are a word and its marks, each encoded once."""
-        marked, new = [], set()
-        for u in units:
-            word = u.rstrip(self.MARKS)
-            if len(word) < len(u) and word.isalpha():
-                marked.append((u, word, u[len(word):]))
-                new.add(word)
-            else:
-                new.add(u)
-        new = list(new.difference(self.known))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo: lo + 50_000]
-            self.known.update(zip(part, self._unit_ids([" " + u for u in part])))
-        ends = list({m for _, _, m in marked})
-        end_ids = dict(zip(ends, self._ids(ends)))
-        self.known.update((u, self.known[word] + end_ids[m]) for u, word, m in marked)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The little-endian 32-bit ids of each text."""
-        whole = [k for k, t in enumerate(texts) if not t or t[0] == " " or t[-1] == " " or "  " in t]
-        split = [t.split(" ") for t in texts]
-        for k in whole:
-            split[k] = []
-        heads = [u.pop(0) if u else "" for u in split]
-        if len(self.known) > self.MOST:
-            self.known = {}
-        self._learn(set().union(*split).difference(self.known))
-        out = [head + b"".join(map(self.known.__getitem__, u)) for head, u in zip(self._unit_ids(heads), split)]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
-            out[k] = ids
-        return out
-
-
-_encoders: dict[str, CachedEncoder] = {}  # kept from task to task in a worker
+_pools: dict[str, UnitPool] = {}  # kept from task to task in a worker
 
 
 def file_order() -> Column:
@@ -133,32 +58,33 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 20
                      text_col: str = "text", order: Column | None = None) -> DataFrame:
     """One row per piece of each document: start, length and the CRC-32 of its ids.
 
-    Ids come from the tokenizer file without special tokens, then ``end_id``; a null text is
-    empty (one piece with the end id).  Whole texts are tokenised.  With ``order`` each piece
-    carries its document's value of it, as ``__at``.
+    Ids are those of the tokenizer file's own call without special tokens added, then ``end_id``;
+    a null text is empty (one piece with the end id).  Whole texts are tokenised, alike whatever
+    stands beside them.  With ``order`` each piece carries its document's value of it, as ``__at``.
     """
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(id_col, text_col, *([] if order is None else [order.alias("__at")]))
     more = "".join(f", `{c}` {t}" for c, t in read.dtypes[2:])
-    end = np.array([end_id], "<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = CachedEncoder(tokenizer_path)
-        encoder = _encoders[tokenizer_path]
+        if tokenizer_path not in _pools:
+            _pools[tokenizer_path] = UnitPool(ByteUnits(tokenizer_path, special_as_text=False))
+        pool = _pools[tokenizer_path]
         for b in it:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                rows = []
-                for k, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    rows += [(k, j, s, n, zlib.crc32(ids[4 * s: 4 * (s + n)])) for j, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
-                at, piece, start, length, crc = zip(*rows)
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                                  pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *[c.take(at) for c in part.columns[2:]]],
-                                                 names=[id_col, "piece", "start", "length", "ids_crc32", *part.schema.names[2:]])
+            for lo, texts in text_batches(b.column(1)):
+                ids, off = pool.encode(texts)
+                row, piece, start, length = pieces_of(np.diff(off) + 1, capacity)
+                first = off[row] + start  # the end id stands after the last piece's ids
+                last = start + length == off[row + 1] - off[row] + 1
+                ids = memoryview(ids.astype("<u4")).cast("B")
+                end = np.array([end_id], "<u4").tobytes()
+                crc = [zlib.crc32(end, zlib.crc32(ids[4 * i: 4 * (j - 1)])) if z else zlib.crc32(ids[4 * i: 4 * j])
+                       for i, j, z in zip(first.tolist(), (first + length).tolist(), last.tolist())]
+                at = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                                                  pa.array(crc, pa.int64()), *[c.take(at) for c in b.columns[2:]]],
+                                                 names=[id_col, "piece", "start", "length", "ids_crc32", *b.schema.names[2:]])
 
     return read.mapInArrow(batches, f"`{id_col}` {kind}, {PIECES}{more}")
 
@@ -184,72 +110,107 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, *, sources: int = 64, steps: int = 4000) -> list[list[int]]:
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins (the greatest of the bounds that leave out pieces under some size)."""
+    up = np.sort(sizes[sizes > 0])
+    if not len(up):
+        return 0
+    cum = np.concatenate([[0], np.cumsum(up)])
+    half = int(np.searchsorted(up, capacity // 2, "right"))  # pieces before it are no more than half a bin
+    small = np.unique(np.concatenate([[0], up[:half]]))
+    alone = np.searchsorted(up, capacity - small, "right")  # from here on nothing of the size fits beside
+    from_ = np.searchsorted(up, small, "left")
+    room = (alone - half) * capacity - (cum[alone] - cum[half])
+    rest = np.maximum(cum[half] - cum[from_] - room, 0)
+    return int((len(up) - half + -(-rest // capacity)).max())
+
+
+def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Move or exchange pieces so that squared fill grows, emptying the emptiest bins.
 
-    Each step takes the emptiest bin that may still change and applies the best of: a move, an
-    exchange of one piece for a smaller one, of two for one.  ``sources`` bounds how many bins
-    in a row may fail before the search ends, ``steps`` the number of changes.
+    Sweeps take the open bins from the emptiest on; a bin gives by the best of: a move, an
+    exchange of one piece for a smaller one, of two for one, until none helps.  A later sweep
+    tries a bin against those changed since it was tried last.  The search ends when a whole
+    sweep changes nothing, or when no packing has fewer bins.
     """
+    least = least_bins(sizes, capacity)
+    if len(bins) <= least:
+        return bins
     bins = [list(b) for b in bins]
     fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
     home = np.empty(len(sizes), np.int64)
     for k, b in enumerate(bins):
         home[b] = k
-    stuck: set[int] = set()
-    for _ in range(steps):
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        open_bins = [int(b) for b in open_bins[np.argsort(fill[open_bins], kind="stable")] if int(b) not in stuck]
-        if len(open_bins) < 2 or len(stuck) >= sources:
-            break
-        a = open_bins[0]
-        found = _best_change(sizes, fill, home, bins[a], a, capacity)
-        if found is None:
-            stuck.add(a)
-            continue
-        give, take, b = found
-        delta = int(sizes[give].sum()) - (int(sizes[take]) if take is not None else 0)
-        for i in give:
-            bins[a].remove(i)
-            bins[b].append(i)
-            home[i] = b
-        if take is not None:
-            bins[b].remove(take)
-            bins[a].append(take)
-            home[take] = a
-        fill[a] -= delta
-        fill[b] += delta
-        stuck.discard(a)
-        stuck.discard(b)
+    by_size = np.argsort(sizes, kind="stable")
+    up = sizes[by_size]
+    tried, changed, now, left, moved = np.full(len(bins), -1), np.zeros(len(bins), np.int64), 0, len(bins), True
+    while moved and left > least:
+        moved = False
+        for a in np.flatnonzero((fill > 0) & (fill < capacity))[np.argsort(fill[(fill > 0) & (fill < capacity)], kind="stable")].tolist():
+            while bins[a] and fill[a] < capacity:
+                found = _best_change(sizes, up, by_size, fill, home, bins[a], a, capacity, changed > (tried[a] if changed[a] <= tried[a] else -1))
+                if found is None:
+                    break
+                give, take, b = found
+                delta = int(sizes[give].sum()) - (int(sizes[take]) if take is not None else 0)
+                for i in give:
+                    bins[a].remove(i)
+                    bins[b].append(i)
+                    home[i] = b
+                if take is not None:
+                    bins[b].remove(take)
+                    bins[a].append(take)
+                    home[take] = a
+                fill[a] -= delta
+                fill[b] += delta
+                now += 1
+                changed[[a, b]] = now
+                moved = True
+            tried[a] = now
+            left = int((fill > 0).sum())
+            if left <= least:
+                break
     return [b for b in bins if b]
 
 
-def _best_change(sizes, fill, home, members, a, capacity):
-    """(pieces given, piece taken back or None, target bin) with the largest gain, or None."""
-    open_ = (fill > 0) & (fill < capacity)
+def _best_change(sizes, up, by_size, fill, home, members, a, capacity, fresh):
+    """(pieces given, piece taken back or None, target bin) with the largest gain among ``fresh`` bins, or None.
+
+    Gives of one sum are alike, so one of each is tried; pieces to take back lie within the
+    largest free room below that sum in the order of sizes.
+    """
+    open_ = fresh & (fill > 0) & (fill < capacity)
     open_[a] = False
     targets = np.flatnonzero(open_)
     if not len(targets):
         return None
-    room = capacity - fill[targets]
+    sums: dict[int, list[int]] = {}
+    by = sorted(members, key=lambda i: int(sizes[i]))
+    for x, i in enumerate(by):
+        sums.setdefault(int(sizes[i]), [i])
+    for x, i in enumerate(by):
+        for j in by[x + 1:]:
+            sums.setdefault(int(sizes[i] + sizes[j]), [i, j])
+    free = capacity - fill
+    most = int(free[targets].max())
+    room = free[targets]
     best, gain = None, 0
-    gives = [[i] for i in members] + [[i, j] for x, i in enumerate(members) for j in members[x + 1:]][:256]
-    items = np.flatnonzero(open_[home])
-    for give in gives:
-        s = int(sizes[give].sum())
-        if len(give) == 1:
+    for s, give in sums.items():
+        if s <= most and len(give) == 1:  # a move: the fullest bin that takes it
             fits = targets[room >= s]
-            if len(fits):  # a move: the fullest bin that takes it
-                b = int(fits[np.argmax(fill[fits])])
-                g = 2 * s * (int(fill[b]) - int(fill[a]) + s)
-                if g > gain:
-                    best, gain = (give, None, b), g
-        delta = s - sizes[items]
-        to = home[items]
-        value = np.where((delta > 0) & (delta <= capacity - fill[to]), 2 * delta * (fill[to] - fill[a] + delta), 0)
-        k = int(np.argmax(value)) if len(items) else -1
-        if k >= 0 and value[k] > gain:
-            best, gain = (give, int(items[k]), int(to[k])), int(value[k])
+            b = int(fits[np.argmax(fill[fits])])
+            g = 2 * s * (int(fill[b]) - int(fill[a]) + s)
+            if g > gain:
+                best, gain = (give, None, b), g
+        lo, hi = np.searchsorted(up, (s - most, s))
+        if lo < hi:
+            items = by_size[lo:hi]
+            to = home[items]
+            delta = s - up[lo:hi]
+            value = np.where(open_[to] & (delta <= free[to]), delta * (fill[to] - fill[a] + delta), 0)
+            k = int(np.argmax(value))
+            if 2 * value[k] > gain:
+                best, gain = (give, int(items[k]), int(to[k])), 2 * int(value[k])
     return best
 
 
@@ -272,8 +233,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048
     it over the whole table, a group holds ``GROUP`` that follow each other, and sequences are
     numbered by their first piece, so a mixed order holds to within a group.  ``in_order``
     takes the order of the partitions and of the rows in them, for frames that are not read
-    from several files.  Else pieces are dealt by a hash.  Repeated rows are packed each; an
-    empty table gives no rows.
+    from several files.  Else pieces are dealt by a hash of their place in the checkpoint.
+    Repeated rows are packed each, whatever their number; an empty table gives no rows.
     """
     if in_order and order is None:
         order = F.monotonically_increasing_id()
@@ -283,7 +244,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048
         dealt = numbered.withColumn("__group", F.expr(f"__n div {GROUP}"))
     else:
         groups = max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP))
-        dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)))
+        # the place of a row in the checkpoint is fixed, so equal rows go to different groups
+        dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = dict(pieces.dtypes)[id_col]
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from fidelis.llm import mixing as M
 from fidelis.llm import packing as B
+from fidelis.llm import units as U
 from fidelis.llm import warc as W
 from fidelis.llm.queries import tokenizer_path
 from fidelis.session import checkpoint_dir  # noqa: F401
@@ -102,37 +105,74 @@ def test_given_shares(spark, docs):
 
 # ------------------------------------------------------------------ packing
 
-def test_cached_encoder_equals_the_tokenizer():
+def plain_ids(texts):
+    """Ids of each text by the tokenizer's own call."""
     from tokenizers import Tokenizer
-    path = tokenizer_path()
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["a  b", " x", "x ", "a \nb", "foo\n bar", "foo\n\n bar", "  x y z", "don't 's we'll", "<|endoftext|> a", "", "\t a\t b", "a \n b", "é ü x ß\x1f y",
-             "12 34a 5² ½ x", "日本 語 。a", "a b   c", "x" * 3000 + " y"] + [" ".join(f"w{i * k}" for i in range(50)) for k in range(20)]
-    got = B.CachedEncoder(path).encode(texts)
-    encoder = B.CachedEncoder(path)
-    assert encoder.mark is not None
-    assert encoder.encode(texts[::-1])[::-1] == got and encoder.encode(texts) == got
-    encoder.mark = None
-    encoder.known = {}
-    assert encoder.encode(texts) == got
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
-
-
-def test_cut():
-    assert B.cut(5, 2048) == [(0, 5)] and B.cut(2048, 2048) == [(0, 2048)] and B.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+    tok = Tokenizer.from_file(tokenizer_path())
+    return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_unit_pool_equals_the_tokenizer_for_random_texts(monkeypatch):
+    """Contractions, white space of all kinds, marks and special strings, whatever stands beside them in the batch."""
+    monkeypatch.setattr(U, "MOST_UNITS", 300)
+    parts = ["a", "b", "the", "'s", "'t", "'re", "'S", "don't", " ", " ", " ", "\n", "\n\n", "\t", "\x01", "é", "\u0303", "日本", "1", "23", "!", "..", "%%", "'", "\xa0", "\u3000",
+             "<|endoftext|>", "'ll", "  ", "\U0001F600", "ß", "\r\n", "\x85", "²", "½", "ª", "ǅ", "ʰ"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(12_000)]
+    texts += ["'s fine", "a 's fine", "x" * 3000 + " y", "", " ".join(f"w{i}, v{i}!" for i in range(2000))]
+    want = plain_ids(texts)
+    pool = U.UnitPool(U.ByteUnits(tokenizer_path(), special_as_text=False))
+    assert pool.encoder.mark is not None
+    for _ in range(2):
+        order = list(range(len(texts)))
+        rng.shuffle(order)
+        for lo in range(0, len(order), 500):
+            part = order[lo: lo + 500]
+            ids, off = pool.encode(pa.array([texts[k] for k in part], pa.large_string()))
+            assert [ids[i:j].tolist() for i, j in zip(off, off[1:])] == [want[k] for k in part]
+        pool.encoder.mark = None
+
+
+def cut(n, capacity):
+    first = n % capacity or capacity
+    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
+
+
+def test_pieces_of_token_counts():
+    sizes = np.array([5, 2048, 4097, 1, 4096])
+    row, piece, start, length = B.pieces_of(sizes, 2048)
+    for k, n in enumerate(sizes.tolist()):
+        assert list(zip(start[row == k].tolist(), length[row == k].tolist())) == cut(n, 2048) and piece[row == k].tolist() == list(range((row == k).sum()))
 
 
 def test_local_search_only_improves():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 90, 400)
     worst = [[i] for i in range(400)]
-    got = B.local_search(sizes, worst, 100, sources=400, steps=20_000)
+    got = B.local_search(sizes, worst, 100)
     assert sorted(i for b in got for i in b) == list(range(400))
     assert all(sizes[b].sum() <= 100 for b in got)
     assert len(got) <= 1.03 * len(B.best_fit(sizes, 100))
 
 
+def test_least_bins_is_a_bound():
+    rng = np.random.default_rng(6)
+    assert B.least_bins(np.array([6, 6, 6, 4]), 10) == 3 and B.least_bins(np.array([5, 5, 5]), 10) == 2 and B.least_bins(np.zeros(0, int), 10) == 0
+    for _ in range(50):
+        sizes = rng.integers(1, 11, 8)
+        best = min(len(B.best_fit(sizes[rng.permutation(8)], 10)) for _ in range(20))
+        assert -(-sizes.sum() // 10) <= B.least_bins(sizes, 10) <= best
+
+
+def test_local_search_goes_on_where_best_fit_is_poor():
+    """Three pieces of 500 to 899 seldom fill a bin best-fit; the search runs until no change helps."""
+    sizes = np.random.default_rng(1).integers(500, 900, 4096)
+    first = B.best_fit(sizes, 2048)
+    got = B.local_search(sizes, first, 2048)
+    assert sorted(i for b in got for i in b) == list(range(4096)) and all(sizes[b].sum() <= 2048 for b in got)
+    assert B.least_bins(sizes, 2048) <= len(got) < 0.95 * len(first) + 1
+
+
 def test_exchanges_empty_bins_that_best_fit_leaves():
     # 6+4, 6+4, 5+5 fit three bins of 10; a bad start uses four
     sizes = np.array([6, 4, 6, 4, 5, 5])
@@ -142,7 +182,7 @@ def test_exchanges_empty_bins_that_best_fit_leaves():
 @pytest.mark.parametrize("in_order", [False, True])
 def test_pieces_and_places(docs, rows, in_order):
     got = B.pack_documents(docs, tokenizer_path(), in_order=in_order).collect()
-    ids = {i: np.frombuffer(B.CachedEncoder(tokenizer_path()).encode([t or ""])[0] + b"\0\0\0\0", "<u4") for i, t in rows}
+    ids = {i: np.array([*x, 0], "<u4") for (i, _), x in zip(rows, plain_ids([t for _, t in rows]))}
     by, seq = defaultdict(list), defaultdict(list)
     for r in got:
         x = ids[r.doc_id][r.start: r.start + r.length]
@@ -151,7 +191,7 @@ def test_pieces_and_places(docs, rows, in_order):
         seq[r.sequence_id].append((r.offset, r.length))
     assert set(by) == set(ids)
     for i, v in by.items():
-        assert sorted(set(v)) == [(k, s, n) for k, (s, n) in enumerate(B.cut(len(ids[i]), 2048))]
+        assert sorted(set(v)) == [(k, s, n) for k, (s, n) in enumerate(cut(len(ids[i]), 2048))]
     for v in seq.values():
         end = 0
         for o, n in sorted(v):
@@ -162,6 +202,15 @@ def test_pieces_and_places(docs, rows, in_order):
     assert in_order or len(seq) <= total / 2048 * 1.05 + 1
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_many_equal_rows_are_dealt_to_many_groups(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(B, "GROUP", 64)
+    same = spark.range(2000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("word " * 400 + "x").alias("text"))
+    got = B.pack_documents(same, tokenizer_path()).collect()
+    groups = Counter(r.sequence_id >> 20 for r in got)
+    assert len(got) == 2000 and len(groups) > 20 and max(groups.values()) < 200
+
+
 def test_sequences_follow_the_files(spark, tmp_path, monkeypatch):
     """Files of unequal size, whose partitions Spark orders by size: groups and sequences keep the order of the files."""
     rng, sizes, at = np.random.default_rng(4), [3, 400, 1, 90, 700, 20], 0

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from fidelis.llm import line_chunks as L
 from fidelis.llm import mixing as M
-from fidelis.llm import packing as B
 from fidelis.llm import quality as Q
-from fidelis.llm.queries import held_out, tokenizer_path
+from fidelis.llm.queries import held_out
 from fidelis.session import checkpoint_dir
 from tests.conftest import SF_SMALL
+from tests.llm.test_archives_mixing_packing import cut, plain_ids
 from tests.llm.test_dedup import chunks_of, components
 
 
@@ -73,13 +73,12 @@ def test_mixing_stage_orders_by_the_schedule(spark, steps):
 
 def test_packing_stage_packs_every_token_once(steps):
     texts = rows(steps[4])
-    ids = B.CachedEncoder(tokenizer_path()).encode([t or "" for _, t in texts])
-    length = {i: len(x) // 4 + 1 for (i, _), x in zip(texts, ids)}
+    length = {i: len(x) + 1 for (i, _), x in zip(texts, plain_ids([t for _, t in texts]))}
     seq, pieces = defaultdict(list), defaultdict(list)
     for r in steps[5].collect():
         seq[r.sequence_id].append((r.offset, r.length))
         pieces[r.doc_id].append((r.piece, r.start, r.length))
-    assert {i: sorted(v) for i, v in pieces.items()} == {i: [(k, s, n) for k, (s, n) in enumerate(B.cut(m, 2048))] for i, m in length.items()}
+    assert {i: sorted(v) for i, v in pieces.items()} == {i: [(k, s, n) for k, (s, n) in enumerate(cut(m, 2048))] for i, m in length.items()}
     for v in seq.values():
         v = np.array(sorted(v))
         assert (v[:, 0] == np.cumsum(v[:, 1]) - v[:, 1]).all() and v[:, 1].sum() <= 2048
