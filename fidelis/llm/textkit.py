@@ -2,9 +2,8 @@
 
 A column's texts are used as one byte buffer with offsets, so that a batch costs a few
 numpy passes and no Python object per word.  Words are runs of bytes other than space and
-0x09-0x0D (never crossing two texts).  Hashes are 64-bit sums ``r[b] * B**i`` taken from one
-prefix array (``B`` odd, all arithmetic modulo 2**64), then mixed; equal words have equal
-hashes in every task and every run.
+0x09-0x0D (never crossing two texts).  Hashes are sums ``r[b] * B**i`` modulo two primes, taken
+from prefix arrays and mixed; equal words have equal hashes in every task and every run.
 """
 
 from __future__ import annotations
@@ -37,29 +36,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = U64(0x2545F4914F6CDD1D)
-_UNBASE = U64(pow(int(_BASE), -1, 1 << 64))
-_pow: dict[int, np.ndarray] = {}
+#: (prime, base) of the two moduli: fixed values
+_MODULI = ((2147483647, 1103515245), (2147483629, 1664525013))
+_pow: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64 (kept and doubled as needed)."""
-    p = _pow.get(int(base))
-    if p is None:
-        p = np.ones(1, U64)
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """``base**0 .. base**(n-1)`` modulo ``prime`` (kept and doubled as needed)."""
+    p = _pow.get((base, prime), np.ones(1, U64))
     while len(p) < n:
-        top = U64(int(p[-1]) * int(base) & (1 << 64) - 1)
-        p = np.concatenate([p, p * top])
-    _pow[int(base)] = p if len(p) <= 1 << 23 else p[: 1 << 23]
+        p = np.concatenate([p, p * U64(int(p[-1]) * base % prime) % U64(prime)])
+    _pow[base, prime] = p if len(p) <= 1 << 22 else p[: 1 << 22]
     return p[:n]
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of ``values[s:e]`` for each span, from one prefix array."""
-    n = len(values)
-    pre = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(_BASE, n), out=pre[1:])
-    return mix((pre[ends] - pre[starts]) * powers(_UNBASE, n + 1)[starts])
+    """Hash of ``values[s:e]`` for each span, from a prefix array for each modulus.
+
+    62 bits of two polynomial hashes modulo primes below 2**31 (a sum of residues stays exact in
+    64 bits).  Residues are 1 at least, so a span is never equal to a longer one by zeros.
+    """
+    n, out = len(values), np.zeros(len(starts), U64)
+    for prime, base in _MODULI:
+        pre, m = np.zeros(n + 1, U64), U64(prime)
+        np.cumsum((values % U64(prime - 1) + U64(1)) * powers(base, prime, n) % m, out=pre[1:])
+        part = (pre[ends] - pre[starts]) % m * powers(pow(base, -1, prime), prime, n + 1)[starts] % m
+        out = out << U64(31) | part
+    return mix(out)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

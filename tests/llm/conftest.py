@@ -26,6 +26,10 @@ def corpus():
     rows += [(300 + k, "\n".join(sentence(rng, rng.randrange(1, 12)) for _ in range(20))) for k in range(10)]
     rows += [(400, "ab " * 30_000), (401, sentence(rng, 20_000)), (402, "é ü x\x0b\x0cß\x1f")]
     rows += [(500, rows[40][1]), (500, rows[40][1])]  # a repeated row
+    # a Thue-Morse string and its complement: equal under any polynomial hash modulo a power of two
+    one = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows += [(600, " ".join([one] * 5)), (601, " ".join([other] * 5)), (602, f"{one}\n{other}\nend " + sentence(rng, 60))]
     return rows
 
 
