@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import fingerprints, line_chunks, mixing, near_dedup, packing, quality, repetition, substrings, toxicity, warc
+from fidelis.llm import alignment, fingerprints, line_chunks, mixing, near_dedup, packing, quality, repetition, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return rows.select(F.col("doc_id").cast("bigint"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -23,8 +23,11 @@ from fidelis.llm.textkit import utf8
 BATCH_BYTES = 16 << 20
 MOST_UNITS = 1_000_000
 _JOINED = 500
-#: Where spaces or line feeds stand first, last or beside other white space: no cut there is certain.
-ODD = r"  |^ | $|^\n| \n|\n |\n\n[\s\x0b\x{85}\p{Z}]|[\s\x0b\x{85}\p{Z}]\n\n|[\s\x0b\x{85}\p{Z}]\n$"
+_WS = r"[\s\x0b\x{85}\p{Z}]"
+#: Texts in which a cut before a space is not certain: it stands first, last or between white space.
+ODD_SPACES = rf"  |^ | $|{_WS} {_WS}"
+#: The same for cuts before a space or a line feed.
+ODD = rf"{ODD_SPACES}|^\n| \n|{_WS}\n{_WS}|{_WS}\n$"
 MARKS = ".,;:!?%&*$#|"
 
 
@@ -97,10 +100,13 @@ class ByteUnits:
 
 
 class UnitPool:
-    """Ids of the words seen so far in this worker, ``MOST_UNITS`` and a batch's at most."""
+    """Ids of the words seen so far in this worker, ``most`` and a batch's at most.
 
-    def __init__(self, encoder: ByteUnits):
-        self.encoder = encoder
+    With ``lines`` a unit that begins with a line feed has no space before it.
+    """
+
+    def __init__(self, encoder: ByteUnits, *, lines: bool = True, most: int | None = None):
+        self.encoder, self.lines, self.most = encoder, lines, most or MOST_UNITS
         self.clear()
 
     def clear(self) -> None:
@@ -117,9 +123,9 @@ class UnitPool:
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def _of_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def of_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of distinct units: each is a word and the marks after it, which are looked up apart."""
-        if len(self.known) > MOST_UNITS:
+        if len(self.known) > self.most:
             self.clear()
         buf, off = utf8(units)
         ends = off[:-1] + pc.binary_length(pc.utf8_rtrim(units, characters=MARKS)).to_numpy()
@@ -127,7 +133,7 @@ class UnitPool:
         letter = ((last | 32) >= 97) & ((last | 32) <= 122) | (before == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 0x80)
         ends = np.where(letter & (ends > off[:-1]), ends, off[1:])
         words, marks = (cut_strings(buf, a, b).dictionary_encode() for a, b in ((off[:-1], ends), (ends, off[1:])))
-        of_word = self.slots([u if u[:1] == "\n" else " " + u for u in strings(words.dictionary)])
+        of_word = self.slots([u if self.lines and u[:1] == "\n" else " " + u for u in strings(words.dictionary)])
         of_marks = self.slots(strings(marks.dictionary))
         picks = np.stack([of_word[words.indices.to_numpy()], of_marks[marks.indices.to_numpy()]], 1).ravel()
         pos, lengths = gather(self.offsets, picks)
@@ -146,7 +152,7 @@ class UnitPool:
         head = np.zeros(len(flat), bool)
         head[first[:-1]] = True
         rest = flat.filter(pa.array(~head)).dictionary_encode()
-        unit_ids, unit_off = self._of_units(rest.dictionary)
+        unit_ids, unit_off = self.of_units(rest.dictionary)
         alone = self.encoder.plain(strings(flat.filter(pa.array(head))) + strings(texts.filter(whole)))
         # one pool: the units, then the heads, then the whole texts; the picks in the order of the texts
         ids = np.concatenate([unit_ids, *alone])
