@@ -33,7 +33,7 @@ def mask_cells(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
 
     Bits 0 to 3 are the conditions of a text alone, bit 4 says that a smaller id has the same text.
     Texts are compared by their SHA-256 and length.  A null text or part is the empty string; a null id is no
-    smaller id and has none; repeated rows of one id do not make each other repeated.  A label
+    smaller id, has none and no label; repeated rows of one id do not make each other repeated.  A label
     counts when any row of ``labels`` for the id has it.
 
     Rows are counted by (text, id, part) first, so that copies leave a task once; the least id of
