@@ -85,7 +85,7 @@ def walk_orders(cells: DataFrame, letters: str = "ABCDE") -> DataFrame:
     for left in range(len(letters), 0, -1):
         k *= left
         prefixes += k
-    need, setting = parts.count() * prefixes, "spark.sql.cteRecursionRowLimit"
+    need, setting = parts.count() * prefixes + 1, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(setting)
     values = ", ".join(f"('{x}', {1 << i})" for i, x in enumerate(letters))
     walk = spark.sql(f"""
