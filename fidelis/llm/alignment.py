@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from fidelis.llm.units import _JOINED, ODD_SPACES, ByteUnits, UnitPool, bounds, gather, strings, text_batches
 from fidelis.session import checkpoint_dir
 
-#: Units kept in a worker between two batches.
-MOST_UNITS = 500_000
+#: Units kept in a worker between two batches, new ones aligned at a time, and text bytes handled at once.
+MOST_UNITS = 300_000
+NEW_UNITS = 50_000
+BATCH_BYTES = 6 << 20
 #: A pair with this share of all irregular links or more is hot: there are 1 / HOT_SHARE at most.
 HOT_SHARE = 1e-4
 SPACE_SIGN = "▁"
@@ -166,7 +168,8 @@ class AlignedPool:
         new = [u for u in units if u not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self._add(Aligned(self.tokenizers, new, False))
+            for lo in range(0, len(new), NEW_UNITS):
+                self._add(Aligned(self.tokenizers, new[lo: lo + NEW_UNITS], False))
         return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
     def batch(self, texts: pa.Array) -> tuple:
@@ -233,7 +236,7 @@ def stored_alignments(docs: DataFrame, a_path: str, b_path: str, *, id_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         pool = pool_of(a_path, b_path)
         for b in it:
-            for lo, texts in text_batches(b.column(1)):
+            for lo, texts in text_batches(b.column(1), BATCH_BYTES):
                 numbers, sha, ids, pairs = pool.batch(texts)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, len(texts)), b.column(2).slice(lo, len(texts)), *[pa.array(numbers[c]) for c in ("n_a", "n_b", "n_groups")],
