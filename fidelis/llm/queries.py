@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import alignment, filter_audit, fingerprints, line_chunks, mixing, near_dedup, packing, quality, repetition, substrings, toxicity, warc
+from fidelis.llm import alignment, filter_audit, fingerprints, html_extract, line_chunks, mixing, near_dedup, packing, quality, repetition, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +109,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op12_html_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op13_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
