@@ -1,29 +1,19 @@
 """Feature scaling and nearest-neighbour similarity.
 
-Exact cosine nearest neighbours without a dense global matrix and without a
-cross join: both sides are cut into blocks of at most ``block_rows`` rows
-(hash of the id); every candidate block meets every reference block through an
-equi-cogroup on ``(candidate_block, reference_block)``, one Arrow batch per
-group, where numpy computes the block's dot products and keeps only the best
-``k`` per candidate row.  Shuffled volume is |C|*#ref_blocks + |R|*#cand_blocks
-rows, each task holds two bounded blocks, and the final top-k per candidate
-ranks at most ``k * #ref_blocks`` rows.
+Exact cosine nearest neighbours come from the pruned index of ``vector_index``: no dense
+global matrix, no cross join, and of all pairs only those that the triangle inequality of
+angles cannot rule out.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidelis import config
 from fidelis.functions.columns import clean
 from fidelis.operators.frames import attach
-
-NN_SCHEMA = "cid long, rid long, similarity double"
+from fidelis.operators.vector_index import CELL_ROWS, build_index, search
 
 
 def scale_stats(reference: DataFrame, features: list[str]) -> DataFrame:
@@ -61,81 +51,28 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(key, F.col(f"`{id_col}`")).limit(n)
 
 
-def _normalise(vectors: pd.Series) -> np.ndarray:
-    m = np.nan_to_num(np.vstack([np.asarray(v, dtype=np.float64) for v in vectors]))
-    n = np.linalg.norm(m, axis=1)
-    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
-
-
-def _block_fn(k: int):
-    """The ``k`` best reference rows of a block for each candidate row of a block, equal ones by id."""
-    def fn(_key, pc: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
-        if pc.empty or pr.empty:
-            return pd.DataFrame({"cid": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        pr = pr.sort_values("rid")
-        rid, ref = pr["rid"].to_numpy(), _normalise(pr["v"]).T
-        kk = min(k, len(rid))
-        cids, rids, best = [], [], []
-        for at in range(0, len(pc), 512):  # a strip of the block product at a time
-            part = pc.iloc[at: at + 512]
-            sims = _normalise(part["v"]) @ ref
-            edge = np.partition(sims, len(rid) - kk, axis=1)[:, len(rid) - kk]  # the k-th best value
-            row, col = np.nonzero(sims >= edge[:, None])
-            order = np.lexsort((rid[col], -sims[row, col], row))
-            row, col = row[order], col[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
-            row, col = row[keep], col[keep]
-            cids.append(part["cid"].to_numpy()[row])
-            rids.append(rid[col])
-            best.append(sims[row, col])
-        return pd.DataFrame({"cid": np.concatenate(cids), "rid": np.concatenate(rids), "similarity": np.concatenate(best)})
-    return fn
-
-
-def _row_bound(df: DataFrame) -> int:
-    """Rows of ``df``: the plan's own bound when it has one (a limit, a local frame),
-    otherwise a count (one cheap pass; it only sizes the blocks)."""
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    if bound.isDefined():
-        return int(bound.get())
-    return df.count()
-
-
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
-              k: int = 1, block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
+              k: int = 1, block_rows: int = 4096, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The ``k`` most cosine-similar reference rows of every candidate row.
 
     Output ``(<cand_id>, rank, ref_id, similarity)``; a candidate with no reference row
     (empty reference) gets one row with similarity 0.0 and a NULL reference id.
 
-    Every candidate block meets every reference block in an equi-cogroup; ``n_ref`` and
-    ``n_cand`` (counted when not given) only set the number of blocks.  The work is that of an
-    exact comparison of all pairs, spread evenly; only ``k`` rows a candidate leave a block.
+    Exact at any size: the reference is indexed (``vector_index``) and a candidate meets only
+    the cells that may hold a nearer row.  Build the index yourself to search it again.
     """
-    n_cand = _row_bound(candidate) if n_cand is None else n_cand
-    n_ref = _row_bound(reference) if n_ref is None else n_ref
-    n_rb, n_cb = max(1, math.ceil(n_ref / block_rows)), max(1, math.ceil(n_cand / block_rows))
-    c = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
-    r = reference.select(F.col(f"`{ref_id}`").cast("long").alias("rid"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
-    c = c.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_cb))).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rb - 1).cast("long"))))
-    r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(n_rb))).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cb - 1).cast("long"))))
-    best = c.groupBy("cb", "rb").cogroup(r.groupBy("cb", "rb")).applyInPandas(_block_fn(k), NN_SCHEMA)
-    # <= k rows per candidate and reference block
-    w = Window.partitionBy("cid").orderBy(F.desc("similarity"), "rid")
-    top = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    ids = candidate.select(F.col(f"`{cand_id}`").cast("long").alias("cid"))
-    out = ids.join(top, "cid", "left").select(
-        F.col("cid").alias(cand_id), F.coalesce("rank", F.lit(1).cast("long")).alias("rank"), F.col("rid").alias("ref_id"),
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    return out
+    index = build_index(reference, ref_id, vec_col, cell_rows=cell_rows)
+    if not index.n_rows:
+        return candidate.select(F.col(f"`{cand_id}`").cast("long").alias(cand_id), F.lit(1).cast("long").alias("rank"),
+                                F.lit(None).cast("long").alias("ref_id"), F.lit(0.0).alias("similarity"))
+    found, _ = search(index, candidate, cand_id, vec_col, k, block_rows=block_rows)
+    return found.select(F.col("id").alias(cand_id), "rank", F.col("rid").alias("ref_id"), "similarity")
 
 
 def nn_cosine(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,
-              block_rows: int = 4096, n_ref: int | None = None, n_cand: int | None = None) -> DataFrame:
+              block_rows: int = 4096) -> DataFrame:
     """Best cosine similarity of every candidate row to any reference row."""
-    out = nn_search(candidate, reference, cand_id, ref_id, vec_col, 1, block_rows, n_ref, n_cand)
+    out = nn_search(candidate, reference, cand_id, ref_id, vec_col, 1, block_rows)
     return out.drop("rank").withColumnRenamed("similarity", "max_similarity")
 
 

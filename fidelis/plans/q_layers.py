@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -89,7 +88,7 @@ def _layer_scores_sql() -> str:
     review = f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
       simf AS (SELECT row_id FROM ({sim_flags}) WHERE flagged AND (SELECT escalated FROM ({sim}))),
       flagged AS (SELECT row_id FROM f UNION SELECT row_id FROM simf),
-      ids AS (SELECT row_id FROM flagged ORDER BY row_id LIMIT {config.REVIEW_SAMPLE}),
+      ids AS (SELECT row_id FROM flagged),
       cand_all AS (SELECT * FROM cand), {PLAUS_SQL.replace('FROM cand, ctx', 'FROM cand_all JOIN ids USING (row_id), ctx')},
       k AS (SELECT count(*) AS k, coalesce(string_agg(observation, ' '), '') AS txt,
                    count(*) FILTER (WHERE NOT list_contains({_VALID_SQL}, feature) AND feature <> 'parse_error') AS bad_feat,
@@ -164,7 +163,6 @@ def q_retry_until_pass(spark, sf):
     """D5 (no oracle: a driver loop over whole-layer jobs): regenerate candidates from the real
     side with seeds 1042, 2042 until the weighted score passes.  All flagged rows are reviewed."""
     real, cand = _sides(spark, sf)
-    spec = replace(TX_SPEC, review_sample=None)
     weights = O.weights_frame(spark)
     n = cand.count()
     rate = real.agg(F.avg(F.col(R.label).cast("double"))).first()[0]
@@ -174,7 +172,7 @@ def q_retry_until_pass(spark, sf):
         return G.generate_synthetic(real, n, rate, seed, R.id, R.label, feats, R.amount, R.time)
 
     def score_fn(c):
-        return O.run_once(real, c, spec, weights, valid_columns(spark, sf))["final"].first()["final_score"]
+        return O.run_once(real, c, TX_SPEC, weights, valid_columns(spark, sf))["final"].first()["final_score"]
 
     from fidelis.session import cut_lineage
     res = O.run_with_retries(score_fn, cand, gen, materialize=cut_lineage)

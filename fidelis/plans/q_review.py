@@ -31,8 +31,7 @@ AMOUNT_LIMIT, KEY_HIGH, KEY_LOW = 50000.0, 0.09, 0.01
 TX_SPEC = LayerSpec(roles=R, rules=tx_rules(), ks_features=KS_FEATURES, key_features=KEY_FEATURES,
                     corr_features=CORR_FEATURES, z_features=Z_FEATURES, sim_features=SIM_FEATURES,
                     review_key=REVIEW_KEY, review_features=REVIEW_FEATURES, review_amount_limit=AMOUNT_LIMIT,
-                    review_key_high=KEY_HIGH, review_key_low=KEY_LOW, forest_features=CORR_FEATURES,
-                    similarity_sample=config.SIMILARITY_SAMPLE, review_sample=config.REVIEW_SAMPLE)  # the LIMITs of the queries' SQL
+                    review_key_high=KEY_HIGH, review_key_low=KEY_LOW, forest_features=CORR_FEATURES)  # all flagged rows, all candidate rows
 
 
 def _context(real):
@@ -122,7 +121,7 @@ def q_review_score(spark, sf):
 
 
 @register("validate_semantic", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
-  ids AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM f) ORDER BY row_id LIMIT 10),
+  ids AS (SELECT DISTINCT row_id FROM f),
   cand_all AS (SELECT * FROM cand), {PLAUS_SQL.replace('FROM cand, ctx', 'FROM cand_all JOIN ids USING (row_id), ctx')},
   a AS (SELECT count(*) AS k FROM plaus), n AS (SELECT count(*) AS reviewed FROM ids)
   SELECT reviewed AS rows_reviewed, k AS n_anomalies, round(greatest(0.0, 1 - k / greatest(reviewed, 1)), 4) AS score,
@@ -132,7 +131,7 @@ def q_validate_semantic(spark, sf):
     real, cand = real_side(spark, sf), candidate_side(spark, sf)
     flagged = RL.evaluate_rules(cand, tx_rules()).where(~F.col("is_valid")).select("row_id")
     rv = review_layer(real, cand, TX_SPEC, flagged)
-    return rv["result"].select("rows_reviewed", F.size("anomalies").cast("long").alias("n_anomalies"), "score", "passed")
+    return rv["result"].select("rows_reviewed", "n_anomalies", "score", "passed")
 
 
 # ---- audit ---------------------------------------------------------------------------
@@ -243,14 +242,12 @@ def q_unknown_columns(spark, sf):
     return G.unknown_columns(mentions, candidate_side(spark, sf).columns)
 
 
-@register("review_batch_text", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}),
-  ids AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM f) ORDER BY row_id LIMIT 10),
-  lines AS (SELECT c.row_id, printf('Row %d: Class=%d, Amount=%.2f, l_quantity=%.3f, l_discount=%.3f, l_tax=%.3f',
-    c.row_id, is_return, l_extendedprice, coalesce(l_quantity, 0.0), coalesce(l_discount, 0.0), coalesce(l_tax, 0.0)) AS line
-    FROM cand c JOIN ids USING (row_id))
-  SELECT string_agg(line, chr(10) ORDER BY row_id) AS text FROM lines""")
+@register("review_batch_text", f"""WITH {TX_SQL}, f AS ({_FAIL_SQL}), ids AS (SELECT DISTINCT row_id FROM f)
+  SELECT row_id, printf('Row %d: Class=%d, Amount=%.2f, l_quantity=%.3f, l_discount=%.3f, l_tax=%.3f',
+    row_id, is_return, l_extendedprice, coalesce(l_quantity, 0.0), coalesce(l_discount, 0.0), coalesce(l_tax, 0.0)) AS text
+  FROM cand JOIN ids USING (row_id)""")
 def q_review_batch_text(spark, sf):
-    """V3: the text of the review batch (the first 10 flagged rows, id order)."""
+    """V3: the review text of every flagged row, one row each."""
     from fidelis.operators import rules as RL
     real, cand = real_side(spark, sf), candidate_side(spark, sf)
     flagged = RL.evaluate_rules(cand, tx_rules()).where(~F.col("is_valid")).select("row_id")

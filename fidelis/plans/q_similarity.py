@@ -2,17 +2,21 @@
 
 Vectors: ``embeddings`` - reference = labels 0-4, candidate = labels 5-9 (the whole
 table, every candidate against every reference vector).  The tabular similarity
-layer (Q10) uses ``lineitem``: the candidate side, of which these queries take 20 rows as
-their SQL does, is compared with the WHOLE real side.
+layer (Q10) uses ``lineitem``: every row of the candidate side is compared with the whole
+real side through the pruned index.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fidelis import config
 from fidelis.operators import similarity as S
+from fidelis.operators import vector_index as X
 from fidelis.plans.registry import register, rounded
+from fidelis.session import checkpoint_dir
 from fidelis.sources.tables import TX_SQL, candidate_side, real_side, table
 
 SIM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -37,8 +41,25 @@ def q_nn_cosine(spark, sf):
 
 @register("nn_index_query", f"WITH {EMB_SQL} SELECT cid AS vec_id, rn AS rank, rid AS ref_id, round(sim, 6) AS similarity FROM b WHERE rn <= 3")
 def q_nn_index_query(spark, sf):
+    """The reference is indexed once and the index is read back from its folder for the search."""
     cand, ref = _emb(spark, sf)
-    return rounded(S.nn_search(cand, ref, "vec_id", "vec_id", "embedding", k=3))
+    path = f"{checkpoint_dir(spark)}/embedding-index-{uuid.uuid4().hex}"
+    X.build_index(ref, "vec_id", "embedding", path=path)
+    found, _ = X.search(X.load_index(spark, path), cand, "vec_id", "embedding", 3)
+    return rounded(found.select(F.col("id").alias("vec_id"), "rank", F.col("rid").alias("ref_id"), "similarity"))
+
+
+@register("nn_pruning", f"""WITH {TX_SQL}, c AS (SELECT count(*) AS n FROM cand), r AS (SELECT count(*) AS n FROM real)
+  SELECT c.n AS candidates, r.n AS reference_rows, c.n * r.n AS all_pairs, true AS pruned FROM c, r""")
+def q_nn_pruning(spark, sf):
+    """What a search of the whole candidate side asks of the index; ``pruned``: under a fifth of all pairs was compared."""
+    real, cand = real_side(spark, sf), candidate_side(spark, sf)
+    stats = S.scale_stats(real, SIM_FEATURES)
+    index = X.build_index(S.vectorize(S.standard_scale(real, real, SIM_FEATURES, stats), "row_id", SIM_FEATURES), "row_id", "vec")
+    _, work = X.search(index, S.vectorize(S.standard_scale(real, cand, SIM_FEATURES, stats), "row_id", SIM_FEATURES), "row_id", "vec", 1)
+    pairs = work["candidates"] * work["rows"]
+    return spark.createDataFrame([(work["candidates"], work["rows"], pairs, 5 * work["compared"] < pairs)],
+                                 "candidates bigint, reference_rows bigint, all_pairs bigint, pruned boolean")
 
 
 @register("sim_flagged", f"""WITH {EMB_SQL}
@@ -104,12 +125,18 @@ def similarity_layer(real, cand, features, sample_size=None, seed=42,
     return flags, S.anomaly_rate(flags)
 
 
+def _unit_sql(side: str) -> str:
+    """Unit vectors (zero where there is no direction) of a side's scaled features, as SQL."""
+    scaled = ", ".join(f"coalesce(({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1.0 ELSE s_{f} END, 0.0) AS x_{f}" for f in SIM_FEATURES)
+    norm = " + ".join(f"x_{f} * x_{f}" for f in SIM_FEATURES)
+    return (f"SELECT row_id, {', '.join(f'CASE WHEN n = 0 THEN 0.0 ELSE x_{f} / n END AS u_{f}' for f in SIM_FEATURES)} "
+            f"FROM (SELECT *, sqrt({norm}) AS n FROM (SELECT row_id, {scaled} FROM {side}, st))")
+
+
 _Q10_SQL = f"""WITH {TX_SQL},
   st AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in SIM_FEATURES)} FROM real),
-  smp AS (SELECT * FROM cand ORDER BY md5(concat(row_id, '-', '42')), row_id LIMIT 20),
-  cs AS (SELECT row_id, [{', '.join(f"({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1.0 ELSE s_{f} END" for f in SIM_FEATURES)}] AS v FROM smp, st),
-  rs AS (SELECT row_id, [{', '.join(f"({f} - m_{f}) / CASE WHEN s_{f} = 0 THEN 1.0 ELSE s_{f} END" for f in SIM_FEATURES)}] AS v FROM real, st),
-  best AS (SELECT cs.row_id, max(list_cosine_similarity(cs.v, rs.v)) AS sim FROM cs, rs GROUP BY cs.row_id),
+  cs AS ({_unit_sql('cand')}), rs AS ({_unit_sql('real')}),
+  best AS (SELECT cs.row_id, max({' + '.join(f'cs.u_{f} * rs.u_{f}' for f in SIM_FEATURES)}) AS sim FROM cs, rs GROUP BY cs.row_id),
   a AS (SELECT count(*) AS sampled, count(*) FILTER (WHERE sim < 0.4) AS anomalies FROM best)"""
 
 
@@ -118,12 +145,12 @@ _Q10_SQL = f"""WITH {TX_SQL},
     anomalies / greatest(sampled, 1) > 0.15 AS escalated, round(greatest(0.0, 1 - anomalies / greatest(sampled, 1)), 4) AS score,
     anomalies / greatest(sampled, 1) <= 0.15 AS passed, 'exact_blocked' AS backend FROM a""")
 def q_validate_similarity(spark, sf):
-    _, summary = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES, config.SIMILARITY_SAMPLE)
+    _, summary = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES)
     return summary
 
 
 @register("sim_summary_dict", _Q10_SQL + """
   SELECT row_id, round(sim, 4) AS max_similarity, sim < 0.4 AS flagged FROM best""")
 def q_sim_summary_dict(spark, sf):
-    flags, _ = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES, config.SIMILARITY_SAMPLE)
+    flags, _ = similarity_layer(real_side(spark, sf), candidate_side(spark, sf), SIM_FEATURES)
     return flags.select("row_id", "max_similarity", "flagged")
