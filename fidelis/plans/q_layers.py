@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from fidelis import config
+from fidelis.operators import baseline as B
 from fidelis.operators import profile as P
 from fidelis.operators import synth as G
+from fidelis.operators.frames import long_form
 from fidelis.plans import layers as L
 from fidelis.plans import orchestrate as O
 from fidelis.plans.q_review import TX_SPEC, valid_columns
 from fidelis.plans.q_rules import _FAIL_SQL
+from fidelis.plans.q_stats import KS_FEATURES, _corr_sql
 from fidelis.plans.registry import ORACLES, register, rounded
 from fidelis.session import checkpoint_dir
 from fidelis.sources import io
-from fidelis.sources.tables import TX_ROLES, TX_SQL, candidate_side, real_side
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, WIDE, candidate_side, real_side
 
 R = TX_ROLES
 TEST_COLS = "test_name, feature, passed, statistic, threshold, p_value"
@@ -238,9 +241,8 @@ def q_quality_report(spark, sf):
     return attach(attach(meta, rm), bands)
 
 
-@register("baseline_profile")
-def q_baseline_profile(spark, sf):
-    """Q4 (no oracle: one nested row): column stats, class correlations, pair correlations,
+def baseline_report(spark, sf):
+    """Q4 as one nested row, the form in which a baseline is stored as JSON: column stats, class correlations, pair correlations,
     KS by class and the log-amount fit of the real side, as structs / arrays."""
     from fidelis.operators import corr as C
     from fidelis.operators import dist as D
@@ -257,6 +259,108 @@ def q_baseline_profile(spark, sf):
     return attach(attach(attach(attach(attach(meta, cs), cc), pairs), ks), lf)
 
 
+_LONG = "section, feature, other, class, metric, value"
+
+
+def _long_sql(section: str, key: str, metrics: list[str], other: str = "NULL", feature: str = "feature") -> str:
+    """A wide oracle as long rows: one for each of its metrics."""
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {feature} AS feature, {other} AS other, CAST(NULL AS VARCHAR) AS class, '{m}' AS metric, CAST({m} AS DOUBLE) AS value "
+                              f"FROM ({ORACLES[key]})" for m in metrics)
+
+
+_STATS = ["mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis"]
+_NO_LABEL = [f for f in KS_FEATURES if f != R.label]
+_KS_ALL = ORACLES["ks_by_class"].replace(" QUALIFY rank <= 10", "")
+_CORR_CLASS = " UNION ALL ".join(f"SELECT '{f}' AS feature, round(corr({f}, is_return), 6) AS corr FROM real" for f in _NO_LABEL)
+
+
+_COLUMNS_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM real" for f in KS_FEATURES)
+_STATS_SQL = dict(zip(_STATS, ["avg(value)", "stddev_samp(value)", "min(value)", "max(value)", "quantile_cont(value, 0.5)", "quantile_cont(value, 0.25)", "quantile_cont(value, 0.75)",
+                               "skewness(value)", "kurtosis(value)"]))
+
+
+@register("baseline_profile", f"""SELECT 'column' AS section, feature, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS VARCHAR) AS class, unnest(m).metric AS metric, unnest(m).value AS value
+    FROM (WITH {TX_SQL}, l AS ({_COLUMNS_LONG}) SELECT feature, [{', '.join(f"{{'metric': '{k}', 'value': round(CAST({v} AS DOUBLE), 6)}}" for k, v in _STATS_SQL.items())}] AS m FROM l GROUP BY feature)
+  UNION ALL {_long_sql('correlation', 'corr_matrix', ['corr'], 'feature_b', 'feature_a')}
+  UNION ALL SELECT 'class_correlation', feature, NULL, NULL, 'corr', corr FROM (WITH {TX_SQL} {_CORR_CLASS})
+  UNION ALL SELECT 'ks_by_class', feature, NULL, NULL, 'statistic', statistic FROM ({_KS_ALL})
+  UNION ALL SELECT 'amount', '{R.amount}', NULL, NULL, 'log_mean', log_mean FROM ({ORACLES['lognormal_fit']})
+  UNION ALL SELECT 'amount', '{R.amount}', NULL, NULL, 'log_std', log_std FROM ({ORACLES['lognormal_fit']})
+  UNION ALL SELECT 'table', NULL, NULL, NULL, 'n_rows', CAST(n_rows AS DOUBLE) FROM ({ORACLES['fraud_rate']})
+  UNION ALL SELECT 'table', NULL, NULL, NULL, 'positive_rate', rate FROM ({ORACLES['fraud_rate']})""")
+def q_baseline_profile(spark, sf):
+    """Q4 as long rows: the sections of the stored baseline, a row for each number."""
+    rep = baseline_report(spark, sf)
+    null = F.lit(None).cast("string")
+
+    def rows(section, items, feature, metrics, other=None):
+        e = rep.select(F.explode(items).alias("e")) if items else rep
+        return e.select(F.lit(section).alias("section"), feature.alias("feature"), (other if other is not None else null).alias("other"), null.alias("class"),
+                        F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])).alias("x")).select(
+            "section", "feature", "other", "class", "x.metric", "x.value")
+
+    out = rows("column", "column_stats", F.col("e.feature"), {m: F.col(f"e.{m}") for m in _STATS})
+    for more in (rows("correlation", "feature_pairs", F.col("e.feature_a"), {"corr": F.col("e.corr")}, F.col("e.feature_b")),
+                 rows("class_correlation", "class_correlations", F.col("e.feature"), {"corr": F.col("e.corr")}),
+                 rows("ks_by_class", "ks_by_class", F.col("e.feature"), {"statistic": F.col("e.statistic")}),
+                 rows("amount", None, F.lit(R.amount), {m: F.col(f"amount_log_fit.{m}") for m in ("log_mean", "log_std")}),
+                 rows("table", None, null, {"n_rows": F.col("n_rows"), "positive_rate": F.col("positive_rate")})):
+        out = out.unionByName(more)
+    return rounded(out)
+
+
+_STATE_FEATURES = [STAT_TIME, R.amount, *WIDE]
+_PART = F.floor(F.col("ship_hours") / 8766.0)
+
+
+def _stored_state(spark, sf):
+    """The real side's state, built as a service would: all years but the last together, the last added later."""
+    folder = _scratch(spark, "baseline-state")
+    real = real_side(spark, sf)
+    last = real.agg(F.max(_PART)).first()[0]
+    for rows in (real.where(_PART < last), real.where(_PART == last)):
+        B.add_parts(folder, B.part_state(rows, _STATE_FEATURES, R.label, _PART))
+    return B.read_state(spark, folder)
+
+
+def _moments_sql(section: str, cls: str, group: str) -> str:
+    metrics = {"n": "count(value)", "missing": "count(*) - count(value)", "mean": "avg(value)", "std": "stddev_samp(value)", "min": "min(value)", "max": "max(value)",
+               "skewness": "CASE WHEN stddev_pop(value) > 0 THEN skewness(value) END", "kurtosis": "CASE WHEN stddev_pop(value) > 0 THEN kurtosis(value) END"}
+    entries = ", ".join(f"{{'metric': '{k}', 'value': round(CAST({v} AS DOUBLE), 6)}}" for k, v in metrics.items())
+    return f"SELECT '{section}', feature, NULL, class, unnest(m).metric, unnest(m).value FROM (SELECT feature, {cls} AS class, [{entries}] AS m FROM l GROUP BY {group})"
+
+
+_STATE_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, is_return, CAST({f} AS DOUBLE) AS value FROM real" for f in _STATE_FEATURES)
+
+
+@register("baseline_merge", f"""WITH {TX_SQL}, l AS ({_STATE_LONG})
+  SELECT 'table' AS section, CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS VARCHAR) AS class, 'n_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM real
+  UNION ALL SELECT 'table', NULL, NULL, NULL, 'positive_rate', round(avg(is_return), 6) FROM real
+  UNION ALL SELECT 'class', NULL, NULL, CAST(is_return AS VARCHAR), 'n_rows', CAST(count(*) AS DOUBLE) FROM real GROUP BY is_return
+  UNION ALL SELECT 'class', NULL, NULL, CAST(is_return AS VARCHAR), 'share', round(count(*) / (SELECT count(*) FROM real), 6) FROM real GROUP BY is_return
+  UNION ALL {_moments_sql('column', 'CAST(NULL AS VARCHAR)', 'feature')}
+  UNION ALL {_moments_sql('class_column', 'CAST(is_return AS VARCHAR)', 'feature, is_return')}
+  UNION ALL SELECT 'correlation', feature_a, feature_b, NULL, 'corr', round(corr, 6) FROM ({_corr_sql('real', _STATE_FEATURES)})
+  UNION ALL SELECT 'class_correlation', feature, NULL, NULL, 'corr', corr FROM ({' UNION ALL '.join(f"SELECT '{f}' AS feature, round(corr({f}, is_return), 6) AS corr FROM real" for f in _STATE_FEATURES)})""")
+def q_baseline_merge(spark, sf):
+    """Q4 + S4: the profile from stored states of yearly parts, the last year merged without reading the others."""
+    return rounded(B.profile(_stored_state(spark, sf), R.label))
+
+
+_PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@register("baseline_quantiles", f"""SELECT feature, p, true AS within_error FROM (SELECT unnest([{', '.join(f"'{f}'" for f in _STATE_FEATURES)}]) AS feature),
+  (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in _PROBS)}]) AS p)""")
+def q_baseline_quantiles(spark, sf):
+    """Q4: every quantile of the merged sketches lies within the sketch's error of its rank in the whole real side."""
+    q = B.profile_quantiles(_stored_state(spark, sf), _PROBS)
+    ranks = long_form(real_side(spark, sf), _STATE_FEATURES).join(F.broadcast(q), "feature").groupBy("feature", "p").agg(
+        F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"), F.count(F.lit(1)).alias("n"))
+    error = F.greatest(F.lit(B.RANK_ERROR), 1 / F.col("n"))
+    return ranks.select("feature", "p", ((F.col("below") / F.col("n") <= F.col("p") + error) & (F.col("upto") / F.col("n") >= F.col("p") - error)).alias("within_error"))
+
+
 def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fidelis-{name}-{uuid.uuid4().hex}"
 
@@ -276,7 +380,7 @@ def q_sink_table(spark, sf):
 def q_sink_report(spark, sf):
     """S3 + S4: write the baseline profile as JSON, load it back and count entries per section."""
     path = _scratch(spark, "report")
-    io.sink_report(QUERIES_LOCAL["baseline_profile"](spark, sf), path)
+    io.sink_report(baseline_report(spark, sf), path)
     return io.baseline_section_sizes(io.load_baseline(spark, path))
 
 
@@ -292,14 +396,11 @@ def q_sink_pair(spark, sf):
         io.scan_table(spark, b).agg(F.count(F.lit(1)).alias("n")).select(F.lit("reference").alias("side"), "n"))
 
 
-from fidelis.plans.registry import QUERIES as QUERIES_LOCAL  # noqa: E402
-
-
 @register("load_baseline", f"""WITH {TX_SQL} SELECT count(*) AS n_rows, round(avg(is_return), 6) AS positive_rate FROM real""")
 def q_load_baseline(spark, sf):
     """A stored baseline profile is read back (multi-line JSON); a missing one gives None."""
     path = _scratch(spark, "baseline")
-    io.sink_report(QUERIES_LOCAL["baseline_profile"](spark, sf).select("n_rows", "positive_rate"), path)
+    io.sink_report(baseline_report(spark, sf).select("n_rows", "positive_rate"), path)
     assert io.load_baseline(spark, path + "-missing") is None
     return rounded(io.load_baseline(spark, path).select(F.col("n_rows").cast("long").alias("n_rows"), "positive_rate"))
 
