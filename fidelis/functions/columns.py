@@ -92,7 +92,7 @@ def ks_p_value(stat: str | Column, n: str | Column, m: str | Column, terms: int
 
     lambda = (sqrt(e) + 0.12 + 0.11/sqrt(e)) * D with e = n*m/(n+m);
     Q(lambda) = 2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clamped to [0, 1].
-    The exact small-sample distribution is not reproduced.
+    The exact distribution of small sides is ``dist.exact_ks_tail``.
     """
     d = F.col(stat) if isinstance(stat, str) else stat
     nn = (F.col(n) if isinstance(n, str) else n).cast("double")

@@ -9,6 +9,8 @@ over many tasks, the totals of earlier ranges make the counts global), and ``D =
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +27,67 @@ def _sides_long(real: DataFrame, candidate: DataFrame, features: list[str]) -> D
     return a.unionByName(b)
 
 
+#: Sides of up to so many rows get the exact p-value.
+EXACT_ROWS = 10_000
+
+
 def _ks_core(u: DataFrame) -> DataFrame:
-    """``u``: (feature, value, _side in {0,1}) -> (feature, statistic, n_a, n_b)."""
+    """``u``: (feature, value, _side in {0,1}) -> (feature, statistic, n_a, n_b, gap); ``gap`` is
+    the statistic times n_a n_b, a whole number, where both sides are small (else null)."""
     counts = u.groupBy("feature", "value").agg(F.count_if(F.col("_side") == 0).alias("na"),
                                                F.count_if(F.col("_side") == 1).alias("nb"))
     run = bucketed_running(counts, ["feature"], "value", ["na", "nb"], totals=True)
     j = run.withColumnRenamed("total_na", "n_a").withColumnRenamed("total_nb", "n_b")
     # an empty side has no distribution: the statistic is NULL, not an ANSI division error
     d = F.abs(F.try_divide(F.col("cum_na"), F.col("n_a")) - F.try_divide(F.col("cum_nb"), F.col("n_b")))
-    return j.groupBy("feature", "n_a", "n_b").agg(F.max(d).alias("statistic"))
+    small = (F.greatest("n_a", "n_b") <= EXACT_ROWS) & (F.least("n_a", "n_b") > 0)
+    gap = F.max(F.when(small, F.abs(F.col("cum_na") * F.col("n_b") - F.col("cum_nb") * F.col("n_a"))))
+    return j.groupBy("feature", "n_a", "n_b").agg(F.max(d).alias("statistic"), gap.alias("gap"))
+
+
+def exact_ks_tail(n: int, m: int, gap: int) -> float:
+    """The chance that two samples of one continuous distribution, ``n`` and ``m`` rows, differ by
+    ``gap / (n m)`` or more: the share of lattice paths from (0, 0) to (n, m) that reach |i m - j n| >= gap.
+
+    A path through (i, j) came from (i - 1, j) with chance i / (i + j), so the share that has
+    touched the border so far follows from the two points before it.  Diagonals i + j = s are
+    vectors; shares of touched paths are added up, so small tails keep their digits.
+    """
+    if gap <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    touched = np.zeros(n + 2)  # of the diagonal before, at i - 1 for place i (one place of padding in front)
+    for s in range(1, n + m + 1):
+        lo, hi = max(0, s - m), min(n, s)
+        k = i[lo: hi + 1]
+        share = (k * touched[lo: hi + 1] + (s - k) * touched[lo + 1: hi + 2]) / s
+        share[np.abs(k * m - (s - k) * n) >= gap] = 1.0
+        touched[lo + 1: hi + 2] = share
+    return float(min(1.0, touched[n + 1]))
+
+
+def with_p_value(ks: DataFrame) -> DataFrame:
+    """``ks`` (one row a test) with ``p_value``: exact for small sides, the Kolmogorov series beyond.
+
+    Rows stay where they are; a task counts the paths of its own tests (n m steps each)."""
+    series = ks.withColumn("p_value", ks_p_value("statistic", "n_a", "n_b"))
+
+    def batches(it):
+        for b in it:
+            p = [x if g is None else exact_ks_tail(n, m, g) for x, n, m, g in zip(*(b.column(c).to_pylist() for c in ("p_value", "n_a", "n_b", "gap")))]
+            yield b.set_column(b.schema.get_field_index("p_value"), "p_value", pa.array(p, pa.float64()))
+
+    return series.mapInArrow(batches, series.schema)
 
 
 def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
                   threshold: float = config.KS_THRESHOLD, details: bool = True) -> DataFrame:
     """T1 + T2 + T3: per feature KS statistic, passed iff ``statistic < threshold``,
-    asymptotic p-value, and (``details``) mean / std (n-1) of both sides."""
+    p-value (exact for sides of up to ``EXACT_ROWS`` rows), and (``details``) mean / std (n-1) of both sides."""
     u = _sides_long(real, candidate, features)
-    ks = _ks_core(u)
+    ks = with_p_value(_ks_core(u))
     out = ks.select("feature", F.col("statistic"), (F.col("statistic") < F.lit(threshold)).alias("passed"),
-                    F.lit(float(threshold)).alias("threshold"), ks_p_value("statistic", "n_a", "n_b").alias("p_value"),
+                    F.lit(float(threshold)).alias("threshold"), "p_value",
                     F.col("n_a").alias("n_real"), F.col("n_b").alias("n_candidate"))
     if details:
         mom = u.groupBy("feature").agg(
@@ -55,14 +99,23 @@ def ks_two_sample(real: DataFrame, candidate: DataFrame, features: list[str],
     return out
 
 
+def ks_by_group(real: DataFrame, candidate: DataFrame, group: str, feature: str, threshold: float = config.KS_THRESHOLD) -> DataFrame:
+    """T1 + T2 of one feature within every value of ``group`` that both sides have: (group, n_real,
+    n_candidate, statistic, passed, p_value)."""
+    sides = [df.select(F.col(f"`{group}`").alias("feature"), clean(F.col(f"`{feature}`").cast("double")).alias("value"), F.lit(k).alias("_side")) for k, df in enumerate((real, candidate))]
+    u = sides[0].unionByName(sides[1]).where(F.col("value").isNotNull() & F.col("feature").isNotNull())
+    ks = with_p_value(_ks_core(u).where(F.col("statistic").isNotNull()))
+    return ks.select(F.col("feature").alias(group), F.col("n_a").alias("n_real"), F.col("n_b").alias("n_candidate"), "statistic", (F.col("statistic") < threshold).alias("passed"), "p_value")
+
+
 def ks_by_class(df: DataFrame, label: str, features: list[str], notable: float = 0.3, k: int | None = 10) -> DataFrame:
     """T4: KS of positives vs negatives per feature; ``notable`` if statistic > 0.3,
     ``***`` if p < 0.001; ranked by statistic (top ``k``)."""
     lf = long_form(df.withColumn("_lbl", F.col(f"`{label}`")), features, ["_lbl"])
     u = lf.where(F.col("_lbl").isin(0, 1)).select("feature", "value", F.when(F.col("_lbl") == 1, 0).otherwise(1).alias("_side"))
-    ks = _ks_core(u)
-    p = ks_p_value("statistic", "n_a", "n_b")
-    out = ks.select("feature", "statistic", p.alias("p_value"), (F.col("statistic") > notable).alias("notable"),
+    ks = with_p_value(_ks_core(u))
+    p = F.col("p_value")
+    out = ks.select("feature", "statistic", "p_value", (F.col("statistic") > notable).alias("notable"),
                     F.when(p < 0.001, F.lit("***")).when(p < 0.01, F.lit("**")).when(p < 0.05, F.lit("*"))
                     .otherwise(F.lit("")).alias("significance"))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("statistic"), "feature")  # one row per feature

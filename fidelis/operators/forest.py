@@ -7,20 +7,23 @@ Plan:
    below ``4 * max_samples / N`` (oversampling), then the ``max_samples`` smallest hashes
    per tree are kept.  The training set is bounded by ``trees * max_samples`` rows
    whatever the table size; no row is replicated more than its hits.
-2. ``groupBy(tree).applyInPandas`` grows one isolation tree per group (<= 256 rows).
+2. The trees are a table, grown level by level: one grouped aggregate over the points of all
+   trees gives a level's nodes, whose splits are hashes of (tree, node).
 3. The node table (<= trees * (2 * max_samples - 1) rows, a proven bound) is collected
    and broadcast; an Arrow ``pandas_udf`` scores rows batch-wise with numpy.
 4. The cut-off is the ``contamination`` quantile of the real rows' scores, computed
    with the exact distributed quantile; candidate rows scoring below it are outliers.
 
 Scores follow the usual definition: s(x) = -2^(-E[h(x)] / c(max_samples)), with
-h the depth reached plus c(size) of the leaf and c(n) = 2 H(n-1) - 2 (n-1)/n.  The
-random draws differ from other implementations, so equality is statistical.
+h the depth reached plus c(size) of the leaf and c(n) = 2 H(n-1) - 2 (n-1)/n, rounded to 9
+places.  Draws and splits are integer arithmetic, so SQL gives the same forest; they
+differ from other implementations, with which equality is statistical.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -31,9 +34,8 @@ from pyspark.sql import types as T
 from fidelis import config
 from fidelis.functions.columns import clean
 from fidelis.operators.frames import attach, exact_quantiles, spread
+from fidelis.session import checkpoint_dir
 
-NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, right_child int, "
-               "size long, depth int, is_leaf boolean")
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -47,81 +49,95 @@ def average_path_length(n) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """One isolation tree as node tuples (node, feature, threshold, left, right, size, depth, leaf)."""
-    nodes: list[list] = []
-    stack = [(np.arange(x.shape[0]), 0, 0)]
-    nodes.append(None)
-    next_id = 1
-    while stack:
-        idx, depth, node = stack.pop()
-        sub = x[idx]
-        if depth >= max_depth or idx.size <= 1:
-            nodes[node] = [node, -1, 0.0, -1, -1, int(idx.size), depth, True]
-            continue
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            nodes[node] = [node, -1, 0.0, -1, -1, int(idx.size), depth, True]
-            continue
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        left, right = next_id, next_id + 1
-        next_id += 2
-        nodes.extend([None, None])
-        nodes[node] = [node, f, thr, left, right, int(idx.size), depth, False]
-        mask = sub[:, f] < thr
-        stack.append((idx[mask], depth + 1, left))
-        stack.append((idx[~mask], depth + 1, right))
-    return [tuple(n) for n in nodes]
-
-
-def _fit_fn(features: list[str], max_samples: int, seed: int):
-    max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
+#: Modulus of the hashes below; squares of residues fit 64 bits, so SQL can recompute them.
+PRIME = 2147483647
+
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        x = pdf[features].to_numpy(dtype=np.float64)
-        x = np.nan_to_num(x)
-        rng = np.random.default_rng([seed, tree])
-        rows = _grow(x, rng, max_depth)
-        out = pd.DataFrame(rows, columns=["node", "feature", "threshold", "left_child", "right_child", "size", "depth", "is_leaf"])
-        out.insert(0, "tree", tree)
-        return out.astype({"tree": "int32", "node": "int32", "feature": "int32", "left_child": "int32",
-                           "right_child": "int32", "size": "int64", "depth": "int32"})
-    return fit
+def _uniform(tree, node, which: int, seed: int):
+    """A number in [0, 1) from (tree, node): integer arithmetic modulo ``PRIME`` with two squarings."""
+    x = (tree * 1024 + node + 1) * 48271 + which * 16807 + seed
+    for add in (12345, 67891):
+        x = F.pmod(x, F.lit(PRIME).cast("long"))
+        x = x * x + add
+    return F.pmod(x, F.lit(PRIME).cast("long")) / F.lit(float(PRIME))
 
 
 def training_sample(real: DataFrame, features: list[str], trees: int, max_samples: int, seed: int,
                     id_col: str | None = None, n: int | None = None) -> DataFrame:
-    """``(tree, features...)``: at most ``max_samples`` rows per tree, drawn without replacement.
+    """``(tree, features...)``: ``max_samples`` rows per tree (all rows if fewer), drawn without replacement.
 
     A hash of (row, tree) decides about each row and tree by itself, so samples may overlap as in
-    the usual algorithm; about four times ``max_samples`` rows a tree reach the final draw."""
+    the usual algorithm: the rows of the smallest hashes; about four times as many reach that last step.
+    The id should be spread like a hash (its residue is what is hashed).  A missing value counts as 0.
+    """
     n = real.count() if n is None else n
-    p = min(1.0, 4.0 * max_samples / max(n, 1))
+    below = min(PRIME, int(4.0 * max_samples / max(n, 1) * PRIME) + 1)
     key = F.col(f"`{id_col}`") if id_col else F.xxhash64(*[F.col(f"`{f}`") for f in features])
-    base = real.select(key.alias("_k"), *[clean(F.col(f"`{f}`").cast("double")).alias(f) for f in features])
-
-    def u(t):
-        return F.xxhash64(F.col("_k"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
-
-    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p))
-    cand = base.select("_k", *features, F.explode(hits).alias("tree"))
-    cand = cand.withColumn("_u", u(F.col("tree")))
-    w = Window.partitionBy("tree").orderBy("_u", "_k")  # ~4 * max_samples rows per tree
-    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).drop("_r", "_u", "_k")
+    base = real.select(F.pmod(key.cast("long"), F.lit(PRIME)).cast("long").alias("_k"), key.alias("_id"),
+                       *[F.coalesce(clean(F.col(f"`{f}`").cast("double")), F.lit(0.0)).alias(f) for f in features])
+
+    def h(t):
+        t = t.cast("long") + 1
+        a = 1 + F.pmod(t * 1103515245 + seed * 12345, F.lit(PRIME - 1).cast("long"))
+        return F.pmod(F.col("_k") * a + F.pmod(t * 1664525013 + seed, F.lit(PRIME).cast("long")), F.lit(PRIME).cast("long"))
+
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(below))
+    cand = base.select("_k", "_id", *features, F.explode(hits).alias("tree"))
+    w = Window.partitionBy("tree").orderBy(h(F.col("tree")), "_id")  # ~4 * max_samples rows per tree
+    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).select("tree", *features)
+
+
+def _level(points: DataFrame, features: list[str], depth: int, max_depth: int, seed: int) -> DataFrame:
+    """The nodes of one level from one grouped aggregate over the points in them.
+
+    A node of two points or more that differ in a feature is split: the feature (among those that
+    differ) and the place between its least and greatest value follow from hashes of (tree, node).
+    """
+    sides = [x for k, f in enumerate(features) for x in (F.min(F.col(f"`{f}`")).alias(f"lo{k}"), F.max(F.col(f"`{f}`")).alias(f"hi{k}"))]
+    g = points.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), *sides)
+    usable = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k in range(len(features))]), lambda x: x.hi > x.lo)
+    g = g.select("tree", "node", "size", usable.alias("u"), _uniform(F.col("tree").cast("long"), F.col("node").cast("long"), 1, seed).alias("u1"),
+                 _uniform(F.col("tree").cast("long"), F.col("node").cast("long"), 2, seed).alias("u2"))
+    split = (F.lit(depth) < max_depth) & (F.col("size") > 1) & (F.size("u") > 0)
+    pick = F.try_element_at("u", F.floor(F.col("u1") * F.size("u")).cast("int") + 1)
+    g = g.select("tree", "node", "size", split.alias("split"), pick.alias("x"), "u2")
+    return g.select("tree", "node", F.when(F.col("split"), F.col("x.k")).otherwise(-1).alias("feature"),
+                    F.when(F.col("split"), F.col("x.lo") + F.col("u2") * (F.col("x.hi") - F.col("x.lo"))).otherwise(0.0).alias("threshold"),
+                    F.when(F.col("split"), F.col("node") * 2).otherwise(-1).alias("left_child"), F.when(F.col("split"), F.col("node") * 2 + 1).otherwise(-1).alias("right_child"),
+                    "size", F.lit(depth).alias("depth"), (~F.col("split")).alias("is_leaf"))
 
 
 def fit_forest(real: DataFrame, features: list[str], trees: int = config.FOREST_TREES,
                max_samples: int = config.FOREST_SAMPLE, seed: int = config.FOREST_SEED,
                id_col: str | None = None, n: int | None = None) -> tuple[DataFrame, int]:
-    """Node table of the forest and the effective sample size per tree."""
+    """Node table of the forest and the effective sample size per tree.
+
+    All trees grow together, a level a step: one aggregate gives the level's nodes, which are written
+    to the shared folder; the points find their next node through a join with them (``trees`` * 2 ** depth rows
+    at most, so it is broadcast).  Nodes are numbered as a heap from 1.
+    """
+    spark = real.sparkSession
     n = real.count() if n is None else n
     m = int(min(max_samples, n))
-    sample = training_sample(real, features, trees, m, seed, id_col, n)
-    nodes = sample.groupBy("tree").applyInPandas(_fit_fn(features, m, seed), NODE_SCHEMA)
-    return nodes, m
+    folder = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
+    training_sample(real, features, trees, m, seed, id_col, n).write.parquet(f"{folder}/sample")
+    points = spark.read.parquet(f"{folder}/sample").withColumn("node", F.lit(1))
+    max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
+    levels = []
+    for depth in range(max_depth + 1):
+        level = _level(points, features, depth, max_depth, seed)
+        level.write.parquet(f"{folder}/level-{depth}")
+        nodes = spark.read.schema(level.schema).parquet(f"{folder}/level-{depth}")
+        levels.append(nodes)
+        inner = nodes.where("NOT is_leaf").select("tree", "node", "feature", "threshold")
+        if depth == max_depth or not inner.take(1):
+            break
+        value = F.array(*[F.col(f"`{f}`") for f in features])[F.col("feature")]
+        points = points.join(F.broadcast(inner), ["tree", "node"]).withColumn("node", F.col("node") * 2 + F.when(value < F.col("threshold"), 0).otherwise(1)).drop("feature", "threshold")
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out, m
 
 
 def score_column(nodes_pdf: pd.DataFrame, features: list[str], m: int):
@@ -152,7 +168,7 @@ def score_column(nodes_pdf: pd.DataFrame, features: list[str], m: int):
     path[flat] = nodes_pdf["depth"].to_numpy() + average_path_length(nodes_pdf["size"].to_numpy())
     levels = int(nodes_pdf["depth"].max()) if len(nodes_pdf) else 0
     denom = float(average_path_length([m])[0]) or 1.0
-    roots = (np.arange(n_t, dtype=np.int64) * width)[None, :]
+    roots = (np.arange(n_t, dtype=np.int64) * width + 1)[None, :]  # heap numbers begin with 1
     d = len(features)
 
     @F.pandas_udf(T.DoubleType())
@@ -165,7 +181,7 @@ def score_column(nodes_pdf: pd.DataFrame, features: list[str], m: int):
             go_left = x.take(rowbase + feat.take(idx)) < thr.take(idx)
             idx = np.where(go_left, left.take(idx), right.take(idx))
         mean_h = path.take(idx).mean(axis=1) if trees else np.zeros(n)
-        return pd.Series(-np.power(2.0, -mean_h / denom))
+        return pd.Series(np.round(-np.power(2.0, -mean_h / denom), 9))  # equal paths stay equal whatever the order of the sum
 
     # marked non-deterministic only so that the optimizer never copies the call into a pushed
     # filter (which would score every row twice); the scores themselves are deterministic

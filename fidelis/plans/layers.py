@@ -113,7 +113,7 @@ def statistics_layer(real: DataFrame, candidate: DataFrame, spec: LayerSpec, wit
     parts = [ks, mom.select(*TEST_COLUMNS), fro, pairs, z]
     if with_forest and spec.forest_features:
         from fidelis.operators.forest import isolation_forest_test
-        parts.append(isolation_forest_test(real, candidate, spec.forest_features).select(*TEST_COLUMNS))
+        parts.append(isolation_forest_test(real, candidate, spec.forest_features, id_col=spec.roles.id).select(*TEST_COLUMNS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -310,16 +310,18 @@ def q_baseline_profile(spark, sf):
 
 
 _STATE_FEATURES = [STAT_TIME, R.amount, *WIDE]
-_PART = F.floor(F.col("ship_hours") / 8766.0)
+
+def _year():
+    return F.floor(F.col("ship_hours") / 8766.0)
 
 
 def _stored_state(spark, sf):
     """The real side's state, built as a service would: all years but the last together, the last added later."""
     folder = _scratch(spark, "baseline-state")
     real = real_side(spark, sf)
-    last = real.agg(F.max(_PART)).first()[0]
-    for rows in (real.where(_PART < last), real.where(_PART == last)):
-        B.add_parts(folder, B.part_state(rows, _STATE_FEATURES, R.label, _PART))
+    last = real.agg(F.max(_year())).first()[0]
+    for rows in (real.where(_year() < last), real.where(_year() == last)):
+        B.add_parts(folder, B.part_state(rows, _STATE_FEATURES, R.label, _year()))
     return B.read_state(spark, folder)
 
 
@@ -405,9 +407,8 @@ def q_load_baseline(spark, sf):
     return rounded(io.load_baseline(spark, path).select(F.col("n_rows").cast("long").alias("n_rows"), "positive_rate"))
 
 
-@register("validate_statistics_with_forest")
+@register("validate_statistics_with_forest", f"SELECT {TEST_COLS} FROM ({_tests_sql()}) UNION ALL SELECT {TEST_COLS} FROM ({ORACLES['isolation_forest']})")
 def q_validate_statistics_with_forest(spark, sf):
-    """Q8 with the isolation-forest test appended, as in the original layer (no oracle: the
-    forest is randomised; the other tests are checked by ``validate_statistics``)."""
+    """Q8 with the isolation-forest test appended, as in the original layer."""
     real, cand = _sides(spark, sf)
     return rounded(L.statistics_layer(real, cand, TX_SPEC, with_forest=True))

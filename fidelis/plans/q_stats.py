@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fidelis import config
 from fidelis.operators import corr as C
 from fidelis.operators import dist as D
 from fidelis.operators import outlier as O
 from fidelis.plans.registry import register, rounded
-from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, WIDE, candidate_side, real_side
+from fidelis.sources.tables import STAT_TIME, TX_ROLES, TX_SQL, WIDE, candidate_side, real_side, table
 
 R = TX_ROLES
 # the shape of the original test layer: 31 + 2 x 7 + 1 + 10 + 4 tests and the forest
@@ -59,6 +60,24 @@ def q_ks_p_value(spark, sf):
     return rounded(D.ks_two_sample(real, cand, KS_FEATURES, details=False).select("feature", "n_real", "n_candidate", "p_value"))
 
 
+@register("ks_exact_p_value", """WITH RECURSIVE u AS (SELECT l_suppkey, l_quantity AS value, CAST(l_linestatus = 'O' AS INTEGER) AS side FROM lineitem),
+  c AS (SELECT l_suppkey, value, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb FROM u GROUP BY 1, 2),
+  r AS (SELECT l_suppkey, sum(na) OVER w AS cna, sum(nb) OVER w AS cnb, sum(na) OVER (PARTITION BY l_suppkey) AS n, sum(nb) OVER (PARTITION BY l_suppkey) AS m
+        FROM c WINDOW w AS (PARTITION BY l_suppkey ORDER BY value)),
+  ks AS (SELECT l_suppkey, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, CAST(max(abs(cna * m - cnb * n)) AS BIGINT) AS gap FROM r WHERE n > 0 AND m > 0 GROUP BY 1, 2, 3),
+  walk AS (SELECT l_suppkey, n, m, gap, 0::BIGINT AS s, 0::BIGINT AS i, CASE WHEN gap <= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS touched FROM ks
+    UNION ALL
+    SELECT l_suppkey, n, m, gap, s1, i1, CASE WHEN abs(i1 * m - (s1 - i1) * n) >= gap THEN 1.0 ELSE sum(part) END
+    FROM (SELECT l_suppkey, n, m, gap, s + 1 AS s1, i + d AS i1, touched * CASE WHEN d = 1 THEN i + d ELSE s + 1 - i - d END / (s + 1) AS part
+          FROM walk, (SELECT unnest([0, 1]) AS d) WHERE i + d <= n AND s + 1 - i - d <= m) GROUP BY l_suppkey, n, m, gap, s1, i1)
+  SELECT l_suppkey, n AS n_real, m AS n_candidate, round(gap / (n * m), 6) AS statistic, gap / (n * m) < 0.05 AS passed, round(least(1.0, touched), 6) AS p_value
+  FROM walk WHERE s = n + m""")
+def q_ks_exact_p_value(spark, sf):
+    """T1 + T2 within every supplier: real against candidate quantities, a few hundred rows a side, with exact p-values."""
+    li = table(spark, sf, "lineitem")
+    return rounded(D.ks_by_group(li.where("l_linestatus = 'F'"), li.where("l_linestatus = 'O'"), "l_suppkey", "l_quantity"))
+
+
 @register("ks_details", KS_SQL + """
   SELECT feature, round(real_mean, 6) AS real_mean, round(candidate_mean, 6) AS candidate_mean, round(real_std, 6) AS real_std,
     round(candidate_std, 6) AS candidate_std FROM mom""")
@@ -291,12 +310,49 @@ def q_feature_comparison(spark, sf):
                              "mean_diff_pct", "std_diff_pct", "median_diff_pct", "ks", "band"))
 
 
-@register("isolation_forest")
+def _forest_sql(trees: int = config.FOREST_TREES, m: int = config.FOREST_SAMPLE, share: float = config.FOREST_CONTAMINATION, seed: int = config.FOREST_SEED) -> str:
+    """The isolation forest in SQL: the same hashed samples and splits, level by level, and every row's way through every tree."""
+    prime, levels = 2147483647, 8
+    def uniform(which: int) -> str:
+        x = f"((tree_key * 48271 + {which * 16807 + seed}) % {prime})"
+        for add in (12345, 67891):
+            x = f"(({x} * {x} + {add}) % {prime})"
+        return f"({x} / {prime}.0::DOUBLE)"
+    values = "[" + ", ".join(f"coalesce({f}, 0.0)::DOUBLE" for f in CORR_FEATURES) + "]"
+    parts = [f"""rows_ AS MATERIALIZED (SELECT 0 AS side, row_id, {values} AS v FROM real UNION ALL SELECT 1, row_id, {values} FROM cand),
+      cnt AS (SELECT count(*) AS n, least({m}, count(*)) AS m FROM real),
+      tr AS (SELECT range AS tree, 1 + ((range + 1) * 1103515245 + {seed * 12345}) % {prime - 1} AS a, ((range + 1) * 1664525013 + {seed}) % {prime} AS b FROM range({trees})),
+      hits AS (SELECT tree, row_id, v, ((row_id % {prime}) * a + b) % {prime} AS h FROM rows_, tr, cnt
+               WHERE side = 0 AND ((row_id % {prime}) * a + b) % {prime} < least({prime}, CAST(floor(4.0::DOUBLE * m / n * {prime}) AS BIGINT) + 1)),
+      s0 AS MATERIALIZED (SELECT tree, 1 AS node, v FROM hits, cnt QUALIFY row_number() OVER (PARTITION BY tree ORDER BY h, row_id) <= m)"""]
+    for k in range(levels + 1):
+        parts.append(f"""g{k} AS (SELECT tree, node, i, count(*) AS size, min(v[i]) AS lo, max(v[i]) AS hi FROM s{k}, (SELECT range AS i FROM range(1, {len(CORR_FEATURES) + 1})) GROUP BY ALL),
+      u{k} AS (SELECT tree, node, tree * 1024 + node + 1 AS tree_key, any_value(size) AS size, coalesce(list({{'i': i, 'lo': lo, 'hi': hi}} ORDER BY i) FILTER (WHERE hi > lo), []) AS u FROM g{k} GROUP BY tree, node),
+      n{k} AS MATERIALIZED (SELECT tree, node, size, {k} AS depth, NOT ({k} < {levels} AND size > 1 AND len(u) > 0) AS is_leaf, u[CAST(floor(({uniform(1)}) * len(u)) AS BIGINT) + 1] AS x, {uniform(2)} AS u2 FROM u{k}),
+      t{k} AS MATERIALIZED (SELECT tree, node, size, depth, is_leaf, x.i AS i, x.lo + u2 * (x.hi - x.lo) AS threshold FROM n{k})""")
+        if k < levels:
+            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN v[i] < threshold THEN 0 ELSE 1 END AS node, v FROM s{k} JOIN t{k} USING (tree, node) WHERE NOT is_leaf)")
+    parts.append("w0 AS (SELECT side, row_id, v, tree, 1 AS node FROM rows_, tr)")
+    for k in range(levels):  # a row stays at its leaf
+        parts.append(f"""w{k + 1} AS MATERIALIZED (SELECT w.side, w.row_id, w.tree, CASE WHEN t.tree IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN r.v[t.i] < t.threshold THEN 0 ELSE 1 END END AS node
+      FROM w{k} w LEFT JOIN (SELECT * FROM t{k} WHERE NOT is_leaf) t ON w.tree = t.tree AND w.node = t.node JOIN rows_ r ON r.side = w.side AND r.row_id = w.row_id)""")
+    path = "CASE WHEN {0} > 2 THEN 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} WHEN {0} = 2 THEN 1.0 ELSE 0.0 END"
+    leaves = " UNION ALL ".join(f"SELECT tree, node, depth + {path.format('size')} AS h FROM t{k} WHERE is_leaf" for k in range(levels + 1))
+    parts.append(f"""leaves AS ({leaves}),
+      score AS (SELECT side, row_id, round(-pow(2.0, -(sum(h) / {trees}) / any_value({path.format('m')})), 9) AS score FROM w{levels} JOIN leaves USING (tree, node), cnt GROUP BY side, row_id),
+      cut AS (SELECT quantile_cont(score, {share}) AS cut_off FROM score WHERE side = 0),
+      forest AS (SELECT count(*) FILTER (WHERE score < cut_off) AS outlier_count, count(*) AS total_records FROM score, cut WHERE side = 1)""")
+    return f"""WITH {TX_SQL}, {', '.join(parts)}
+  SELECT 'isolation_forest' AS test_name, 'multivariate' AS feature, outlier_count / total_records < {config.FOREST_RATE_THRESHOLD} AS passed, round(outlier_count / total_records, 6) AS statistic,
+    CAST({config.FOREST_RATE_THRESHOLD} AS DOUBLE) AS threshold, CAST(NULL AS DOUBLE) AS p_value, outlier_count, total_records FROM forest"""
+
+
+@register("isolation_forest", _forest_sql())
 def q_isolation_forest(spark, sf):
-    """O4 (no oracle: randomised trees; checked statistically in the tests)."""
+    """The forest grown level by level; SQL recomputes every draw, split and score."""
     from fidelis.operators.forest import isolation_forest_test
     real, cand = _sides(spark, sf)
-    return isolation_forest_test(real, cand, CORR_FEATURES, id_col=R.id)
+    return rounded(isolation_forest_test(real, cand, CORR_FEATURES, id_col=R.id))
 
 
 @register("pair_compare", f"""WITH {TX_SQL}, {_KEY_U}
