@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelis.operators import rule_table as RT
 from fidelis.operators import rules as R
 from fidelis.plans.registry import register, rounded
 from fidelis.sources.tables import TX_BOUND_FEATURES, TX_ROLES, TX_SQL, candidate_side, real_side, table
@@ -220,6 +221,43 @@ def q_rule_custom_expr(spark, sf):
     return R.rule_failures(_cand(spark, sf), rules).select("row_id", "rule_name")
 
 
+#: Ten thousand threshold rules over the line columns, the same in Spark and SQL.
+_RULES_SQL = """SELECT 'rule_' || k AS rule_name, list_extract(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'], 1 + k % 4) AS "column",
+    list_extract(['<=', '<', '>=', '>'], 1 + (k // 4) % 4) AS op, list_extract(['critical', 'warning', 'info'], 1 + k % 3) AS severity,
+    list_extract([50.0, 105000.0, 0.1, 0.08], 1 + k % 4)::DOUBLE * ((k * 7919) % 10007) / 10007 AS threshold FROM (SELECT range AS k FROM range(10000))"""
+
+
+def many_rules() -> list[tuple[str, str, str, float, str]]:
+    return [(f"rule_{k}", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"][k % 4], ["<=", "<", ">=", ">"][k // 4 % 4],
+             [50.0, 105000.0, 0.1, 0.08][k % 4] * ((k * 7919) % 10007) / 10007, ["critical", "warning", "info"][k % 3]) for k in range(10_000)]
+
+
+_BROKEN_SQL = f"""r AS ({_RULES_SQL}), v AS (SELECT "column", value, count(*) AS n FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM cand)
+    ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME "column" VALUE value) GROUP BY 1, 2),
+  b AS (SELECT v."column", value, n, rule_name, severity FROM v JOIN r ON v."column" = r."column"
+    WHERE NOT CASE op WHEN '<=' THEN value <= threshold WHEN '<' THEN value < threshold WHEN '>=' THEN value >= threshold ELSE value > threshold END)"""
+
+
+@register("rule_table_counts", f"""WITH {TX_SQL}, {_BROKEN_SQL}, c AS (SELECT rule_name, sum(n) AS n FROM b GROUP BY 1)
+  SELECT rule_name, severity, CAST(coalesce(n, 0) AS BIGINT) AS failures FROM r LEFT JOIN c USING (rule_name)""")
+def q_rule_table_counts(spark, sf):
+    """R12 with rules as data: failures of 10,000 threshold rules from one pass."""
+    return RT.rule_counts(candidate_side(spark, sf), RT.rule_table(many_rules()))
+
+
+_PER_VALUE = " ".join(f"LEFT JOIN p AS p{k} ON p{k}.\"column\" = '{c}' AND p{k}.value = cand.{c}" for k, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@register("rule_table_rows", f"""WITH {TX_SQL}, {_BROKEN_SQL},
+  p AS (SELECT "column", value, count(*) AS n_broken, count(*) FILTER (WHERE severity = 'critical') AS n_critical, count(*) FILTER (WHERE severity = 'warning') AS n_warning,
+        count(*) FILTER (WHERE severity = 'info') AS n_info FROM b GROUP BY 1, 2)
+  SELECT row_id, {', '.join(' + '.join(f'coalesce(p{k}.{c}, 0)' for k in range(4)) + f' AS {c}' for c in ('n_broken', 'n_critical', 'n_warning', 'n_info'))},
+    {' + '.join(f'coalesce(p{k}.n_broken, 0)' for k in range(4))} = 0 AS is_valid FROM cand {_PER_VALUE}""")
+def q_rule_table_rows(spark, sf):
+    """R10 with rules as data: how many of the 10,000 rules every row breaks, by severity."""
+    return RT.row_results(candidate_side(spark, sf), RT.rule_table(many_rules()), "row_id")
+
+
 @register("stream_rule_failures", f"""WITH {_EV_SQL}
   SELECT row_id, 'time_non_negative' AS rule_name FROM ev WHERE NOT coalesce("Time" >= 0, false)
   UNION ALL SELECT row_id, 'time_in_range' FROM ev WHERE NOT coalesce("Time" <= 172792, false)
