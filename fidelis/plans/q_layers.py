@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fidelis import config
 from fidelis.operators import baseline as B
 from fidelis.operators import profile as P
+from fidelis.operators import rules as R_
 from fidelis.operators import synth as G
 from fidelis.operators.frames import long_form
 from fidelis.plans import layers as L
@@ -16,6 +17,7 @@ from fidelis.plans import orchestrate as O
 from fidelis.plans.q_review import TX_SPEC, valid_columns
 from fidelis.plans.q_rules import _FAIL_SQL
 from fidelis.plans.q_stats import KS_FEATURES, _corr_sql
+from fidelis.plans.q_synth import normal_sql, u_sql
 from fidelis.plans.registry import ORACLES, register, rounded
 from fidelis.session import checkpoint_dir
 from fidelis.sources import io
@@ -161,33 +163,74 @@ def q_validate_pipeline(spark, sf):
                                  "decision string, final_score double, attempt int, retry_count int")
 
 
-@register("retry_until_pass")
-def q_retry_until_pass(spark, sf):
-    """D5 (no oracle: a driver loop over whole-layer jobs): regenerate candidates from the real
-    side with seeds 1042, 2042 until the weighted score passes.  All flagged rows are reviewed."""
+def _regenerate(spark, sf):
+    """A generator of candidates: the real side resampled and jittered, as many rows as the candidate side."""
     real, cand = _sides(spark, sf)
-    weights = O.weights_frame(spark)
     n = cand.count()
     rate = real.agg(F.avg(F.col(R.label).cast("double"))).first()[0]
     feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return lambda seed: G.generate_synthetic(real, n, rate, seed, R.id, R.label, feats, R.amount, R.time)
 
-    def gen(seed):
-        return G.generate_synthetic(real, n, rate, seed, R.id, R.label, feats, R.amount, R.time)
+
+@register("retry_until_pass")
+def q_retry_until_pass(spark, sf):
+    """D5 (no oracle: whole-layer scores of regenerated tables): regenerate candidates from the real
+    side with seeds 1042, 2042 until the weighted score passes; the attempts are kept in the shared folder."""
+    real, cand = _sides(spark, sf)
+    weights = O.weights_frame(spark)
 
     def score_fn(c):
         return O.run_once(real, c, TX_SPEC, weights, valid_columns(spark, sf))["final"].first()["final_score"]
 
-    from fidelis.session import cut_lineage
-    res = O.run_with_retries(score_fn, cand, gen, materialize=cut_lineage)
+    res = O.run_with_retries(score_fn, cand, _regenerate(spark, sf), store=O.AttemptStore(spark, _scratch(spark, "attempts")))
     return O.attempts_frame(spark, res)
 
 
-@register("fallback_scores")
+def _retry_sql(attempt: int) -> str:
+    """The share of valid rows of one attempt: the candidate side, or the real side redrawn and jittered by its seed."""
+    if attempt == 1:
+        return "SELECT 1 AS attempt, round(count(*) FILTER (WHERE l_extendedprice BETWEEN 0 AND 50000) / count(*), 4) AS final_score FROM cand"
+    seed = O.retry_seed(attempt - 1)
+    amount = f"l_extendedprice + {normal_sql('d.draw_id', seed, 'jitter:l_extendedprice')} * 0.02 * coalesce(s, 0.0)"
+    return f"""SELECT {attempt} AS attempt, round(count(*) FILTER (WHERE greatest(amount, 0.0) <= 50000) / count(*), 4) AS final_score FROM (
+      WITH d AS (SELECT draw_id, l_extendedprice FROM (SELECT draws.draw_id, draws.is_return, CAST(floor({u_sql('draw_id', seed, 'draw')} * pn) AS BIGINT) AS idx
+                   FROM draws JOIN sizes ON draws.is_return = sizes.is_return) x JOIN pool ON x.is_return = pool.is_return AND x.idx = pool.idx),
+        st AS (SELECT stddev_samp(l_extendedprice) AS s FROM d)
+      SELECT {amount} AS amount FROM d, st)"""
+
+
+@register("retry_attempts", f"""WITH {TX_SQL},
+  tot AS (SELECT (SELECT count(*) FROM cand) AS n, (SELECT avg(is_return) FROM real) AS rate),
+  pool AS (SELECT is_return, l_extendedprice, row_number() OVER (PARTITION BY is_return ORDER BY row_id) - 1 AS idx FROM real),
+  sizes AS (SELECT is_return, count(*) AS pn FROM real GROUP BY 1),
+  draws AS (SELECT range AS draw_id, CASE WHEN range < n - least(n, greatest(1, CAST(round_even(n * rate, 0) AS BIGINT))) THEN 0 ELSE 1 END AS is_return FROM tot, range(n)),
+  s AS ({' UNION ALL '.join(_retry_sql(k) for k in range(1, config.MAX_RETRIES + 2))}),
+  f AS (SELECT *, min(CASE WHEN final_score >= {config.PASS_THRESHOLD} THEN attempt END) OVER () AS ends FROM s)
+  SELECT CAST(attempt AS INTEGER) AS attempt, final_score, CASE WHEN final_score >= {config.PASS_THRESHOLD} THEN 'PASS'
+    WHEN attempt > {config.MAX_RETRIES} THEN 'FAIL_UNRECOVERABLE' ELSE 'RETRY' END AS decision FROM f WHERE attempt <= coalesce(ends, {config.MAX_RETRIES + 1})""")
+def q_retry_attempts(spark, sf):
+    """The retry loop over regenerated tables, scored by the share of rows whose amount is within its rules."""
+    _, cand = _sides(spark, sf)
+    rules = [r for r in TX_SPEC.rules if r.name in ("amount_non_negative", "amount_reasonable")]
+
+    def score_fn(c):
+        return c.agg(F.round(F.count_if(~R_.any_violation(R_.clean_frame(c), rules)) / F.count(F.lit(1)), 4)).first()[0]
+
+    res = O.run_with_retries(score_fn, cand, _regenerate(spark, sf), store=O.AttemptStore(spark, _scratch(spark, "attempts")))
+    return O.attempts_frame(spark, res)
+
+
+_FALLBACK = config.FALLBACK_SCORES
+
+
+@register("fallback_scores", f"""WITH {TX_SQL}
+  SELECT 'rules' AS layer, CASE WHEN count(*) > 0 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CAST(NULL AS VARCHAR) AS error, 'OK' AS decision, CAST(NULL AS DOUBLE) AS fail_open_score FROM cand
+  UNION ALL SELECT 'statistics', NULL, 'statistics layer: missing column(s) [''V17'']', 'ERROR', {float(_FALLBACK['statistics'])!r}""")
 def q_fallback_scores(spark, sf):
-    """D6 (no oracle): a layer that cannot be planned (the candidate lacks a feature) gives a
-    NULL score with its error; the final score is NULL and the decision ERROR."""
+    """The candidate lacks a rule's column (the rule fails every row) and a test's column (the layer
+    cannot be planned: NULL score, its error, decision ERROR; the fail-open score for callers that opt in)."""
     real, cand = _sides(spark, sf)
-    broken = cand.drop("l_tax")
+    broken = cand.drop("l_tax", "V17")
     rows = []
     for layer, build in (("rules", lambda: L.rule_layer(broken, TX_SPEC)["summary"].select((F.col("pass_rate") / 100).alias("s"))),
                          ("statistics", lambda: L.test_summary(L.statistics_layer(real, broken, TX_SPEC)).select((F.col("pass_rate") / 100).alias("s")))):
@@ -196,7 +239,7 @@ def q_fallback_scores(spark, sf):
         except Exception as exc:  # noqa: BLE001 - the error is the result
             rows.append((layer, None, str(exc).splitlines()[0]))
     df = spark.createDataFrame(rows, "layer string, score double, error string")
-    fallback = F.create_map(*[x for k, v in config.FALLBACK_SCORES.items() for x in (F.lit(k), F.lit(float(v)))])
+    fallback = F.create_map(*[x for k, v in _FALLBACK.items() for x in (F.lit(k), F.lit(float(v)))])
     return df.select("layer", "score", "error",
                      F.when(F.col("error").isNotNull(), F.lit("ERROR")).otherwise(F.lit("OK")).alias("decision"),
                      # fail-open value, applied only when the caller opts in
@@ -214,31 +257,77 @@ def q_quality_grade(spark, sf):
     return rounded(O.quality_grade(rs, ts))
 
 
-@register("layer1_report")
+REPORT = "section, item, metric, value, detail"
+
+
+def _report_rows(df, section: str, item, metrics: dict, detail=None):
+    """Report rows (section, item, metric, value, detail) of each row of ``df``."""
+    null = F.lit(None).cast("string")
+    return df.select(F.lit(section).alias("section"), (null if item is None else item.cast("string")).alias("item"),
+                     F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()])).alias("x"),
+                     (null if detail is None else detail.cast("string")).alias("detail")).select("section", "item", "x.metric", "x.value", "detail")
+
+
+def _summary_sql(section: str, sql: str, metrics: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST(NULL AS VARCHAR) AS item, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value, CAST(NULL AS VARCHAR) AS detail FROM ({sql})" for m in metrics)
+
+
+def _stacked(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)
+
+
+_RULE_METRICS = ["valid", "invalid", "total", "pass_rate", "passed"]
+
+
+@register("layer1_report", f"""{_summary_sql('summary', RULE_SUMMARY_SQL, _RULE_METRICS)}
+  UNION ALL SELECT 'rule', rule_name, 'failures', CAST(failures AS DOUBLE), severity FROM ({ORACLES['rule_failure_counts']})
+  UNION ALL SELECT 'sample', rule_name, 'rank', CAST(sample_rank AS DOUBLE), CAST(row_id AS VARCHAR) FROM ({ORACLES['rule_failure_samples']})""")
 def q_layer1_report(spark, sf):
-    """Q6 (no oracle: nested arrays): per rule failures with the first 5 failing ids and the summary."""
-    return L.layer1_report(candidate_side(spark, sf), TX_SPEC)
+    """Q6 as long rows: the summary, failures of each rule, and its first 5 failing ids."""
+    rep = L.layer1_report(candidate_side(spark, sf), TX_SPEC)
+    ids = rep.select("rule_name", F.posexplode("sample_ids").alias("p", "id"))
+    summary = L.rule_layer(candidate_side(spark, sf), TX_SPEC)["summary"]
+    return _stacked([_report_rows(summary, "summary", None, {m: F.col(m) for m in _RULE_METRICS}),
+                     _report_rows(rep, "rule", F.col("rule_name"), {"failures": F.col("failures")}, F.col("severity")),
+                     _report_rows(ids, "sample", F.col("rule_name"), {"rank": F.col("p") + 1}, F.col("id"))])
+
 
+_TEST_METRICS = ["tests_passed", "tests_failed", "tests_total", "ks_passed", "ks_total", "correlation_preserved", "outlier_rate_acceptable", "pass_rate", "passed"]
 
-@register("layer2_report")
+
+@register("layer2_report", f"""{_summary_sql('summary', TEST_SUMMARY_SQL, _TEST_METRICS)}
+  UNION ALL SELECT 'failed', feature, test_name, statistic, NULL FROM ({_tests_sql()}) WHERE NOT passed
+  UNION ALL SELECT 'ks_' || kind, feature, 'statistic', statistic, CAST(rank AS VARCHAR) FROM ({ORACLES['ks_best_worst']})""")
 def q_layer2_report(spark, sf):
-    """Q5 (no oracle: nested arrays)."""
+    """Q5 as long rows: the summary, the tests that failed, the 5 best and worst KS features."""
     real, cand = _sides(spark, sf)
-    return L.layer2_report(L.statistics_layer(real, cand, TX_SPEC))
+    rep = L.layer2_report(L.statistics_layer(real, cand, TX_SPEC))
+    failed = rep.select(F.explode("failed_tests").alias("t")).select(F.lit("failed").alias("section"), F.col("t.feature").alias("item"), F.col("t.test_name").alias("metric"),
+                                                                      F.col("t.statistic").alias("value"), F.lit(None).cast("string").alias("detail"))
+    ks = [_report_rows(rep.select(F.explode(f"{k}_ks").alias("t")).where("t IS NOT NULL"), f"ks_{k}", F.col("t.feature"), {"statistic": F.col("t.statistic")}, F.col("t.rank")) for k in ("best", "worst")]
+    return _stacked([_report_rows(rep, "summary", None, {m: F.col(m) for m in _TEST_METRICS}), failed, *ks])
+
 
+_RATE_METRICS = ["real_rate", "candidate_rate", "abs_diff", "matched"]
+_BAND_METRICS = ["n_features", "n_excellent", "n_good", "n_fair", "n_poor", "best_ks", "worst_ks", "median_ks", "pct_excellent", "target_met"]
 
-@register("quality_report")
+
+@register("quality_report", f"""{_summary_sql('rate', ORACLES['fraud_rate_match'], _RATE_METRICS)} UNION ALL {_summary_sql('bands', ORACLES['ks_band_counts'], _BAND_METRICS)}
+  UNION ALL SELECT 'table', NULL, 'n_candidate', CAST(count(*) AS DOUBLE), NULL FROM (WITH {TX_SQL} SELECT row_id FROM cand)
+  UNION ALL SELECT 'feature', f, 'place', CAST(k AS DOUBLE), NULL FROM (SELECT unnest([{', '.join(f"'{f}'" for f in KS_FEATURES)}]) AS f, unnest(range({len(KS_FEATURES)})) AS k)""")
 def q_quality_report(spark, sf):
-    """Q3 (no oracle: one nested row): rate preservation, KS band counts, feature list."""
+    """Q3 as long rows: rate preservation, KS band counts, rows, and the features compared."""
     from fidelis.operators import dist as D
-    from fidelis.operators.frames import attach
-    from fidelis.plans.q_stats import KS_FEATURES
     real, cand = _sides(spark, sf)
     rm = P.fraud_rate_match(real, cand, R.label)
     bands = D.band_counts(D.ks_two_sample(real, cand, KS_FEATURES, details=False))
-    meta = cand.agg(F.count(F.lit(1)).alias("n_candidate")).select(
-        "n_candidate", F.array(*[F.lit(f) for f in KS_FEATURES]).alias("features"))
-    return attach(attach(meta, rm), bands)
+    features = cand.agg(F.count(F.lit(1)).alias("n_candidate")).withColumn("features", F.array(*[F.lit(f) for f in KS_FEATURES]))
+    return _stacked([_report_rows(rm, "rate", None, {m: F.col(m) for m in _RATE_METRICS}), _report_rows(bands, "bands", None, {m: F.col(m) for m in _BAND_METRICS}),
+                     _report_rows(features, "table", None, {"n_candidate": F.col("n_candidate")}),
+                     _report_rows(features.select(F.posexplode("features").alias("k", "f")), "feature", F.col("f"), {"place": F.col("k")})])
 
 
 def baseline_report(spark, sf):

@@ -9,8 +9,7 @@ from pathlib import Path
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-NO_ORACLE = {"isolation_forest", "validate_statistics_with_forest", "retry_until_pass", "fallback_scores", "layer1_report", "layer2_report",
-             "quality_report", "baseline_profile"}
+NO_ORACLE = {"retry_until_pass"}
 
 
 def test_entry_runs(spark):
