@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fidelis import config
 from fidelis.functions.columns import clean
 from fidelis.operators.frames import attach
+from fidelis.operators.sampling import sample_exact, sample_key
 from fidelis.operators.vector_index import CELL_ROWS, build_index, search
 
 
@@ -42,13 +43,19 @@ def vectorize(df: DataFrame, id_col: str, features: list[str], name: str = "vec"
     return df.select(F.col(f"`{id_col}`"), F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias(name))
 
 
+#: Samples of more rows are cut out by a filter instead of a heap in every task.
+HEAP_ROWS = 10_000
+
+
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """K6: exactly min(n, rows) rows without replacement, chosen by a seeded hash order.
 
-    Independent of partitioning (re-runs after executor loss pick the same rows) and a
-    top-n heap per task (``TakeOrderedAndProject``), never a full sort."""
-    key = F.md5(F.concat(F.col(f"`{id_col}`").cast("string"), F.lit("-"), F.lit(str(seed))))
-    return df.orderBy(key, F.col(f"`{id_col}`")).limit(n)
+    Independent of partitioning (re-runs after executor loss pick the same rows).  A small sample is a
+    top-n heap per task (``TakeOrderedAndProject``); of a large one the cut-off of the hash is found
+    first and the sample is a filter (``sampling.sample_exact``), which gives the same rows."""
+    if n > HEAP_ROWS:
+        return sample_exact(df, id_col, n, seed)
+    return df.orderBy(sample_key(id_col, seed), F.col(f"`{id_col}`")).limit(n)
 
 
 def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id: str, vec_col: str,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fidelis import config
 from fidelis.operators import similarity as S
 from fidelis.operators import vector_index as X
+from fidelis.operators.sampling import sample_exact
 from fidelis.plans.registry import register, rounded
 from fidelis.session import checkpoint_dir
 from fidelis.sources.tables import TX_SQL, candidate_side, real_side, table
@@ -107,6 +108,14 @@ def q_sample_rows(spark, sf):
     return S.sample_rows(candidate_side(spark, sf), "row_id", 20, 42).select("row_id")
 
 
+@register("sample_exact", f"""WITH {TX_SQL}, h AS (SELECT row_id, l_extendedprice, row_number() OVER (ORDER BY md5(concat(row_id, '-', '7')), row_id) AS r FROM cand)
+  SELECT row_id, l_extendedprice FROM h WHERE r <= (SELECT count(*) // 2 FROM cand)""")
+def q_sample_exact(spark, sf):
+    """K6: exactly half of the candidate side by the cut-off of a hash, no sort and no heap."""
+    cand = candidate_side(spark, sf)
+    return sample_exact(cand, "row_id", cand.count() // 2, 7).select("row_id", "l_extendedprice")
+
+
 @register("semi_by_id", f"""WITH {TX_SQL}, f AS (SELECT row_id FROM cand WHERE l_extendedprice > 100000)
   SELECT row_id, l_extendedprice FROM cand WHERE row_id IN (SELECT row_id FROM f)""")
 def q_semi_by_id(spark, sf):
