@@ -10,22 +10,19 @@ part: adding a part writes its own folders and reads no other, and adding it aga
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.columns import clean
+from fidelis.operators import corr as C
 from fidelis.operators.frames import long_form
 
 #: Size of the quantile sketches; a rank is off by ``RANK_ERROR`` at most with 99 % probability.
 KLL_K = 1024
 RANK_ERROR = 0.005
 _MOMENTS = ("n", "missing", "mean", "m2", "m3", "m4", "min", "max", "sketch")
-_PRODUCTS = ("n", "mean_a", "mean_b", "m2_a", "m2_b", "c")
 
 
 @dataclass
@@ -49,54 +46,11 @@ def part_state(df: DataFrame, features: list[str], label: str, part: Column) ->
         n.alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), (n * var).alias("m2"),
         F.when(var > 0, n * F.skewness(v) * var * F.sqrt(var)).otherwise(0.0).alias("m3"), F.when(var > 0, n * (F.kurtosis(v) + 3) * var * var).otherwise(0.0).alias("m4"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias("sketch"))
-    return State(classes, moments, _joined_products(cross_products(tagged, list(dict.fromkeys([*features, label])), label)))
-
-
-def cross_products(tagged: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Central cross products of every pair, pairwise complete: a row for each task, part and pair.
-
-    Values are taken less the first batch's means, so that large means lose no digits.
-    """
-    upper = np.triu_indices(len(features), 1)
-    read = tagged.select("part", *[F.col(f"`{f}`").cast("double") if f != label else F.col("class").cast("double").alias(f) for f in features])
-    names = pa.array(features)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str | None, list] = {}
-        for b in it:
-            parts = b.column(0).to_pylist()
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]], 1)
-            for p in dict.fromkeys(parts):
-                y = x if len(set(parts)) == 1 else x[[q == p for q in parts]]
-                if p not in totals:
-                    has = ~np.isnan(y)
-                    totals[p] = [np.where(has, y, 0.0).sum(0) / np.maximum(has.sum(0), 1), np.zeros((6, len(upper[0])))]
-                shift, total = totals[p]
-                has = ~np.isnan(y)
-                y = np.where(has, y - shift, 0.0)
-                has = has.astype(float)
-                s, q = y.T @ has, (y * y).T @ has
-                total += np.stack([m[upper] for m in (has.T @ has, s, s.T, q, q.T, y.T @ y)])
-        for p, (shift, (n, sa, sb, qa, qb, g)) in totals.items():
-            some = np.maximum(n, 1)
-            columns = [n.astype(np.int64), shift[upper[0]] + sa / some, shift[upper[1]] + sb / some, qa - sa * sa / some, qb - sb * sb / some, g - sa * sb / some]
-            yield pa.RecordBatch.from_arrays([pa.array([p] * len(n), pa.string()), names.take(pa.array(upper[0])), names.take(pa.array(upper[1])), *map(pa.array, columns)],
-                                             names=["part", "feature_a", "feature_b", *_PRODUCTS])
-
-    return read.mapInArrow(batches, "part string, feature_a string, feature_b string, n bigint, " + ", ".join(f"{c} double" for c in _PRODUCTS[1:]))
-
-
-def _joined_products(products: DataFrame, keys: tuple[str, ...] = ("part",)) -> DataFrame:
-    """Cross products of disjoint rows joined: C = sum(C_i + n_i da_i db_i)."""
-    by = [*keys, "feature_a", "feature_b"]
-    w = Window.partitionBy(*by)
-    n = F.col("n")
-    d = {s: F.col(f"mean_{s}") - F.try_divide(F.sum(n * F.col(f"mean_{s}")).over(w), F.sum("n").over(w)) for s in "ab"}
-    p = products.where("n > 0").select(*by, "n", "mean_a", "mean_b", "m2_a", "m2_b", "c", d["a"].alias("da"), d["b"].alias("db"))
-    total = F.sum("n")
-    return p.groupBy(*by).agg(
-        total.alias("n"), (F.sum(n * F.col("mean_a")) / total).alias("mean_a"), (F.sum(n * F.col("mean_b")) / total).alias("mean_b"),
-        F.sum(F.expr("m2_a + n * da * da")).alias("m2_a"), F.sum(F.expr("m2_b + n * db * db")).alias("m2_b"), F.sum(F.expr("c + n * da * db")).alias("c"))
+    names = list(dict.fromkeys([*features, label]))
+    wide = tagged if label in features else tagged.withColumn(label, F.col("class").cast("double"))
+    of = F.array(*[F.lit(f) for f in names])
+    pairs = C.joined_products(C.cross_products(wide, names, "part"), ["part", "i", "j"])
+    return State(classes, moments, pairs.select("part", of[F.col("i")].alias("feature_a"), of[F.col("j")].alias("feature_b"), *C.PRODUCTS))
 
 
 def joined_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,8 +90,9 @@ def _rows(df: DataFrame, section: str, feature, other, cls, metrics: dict[str, C
 def _moment_metrics() -> dict[str, Column]:
     n, m2, m3, m4 = (F.col(c).cast("double") for c in ("n", "m2", "m3", "m4"))
     std = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)))
-    g1 = F.when((n > 2) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * F.sqrt(n) * m3 / F.pow(m2, 1.5))
-    g2 = F.when((n > 3) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6))
+    some = C.varies(m2, F.col("mean"), n)
+    g1 = F.when((n > 2) & some, F.sqrt(n * (n - 1)) / (n - 2) * F.sqrt(n) * m3 / F.pow(m2, 1.5))
+    g2 = F.when((n > 3) & some, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / (m2 * m2) - 3) + 6))
     return {"n": n, "missing": F.col("missing"), "mean": F.col("mean"), "std": std, "min": F.col("min"), "max": F.col("max"), "skewness": g1, "kurtosis": g2}
 
 
@@ -152,8 +107,7 @@ def profile(state: State, label: str) -> DataFrame:
     total = Window.partitionBy(F.lit(0))  # a row a class
     shares = per_class.withColumn("share", F.col("n") / F.sum("n").over(total))
     table = per_class.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("class").isNotNull(), F.col("n") * F.col("class"))).alias("positive"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("known"))
-    corr = F.when((F.col("m2_a") > 0) & (F.col("m2_b") > 0), F.col("c") / F.sqrt(F.col("m2_a")) / F.sqrt(F.col("m2_b")))
-    pairs = _joined_products(state.products, ()).withColumn("corr", corr)
+    pairs = C.joined_products(state.products, ["feature_a", "feature_b"]).withColumn("corr", C.pearson())
     own = pairs.where((F.col("feature_a") != label) & (F.col("feature_b") != label))
     with_label = pairs.where((F.col("feature_a") == label) | (F.col("feature_b") == label)).withColumn("feature", F.when(F.col("feature_a") == label, F.col("feature_b")).otherwise(F.col("feature_a")))
     parts = [_rows(table, "table", None, None, None, {"n_rows": F.col("n"), "positive_rate": F.try_divide(F.col("positive"), F.col("known"))}),

@@ -1,9 +1,9 @@
 """Correlation structure (C1-C6) as a long ``(feature_a, feature_b, corr)`` table.
 
 All pairs of a feature list come from one pass of cross products: each task adds up, for
-every pair, the number of rows that have both values and their sums, squares and products
-(numpy matrix products over Arrow batches), and one small grouped sum joins the tasks.  The
-result is pairwise complete like pandas; a constant column gives NULL.
+every pair, the number of rows that have both values and their central sums, squares and
+products (numpy matrix products over Arrow batches), and one small grouped sum joins the
+tasks.  The result is pairwise complete like pandas; a constant column gives NULL.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from fidelis import config
 from fidelis.functions.columns import clean
 
-_SUMS = ["n", "si", "sj", "qi", "qj", "g"]
+#: Of one pair: rows with both values, their means, and the central sums of squares and products.
+PRODUCTS = ("n", "mean_a", "mean_b", "m2_a", "m2_b", "c")
+#: A spread below this share of the mean is rounding: the column counts as constant.
+CONSTANT = 1e-12
 
 
 def _pair_corr(a, b):
@@ -28,37 +31,77 @@ def _pair_corr(a, b):
     return F.try_divide(F.covar_samp(a, b), sa * sb)
 
 
-def pair_sums(df: DataFrame, features: list[str]) -> DataFrame:
-    """``(i, j, n, si, sj, qi, qj, g)`` for every pair i < j of ``features``: rows with both values, sums,
-    sums of squares and of products, of the values less the smallest one of their column."""
-    cols = [clean(F.col(f"`{f}`").cast("double")).alias(f"c{k}") for k, f in enumerate(features)]
-    base = df.select(*cols)
-    low = base.agg(*[F.min(f"c{k}") for k in range(len(features))]).first()
-    shift = np.array([x or 0.0 for x in low])
+def cross_products(df: DataFrame, features: list[str], part: str | None = None) -> DataFrame:
+    """``([part], i, j, n, mean_a, mean_b, m2_a, m2_b, c)`` for every pair i < j of ``features``, pairwise
+    complete: a row for each task (and value of the column ``part``), from one pass.
+
+    A task takes the values less the first one it meets of their column, so that large means lose no
+    digits; ``joined_products`` adds the tasks up.
+    """
     upper = np.triu_indices(len(features), 1)
+    key = [F.lit(None).cast("string").alias("part") if part is None else F.col(f"`{part}`").cast("string").alias("part")]
+    read = df.select(*key, *[clean(F.col(f"`{f}`").cast("double")).alias(f"c{k}") for k, f in enumerate(features)])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, len(upper[0])))
+        totals: dict[str | None, list] = {}
         for b in it:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) - shift
-            has = ~np.isnan(x)
-            x = np.where(has, x, 0.0)
-            has = has.astype(float)
-            s, q = x.T @ has, (x * x).T @ has
-            total += np.stack([m[upper] for m in (has.T @ has, s, s.T, q, q.T, x.T @ x)])
-        yield pa.RecordBatch.from_arrays([pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *[pa.array(t) for t in total]],
-                                         names=["i", "j", *_SUMS])
-
-    sums = base.mapInArrow(batches, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
-    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+            parts = b.column(0).to_pylist()
+            found = dict.fromkeys(parts)
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]], 1)
+            for p in found:
+                y = x if len(found) == 1 else x[[q == p for q in parts]]
+                has = ~np.isnan(y)
+                if p not in totals:
+                    totals[p] = [np.full(len(features), np.nan), np.zeros((6, len(upper[0])))]
+                shift, total = totals[p]
+                new = np.isnan(shift) & has.any(0)
+                shift[new] = y[has.argmax(0), np.arange(y.shape[1])][new]
+                y = np.where(has, y - shift, 0.0)
+                has = has.astype(float)
+                s, q = y.T @ has, (y * y).T @ has
+                total += np.stack([m[upper] for m in (has.T @ has, s, s.T, q, q.T, y.T @ y)])
+        for p, (shift, (n, sa, sb, qa, qb, g)) in totals.items():
+            some, shift = np.maximum(n, 1), np.nan_to_num(shift)
+            columns = [n.astype(np.int64), shift[upper[0]] + sa / some, shift[upper[1]] + sb / some, qa - sa * sa / some, qb - sb * sb / some, g - sa * sb / some]
+            yield pa.RecordBatch.from_arrays([pa.array([p] * len(n), pa.string()), *[pa.array(u.astype(np.int32)) for u in upper], *map(pa.array, columns)],
+                                             names=["part", "i", "j", *PRODUCTS])
+
+    out = read.mapInArrow(batches, "part string, i int, j int, n bigint, " + ", ".join(f"{c} double" for c in PRODUCTS[1:]))
+    return out.drop("part") if part is None else out
+
+
+def joined_products(products: DataFrame, by: list[str]) -> DataFrame:
+    """Cross products of disjoint rows joined per ``by``: with d the distance of a part's mean from
+    the whole, C = sum(C_i + n_i da_i db_i)."""
+    w = Window.partitionBy(*by)
+    n = F.col("n")
+    d = {s: F.col(f"mean_{s}") - F.try_divide(F.sum(n * F.col(f"mean_{s}")).over(w), F.sum("n").over(w)) for s in "ab"}
+    p = products.where("n > 0").select(*by, *PRODUCTS, d["a"].alias("da"), d["b"].alias("db"))
+    total = F.sum("n")
+    return p.groupBy(*by).agg(
+        total.alias("n"), (F.sum(n * F.col("mean_a")) / total).alias("mean_a"), (F.sum(n * F.col("mean_b")) / total).alias("mean_b"),
+        F.sum(F.expr("m2_a + n * da * da")).alias("m2_a"), F.sum(F.expr("m2_b + n * db * db")).alias("m2_b"), F.sum(F.expr("c + n * da * db")).alias("c"))
+
+
+def varies(m2, mean, n):
+    """Whether a central sum of squares is more than the rounding of a constant."""
+    return m2 > n * mean * mean * CONSTANT ** 2
+
+
+def pearson():
+    """The correlation of a row of cross products; NULL for a constant side."""
+    n = F.col("n")
+    some = varies(F.col("m2_a"), F.col("mean_a"), n) & varies(F.col("m2_b"), F.col("mean_b"), n)
+    return F.when(some, F.col("c") / F.sqrt(F.col("m2_a")) / F.sqrt(F.col("m2_b")))
 
 
 def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every pair ``i < j`` (feature order), pairwise complete."""
     names = F.array(*[F.lit(f) for f in features])
-    vi, vj = (F.col("n") * F.col(f"q{k}") - F.col(f"s{k}") * F.col(f"s{k}") for k in "ij")
-    corr = F.when((vi > 0) & (vj > 0), (F.col("n") * F.col("g") - F.col("si") * F.col("sj")) / (F.sqrt(vi) * F.sqrt(vj)))
-    return pair_sums(df, features).select(names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), "i", "j", corr.alias("corr"))
+    pairs = joined_products(cross_products(df, features), ["i", "j"])
+    every = df.sparkSession.range(len(features)).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j")).where("j > i")
+    return every.join(F.broadcast(pairs), ["i", "j"], "left").select(  # pairs without a common row too
+        names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"), "i", "j", pearson().alias("corr"))
 
 
 def corr_difference(real: DataFrame, candidate: DataFrame, features: list[str]) -> DataFrame:

@@ -76,27 +76,25 @@ def training_sample(real: DataFrame, features: list[str], trees: int, max_sample
     base = real.select(F.pmod(key.cast("long"), F.lit(PRIME)).cast("long").alias("_k"), key.alias("_id"),
                        *[F.coalesce(clean(F.col(f"`{f}`").cast("double")), F.lit(0.0)).alias(f) for f in features])
 
-    def h(t):
-        t = t.cast("long") + 1
-        a = 1 + F.pmod(t * 1103515245 + seed * 12345, F.lit(PRIME - 1).cast("long"))
-        return F.pmod(F.col("_k") * a + F.pmod(t * 1664525013 + seed, F.lit(PRIME).cast("long")), F.lit(PRIME).cast("long"))
-
-    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < F.lit(below))
-    cand = base.select("_k", "_id", *features, F.explode(hits).alias("tree"))
-    w = Window.partitionBy("tree").orderBy(h(F.col("tree")), "_id")  # ~4 * max_samples rows per tree
+    # (k a + b) modulo PRIME with a tree's own a and b, which are the same for all rows
+    own = [(1 + ((t + 1) * 1103515245 + seed * 12345) % (PRIME - 1), ((t + 1) * 1664525013 + seed) % PRIME) for t in range(trees)]
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for t, (a, b) in enumerate(own)])
+    hits = F.filter(table, lambda x: (F.col("_k") * x.a + x.b) % PRIME < F.lit(below))
+    cand = base.select("_k", "_id", *features, F.explode(hits).alias("x")).select("_id", *features, F.col("x.t").alias("tree"), ((F.col("_k") * F.col("x.a") + F.col("x.b")) % PRIME).alias("_h"))
+    w = Window.partitionBy("tree").orderBy("_h", "_id")  # ~4 * max_samples rows per tree
     return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_samples).select("tree", *features)
 
 
-def _level(points: DataFrame, features: list[str], depth: int, max_depth: int, seed: int) -> DataFrame:
+def _level(points: DataFrame, depth: int, max_depth: int, seed: int) -> DataFrame:
     """The nodes of one level from one grouped aggregate over the points in them.
 
     A node of two points or more that differ in a feature is split: the feature (among those that
     differ) and the place between its least and greatest value follow from hashes of (tree, node).
     """
-    sides = [x for k, f in enumerate(features) for x in (F.min(F.col(f"`{f}`")).alias(f"lo{k}"), F.max(F.col(f"`{f}`")).alias(f"hi{k}"))]
-    g = points.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"), *sides)
-    usable = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k in range(len(features))]), lambda x: x.hi > x.lo)
-    g = g.select("tree", "node", "size", usable.alias("u"), _uniform(F.col("tree").cast("long"), F.col("node").cast("long"), 1, seed).alias("u1"),
+    ranges = points.select("tree", "node", F.posexplode("v").alias("k", "x")).groupBy("tree", "node", "k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("size"))
+    usable = F.array_sort(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.struct("k", "lo", "hi"))))  # a feature each at most
+    g = ranges.groupBy("tree", "node").agg(F.max("size").alias("size"), usable.alias("u"))
+    g = g.select("tree", "node", "size", "u", _uniform(F.col("tree").cast("long"), F.col("node").cast("long"), 1, seed).alias("u1"),
                  _uniform(F.col("tree").cast("long"), F.col("node").cast("long"), 2, seed).alias("u2"))
     split = (F.lit(depth) < max_depth) & (F.col("size") > 1) & (F.size("u") > 0)
     pick = F.try_element_at("u", F.floor(F.col("u1") * F.size("u")).cast("int") + 1)
@@ -120,20 +118,21 @@ def fit_forest(real: DataFrame, features: list[str], trees: int = config.FOREST_
     n = real.count() if n is None else n
     m = int(min(max_samples, n))
     folder = f"{checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
-    training_sample(real, features, trees, m, seed, id_col, n).write.parquet(f"{folder}/sample")
-    points = spark.read.parquet(f"{folder}/sample").withColumn("node", F.lit(1))
+    sample = training_sample(real, features, trees, m, seed, id_col, n).select("tree", F.array(*[F.col(f"`{f}`") for f in features]).alias("v"))
+    sample.write.parquet(f"{folder}/sample")
+    points = spark.read.schema(sample.schema).parquet(f"{folder}/sample").withColumn("node", F.lit(1))
     max_depth = int(math.ceil(math.log2(max(max_samples, 2))))
     levels = []
     for depth in range(max_depth + 1):
-        level = _level(points, features, depth, max_depth, seed)
+        level = _level(points, depth, max_depth, seed)
         level.write.parquet(f"{folder}/level-{depth}")
         nodes = spark.read.schema(level.schema).parquet(f"{folder}/level-{depth}")
         levels.append(nodes)
         inner = nodes.where("NOT is_leaf").select("tree", "node", "feature", "threshold")
         if depth == max_depth or not inner.take(1):
             break
-        value = F.array(*[F.col(f"`{f}`") for f in features])[F.col("feature")]
-        points = points.join(F.broadcast(inner), ["tree", "node"]).withColumn("node", F.col("node") * 2 + F.when(value < F.col("threshold"), 0).otherwise(1)).drop("feature", "threshold")
+        side = F.when(F.col("v")[F.col("feature")] < F.col("threshold"), 0).otherwise(1)
+        points = points.join(F.broadcast(inner), ["tree", "node"]).select("tree", "v", (F.col("node") * 2 + side).alias("node"))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

@@ -108,6 +108,16 @@ def test_constant_column_correlation_is_undefined_not_an_error(spark):
     assert not fro.passed
 
 
+def test_constant_columns_over_many_tasks_and_large_means(spark):
+    """A constant that no sum holds exactly stays constant; a small spread on a large mean does not."""
+    rng = np.random.default_rng(4)
+    rows = [(0.1, float(1e9 + x), float(x), None if k % 2 else float(x)) for k, x in enumerate(rng.normal(size=1000))]
+    df = spark.createDataFrame(rows, "c double, big double, x double, half double").repartition(7)
+    got = {(r.feature_a, r.feature_b): r.corr for r in C.corr_long(df, ["c", "big", "x", "half"]).collect()}
+    assert got["c", "big"] is None and got["c", "x"] is None and len(got) == 6
+    assert got["big", "x"] == pytest.approx(1.0, abs=1e-6) and got["x", "half"] == pytest.approx(1.0)
+
+
 def test_zscore_rate_and_nan_propagation(spark):
     vals = [0.0] * 200 + [100.0]
     df = spark.createDataFrame([(v, v) for v in vals] + [(0.0, float("nan"))], "a double, b double")
