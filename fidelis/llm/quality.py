@@ -1,9 +1,10 @@
 """Quality classifier: zstandard dictionaries of good and of bad text, calibrated.
 
-Two dictionaries are trained on labelled texts.  A text that compresses better with the good
-one than with the bad one resembles good text; the normalised difference of the two sizes
-(with the size itself, which tells repetitive text) goes through a logistic calibration
-fitted on labelled texts that neither dictionary has seen.
+Pairs of dictionaries of several sizes are trained on labelled texts, one of good and one of bad
+text each.  A text that compresses better with a good dictionary than with the bad one of its
+size resembles good text; only these differences, normalised by the compressed and by the
+plain size, go through a logistic calibration fitted on labelled texts that no dictionary has
+seen.  Small dictionaries tell by the most frequent strings, large ones by rare ones.
 """
 
 from __future__ import annotations
@@ -22,19 +23,22 @@ from fidelis.llm.sample import class_sizes, labelled_sample
 LEVEL = 3
 
 
+#: Bytes of the dictionaries, of good and of bad text each.
+DICTIONARY_BYTES = (2 << 10, 8 << 10, 32 << 10, 110 << 10)
+
+
 @dataclass(frozen=True)
 class CompressionModel:
-    """Two dictionaries and the calibration; a few hundred kilobytes, whatever the corpus."""
+    """Dictionaries (good, bad) of each size and the calibration; some 300 kilobytes, whatever the corpus."""
 
-    good: bytes
-    bad: bytes
+    dictionaries: tuple[tuple[bytes, bytes], ...]
     coef: tuple[float, ...]
     constant: float | None = None  # used when a class has no labelled text
 
     def scorer(self):
         if self.constant is not None:
             return lambda texts: np.full(len(texts), self.constant)
-        sizes = _sizer(self.good, self.bad)
+        sizes = _sizer(self.dictionaries)
         coef = np.array(self.coef)
 
         def score(texts: list[bytes]) -> np.ndarray:
@@ -43,24 +47,27 @@ class CompressionModel:
         return score
 
 
-def _sizer(good: bytes, bad: bytes):
-    both = []
-    for d in (good, bad):
-        d = zstandard.ZstdCompressionDict(d) if d else None
-        if d is not None:
-            d.precompute_compress(level=LEVEL)
-        both.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if d is not None:
+        d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+
+
+def _sizer(dictionaries):
+    pairs = [(_compressor(g), _compressor(b)) for g, b in dictionaries]
 
     def sizes(texts):
-        out = np.array([[len(c.compress(t)) for c in both] for t in texts], float).reshape(-1, 2)
-        return out[:, 0], out[:, 1], np.array([len(t) for t in texts], float)
+        out = np.array([[[len(c.compress(t)) for c in pair] for pair in pairs] for t in texts], float).reshape(len(texts), len(pairs), 2)
+        return out[:, :, 0], out[:, :, 1], np.array([len(t) for t in texts], float)
     return sizes
 
 
 def _features(good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Columns: 1, normalised size difference, compressed share, its square, log length."""
-    share = np.minimum(good, bad) / (n + 20)
-    return np.stack([np.ones_like(n), 10 * (bad - good) / (bad + good), share, share * share, np.log1p(n) / 10], 1)
+    """Columns: 1, then for each dictionary size the difference of the compressed sizes by their sum,
+    its square, and the difference by the text's size.  Without a difference all but the first are 0."""
+    d = 10 * (bad - good) / (bad + good)
+    return np.concatenate([np.ones((len(n), 1)), d, d * d, 10 * (bad - good) / (n[:, None] + 20)], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
@@ -97,7 +104,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", per_class: int = 2000,
-        dict_bytes: int = 32 << 10) -> CompressionModel:
+        dict_bytes: tuple[int, ...] = DICTIONARY_BYTES) -> CompressionModel:
     """Fit on at most ``per_class`` labelled texts of each class (the documented bound).
 
     Half of the sample trains the dictionaries, the other half the calibration, weighted to
@@ -110,14 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", per_c
     parts = {k: [t.encode() for _, t, c in rows if c == {k}] for k in classes}
     if min(map(len, parts.values())) < 2:
         total = n["good"] + n["bad"]
-        return CompressionModel(b"", b"", (), n["good"] / total if total else 0.5)
-    good, bad = (_dictionary(parts[k][::2], dict_bytes) for k in ("good", "bad"))
+        return CompressionModel((), (), n["good"] / total if total else 0.5)
+    dictionaries = tuple(tuple(_dictionary(parts[k][::2], size) for k in ("good", "bad")) for size in dict_bytes)
     held = [(t, y) for k, y in (("good", 1.0), ("bad", 0.0)) for t in parts[k][1::2]]
-    x = _features(*_sizer(good, bad)([t for t, _ in held]))
+    x = _features(*_sizer(dictionaries)([t for t, _ in held]))
     y = np.array([v for _, v in held])
     share = n["good"] / (n["good"] + n["bad"])
     w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    return CompressionModel(good, bad, tuple(_logistic(x, y, w)))
+    return CompressionModel(dictionaries, tuple(_logistic(x, y, w)))
 
 
 def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", text_col: str = "text",

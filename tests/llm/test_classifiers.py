@@ -28,6 +28,27 @@ def test_quality_on_held_out_labels(spark, labels):
     assert got.where("predicted <> cast(score >= 0.3 as int) or score < 0 or score > 1").count() == 0
 
 
+def test_quality_scores_equal_plain_compression(spark, labels, docs, rows):
+    """Each score again from the model's dictionaries by zstandard's own calls, one text at a time."""
+    import math
+
+    import zstandard
+    model = Q.fit(spark.read.parquet(f"{SF_MID}/documents.parquet"), labels.where(~E.held_out()).select("doc_id", "quality"))
+    assert len(model.dictionaries) == len(Q.DICTIONARY_BYTES) and model.constant is None
+
+    def size(text, dictionary):
+        return len(zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False).compress(text))
+
+    want = {}
+    for _, t in rows:
+        raw = (t or "").encode()
+        pairs = [(size(raw, g), size(raw, b)) for g, b in model.dictionaries]
+        x = [1.0, *[10 * (b - g) / (b + g) for g, b in pairs], *[(10 * (b - g) / (b + g)) ** 2 for g, b in pairs], *[10 * (b - g) / (len(raw) + 20) for g, b in pairs]]
+        want[t] = 1 / (1 + math.exp(-max(-30, min(30, sum(c * v for c, v in zip(model.coef, x))))))
+    got = Q.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert got and all(abs(r.score - want[r.text]) < 1e-9 and r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_toxicity_on_held_out_labels(spark, labels):
     got = E.op5(spark, SF_MID)
     held = got.where("held_out").join(labels, "doc_id").collect()
@@ -48,9 +69,9 @@ def test_labels_of_one_class_or_none(spark, docs, empty):
 
 
 def test_filter_keeps_columns(spark, docs):
-    model = Q.CompressionModel(b"", b"", (), 0.9)
+    model = Q.CompressionModel((), (), 0.9)
     assert Q.keep_good(docs, model).columns == docs.columns and Q.keep_good(docs, model).count() == docs.count()
-    assert Q.keep_good(docs, Q.CompressionModel(b"", b"", (), 0.1)).count() == 0
+    assert Q.keep_good(docs, Q.CompressionModel((), (), 0.1)).count() == 0
 
 
 def test_chain_uses_earlier_categories(spark):
