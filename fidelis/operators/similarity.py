@@ -14,7 +14,7 @@ from fidelis import config
 from fidelis.functions.columns import clean
 from fidelis.operators.frames import attach
 from fidelis.operators.sampling import sample_exact, sample_key
-from fidelis.operators.vector_index import CELL_ROWS, build_index, search
+from fidelis.operators.vector_index import CELL_ROWS, KEEP, build_index, search
 
 
 def scale_stats(reference: DataFrame, features: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def nn_search(candidate: DataFrame, reference: DataFrame, cand_id: str, ref_id:
     Exact at any size: the reference is indexed (``vector_index``) and a candidate meets only
     the cells that may hold a nearer row.  Build the index yourself to search it again.
     """
-    index = build_index(reference, ref_id, vec_col, cell_rows=cell_rows)
+    index = build_index(reference, ref_id, vec_col, cell_rows=cell_rows, keep=max(k, KEEP))
     if not index.n_rows:
         return candidate.select(F.col(f"`{cand_id}`").cast("long").alias(cand_id), F.lit(1).cast("long").alias("rank"),
                                 F.lit(None).cast("long").alias("ref_id"), F.lit(0.0).alias("similarity"))

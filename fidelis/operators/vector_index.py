@@ -34,11 +34,11 @@ MOST_PIVOTS = 4096
 MOST_RINGS = 64
 #: Angles are compared with this tolerance (radians), far above their rounding.
 SLACK = 1e-6
-#: Ids kept of equal unit vectors: a search asks for this many neighbours at most.
+#: Ids kept of equal unit vectors, unless the index is built for more neighbours.
 KEEP = 16
 _STRIP = 1024
 _CANDIDATE = "c bigint, cell bigint, u array<double>"
-_META = ("n_rows bigint, smallest array<bigint>, zeros array<bigint>, pivots array<array<double>>, inner array<array<double>>, "
+_META = ("n_rows bigint, keep int, smallest array<bigint>, zeros array<bigint>, pivots array<array<double>>, inner array<array<double>>, "
          "cell array<bigint>, low array<double>, high array<double>, rows array<bigint>")
 
 
@@ -64,6 +64,7 @@ class VectorIndex:
     smallest: list[int]  # the smallest ids of all rows: the neighbours of a zero vector
     zeros: list[int]  # the smallest ids of zero vectors, which have similarity 0 with everything
     n_rows: int
+    keep: int  # ids kept of equal vectors: a search asks for this many neighbours at most
 
 
 def unit_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +159,15 @@ def build_index(reference: DataFrame, id_col: str, vec_col: str, *, path: str |
     table = sorted(vectors.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("rows")).collect())  # MOST_PIVOTS * MOST_RINGS rows at most
     columns = [[r[c] for r in table] for c in ("cell", "low", "high", "rows")]
     ends = [inner.get(k, np.zeros(0)).tolist() for k in range(len(pivots))]
-    spark.createDataFrame([(n_rows, smallest, zeros, [p.tolist() for p in pivots], ends, *columns)], _META).coalesce(1).write.parquet(f"{path}/meta")
-    return _index(vectors, distinct, (n_rows, smallest, zeros, pivots, ends, *columns))
+    spark.createDataFrame([(n_rows, keep, smallest, zeros, [p.tolist() for p in pivots], ends, *columns)], _META).coalesce(1).write.parquet(f"{path}/meta")
+    return _index(vectors, distinct, (n_rows, keep, smallest, zeros, pivots, ends, *columns))
 
 
 def _index(vectors: DataFrame, distinct: DataFrame, meta: tuple) -> VectorIndex:
-    n_rows, smallest, zeros, pivots, ends, cell, low, high, rows = meta
+    n_rows, keep, smallest, zeros, pivots, ends, cell, low, high, rows = meta
     cells = Cells(np.array(pivots, np.float64), np.array(cell, np.int64), np.array(low, np.float64), np.array(high, np.float64), np.array(rows, np.int64),
                   {k: np.array(e) for k, e in enumerate(ends)})
-    return VectorIndex(vectors.select("v", "cell", "u"), distinct.select("v", F.posexplode("ids").alias("place", "rid")), cells, list(smallest), list(zeros), n_rows)
+    return VectorIndex(vectors.select("v", "cell", "u"), distinct.select("v", F.posexplode("ids").alias("place", "rid")), cells, list(smallest), list(zeros), n_rows, keep)
 
 
 def cells_of(pivot: np.ndarray, angle: np.ndarray, inner: dict[int, np.ndarray]) -> np.ndarray:
@@ -237,8 +238,8 @@ def search(index: VectorIndex, candidate: DataFrame, id_col: str, vec_col: str,
     every candidate.  Every candidate row is answered, repeated ones each; an empty index gives no
     rows.  The second value counts ``candidates``, ``rows`` and ``compared`` pairs of candidates and distinct vectors.
     """
-    if k > KEEP:
-        raise ValueError(f"at most {KEEP} neighbours")
+    if k > index.keep:
+        raise ValueError(f"the index was built for at most {index.keep} neighbours")
     spark = candidate.sparkSession
     folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
     cells = index.cells

@@ -52,6 +52,13 @@ def test_search_equals_brute_force(spark, k):
     assert work["candidates"] == len(cand) and work["rows"] == len(ref) and work["compared"] < 0.6 * len(cand) * work["vectors"]
 
 
+def test_many_neighbours(spark):
+    """More neighbours than ids are kept by default, among copies of one vector."""
+    ref = [(i, [1.0, 0.1 * (i % 4)]) for i in range(200)]
+    got = S.nn_search(frame(spark, [(0, [1.0, 0.0])]), frame(spark, ref), "id", "id", "v", k=60, cell_rows=2).collect()
+    assert [r.ref_id for r in sorted(got, key=lambda r: r["rank"])] == [j for _, j, _ in brute([(0, [1.0, 0.0])], ref, 60)[0][0]]
+
+
 def test_opposite_vectors_and_few_rows(spark):
     ref, cand = [(1, [1.0, 0.0]), (2, [0.0, 0.0])], [(9, [-1.0, 0.0])]
     index = X.build_index(frame(spark, ref), "id", "v")
