@@ -67,6 +67,25 @@ def q_resample_join(spark, sf):
     return b.groupBy(R.label).agg(F.count(F.lit(1)).alias("draws"), F.countDistinct("source_row_id").alias("distinct_sources"))
 
 
+@register("bootstrap_counts", f"""WITH {TX_SQL}, t AS (SELECT count(*) AS n, avg(is_return) AS rate FROM real),
+  c AS (SELECT n, least(n, greatest(1, CAST(round_even(n * rate, 0) AS BIGINT))) AS pos FROM t)
+  SELECT is_return, CASE WHEN is_return = 1 THEN pos ELSE n - pos END AS draws, CASE WHEN is_return = 1 THEN pos ELSE n - pos END AS new_ids,
+    CAST(0 AS BIGINT) AS changed_rows, true AS spread FROM c, (SELECT unnest([0, 1]) AS is_return)""")
+def q_bootstrap_counts(spark, sf):
+    """G1 by counts: exact class totals, new ids without repeats, every drawn row equal to its source; ``spread``:
+    the share of the pool that is drawn lies within 2 % of 1 - 1/e, as for independent draws."""
+    real = real_side(spark, sf)
+    n, rate = _real_size(real)
+    drawn = G.bootstrap_by_counts(real, n, rate, SEED, R.id, R.label).select(R.id, "source_row_id", R.amount, R.label)
+    source = real.select(F.col(R.id).alias("source_row_id"), F.col(R.amount).alias("_amount"), F.col(R.label).alias("_label"))
+    j = drawn.join(source, "source_row_id", "left")
+    same = F.col(R.amount).eqNullSafe(F.col("_amount")) & F.col(R.label).eqNullSafe(F.col("_label"))
+    per = j.groupBy(R.label).agg(F.count(F.lit(1)).alias("draws"), F.count_distinct(R.id).alias("new_ids"), F.count_if(~same).alias("changed_rows"), F.count_distinct("source_row_id").alias("_s"))
+    pools = real.groupBy(R.label).agg(F.count(F.lit(1)).alias("_n"))
+    share = 1 - F.exp(-F.col("draws") / F.col("_n"))
+    return per.join(pools, R.label).select(R.label, "draws", "new_ids", "changed_rows", (F.abs(F.col("_s") / F.col("_n") - share) < 0.02).alias("spread"))
+
+
 _STD = ", ".join(f"stddev_samp({f}) AS s_{f}" for f in JITTER_FEATURES)
 
 

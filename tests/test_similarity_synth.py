@@ -73,6 +73,26 @@ def test_bootstrap_exact_class_counts(spark):
         assert src[r.source_row_id].Class == r.Class
 
 
+def test_bootstrap_by_counts(spark):
+    """Exact totals, gapless ids, rows of their class, counts like independent draws, the same whatever the partitions."""
+    real = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 10 == 0).cast("int").alias("Class"), (F.col("id") * 1.5).alias("Amount"), F.lit("x").alias("_draws2"))
+    out = G.bootstrap_by_counts(real.repartition(3), 5000, 0.1, 7, "row_id", "Class", range_rows=100)
+    rows = out.collect()
+    assert out.columns == ["row_id", "Amount", "_draws2", "Class", "source_row_id"]
+    assert sorted(r.row_id for r in rows) == list(range(5000)) and sum(r.Class for r in rows) == 500
+    assert all(r.Amount == r.source_row_id * 1.5 and r.Class == int(r.source_row_id % 10 == 0) for r in rows)
+    again = G.bootstrap_by_counts(real.repartition(11), 5000, 0.1, 7, "row_id", "Class", range_rows=100).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    counts = np.zeros(3000)
+    for r in rows:
+        counts[r.source_row_id] += 1
+    negative = counts[np.arange(3000) % 10 != 0]
+    assert abs(negative.mean() - 4500 / 2700) < 1e-9 and 0.8 < negative.var() / negative.mean() < 1.2  # a Poisson-like spread, also across ranges
+    assert abs((negative == 0).mean() - np.exp(-4500 / 2700)) < 0.03
+    with pytest.raises(ValueError):
+        G.bootstrap_by_counts(real.where("Class = 0"), 10, 0.5, 1, "row_id", "Class")
+
+
 def test_class_conditions_truncate(spark):
     df = G.class_conditions(spark, 100000, 0.0017274856)
     assert df.where("Class = 1").count() == 172
