@@ -121,3 +121,25 @@ def test_empty_sides(spark):
     with pytest.raises(ValueError):
         X.search(X.build_index(some, "id", "v"), some, "id", "v", 1000)
     assert math.isclose(S.nn_search(some, some, "id", "id", "v").first().similarity, 1.0)
+
+
+def test_a_block_compares_few_of_its_pairs(monkeypatch):
+    """The best in a block are those of all pairs, and eight times the vectors ask for hardly more comparisons."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in (2000, 16000):
+        v, c = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(n, 4)), rng.normal(size=(500, 4))))
+        v[7] = v[3]
+        c[0] = v[3]
+        for k in (1, 3):
+            sizes = []
+            real = np.partition
+            monkeypatch.setattr(X.np, "partition", lambda a, *args, **kw: (sizes.append(a.size), real(a, *args, **kw))[1])
+            who, which, sims = X.nearest_in_block(c, np.full(len(c), -1.0), v, k)
+            monkeypatch.undo()
+            all_pairs = c @ v.T
+            last = np.sort(all_pairs, axis=1)[:, -k]
+            assert set(zip(who.tolist(), which.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(all_pairs >= last[:, None] - 1e-12))))
+            assert sims == pytest.approx(all_pairs[who, which])
+            pairs.append(sum(sizes))
+    assert pairs[2] < 2 * pairs[0] and pairs[2] < 0.1 * 500 * 16000
