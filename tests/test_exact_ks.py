@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fidelis.operators import dist as D
 
@@ -62,3 +63,30 @@ def test_groups(spark):
     assert got["a"].statistic == 1.0 and got["a"].p_value == pytest.approx(2 / 6) and got["b"].statistic == 0.0 and got["b"].p_value == 1.0
     none = spark.createDataFrame([], "g string, v double")
     assert D.ks_by_group(real, none, "g", "v").count() == 0
+
+
+def test_tails_of_many_tests_at_once():
+    """Banded walks of tests of many sizes give each test's own share of lattice paths."""
+    def all_points(n, m, gap):
+        share = {}
+        for i in range(n + 1):
+            for j in range(m + 1):
+                if abs(i * m - j * n) >= gap:
+                    share[i, j] = 1.0
+                else:
+                    share[i, j] = (i * share.get((i - 1, j), 0.0) + j * share.get((i, j - 1), 0.0)) / max(1, i + j)
+        return share[n, m]
+
+    rng = np.random.default_rng(8)
+    n, m = rng.integers(1, 40, 200), rng.integers(1, 40, 200)
+    gap = np.minimum((rng.random(200) ** 2 * n * m).astype(np.int64) + rng.integers(0, 3, 200), n * m)
+    want = [1.0 if g == 0 else all_points(a, b, g) for a, b, g in zip(n.tolist(), m.tolist(), gap.tolist())]
+    assert D.exact_ks_tails(n, m, gap) == pytest.approx(want, rel=1e-12)
+
+
+def test_tests_are_dealt_to_all_tasks(spark):
+    """Rows of few bytes but much work do not end in one task."""
+    rows = [(k, i % 7 + 0.1 * k) for k in range(60) for i in range(20)]
+    a, b = (spark.createDataFrame([(k, v + d) for k, v in rows], "g int, v double") for d in (0.0, 0.5))
+    out = D.ks_by_group(a, b, "g", "v").select("g", F.spark_partition_id().alias("p")).collect()
+    assert len(out) == 60 and len({r.p for r in out}) > 1

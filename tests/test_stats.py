@@ -130,3 +130,14 @@ def test_moment_comparison(spark, samples):
     out = {r.test_name: r.statistic for r in D.moment_comparison(ra, rb, ["x"]).collect()}
     assert out["mean_comparison"] == pytest.approx(abs(a.mean() - b.mean()) / (abs(a.mean()) + 1e-10))
     assert out["std_comparison"] == pytest.approx(abs(a.std(ddof=1) - b.std(ddof=1)) / (a.std(ddof=1) + 1e-10))
+
+
+def test_value_counts_cross_the_pieces_of_a_task(spark, monkeypatch):
+    """Values are counted once for all the pieces and tasks that hold them; null, NaN and the sign of zero do not matter."""
+    monkeypatch.setattr(D, "COUNT_ROWS", 7)
+    nan = float("nan")
+    rows = [(float(i % 5), -0.0 if i % 2 else 0.0, None if i % 3 else nan) for i in range(100)]
+    a = spark.createDataFrame(rows, "x double, y double, z double").repartition(3)
+    b = a.where("x < 2").withColumn("z", F.lit(1))
+    got = sorted(map(tuple, D.value_counts(a, b, ["x", "y", "z"]).collect()))
+    assert got == [("x", 0.0, 20, 20), ("x", 1.0, 20, 20), ("x", 2.0, 20, 0), ("x", 3.0, 20, 0), ("x", 4.0, 20, 0), ("y", 0.0, 100, 40), ("z", 1.0, 0, 40)]
