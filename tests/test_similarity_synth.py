@@ -114,3 +114,18 @@ def test_forest_flags_about_the_contamination_share(spark):
     assert 0.005 <= share <= 0.02
     far = spark.createDataFrame([(99999, 8.0, 8.0, 8.0)], "id long, a double, b double, c double")
     assert isolation_forest_scores(df, far, ["a", "b", "c"], trees=30, id_col="id").first().is_outlier
+
+
+def test_a_pool_is_numbered_once_for_all_seeds(spark, monkeypatch):
+    """Regenerated tables are those of the seed alone, whichever columns go along and whoever numbered the pool."""
+    real = spark.createDataFrame([(i, i % 3 // 2, float(i), float(i * i % 7), float(i)) for i in range(60)], "id long, c int, t double, a double, more double")
+    few = real.select("id", "t", "a", "c")
+
+    def tables(pool, numbered=None):
+        made = (G.generate_synthetic(pool, 40, 0.3, seed, "id", "c", ["a"], "a", "t", numbered=numbered) for seed in (1, 2))
+        return [sorted(map(tuple, m.select("id", "c", F.round("t", 9), F.round("a", 9)).collect())) for m in made]
+
+    whole = tables(real)
+    numbered = G.number_pool(few, "id", "c")
+    monkeypatch.setattr(G, "dense_index", None)
+    assert tables(few, numbered) == whole
