@@ -90,3 +90,12 @@ def test_tests_are_dealt_to_all_tasks(spark):
     a, b = (spark.createDataFrame([(k, v + d) for k, v in rows], "g int, v double") for d in (0.0, 0.5))
     out = D.ks_by_group(a, b, "g", "v").select("g", F.spark_partition_id().alias("p")).collect()
     assert len(out) == 60 and len({r.p for r in out}) > 1
+
+
+def test_long_walks_stay_finite():
+    """Places of a wide band that are no points of the lattice do not reach those that are."""
+    n, m = np.array([3000, 900]), np.array([2900, 1100])
+    with np.errstate(over="raise", invalid="raise"):
+        near, far = D.exact_ks_tails(n, m, n * m // 20), D.exact_ks_tails(n, m, n * m // 3)
+    series = 2 * sum((-1) ** (k - 1) * np.exp(-2.0 * k * k * 0.05 ** 2 * n * m / (n + m)) for k in range(1, 50))
+    assert near == pytest.approx(series, rel=0.1) and (far < 1e-20).all() and (far >= 0).all()
