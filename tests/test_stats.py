@@ -141,3 +141,21 @@ def test_value_counts_cross_the_pieces_of_a_task(spark, monkeypatch):
     b = a.where("x < 2").withColumn("z", F.lit(1))
     got = sorted(map(tuple, D.value_counts(a, b, ["x", "y", "z"]).collect()))
     assert got == [("x", 0.0, 20, 20), ("x", 1.0, 20, 20), ("x", 2.0, 20, 0), ("x", 3.0, 20, 0), ("x", 4.0, 20, 0), ("y", 0.0, 100, 40), ("z", 1.0, 0, 40)]
+
+
+def test_ks_over_many_ranges(spark, monkeypatch):
+    """The statistic of ranges that know nothing of each other is that of all values; an empty side gives none."""
+    monkeypatch.setattr(D, "COUNT_ROWS", 7)
+    monkeypatch.setattr(D, "RANGE_ROWS", 16)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=230), np.round(rng.normal(0.3, 1.2, size=170), 1)
+    a = spark.createDataFrame([(float(v), float(v > 0), None) for v in x], "x double, y double, z double").repartition(3)
+    b = spark.createDataFrame([(float(v), 1.0, float("nan") if i % 2 else 5.0) for i, v in enumerate(y)], "x double, y double, z double").repartition(2)
+    got = {r["feature"]: r for r in D.ks_statistics(a, b, ["x", "y", "z"]).collect()}
+    assert len(D._range_ends(a, b, ["x", "y", "z"], D._totals(a, b, ["x", "y", "z"]))[0]) > 10
+    at = np.unique(np.r_[x, y])
+    far = np.abs(np.searchsorted(np.sort(x), at, side="right") * len(y) - np.searchsorted(np.sort(y), at, side="right") * len(x)).max()
+    assert (got["x"]["n_a"], got["x"]["n_b"], got["x"]["gap"]) == (230, 170, far)
+    assert got["x"]["statistic"] == pytest.approx(far / (230 * 170))
+    assert got["y"]["statistic"] == pytest.approx((x <= 0).mean())
+    assert (got["z"]["n_a"], got["z"]["n_b"], got["z"]["statistic"], got["z"]["gap"]) == (0, 85, None, None)
