@@ -143,3 +143,27 @@ def test_a_block_compares_few_of_its_pairs(monkeypatch):
             assert sims == pytest.approx(all_pairs[who, which])
             pairs.append(sum(sizes))
     assert pairs[2] < 2 * pairs[0] and pairs[2] < 0.1 * 500 * 16000
+
+
+def test_candidates_of_a_pivot_rule_out_pivots_together():
+    """The joint bound leaves no needed cell out, whatever pivot a candidate is said to be near, and reaches few others."""
+    rng = np.random.default_rng(11)
+    u = points(rng, 4000, 4)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    pivots = u[:200]
+    near, own = X._nearest(u, pivots)
+    inner = {p: np.quantile(own[near == p], [0.5]) for p in range(200) if (near == p).sum() > 8}
+    cell = X.cells_of(near, own, inner)
+    names = np.unique(cell)
+    cells = X.Cells(pivots, names, np.array([own[cell == c].min() for c in names]), np.array([own[cell == c].max() for c in names]), np.array([(cell == c).sum() for c in names]), inner)
+    sims = u[-600:] @ u[:3400].T
+    kth = np.sort(sims, axis=1)[:, -2]
+    kth[::50] = -1.0
+    nearest = X._nearest(u[-600:], pivots)[0]
+    for home in (nearest, rng.integers(0, 200, 600)):
+        row, at = X._reached(cells, home, u[-600:], kth)
+        got = set(zip(row.tolist(), names[at].tolist()))
+        assert len(got) == len(row)
+        assert {(int(i), int(cell[j])) for i, j in zip(*np.nonzero(sims >= kth[:, None]))} <= got
+        if home is nearest:
+            assert sum(kth[i] > -1.0 for i, _ in got) < 0.2 * len(names) * 588
