@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Largest number of text bytes handled at once (a longer single text is handled alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

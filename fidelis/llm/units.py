@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from fidelis.llm.textkit import utf8
 
 #: Text bytes handled at once (a longer single text is handled alone) and units kept in a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 MOST_UNITS = 1_000_000
 _JOINED = 500
 _WS = r"[\s\x0b\x{85}\p{Z}]"

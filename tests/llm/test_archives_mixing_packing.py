@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fidelis.llm import mixing as M
 from fidelis.llm import packing as B
+from fidelis.llm import textkit as K
 from fidelis.llm import units as U
 from fidelis.llm import warc as W
 from fidelis.llm.queries import tokenizer_path
@@ -232,3 +233,12 @@ def test_sequences_follow_the_files(spark, tmp_path, monkeypatch):
 
 def test_empty_table(empty):
     assert B.pack_documents(empty, tokenizer_path()).count() == 0
+
+
+def test_texts_are_handled_in_small_batches():
+    """A worker works on few bytes at once whatever an Arrow batch holds; every row is in one batch."""
+    col = pa.array(["x" * 9000, None, ""] * 700)
+    for most, runs in ((4 << 20, [(lo, len(t), sum(map(len, t.to_pylist()))) for lo, t in U.text_batches(col)]),
+                       (1 << 18, [(i, j - i, len(buf)) for i, j, buf, _ in K.slices(col)])):
+        assert len(runs) > 1 and max(n for *_, n in runs) <= most
+        assert [lo for lo, *_ in runs] == np.cumsum([0, *[n for _, n, _ in runs[:-1]]]).tolist() and sum(n for _, n, _ in runs) == len(col)
