@@ -10,19 +10,21 @@ part: adding a part writes its own folders and reads no other, and adding it aga
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.columns import clean
 from fidelis.operators import corr as C
-from fidelis.operators.frames import long_form
+from fidelis.operators.profile import joined_moments, moment_rows
 
 #: Size of the quantile sketches; a rank is off by ``RANK_ERROR`` at most with 99 % probability.
 KLL_K = 1024
 RANK_ERROR = 0.005
-_MOMENTS = ("n", "missing", "mean", "m2", "m3", "m4", "min", "max", "sketch")
 
 
 @dataclass
@@ -39,33 +41,20 @@ def part_state(df: DataFrame, features: list[str], label: str, part: Column) ->
     tagged = df.select(part.cast("string").alias("part"), F.col(f"`{label}`").alias("class"), *[clean(F.col(f"`{f}`").cast("double")).alias(f) for f in features if f != label],
                        *([F.col(f"`{label}`").cast("double").alias(label)] if label in features else []))
     classes = tagged.groupBy("part", "class").agg(F.count(F.lit(1)).alias("n"))
-    lf = long_form(tagged, features, ["part", "class"], drop_null=False)
-    v, n = F.col("value"), F.count("value")
-    var = F.coalesce(F.var_pop(v), F.lit(0.0))
-    moments = lf.groupBy("part", "class", "feature").agg(
-        n.alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), (n * var).alias("m2"),
-        F.when(var > 0, n * F.skewness(v) * var * F.sqrt(var)).otherwise(0.0).alias("m3"), F.when(var > 0, n * (F.kurtosis(v) + 3) * var * var).otherwise(0.0).alias("m4"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, F.lit(KLL_K)).alias("sketch"))
+    keys = ["part", "class"]
+    rows = joined_moments(moment_rows(tagged, features, keys), [*keys, "feature"])
+    # a sketch a column, so no row is copied for each feature
+    wide = tagged.groupBy(*keys).agg(*[F.kll_sketch_agg_double(clean(F.col(f"`{f}`")), F.lit(KLL_K)).alias(f"_{i}") for i, f in enumerate(features)])
+    sketches = wide.select(*[F.col(c).alias(f"_{c}") for c in keys], F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(f"_{i}").alias("sketch")) for i, f in enumerate(features)])).alias("x")).select("_part", "_class", "x.*")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "feature")]
+    moments = rows.join(F.broadcast(sketches), same).drop("_part", "_class", "_feature")  # a row a part, class and feature
     names = list(dict.fromkeys([*features, label]))
-    wide = tagged if label in features else tagged.withColumn(label, F.col("class").cast("double"))
+    paired = tagged if label in features else tagged.withColumn(label, F.col("class").cast("double"))
     of = F.array(*[F.lit(f) for f in names])
-    pairs = C.joined_products(C.cross_products(wide, names, "part"), ["part", "i", "j"])
+    pairs = C.joined_products(C.cross_products(paired, names, "part"), ["part", "i", "j"])
     return State(classes, moments, pairs.select("part", of[F.col("i")].alias("feature_a"), of[F.col("j")].alias("feature_b"), *C.PRODUCTS))
 
 
-def joined_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Moments of disjoint rows joined over all columns but ``keys``: with d the distance of a
-    part's mean from the whole, M2 = sum(M2_i + n d^2), M3 = sum(M3_i + 3 d M2_i + n d^3), M4 = sum(M4_i + 4 d M3_i + 6 d^2 M2_i + n d^4)."""
-    w = Window.partitionBy(*keys)
-    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w))
-    p = moments.select(*keys, *_MOMENTS, F.when(F.col("n") > 0, F.col("mean") - mean).otherwise(0.0).alias("d"))
-    return p.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("missing").alias("missing"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"),
-        F.sum(F.expr("m2 + n * d * d")).alias("m2"), F.sum(F.expr("m3 + 3 * d * m2 + n * d * d * d")).alias("m3"),
-        F.sum(F.expr("m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d")).alias("m4"),
-        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
-
-
 def add_parts(folder: str, state: State) -> None:
     """Write the state's parts below ``folder``; a part that is there already is replaced, others stay unread."""
     for name in ("classes", "moments", "products"):
@@ -128,3 +117,23 @@ def profile_quantiles(state: State, probs: list[float], by_class: bool = False)
     merged = joined_moments(state.moments, keys).where("n > 0")
     pairs = [F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("q")) for p in probs]
     return merged.select(*keys, F.explode(F.array(*pairs)).alias("x")).select(*keys, "x.p", "x.q")
+
+
+def quantile_ranks(df: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """(feature, p, below, upto, n): how many of a feature's values lie below, and up to, each of its ``quantiles``
+    (``feature, p, q``, some a feature), from one pass over Arrow batches."""
+    asked = [(r["feature"], r["p"], r["q"]) for r in quantiles.collect()]  # a row a feature and prob
+    features = sorted({f for f, _, _ in asked})
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(asked), 3), np.int64)
+        for b in it:
+            held = {}
+            for i, f in enumerate(features):
+                x = b.column(i).drop_null().to_numpy()
+                held[f] = x[~np.isnan(x)]
+            total += np.array([(np.count_nonzero(held[f] < q), np.count_nonzero(held[f] <= q), len(held[f])) for f, _, q in asked], np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in asked], pa.string()), pa.array([p for _, p, _ in asked], pa.float64()), *map(pa.array, total.T.copy())], names=["feature", "p", "below", "upto", "n"])
+
+    counts = df.select(*[F.col(f"`{f}`").cast("double").alias(f"_{i}") for i, f in enumerate(features)]).mapInArrow(batches, "feature string, p double, below bigint, upto bigint, n bigint")
+    return counts.groupBy("feature", "p").agg(*[F.sum(c).alias(c) for c in ("below", "upto", "n")]).where("n > 0")

@@ -96,3 +96,22 @@ def test_empty_table(spark):
     assert state.moments.count() == 0 and B.profile_quantiles(state, [0.5]).count() == 0
     got = collected(B.profile(state, "label"))
     assert all(not v for v in got.values())
+
+
+def test_state_without_copies_of_rows(spark):
+    rows = [(p, None if i % 7 == 0 else i % 2, float(i * i % 101), None if i % 3 else i / 10) for p in ("a", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "p string, k int, x double, y double").repartition(5)
+    moments = B.part_state(df, ["x", "y"], "k", F.col("p")).moments
+    assert "Expand" not in moments._jdf.queryExecution().toString()  # rows were copied once a feature
+    got = {(r["part"], r["class"], r["feature"]): r for r in moments.collect()}
+    assert len(got) == 2 * 3 * 2
+    for (p, k, f), r in got.items():
+        v = np.array([row[2 if f == "x" else 3] for row in rows if row[0] == p and row[1] == k and row[2 if f == "x" else 3] is not None])
+        d = v - v.mean()
+        assert r["n"] == len(v) and r["missing"] == sum(row[0] == p and row[1] == k for row in rows) - len(v) and (r["min"], r["max"]) == (v.min(), v.max())
+        np.testing.assert_allclose([r["mean"], r["m2"], r["m3"], r["m4"]], [v.mean(), (d ** 2).sum(), (d ** 3).sum(), (d ** 4).sum()], rtol=1e-9, atol=1e-6)
+    q = spark.createDataFrame([("x", 0.5, 50.0), ("y", 0.1, 2.1), ("y", 0.9, -1.0)], "feature string, p double, q double")
+    ranks = {(r["feature"], r["p"]): tuple(r)[2:] for r in B.quantile_ranks(df, q).collect()}
+    for f, p, x in [tuple(r) for r in q.collect()]:
+        v = np.array([row[2 if f == "x" else 3] for row in rows if row[2 if f == "x" else 3] is not None])
+        assert ranks[f, p] == ((v < x).sum(), (v <= x).sum(), len(v))

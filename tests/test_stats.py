@@ -159,3 +159,27 @@ def test_ks_over_many_ranges(spark, monkeypatch):
     assert got["x"]["statistic"] == pytest.approx(far / (230 * 170))
     assert got["y"]["statistic"] == pytest.approx((x <= 0).mean())
     assert (got["z"]["n_a"], got["z"]["n_b"], got["z"]["statistic"], got["z"]["gap"]) == (0, 85, None, None)
+
+
+def test_column_stats_by_ranges(spark, monkeypatch):
+    from fidelis.operators import frames as Fr
+    from fidelis.operators import profile as P
+    monkeypatch.setattr(D, "RANGE_ROWS", 64)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.lognormal(3, 1, 3000), 2)
+    y = np.where(rng.random(3000) < 0.5, 7.0, rng.normal(1e6, 1, 3000))
+    rows = [(float(a), None if i % 5 == 0 else float(b), 0.1, None) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x double, y double, c double, e double").repartition(7)
+    names, probs = ["x", "y", "c", "e"], {"q25": 0.25, "median": 0.5, "q75": 0.75, "top": 1.0}
+    got = {r["feature"]: r[1:] for r in D.column_quantiles(df, names, probs).collect()}
+    long = Fr.long_form(df, names)
+    want = {r["feature"]: tuple(r[k] for k in probs) for r in Fr.quantile_columns(long, ["feature"], "value", probs).collect()}
+    assert {k: tuple(v) for k, v in got.items()} == want and set(want) == {"x", "y", "c"}
+    stats = {r["feature"]: r for r in P.column_stats(df, names).collect()}
+    old = {r["feature"]: r for r in long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+                                                                F.skewness("value").alias("g1")).collect()}
+    for f, r in old.items():
+        assert all(abs(stats[f][c] - r[c]) < 1e-5 for c in ("mean", "std", "min", "max"))
+    n = len(x)
+    assert abs(stats["x"]["skewness"] - old["x"]["g1"] * np.sqrt(n * (n - 1)) / (n - 2)) < 1e-5 and stats["c"]["skewness"] is None and stats["c"]["std"] == 0
+    assert "Expand" not in P.column_stats(df, names)._jdf.queryExecution().toString()  # rows were copied once a feature
