@@ -183,3 +183,16 @@ def test_column_stats_by_ranges(spark, monkeypatch):
     n = len(x)
     assert abs(stats["x"]["skewness"] - old["x"]["g1"] * np.sqrt(n * (n - 1)) / (n - 2)) < 1e-5 and stats["c"]["skewness"] is None and stats["c"]["std"] == 0
     assert "Expand" not in P.column_stats(df, names)._jdf.queryExecution().toString()  # rows were copied once a feature
+
+
+def test_corr_with_class_from_cross_products(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(v), None if i % 4 == 0 else float(v * v), 3.0, None if i % 9 == 0 else int(v > 0)) for i, v in enumerate(rng.normal(size=500))]
+    df = spark.createDataFrame(rows, "x double, y double, c double, k int").repartition(3)
+    found = C.corr_with_class(df, "k", ["x", "k", "y", "c"])
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # no aggregate over all features, whose code is too long to be compiled
+    got = {r["feature"]: (r["corr"], r["rank_asc"]) for r in found.collect()}
+    for at, f in ((0, "x"), (1, "y")):
+        v = np.array([(r[at], r[3]) for r in rows if r[at] is not None and r[3] is not None])
+        assert abs(got[f][0] - np.corrcoef(v.T)[0, 1]) < 1e-12
+    assert got["c"] == (None, 3) and len(got) == 3
