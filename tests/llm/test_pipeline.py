@@ -64,6 +64,25 @@ def test_near_duplicate_stage_keeps_one_of_each_group(steps):
     assert Counter(i for i, _ in rows(steps[3])) == Counter(i for i, (_, c) in found.items() if i == c)
 
 
+def test_near_duplicate_stage_shuffles_the_texts_once(spark, tmp_path):
+    """Also with repeated and missing ids: one row of an id stays, and of rows without an id one of each text."""
+    rng = np.random.default_rng(3)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 500, 30)) for _ in range(6)]
+    data = [(1, text[0]), (1, text[0]), (2, text[1]), (3, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (None, text[0]), (4, None), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in data], steps_schema())
+    docs.write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = C.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), SF_SMALL)
+        plan = kept._sc._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "simple")
+        found = Counter((r.doc_id, r.text) for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, below = plan.split("LeftSemi", 1)  # the join shuffles the texts; what stands above it must not do so again
+    assert "Exchange" not in above and "Exchange" in below
+    assert found == Counter([(1, text[0]), (2, text[1]), (None, text[2]), (None, text[3]), (None, text[0]), (4, None), (5, ""), (None, None)])
+
+
 def test_mixing_stage_orders_by_the_schedule(spark, steps):
     slot = {r.doc_id: (r.slot, r.chars_before) for r in M.mix_sources(steps[3]).collect()}
     files = steps[4].select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at")).collect()
