@@ -196,3 +196,24 @@ def test_corr_with_class_from_cross_products(spark):
         v = np.array([(r[at], r[3]) for r in rows if r[at] is not None and r[3] is not None])
         assert abs(got[f][0] - np.corrcoef(v.T)[0, 1]) < 1e-12
     assert got["c"] == (None, 3) and len(got) == 3
+
+
+def test_columns_go_to_python_as_one_array(spark):
+    """Of the KS counts, cross products and moments a row is sent as one value; the sample that says where ranges end is drawn before its columns are made."""
+    from fidelis.operators import corr as C
+    from fidelis.operators import dist as D
+    from fidelis.operators import profile as P
+    df = spark.range(1000).select(F.sqrt(F.col("id").cast("double")).alias("a"), F.when(F.col("id") % 3 > 0, F.ln(F.col("id") + 1)).alias("b"), F.lit(float("nan")).alias("c"))
+    feats = ["a", "b", "c"]
+
+    def plan(x):
+        return x._sc._jvm.PythonSQLUtils.explainString(x._jdf.queryExecution(), "simple")
+
+    for x, args in ((D._dealt([df], feats, [np.zeros(0)] * 3), 1), (C.cross_products(df, feats), 2), (P.moment_rows(df, feats), 1)):
+        sent = next(line for line in plan(x).split("\n") if "MapInArrow" in line)
+        assert sent.split("(", 1)[1].split(")", 1)[0].count("#") == args
+    some = plan(D._sampled([df], [F.col(f) for f in feats], 0.5))
+    assert some.index("SQRT") < some.index("rand(")  # the filter stands below
+    m = {r["feature"]: r for r in P.joined_moments(P.moment_rows(df, feats), ["feature"]).collect()}
+    assert [(m[f]["n"], m[f]["missing"]) for f in feats] == [(1000, 0), (666, 334), (0, 1000)]
+    assert abs(m["a"]["mean"] - np.sqrt(np.arange(1000)).mean()) < 1e-9
