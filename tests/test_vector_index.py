@@ -167,3 +167,19 @@ def test_candidates_of_a_pivot_rule_out_pivots_together():
         assert {(int(i), int(cell[j])) for i, j in zip(*np.nonzero(sims >= kth[:, None]))} <= got
         if home is nearest:
             assert sum(kth[i] > -1.0 for i, _ in got) < 0.2 * len(names) * 588
+
+
+def test_equal_vectors_are_sorted_by_a_number_first(spark):
+    """Distinct vectors with their smallest ids, a zero of either sign included; the sort compares arrays only after a hash of them."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.integers(0, 3, (400, 2)))] + [(1000, [-0.0, 1.0]), (1001, [0.0, 1.0]), (1001, [2.0, 7.0])]
+    want = {}
+    for i, v in rows:
+        want.setdefault(tuple(x + 0.0 for x in v), []).append(i)
+    units = spark.createDataFrame(rows, "id long, u array<double>").repartition(3)
+    out = X._equal(units, 4)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    sorts = [line.split("Sort [", 1)[1] for line in plan.split("\n") if "Sort [" in line]
+    assert sorts and all(s.startswith("h#") for s in sorts)
+    found = [(tuple(x + 0.0 for x in r["u"]), r["ids"][:4]) for r in out.collect()]
+    assert len(found) == len(want) and dict(found) == {v: sorted(i)[:4] for v, i in want.items()}
