@@ -27,3 +27,8 @@ def test_load_baseline_reads_the_whole_profile(spark, sf):
     assert {k: v for k, v in read.items() if k[0] != "entries" and k[3] != "p_value"} == profile
     assert sum(k[3] == "p_value" for k in read) == 30
     assert {k[1]: v for k, v in read.items() if k[0] == "entries"} == {"n_rows": 1, "positive_rate": 1, "column_stats": 31, "class_correlations": 30, "feature_pairs": 378, "ks_by_class": 30, "amount_log_fit": 2}
+
+
+def test_validate_statistics_has_the_forest(spark, sf):
+    tests = [r.test_name for r in E.queries()["validate_statistics"](spark, sf).select("test_name").collect()]
+    assert len(tests) == 61 and tests.count("isolation_forest") == 1
