@@ -183,3 +183,47 @@ def test_equal_vectors_are_sorted_by_a_number_first(spark):
     assert sorts and all(s.startswith("h#") for s in sorts)
     found = [(tuple(x + 0.0 for x in r["u"]), r["ids"][:4]) for r in out.collect()]
     assert len(found) == len(want) and dict(found) == {v: sorted(i)[:4] for v, i in want.items()}
+
+
+def test_a_search_leaves_only_its_answers(spark, tmp_path, monkeypatch):
+    """No copy of the vectors stays on the disk, and the answers need no further shuffle."""
+    for module in (X, S):
+        if hasattr(module, "checkpoint_dir"):
+            monkeypatch.setattr(module, "checkpoint_dir", lambda _: str(tmp_path))
+    rng = np.random.default_rng(7)
+    ref, cand = list(enumerate(points(rng, 300, 4).tolist())), list(enumerate(points(rng, 100, 4).tolist()))
+    found = S.nn_search(frame(spark, cand), frame(spark, ref), "id", "id", "v", k=2, cell_rows=20)
+    assert found.count() == 200
+    names = [p.name for p in tmp_path.iterdir()]
+    assert len(names) == 1 and names[0].startswith("search-")
+    assert "Exchange" not in found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+
+
+def test_equal_vectors_are_shuffled_once_and_joined_before(spark):
+    """A vector that nearly all rows share leaves each task as one row."""
+    units = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(2000)] + [(None, [1.0, 2.0]), (5, [0.5, 0.5])], "id long, u array<double>").repartition(4)
+    out = X._equal(units, 3)
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning(u#") == 1 and "Window" not in plan
+    assert sorted((r["u"], r["ids"], r["nulls"]) for r in out.collect()) == [([0.5, 0.5], [5], 0), ([1.0, 2.0], [0, 1, 2], 1)]
+
+
+def test_rows_without_an_id(spark):
+    """They come first among the neighbours of a zero vector, and a vector's ids leave them out."""
+    ref = spark.createDataFrame([(None, [0.0, 0.0]), (4, [0.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0])], "id long, v array<double>")
+    index = X.build_index(ref, "id", "v", keep=3)
+    assert index.smallest == [None, None, 4] and index.zeros == [None, 4] and index.n_rows == 4
+    found, _ = X.search(index, frame(spark, [(1, [2.0, 0.0]), (2, [0.0, 0.0])]), "id", "v", 2)
+    assert sorted((r.id, r["rank"], r.rid, r.similarity) for r in found.collect()) == [(1, 1, 9, 1.0), (1, 2, None, 0.0), (2, 1, None, 0.0), (2, 2, None, 0.0)]
+
+
+def test_candidates_of_a_hot_cell_go_to_several_tasks(spark, monkeypatch):
+    """Nearly all candidates fall into one cell: they are dealt over the tasks, and all are answered."""
+    monkeypatch.setattr(X, "TASK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    ref = list(enumerate(points(rng, 200, 3).tolist()))
+    cand = [(i, [x + 1e-3 * rng.normal() for x in ref[0][1]]) for i in range(400)] + [(1000 + i, v) for i, v in enumerate(points(rng, 20, 3).tolist())]
+    found, _ = X.search(X.build_index(frame(spark, ref), "id", "v", cell_rows=20), frame(spark, cand), "id", "v")
+    want = brute(cand, ref, 1)
+    assert {r.id: r.rid for r in found.collect()} == {i: w[0][0][1] for i, w in want.items()}
+    assert len(found.inputFiles()) >= 6
